@@ -171,7 +171,7 @@ def missing_series(available: DataFrame, abbrs: DataFrame) -> DataFrame:
     """Required monthly series that are absent: national baselines and state consumption."""
     national = abbrs.sparkSession.createDataFrame([(c,) for c in NATIONAL], "series string")
     prefixes = F.array(*[F.lit(p) for p in ("N3010", "N3020", "N3035", "N3045")])
-    state = abbrs.select(F.concat(F.explode(prefixes), F.col("abbr"), F.lit("2")).alias("series"))
+    state = abbrs.select("abbr", F.explode(prefixes).alias("_p")).select(F.concat("_p", "abbr", F.lit("2")).alias("series"))
     return national.union(state).join(available.select("series").distinct(), "series", "left_anti")
 
 

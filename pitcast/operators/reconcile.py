@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The parent region and its five children.
 PARENT = "R48"
@@ -61,23 +58,6 @@ def complete_groups(df: DataFrame, group: Sequence[str]) -> DataFrame:
     return df.join(full.where(F.col("_n") == len(ALL_REGIONS)).select(*group), list(group), "left_semi")
 
 
-def mint_projection(mean: np.ndarray, second: np.ndarray, fourth: float, n: float) -> np.ndarray:
-    """Minimum-trace projection from sample moments, covariance shrunk towards a scaled identity.
-
-    ``second`` is the mean outer product, ``fourth`` the mean squared norm product needed by the
-    Ledoit-Wolf intensity; both are centred, so only sums over the residual vectors are needed.
-    """
-    p = len(mean)
-    target = np.trace(second) / p
-    distance = (second**2).sum() / p - target**2
-    spread = (fourth - (second**2).sum()) / (p * n)
-    intensity = 0.0 if spread <= 0 or distance <= 0 else min(spread, distance) / distance
-    shrunk = (1 - intensity) * second + intensity * target * np.eye(p)
-    summing = np.vstack([np.ones(p - 1), np.eye(p - 1)])
-    precision = np.linalg.pinv(shrunk)
-    return summing @ np.linalg.pinv(summing.T @ precision @ summing) @ summing.T @ precision
-
-
 def residual_vectors(residuals: DataFrame, residual: str = "residual", keys: Sequence[str] = ()) -> DataFrame:
     """Complete six-region residual vectors per (keys, date, horizon)."""
     wide = residuals.groupBy(*keys, "date", "horizon").pivot("region", list(ALL_REGIONS)).agg(F.min(residual))
@@ -90,40 +70,73 @@ def residual_moments(vectors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     They are additive, so prior moments at every origin are running sums along the dates.
     """
     x = [F.col(r) for r in ALL_REGIONS]
-    p = len(x)
-    norm2 = sum((c * c for c in x[1:]), x[0] * x[0])
+    norm2 = _total([c * c for c in x])
     sums = [F.sum(F.lit(1.0)), *[F.sum(c) for c in x]]
-    sums += [F.sum(x[i] * x[j]) for i in range(p) for j in range(i, p)]
+    sums += [F.sum(x[i] * x[j]) for i in range(P) for j in range(i, P)]
     sums += [F.sum(norm2 * c) for c in x]
     sums += [F.sum(norm2 * norm2)]
     return vectors.groupBy(*keys, "date").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)])
 
 
-N_SUMS = 1 + 6 + 21 + 6 + 1
+P = len(ALL_REGIONS)
+N_PAIRS = P * (P + 1) // 2
+N_SUMS = 1 + P + N_PAIRS + P + 1
+
 
+def _moment(i: int, j: int) -> Column:
+    """Raw sum of products of residuals i and j."""
+    i, j = min(i, j), max(i, j)
+    return F.col(f"s{1 + P + i * P - i * (i - 1) // 2 + (j - i)}")
 
-def _projection_from_sums(s: np.ndarray) -> np.ndarray:
-    """Centre the raw sums about the mean and build the projection."""
-    p = len(ALL_REGIONS)
-    n, s1 = s[0], s[1 : 1 + p]
-    raw = np.zeros((p, p))
-    raw[np.triu_indices(p)] = s[1 + p : 1 + p + 21]
-    raw = raw + np.triu(raw, 1).T
-    s3 = s[28 : 28 + p]
-    s4 = s[34]
-    mu = s1 / n
-    second = raw / n - np.outer(mu, mu)
-    # sum |x-mu|^4 expanded in the raw sums
-    m2 = mu @ mu
-    trace = np.trace(raw)
-    fourth = s4 - 4 * mu @ s3 + 4 * mu @ raw @ mu + 2 * m2 * trace - 4 * m2 * (mu @ s1) + n * m2**2
-    return mint_projection(mu, second, fourth / n, n)
 
+def _total(terms: list[Column]) -> Column:
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
 
-def mint_projections(vectors: DataFrame, origins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Projection matrix (row-major array) per origin from residuals dated strictly before it.
 
-    Origins with fewer than two prior vectors get none.
+def _adjustment() -> Column:
+    """Share of the coherence gap each of the six values gives up.
+
+    The hierarchy has one constraint, u'y = 0 with u = (1, -1, ..., -1), so the minimum-trace
+    projection is I - C u u' / (u' C u) for the error covariance C. C is the sample covariance shrunk
+    towards a scaled identity by the Ledoit-Wolf intensity, all from the raw sums.
+    """
+    n = F.col("s0")
+    mu = [F.col(f"s{1 + i}") / n for i in range(P)]
+    cov = [[_moment(i, j) / n - mu[i] * mu[j] for j in range(P)] for i in range(P)]
+    u = [1.0] + [-1.0] * (P - 1)
+    scale = _total([cov[i][i] for i in range(P)]) / P
+    squared = _total([cov[i][j] * cov[i][j] for i in range(P) for j in range(P)])
+    m2 = _total([m * m for m in mu])
+    trace = _total([_moment(i, i) for i in range(P)])
+    cubic = _total([mu[i] * F.col(f"s{1 + P + N_PAIRS + i}") for i in range(P)])
+    quad = _total([mu[i] * mu[j] * _moment(i, j) for i in range(P) for j in range(P)])
+    # Sum of |x - mu|^4 expanded in the raw sums.
+    fourth = F.col(f"s{N_SUMS - 1}") - 4 * cubic + 4 * quad + 2 * m2 * trace - 3 * n * m2 * m2
+    rows = [_total([cov[i][j] * u[j] for j in range(P)]) for i in range(P)]
+
+    def with_scalars(v: Column) -> Column:
+        distance = v["squared"] / P - v["scale"] * v["scale"]
+        spread = (v["fourth"] / n - v["squared"]) / (P * n)
+        delta = F.when((spread <= 0) | (distance <= 0), F.lit(0.0)).otherwise(F.least(spread, distance) / distance)
+
+        def with_delta(w: Column) -> Column:
+            cu = [(1 - w) * v["rows"][i] + w * v["scale"] * u[i] for i in range(P)]
+            ucu = _total([cu[i] * u[i] for i in range(P)])
+            return F.array(*[F.try_divide(c, ucu) for c in cu])
+
+        return F.transform(F.array(delta), with_delta)[0]
+
+    packed = F.struct(scale.alias("scale"), squared.alias("squared"), fourth.alias("fourth"), F.array(*rows).alias("rows"))
+    return F.transform(F.array(packed), with_scalars)[0]
+
+
+def mint_adjustments(vectors: DataFrame, origins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Adjustment shares per origin from residuals dated strictly before it.
+
+    Prior moments are running sums along the dates. Origins with fewer than two prior vectors get none.
     """
     sums = residual_moments(vectors, keys)
     asked = origins.select(*keys, F.to_date("forecast_origin").alias("date")).distinct().withColumn("_q", F.lit(True))
@@ -133,37 +146,26 @@ def mint_projections(vectors: DataFrame, origins: DataFrame, keys: Sequence[str]
     prior = both.select(*keys, "date", "_q", *[F.sum(s).over(w).alias(s) for s in names]).where(
         F.col("_q") & (F.col("s0") >= 2)
     )
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(packed: pd.Series) -> pd.Series:
-        return pd.Series([_projection_from_sums(np.asarray(v, dtype=float)).ravel() for v in packed])
-
     return prior.select(
-        *keys, F.col("date").alias("forecast_origin"), F.col("s0").cast("bigint").alias("n_vectors"),
-        project(F.array(*names)).alias("projection"),
+        *keys, F.col("date").alias("forecast_origin"), F.col("s0").cast("bigint").alias("n_vectors"), _adjustment().alias("adjustment")
     )
 
 
 def mint(df: DataFrame, residuals: DataFrame, keys: Sequence[str] = (), values: Sequence[str] = ("predicted_weekly_change",)) -> DataFrame:
     """Minimum-trace reconciliation of every origin in one job.
 
-    Each region's value is a fixed linear combination of the six base values of its group.
+    Every value gives up its share of the gap between the parent and the sum of the children.
     """
     group = [*keys, "forecast_origin", "date", "horizon"]
-    projections = mint_projections(residual_vectors(residuals, keys=keys), df, keys)
-    index = F.array_position(F.array(*[F.lit(r) for r in ALL_REGIONS]), F.col("region")).cast("int") - 1
+    shares = mint_adjustments(residual_vectors(residuals, keys=keys), df, keys).drop("n_vectors")
+    base = complete_groups(df, group).where(F.col("region").isin(*ALL_REGIONS)).join(shares, [*keys, "forecast_origin"])
+    index = F.array_position(F.array(*[F.lit(r) for r in ALL_REGIONS]), F.col("region")).cast("int")
     w = W.partitionBy(*group)
-    base = complete_groups(df, group).where(F.col("region").isin(*ALL_REGIONS)).withColumn("_i", index)
-    base = base.join(projections, [*keys, "forecast_origin"])
-    out = {}
-    for v in values:
-        parts = [F.max(F.when(F.col("_i") == j, F.col(v))).over(w) for j in range(6)]
-        total = None
-        for j, part in enumerate(parts):
-            term = F.element_at("projection", F.col("_i") * 6 + (j + 1)) * part
-            total = term if total is None else total + term
-        out[v] = total
-    fixed = base.withColumns(out).drop("_i", "projection", "n_vectors").withColumn("reconciliation_method", F.lit("mint_shrink"))
+    sign = F.when(F.col("region") == PARENT, 1.0).otherwise(-1.0)
+    fixed = base.withColumn("_a", F.element_at("adjustment", index)).withColumns(
+        {v: F.col(v) - F.col("_a") * F.sum(sign * F.col(v)).over(w) for v in values}
+    )
+    fixed = fixed.drop("_a", "adjustment").withColumn("reconciliation_method", F.lit("mint_shrink"))
     return finalize(fixed, group, values)
 
 
