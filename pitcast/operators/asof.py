@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitcast.functions.columns import require_columns
+from pitcast.session import staged
 
 
 def _version(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Column:
@@ -74,6 +75,7 @@ def origin_calendar(origins: DataFrame, origin: str) -> DataFrame:
 
 def first_origin_knowing(df: DataFrame, origins: DataFrame, origin: str, known: Column, name: str = "_first") -> DataFrame:
     """Add the earliest origin at or after ``known``; rows no origin can know are dropped."""
+    origins = staged(origins.select(origin).distinct(), "origins")
     calendar = origin_calendar(origins, origin)
     first_day = origins.agg(F.min(F.to_date(origin))).scalar()
     last = origins.agg(F.max(origin)).scalar()

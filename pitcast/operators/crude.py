@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitcast.functions.columns import require_columns
+from pitcast.session import staged
 
 # Component names of the weekly series and of the forecast.
 RAW_COMPONENTS = (
@@ -137,7 +138,7 @@ def backtest(balance: DataFrame, keys: Sequence[str] = (), initial_train_weeks:
     """One-week-ahead predictions from every weekly origin after the initial rows, with intervals."""
     from pitcast.operators.intervals import horizon_intervals
 
-    clean = balance.where(F.col(CHANGE).isNotNull())
+    clean = staged(balance.where(F.col(CHANGE).isNotNull()), "balance")
     w = W.partitionBy(*keys, *([] if keys else [F.lit(1)])).orderBy("date")
     targets = clean.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > initial_train_weeks).select(*keys, "date")
     predicted = forecast(clean, targets, keys, lookback_years, recent_weeks)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitcast.session import staged
+
 DIRECT_LIMIT = 20_000
 BINS = 32
 
@@ -81,19 +83,15 @@ def _narrow(queries: DataFrame, residuals: DataFrame) -> tuple[DataFrame, DataFr
 def _select_ranks(queries: DataFrame, residuals: DataFrame, levels: int) -> DataFrame:
     """The rank-th smallest residual with an earlier time, for every (group, time, rank) query.
 
-    Integer times only. ``levels`` halvings by value bins precede the final small gather.
+    Integer times only. ``levels`` passes over value bins precede the final small gather.
     """
-    group_type = queries.select("_g", "_t")
-    names = []
-    for level in range(levels):
+    for _ in range(levels):
         queries, residuals = _narrow(queries, residuals)
-        names.append(level)
     near = queries.join(residuals.withColumnRenamed("_t", "_rt"), "_g").where(F.col("_rt") < F.col("_t"))
     picked = near.groupBy("_g", "_t", "rank").agg(F.array_sort(F.collect_list("_r")).alias("_rs"))
     out = picked.select("_g", "_t", F.try_element_at("_rs", F.col("rank").cast("int")).alias("_value"))
-    for _ in names:
+    for _ in range(levels):
         out = out.withColumn("_g", F.col("_g.g"))
-    assert group_type is not None
     return out
 
 
@@ -115,7 +113,9 @@ def _calibrated(data: DataFrame, group: Sequence[str], query_time: Column, relea
     if minimum < 1:
         raise ValueError("The minimum calibration size must be at least 1.")
     g = F.struct(*group) if group else F.struct(F.lit(1).alias("one"))
-    rows = data.withColumns({"_g": g, "_t": query_time.cast("bigint"), "_rt": release_time.cast("bigint"), "_r": residual})
+    rows = staged(
+        data.withColumns({"_g": g, "_t": query_time.cast("bigint"), "_rt": release_time.cast("bigint"), "_r": residual}), "calibration"
+    )
     residuals = rows.where(F.col("_r").isNotNull()).select("_g", F.col("_rt").alias("_t"), "_r")
     if levels is None:
         levels = _levels_for(residuals, direct_limit)

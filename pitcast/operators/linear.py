@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitcast.operators import splits
+from pitcast.session import staged
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,9 @@ RIDGE = LinearSpec("ridge", 10.0)
 ELASTIC_NET = LinearSpec("elastic_net", 0.1, 0.5)
 
 
+WIDE = 12
+
+
 def moment_count(n_features: int) -> int:
     width = n_features + 2
     return width * (width + 1) // 2
@@ -43,6 +47,8 @@ def moments(df: DataFrame, keys: Sequence[str], features: Sequence[str], target:
     """Upper triangle of sums of products of (1, features, target) per key, as columns m0, m1, ..."""
     rows = df.dropna(subset=[*features, target])
     terms: list[Column] = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(target).cast("double")]
+    if len(features) > WIDE:
+        return _wide_moments(rows, keys, terms)
     sums = []
     for i in range(len(terms)):
         for j in range(i, len(terms)):
@@ -50,6 +56,22 @@ def moments(df: DataFrame, keys: Sequence[str], features: Sequence[str], target:
     return rows.groupBy(*keys).agg(*sums)
 
 
+def _wide_moments(rows: DataFrame, keys: Sequence[str], terms: list[Column]) -> DataFrame:
+    """The same sums for many features: products become rows that combine map-side per position.
+
+    Hundreds of separate aggregates would outgrow generated code; this plan has one.
+    """
+    width = len(terms)
+    products = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.lit(width)),
+        lambda i: F.transform(F.slice("_v", i, F.lit(width + 1) - i), lambda x: x * F.element_at("_v", i)),
+    ))
+    long = rows.select(*keys, F.array(*terms).alias("_v")).select(*keys, F.posexplode(products).alias("_p", "_x"))
+    per = long.groupBy(*keys, "_p").agg(F.sum("_x").alias("_s"))
+    packed = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "_s"))).alias("_a"))
+    return packed.select(*keys, *[F.col("_a")[i]["_s"].alias(f"m{i}") for i in range(width * (width + 1) // 2)])
+
+
 def running_moments(step_moments: DataFrame, keys: Sequence[str], step: str, n_features: int) -> DataFrame:
     """Cumulative moments along ``step``; one small row per (key, step) enters the window."""
     w = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -166,7 +188,7 @@ def fit_folds(df: DataFrame, keys: Sequence[str], features: Sequence[str], targe
 def backtest(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, date: str,
              spec: splits.FoldSpec, model: LinearSpec = OLS, prediction: str = "predicted_weekly_change") -> DataFrame:
     """One-step rolling-origin backtest of all series and folds in one job."""
-    clean = df.dropna(subset=[*features, target])
+    clean = staged(df.dropna(subset=[*features, target]).select(*dict.fromkeys([*keys, date, target, *features])), "backtest")
     folds = splits.fold_table(clean, date, spec)
     params = fit_folds(clean, keys, features, target, date, spec, folds, model)
     rows = splits.validation_rows(clean, date, spec, folds)

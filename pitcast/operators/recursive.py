@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pitcast.functions.calendar import DEGREE_DAY_BASE_F, INJECTION_MONTHS, iso_year
 from pitcast.functions.columns import require_columns
 from pitcast.operators.asof import latest_at_origins
+from pitcast.session import staged
 
 WEATHER = ("temperature_f", "hdd", "cdd", "weather_days")
 WEATHER_DEFAULTS = {"temperature_f": 50.0, "hdd": 0.0, "cdd": 0.0, "weather_days": 7.0, "local_balance": 0.0}
@@ -321,13 +322,16 @@ def backtest(df: DataFrame, keys: Sequence[str], features: Sequence[str], spec,
 
     check_request(features, horizon, mode)
     target = "weekly_change_bcf"
+    balance = _needs_balance(features)
+    extra = [c for c in ("local_balance", "net_inflow_balancing") if balance and c in df.columns]
+    df = staged(df.select(*dict.fromkeys([*keys, "date", "week_of_year", "storage_bcf", target, *WEATHER, *extra, *features])), "features")
     clean = df.dropna(subset=[*features, target])
     folds = splits.fold_table(clean, "date", spec)
     params = linear.fit_folds(clean, keys, features, target, "date", spec, folds, model or linear.OLS)
     val = splits.validation_rows(clean.select(*keys, "date"), "date", spec, folds)
     newest = splits.training_rows(clean.select(*keys, "date").distinct(), "date", spec, folds).groupBy(*keys, "fold").agg(F.max("date").alias("as_of"))
     origins = fold_origins(val, keys, newest)
-    inputs = step_inputs(df, origins, keys, horizon, mode, scenarios, _needs_balance(features))
+    inputs = step_inputs(df, origins, keys, horizon, mode, scenarios, balance)
     out = project_linear(inputs, params, keys, features, model_key).withColumn("forecast_input_mode", F.lit(mode))
     if coverage is None:
         return out

@@ -193,10 +193,10 @@ class Tables:
         wk = self.wk_flow.groupBy("date").agg(*[F.sum(c).alias(c) for c in ("a_qty", "r_qty", "no_qty", "nf_qty")])
         w = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
         parts = wk.select(
-            F.col("date").alias("period"), F.col("a_qty").alias("production_kbpd"), F.col("r_qty").alias("refinery_inputs_kbpd"),
-            F.col("no_qty").alias("imports_kbpd"), F.col("nf_qty").alias("exports_kbpd"),
-            (F.lit(1e6) + F.sum(F.col("a_qty") - F.col("r_qty")).over(w)).alias("commercial_stocks_kb"),
-            (F.lit(5e5) + F.sum(F.col("no_qty") - F.col("nf_qty")).over(w)).alias("spr_stocks_kb"),
+            F.col("date").alias("period"), (F.col("a_qty") / 3.0).alias("production_kbpd"), (F.col("r_qty") / 3.0).alias("refinery_inputs_kbpd"),
+            (F.col("no_qty") / 3.0).alias("imports_kbpd"), (F.col("nf_qty") / 3.0).alias("exports_kbpd"),
+            (F.lit(1e6) + F.sum(F.col("a_qty") - F.col("r_qty")).over(w) / 7.0).alias("commercial_stocks_kb"),
+            (F.lit(5e5) + F.sum(F.col("no_qty") - F.col("nf_qty")).over(w) / 7.0).alias("spr_stocks_kb"),
         )
         return parts.unpivot(["period"], list(CRUDE_PARTS), "component", "value")
 
@@ -259,6 +259,20 @@ class Tables:
             "temperature_f", "hdd", "cdd", F.lit(1.0).alias("coverage"),
         )
 
+    @cached_property
+    def base_predictions(self) -> DataFrame:
+        """Four-week-ahead damped last changes of all six regions; origins of 1996 lack quantiles."""
+        start = F.lit("1995-01-06").cast("date")
+        last = self.wk_all.where(F.pmod(F.datediff("date", start), F.lit(28)) == 0)
+        ahead = last.select("duoarea", F.col("date").alias("forecast_origin"), F.col("weekly_change_bcf").alias("_l"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("horizon"))
+        rows = ahead.select(
+            F.col("duoarea").alias("region"), "forecast_origin", "horizon", F.expr("date_add(forecast_origin, 7 * horizon)").alias("date"),
+            (F.col("_l") / (F.col("horizon") + 1)).alias("predicted_weekly_change"), F.lit("damped").alias("model_key"),
+        )
+        actual = self.wk_all.select(F.col("duoarea").alias("region"), "date", F.col("weekly_change_bcf").alias("actual_weekly_change"))
+        p, known = F.col("predicted_weekly_change"), F.year("forecast_origin") != 1996
+        return rows.join(actual, ["region", "date"]).withColumns({"p10": F.when(known, p - 50), "p50": F.when(known, p), "p90": F.when(known, p + 40)})
+
     @cached_property
     def weight_history(self) -> DataFrame:
         """Gas load of each state by month of availability."""
@@ -317,8 +331,8 @@ CTES: dict[str, str] = {
                       "FROM (SELECT component, valid_at + INTERVAL 168 HOUR AS valid_at, mw AS b FROM hours WHERE component IN ('load','wind','solar')) base "
                       "LEFT JOIN hours h ON h.component = base.component AND h.valid_at = base.valid_at, range(0, 7) r(k))",
     "power_actuals": "SELECT component, valid_at, mw AS actual_mw FROM hours WHERE component IN ('load','wind','solar')",
-    "crude_wide": "SELECT date AS period, a AS production_kbpd, r AS refinery_inputs_kbpd, i AS imports_kbpd, e AS exports_kbpd, "
-                  "1e6 + sum(a - r) OVER (ORDER BY date) AS commercial_stocks_kb, 5e5 + sum(i - e) OVER (ORDER BY date) AS spr_stocks_kb FROM ("
+    "crude_wide": "SELECT date AS period, a / 3.0 AS production_kbpd, r / 3.0 AS refinery_inputs_kbpd, i / 3.0 AS imports_kbpd, e / 3.0 AS exports_kbpd, "
+                  "1e6 + sum(a - r) OVER (ORDER BY date) / 7.0 AS commercial_stocks_kb, 5e5 + sum(i - e) OVER (ORDER BY date) / 7.0 AS spr_stocks_kb FROM ("
                   "SELECT date, sum(a_qty) AS a, sum(r_qty) AS r, sum(no_qty) AS i, sum(nf_qty) AS e FROM wk_flow GROUP BY 1)",
     "crude_long": "SELECT period, component, value FROM (UNPIVOT crude_wide ON production_kbpd, refinery_inputs_kbpd, imports_kbpd, exports_kbpd, commercial_stocks_kb, spr_stocks_kb "
                   "INTO NAME component VALUE value)",
@@ -345,6 +359,11 @@ CTES: dict[str, str] = {
     "region_archive": f"SELECT 'open-meteo' AS provider, 'gfs_seamless' AS model, strftime(issued_at, '%Y%m%d') AS model_run, ensemble_member, issued_at, valid_start, "
                       f"valid_start + INTERVAL 1 DAY AS valid_end, 'REGIONAL' AS state, duoarea, temperature_f, {_HDD}, 1.0::DOUBLE AS coverage FROM (SELECT duoarea, l_shipdate AS valid_start, l_returnflag AS ensemble_member, "
                       f"15.0 + avg(l_extendedprice) / 997.0 AS temperature_f, CAST({_week('l_shipdate')} - 7 AS TIMESTAMP) AS issued_at FROM shipped GROUP BY 1, 2, 3)",
+    "base_predictions": "SELECT region, forecast_origin, horizon, b.date, predicted_weekly_change, 'damped' AS model_key, a.weekly_change_bcf AS actual_weekly_change, "
+                        "CASE WHEN year(forecast_origin) <> 1996 THEN predicted_weekly_change - 50 END AS p10, CASE WHEN year(forecast_origin) <> 1996 THEN predicted_weekly_change END AS p50, "
+                        "CASE WHEN year(forecast_origin) <> 1996 THEN predicted_weekly_change + 40 END AS p90 FROM (SELECT duoarea AS region, date AS forecast_origin, CAST(h AS INTEGER) AS horizon, "
+                        "date + CAST(7 * h AS INTEGER) AS date, weekly_change_bcf / (h + 1) AS predicted_weekly_change FROM wk_all, range(1, 5) x(h) WHERE date_diff('day', DATE '1995-01-06', date) % 28 = 0) b "
+                        "JOIN wk_all a ON a.duoarea = b.region AND a.date = b.date",
     "weight_history": "SELECT state, duoarea, date_trunc('month', o_orderdate)::TIMESTAMP AS available_at, CAST(count(*) AS DOUBLE) AS gas_load FROM ordered GROUP BY 1, 2, 3",
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitcast.operators import asof, checks, crude, disaggregate, features, linear, metrics, power, reconcile, recursive, rollups, splits
+from pitcast.session import staged
 from pitcast.sources import store
 
 STORAGE_MARK = "_SWO_"
@@ -108,6 +109,7 @@ def regional_backtest(features_table: DataFrame, feature_cols: Sequence[str], sp
     """Base forecasts of all six regions, their reconciled paths and the metric table."""
     base = recursive.backtest(features_table, ["duoarea"], feature_cols, spec, model, horizon, model_key=model_key, coverage=coverage, minimum=minimum)
     base = base.withColumnRenamed("duoarea", "region").drop("features")
+    base = staged(base, "base")
     keep = ["forecast_origin", "date", "horizon", "region", "predicted_weekly_change", "actual_weekly_change", "p10", "p50", "p90", "model_key"]
     paths = reconcile.all_paths(base.select(*keep))
     summary = metrics.ablation_summary(paths, ["reconciliation_method", "model_key", "region", "horizon"])

@@ -50,3 +50,30 @@ def r(*names: str, digits: int = DIGITS) -> str:
 def d(*names: str) -> str:
     """SQL select list of dates as timestamps."""
     return ", ".join(f"CAST({n} AS TIMESTAMP) AS {n.rpartition('.')[2]}" for n in names)
+
+
+def sql_linear(name: str, train: str, keys: list[str], xs: list[str], y: str, alpha: float = 0.0) -> str:
+    """CTEs fitting least squares (or ridge on scaled features) per key by Gauss-Jordan elimination.
+
+    ``{name}_b`` holds keys, n, my, m (means), s (deviations) and b (coefficients of scaled features).
+    """
+    k = len(xs)
+    ks = "".join(f"{x}, " for x in keys)
+    tks = "".join(f"t.{x}, " for x in keys)
+    on = f"USING ({', '.join(keys)})" if keys else "ON true"
+    group = f"GROUP BY {', '.join(keys)}" if keys else ""
+    known = " AND ".join(f"({x}) IS NOT NULL" for x in [*xs, y])
+    z = ", ".join(f"(x{i} - s.m[{i}]) / s.s[{i}]" for i in range(1, k + 1))
+    return f"""{name}_t AS (SELECT {ks}{', '.join(f'CAST({x} AS DOUBLE) AS x{i}' for i, x in enumerate(xs, 1))}, CAST({y} AS DOUBLE) AS y FROM {train} WHERE {known}),
+  {name}_s AS (SELECT {ks}count(*) AS n, avg(y) AS my, [{', '.join(f'avg(x{i})' for i in range(1, k + 1))}] AS m, [{', '.join(f'stddev_pop(x{i})' for i in range(1, k + 1))}] AS s FROM {name}_t {group}),
+  {name}_z AS (SELECT {tks}[{z}, y - s.my] AS z FROM {name}_t t JOIN {name}_s s {on}),
+  {name}_g AS (SELECT {ks}i, j, sum(z[i] * z[j]) + CASE WHEN i = j THEN {alpha} ELSE 0 END AS v FROM {name}_z, range(1, {k + 1}) a(i), range(1, {k + 2}) b(j) GROUP BY {ks}i, j),
+  {name}_m AS (SELECT {ks}list(row ORDER BY i) AS m FROM (SELECT {ks}i, list(v ORDER BY j) AS row FROM {name}_g GROUP BY {ks}i) {group}),
+  {name}_r AS (SELECT {ks}1 AS p, m FROM {name}_m UNION ALL SELECT {ks}p + 1, list_transform(m, lambda r, i: CASE WHEN i = p THEN list_transform(r, lambda x: x / m[p][p])
+    ELSE list_transform(r, lambda x, j: x - r[p] * m[p][j] / m[p][p]) END) FROM {name}_r WHERE p <= {k}),
+  {name}_b AS (SELECT {ks}n, my, s.m, s.s, list_transform(r.m, lambda q: q[{k + 1}]) AS b FROM {name}_r r JOIN {name}_s s {on} WHERE p = {k + 1})"""
+
+
+def sql_pred(b: str, xs: list[str]) -> str:
+    """Prediction expression from a row ``b`` of :func:`sql_linear`."""
+    return f"{b}.my + " + " + ".join(f"{b}.b[{i}] * (({x}) - {b}.m[{i}]) / {b}.s[{i}]" for i, x in enumerate(xs, 1))

@@ -48,6 +48,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pitcast-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate table once to the shared folder and read it back.
+
+    Used where one derived table feeds several branches, so that its sources are scanned once. A lost
+    executor loses nothing, and later plans start from plain Parquet with pruning and statistics.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so a lost executor never loses the data."""
     spark = df.sparkSession
