@@ -34,20 +34,19 @@ def _require_coverage(coverage: float) -> None:
         raise ValueError("coverage must be between 0 and 1.")
 
 
-def conformal_radius(df: DataFrame, residual: str, coverage: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Radius per key over all its residuals.
-
-    Ranks come from value counts: residuals are counted per value map-side, and a running count
-    along the values finds the wanted rank. A first pass over value bins keeps every window small.
-    """
+def conformal_radius(df: DataFrame, residual: str, coverage: float, keys: Sequence[str] = (),
+                     levels: int | None = None, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+    """Radius per key over all its residuals, by the same size-checked selection as the rolling form."""
     _require_coverage(coverage)
     r = df.where(F.col(residual).isNotNull()).select(*keys, F.col(residual).alias("_r"))
-    keyed = r.withColumn("_g", F.struct(*keys) if keys else F.struct(F.lit(1).alias("one")))
+    keyed = staged(r.withColumn("_g", F.struct(*keys) if keys else F.struct(F.lit(1).alias("one"))), "residuals")
     asked = keyed.groupBy("_g", *keys).agg(F.count(F.lit(1)).alias("n")).withColumns(
         {"_t": F.lit(1), "rank": rank_for("n", coverage)}
     )
     residuals = keyed.select("_g", F.lit(0).alias("_t"), "_r")
-    found = _select_ranks(asked.select("_g", "_t", "rank"), residuals, levels=2)
+    if levels is None:
+        levels = _levels_for(residuals, direct_limit)
+    found = _select_ranks(asked.select("_g", "_t", "rank"), residuals, levels)
     return asked.join(found, ["_g", "_t"]).select(*keys, "n", F.col("_value").alias("radius"))
 
 

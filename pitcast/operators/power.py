@@ -13,6 +13,7 @@ from pitcast.operators import linear
 from pitcast.operators.asof import first_origin_knowing, hourly_as_of
 from pitcast.operators.intervals import conformal_radius
 from pitcast.operators.metrics import bucket_comparison
+from pitcast.session import staged
 
 # Fuel heat content, low/high heat rates, default heat rate, share lags per bucket.
 BTU_PER_BCF_MMBTU = 1_037_000.0
@@ -75,7 +76,7 @@ def component_history(vintages: DataFrame, actuals: DataFrame, weather: DataFram
     real = actuals.select("component", F.col("valid_at").alias("delivery_hour"), F.col("actual_mw").alias("_real"))
     data = data.join(real, ["component", "delivery_hour"], "left").withColumn("actual_mw", F.coalesce("_real", "actual_mw")).drop("_real")
     data = data.withColumn("horizon_hour", hours_between("delivery_hour", "forecast_origin"))
-    data = data.where(F.col("horizon_hour").between(1, 168)).withColumn("horizon_bucket", horizon_bucket("horizon_hour"))
+    data = staged(data.where(F.col("horizon_hour").between(1, 168)).withColumn("horizon_bucket", horizon_bucket("horizon_hour")), "history")
     errors = recent_error(data, data.select("component", "forecast_origin").distinct())
     data = data.join(errors, ["component", "forecast_origin"], "left").withColumn(
         "recent_error_mw", F.coalesce("recent_error_mw", F.lit(0.0))
@@ -139,16 +140,14 @@ def _fuel_inputs(df: DataFrame, time: str, thermal: str, gas_price: Column) -> D
                            "conventional_outage_mw": outage, "gas_price": price})
 
 
-def gas_split(stack: DataFrame, history: DataFrame, origin: Column, gas_price: Column, ridge: bool = True) -> DataFrame:
-    """Gas share of thermal generation: ridge once 720 hours are known, else the recent share.
+def gas_split(stack: DataFrame, history: DataFrame, origin: Column, gas_price: Column, min_hours: int = SHARE_ROWS) -> DataFrame:
+    """Gas share of thermal generation: ridge once ``min_hours`` (30 days) are known, else the recent share.
 
     Adds ``gas_forecast_mw`` (unclipped) and ``gas_split_source``.
     """
     share = recent_gas_share(history, origin)
     thermal = F.col("dispatchable_thermal_mw")
     stack = stack.withColumn("_share", F.coalesce(share.select("gas_share").scalar(), F.lit(0.5)))
-    if not ridge:
-        return stack.withColumns({"gas_forecast_mw": thermal * F.col("_share"), "gas_split_source": F.lit("recent_share_fallback")}).drop("_share")
     known = history.where((F.col("valid_at") < origin) & F.col("gas_mw").isNotNull() & F.col("coal_mw").isNotNull())
     train = _fuel_inputs(known.withColumn("_thermal", F.col("gas_mw") + F.col("coal_mw")), "valid_at", "_thermal", gas_price)
     medians = {c: train.agg(F.percentile(c, F.lit(0.5))).scalar() for c in FUEL_FEATURES}
@@ -158,7 +157,7 @@ def gas_split(stack: DataFrame, history: DataFrame, origin: Column, gas_price: C
     future = future.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in FUEL_FEATURES}).withColumns(
         {"_coef": params.select("coef").scalar(), "_n": params.select("n_train").scalar()}
     )
-    enough = F.coalesce(F.col("_n") >= SHARE_ROWS, F.lit(False))
+    enough = F.coalesce(F.col("_n") >= min_hours, F.lit(False))
     fitted = linear.dot("_coef", FUEL_FEATURES)
     out = future.withColumns({
         "gas_forecast_mw": F.when(enough, fitted).otherwise(thermal * F.col("_share")),
@@ -250,8 +249,8 @@ def correction_folds(history: DataFrame, features: Sequence[str] = CORRECTION_FE
 def rolling_corrections(history: DataFrame, features: Sequence[str] = CORRECTION_FEATURES,
                         keys: Sequence[str] = ("component",), min_train: int = 100) -> DataFrame:
     """Validated ridge corrections: one row per validation origin and delivery hour."""
-    params = correction_folds(history, features, keys, min_train)
-    clean = history.where(F.col("actual_mw").isNotNull() & F.col("baseline_mw").isNotNull())
+    clean = staged(history.where(F.col("actual_mw").isNotNull() & F.col("baseline_mw").isNotNull()), "labels")
+    params = correction_folds(clean, features, keys, min_train)
     rows = clean.join(params, [*keys, "forecast_origin"])
     return rows.select(
         *keys, "forecast_origin", "delivery_hour", "horizon_bucket", "baseline_mw", "actual_mw", "n_train",

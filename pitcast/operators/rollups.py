@@ -161,14 +161,15 @@ def hour_of_week_forecast(
     )
 
 
-def fill_missing_baseline(targets: DataFrame, history: DataFrame, value: str, keys: Sequence[str], origin: Column) -> DataFrame:
+def fill_missing_baseline(targets: DataFrame, history: DataFrame, value: str, keys: Sequence[str], origin: Column,
+                          vendor: str = "ercot") -> DataFrame:
     """Replace missing vendor baselines by the hour-of-week forecast and tag the source."""
     filled = hour_of_week_forecast(history, targets, value, keys, origin)
     missing = F.col("baseline_mw").isNull()
     return filled.select(
         *[c for c in targets.columns if c != "baseline_mw"],
         F.coalesce("baseline_mw", "profile_forecast_mw").alias("baseline_mw"),
-        F.when(missing, F.concat(F.lit("fallback_"), "profile_source")).otherwise(F.lit("vendor")).alias("baseline_source"),
+        F.when(missing, F.concat(F.lit("fallback_"), "profile_source")).otherwise(F.lit(vendor)).alias("baseline_source"),
     )
 
 

@@ -162,7 +162,7 @@ class Tables:
         for event, component in COMPONENT_OF_EVENT.items():
             label = F.when(F.col("event_type") == event, F.lit(component)).otherwise(label)
         return self.raw("events").groupBy(label.alias("component"), F.date_trunc("hour", "ts").alias("valid_at")).agg(
-            (F.sum("value") * 10.0).alias("mw")
+            (F.sum("value") * 1000.0 / 997.0).alias("mw")
         )
 
     @cached_property
@@ -324,7 +324,7 @@ CTES: dict[str, str] = {
                  "greatest(0.0, temperature_f - 65.0) * 7 AS cdd, 7.0::DOUBLE AS weather_days FROM (SELECT CAST(valid_at AS DATE) AS date, entity AS duoarea, issued_at, "
                  "15.0 + avg(value) / 997.0 AS temperature_f FROM vintages GROUP BY 1, 2, 3)",
     "hours": "SELECT CASE event_type WHEN 'view' THEN 'load' WHEN 'click' THEN 'wind' WHEN 'signup' THEN 'solar' WHEN 'purchase' THEN 'gas' WHEN 'error' THEN 'coal' END AS component, "
-             "date_trunc('hour', ts) AS valid_at, sum(value) * 10.0 AS mw FROM events GROUP BY 1, 2",
+             "date_trunc('hour', ts) AS valid_at, sum(value) * 1000.0 / 997.0 AS mw FROM events GROUP BY 1, 2",
     "fuel_hours": "SELECT valid_at, sum(mw) FILTER (component='gas') AS gas_mw, sum(mw) FILTER (component='coal') AS coal_mw FROM hours GROUP BY 1",
     "power_vintages": "SELECT component, issued_at, valid_at, issued_at + INTERVAL 30 MINUTE AS retrieved_at, b + 0.5 * (k + 1) AS baseline_mw, actual_mw FROM ("
                       "SELECT base.component, base.valid_at, base.b, h.mw AS actual_mw, k, date_trunc('day', base.valid_at - INTERVAL 1 SECOND) - to_days(CAST(k AS INTEGER)) AS issued_at "

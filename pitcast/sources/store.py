@@ -20,7 +20,7 @@ from pitcast.functions.columns import require_columns
 from pitcast.operators import checks
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One file or a folder of parts with a declared schema; a missing path is an empty table."""
     try:
         return spark.read.schema(schema).parquet(path)

@@ -20,7 +20,7 @@ def session():
 
     spark = build_session(
         "pitcast-check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
-                                        "spark.ui.showConsoleProgress": "false"}
+                                        "spark.ui.showConsoleProgress": "false", "spark.sql.adaptive.logLevel": "debug"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
