@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pitcast.operators import linear
 from pitcast.operators.features import interpolate_at
 from pitcast.operators.rollups import monthly
+from pitcast.session import staged
 
 # National series codes and series prefixes of the state components.
 NATIONAL = {
@@ -119,7 +120,9 @@ def weekly_estimates(months: DataFrame, weather: DataFrame, price: DataFrame) ->
 
     ``weather``: duoarea, date, hdd, cdd. ``price``: date, value.
     """
+    months = staged(months, "months")
     res_com, power, profile = fit(months)
+    profile = staged(profile, "profile")
     weekly = weather.select("duoarea", "date", "hdd", "cdd").join(price.select("date", F.col("value").alias("price")), "date")
     weekly = weekly.withColumns({"hdd_per_day": F.col("hdd") / 7.0, "cdd_per_day": F.col("cdd") / 7.0, "month": F.month("date")})
     overall = profile.groupBy("duoarea").agg(*[F.avg(f"{c}_profile").alias(f"{c}_overall") for c in PROFILED])
@@ -145,7 +148,7 @@ def weekly_estimates(months: DataFrame, weather: DataFrame, price: DataFrame) ->
     last = last.select("duoarea", "last_x", *[v.alias(k) for k, v in scale.items()])
     epoch = F.lit("1970-01-01").cast("date")
     knots = months.select("duoarea", (F.datediff("period", epoch) + F.col("days") / 2).alias("x"), *[f"{c}_per_day" for c in PROFILED])
-    targets = weekly.withColumn("x", F.datediff("date", epoch).cast("double"))
+    targets = staged(weekly.withColumn("x", F.datediff("date", epoch).cast("double")), "weekly")
     dates = targets.select("duoarea", "date", "x").distinct()
     inside = interpolate_at(dates, knots, ["duoarea"], "x", [f"{c}_per_day" for c in PROFILED]).drop("x")
     both = targets.join(inside, ["duoarea", "date"]).join(last, "duoarea")

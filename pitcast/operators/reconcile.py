@@ -133,6 +133,21 @@ def _adjustment() -> Column:
     return F.transform(F.array(packed), with_scalars)[0]
 
 
+def _rank_one() -> Column:
+    """Row-major projection when only two prior vectors exist.
+
+    Two vectors leave a covariance v v' of rank one, whose pseudo-inverse gives each child the share
+    (v0 + vj) v'y / sum_k (v0 + vk)^2; the parent is the sum of the children.
+    """
+    n = F.col("s0")
+    mu = [F.col(f"s{1 + i}") / n for i in range(P)]
+    cov = [[_moment(i, j) / n - mu[i] * mu[j] for j in range(P)] for i in range(P)]
+    norm = _total([cov[0][0] + 2 * cov[0][k] + cov[k][k] for k in range(1, P)])
+    child = [[F.coalesce(F.try_divide(cov[0][i] + cov[j][i], norm), F.lit(0.0)) for i in range(P)] for j in range(1, P)]
+    parent = [_total([row[i] for row in child]) for i in range(P)]
+    return F.array(*parent, *[x for row in child for x in row])
+
+
 def mint_adjustments(vectors: DataFrame, origins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Adjustment shares per origin from residuals dated strictly before it.
 
@@ -147,7 +162,8 @@ def mint_adjustments(vectors: DataFrame, origins: DataFrame, keys: Sequence[str]
         F.col("_q") & (F.col("s0") >= 2)
     )
     return prior.select(
-        *keys, F.col("date").alias("forecast_origin"), F.col("s0").cast("bigint").alias("n_vectors"), _adjustment().alias("adjustment")
+        *keys, F.col("date").alias("forecast_origin"), F.col("s0").cast("bigint").alias("n_vectors"), _adjustment().alias("adjustment"),
+        F.when(F.col("s0") == 2, _rank_one()).alias("rank_one"),
     )
 
 
@@ -161,11 +177,15 @@ def mint(df: DataFrame, residuals: DataFrame, keys: Sequence[str] = (), values:
     base = complete_groups(df, group).where(F.col("region").isin(*ALL_REGIONS)).join(shares, [*keys, "forecast_origin"])
     index = F.array_position(F.array(*[F.lit(r) for r in ALL_REGIONS]), F.col("region")).cast("int")
     w = W.partitionBy(*group)
-    sign = F.when(F.col("region") == PARENT, 1.0).otherwise(-1.0)
-    fixed = base.withColumn("_a", F.element_at("adjustment", index)).withColumns(
-        {v: F.col(v) - F.col("_a") * F.sum(sign * F.col(v)).over(w) for v in values}
-    )
-    fixed = fixed.drop("_a", "adjustment").withColumn("reconciliation_method", F.lit("mint_shrink"))
+    base = base.withColumn("_i", index)
+    out = {}
+    for v in values:
+        y = F.array(*[F.max(F.when(F.col("_i") == j, F.col(v))).over(w) for j in range(1, P + 1)])
+        gap = F.sum(F.when(F.col("region") == PARENT, F.col(v)).otherwise(-F.col(v))).over(w)
+        row = F.slice("rank_one", (F.col("_i") - 1) * P + 1, P)
+        two = F.aggregate(F.zip_with(row, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        out[v] = F.when(F.col("rank_one").isNull(), F.col(v) - F.element_at("adjustment", F.col("_i")) * gap).otherwise(two)
+    fixed = base.withColumns(out).drop("_i", "adjustment", "rank_one").withColumn("reconciliation_method", F.lit("mint_shrink"))
     return finalize(fixed, group, values)
 
 

@@ -104,7 +104,8 @@ def step_inputs(df: DataFrame, origins: DataFrame, keys: Sequence[str], horizon:
         df = df.withColumn("net_inflow_balancing", F.col("weekly_change_bcf") - F.col("local_balance"))
     keep = needed + (["local_balance", "net_inflow_balancing"] if balance else [])
     df = df.select(*dict.fromkeys(keep))
-    rich = _history_state(df, keys, balance)
+    rich = staged(_history_state(df, keys, balance), "states")
+    df = rich.select(*df.columns)
     profile = [*WEATHER, *(["local_balance"] if balance else [])]
     lists = ["hdd4", "cdd4", "chg4", *(["bal4", "inf4"] if balance else [])]
 

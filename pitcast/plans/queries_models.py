@@ -317,13 +317,18 @@ def _mint_sql() -> str:
     cu = [f"((1-w)*({'+'.join(f'c{i}{j}*({u[j]})' for j in range(6))})+w*mu*({u[i]}))" for i in range(6)]
     ucu = "+".join(f"({u[i]})*{cu[i]}" for i in range(6))
     adj = ", ".join(f"{cu[i]}/({ucu}) AS a{i}" for i in range(6))
+    y = [f"max(CASE WHEN region='{g}' THEN predicted_weekly_change END) OVER w" for g in regions]
+    den = "+".join(f"(c00+2*c0{k}+c{k}{k})" for k in range(1, 6))
+    kid = [f"({'+'.join(f'(c0{i}+c{j}{i})*{y[i]}' for i in range(6))})/({den})" for j in range(1, 6)]
+    two = "CASE region WHEN 'R48' THEN " + "+".join(kid) + " " + " ".join(f"WHEN '{g}' THEN {kid[i]}" for i, g in enumerate(regions[1:])) + " END"
+    cs = ", ".join(f"c{i}{j}" for i in range(6) for j in range(6))
     pick = "CASE region " + " ".join(f"WHEN '{g}' THEN a{i}" for i, g in enumerate(regions)) + " END"
     return f"""v AS (SELECT date, horizon, {', '.join(f'{e} AS x{i}' for i, e in enumerate(x))} FROM base_predictions GROUP BY 1, 2),
   o AS (SELECT DISTINCT forecast_origin FROM base_predictions), mm AS (SELECT forecast_origin, count(*) AS n, {mean} FROM o JOIN v ON v.date < forecast_origin GROUP BY 1 HAVING count(*) >= 2),
   cc AS (SELECT forecast_origin, any_value(n) AS n, {cov}, avg(({norm})*({norm})) AS q4 FROM mm JOIN v ON v.date < forecast_origin GROUP BY 1),
   sh AS (SELECT *, ({tr})/6 AS mu, ({sq})/6 - (({tr})/6)*(({tr})/6) AS dist, (q4 - ({sq}))/(6*n) AS spread FROM cc), ww AS (SELECT *, CASE WHEN spread <= 0 OR dist <= 0 THEN 0.0 ELSE least(spread, dist)/dist END AS w FROM sh),
-  aa AS (SELECT forecast_origin, n, {adj} FROM ww),
-  mint AS (SELECT b.forecast_origin, b.date, b.horizon, b.region, n, predicted_weekly_change - ({pick}) * sum(CASE WHEN region='R48' THEN predicted_weekly_change ELSE -predicted_weekly_change END) OVER (PARTITION BY b.forecast_origin, b.date, b.horizon) AS p FROM base_predictions b JOIN aa USING (forecast_origin))"""
+  aa AS (SELECT forecast_origin, n, {cs}, {adj} FROM ww),
+  mint AS (SELECT b.forecast_origin, b.date, b.horizon, b.region, n, CASE WHEN n = 2 THEN {two} ELSE predicted_weekly_change - ({pick}) * sum(CASE WHEN region='R48' THEN predicted_weekly_change ELSE -predicted_weekly_change END) OVER w END AS p FROM base_predictions b JOIN aa USING (forecast_origin) WINDOW w AS (PARTITION BY b.forecast_origin, b.date, b.horizon))"""
 
 
 @query("r03_mint_shrink", f"WITH {_mint_sql()} SELECT {d('forecast_origin', 'date')}, horizon, region, {r('p AS predicted_weekly_change', digits=3)} FROM mint")
