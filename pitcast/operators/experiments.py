@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitcast.session import staged
+
 KEYS = ("date", "region", "horizon")
 
 
@@ -89,20 +91,26 @@ def promotion_gate(baseline: DataFrame, challenger: DataFrame, parent: str = "R4
     return out.withColumn("promote", F.col("accuracy_pass") & F.col("significance_pass") & F.col("region_pass") & F.col("coverage_pass"))
 
 
+# Multipliers of the permutation; one of them is coprime to any smaller table size.
+MULTIPLIERS = (1_000_003, 1_000_033, 1_000_037)
+
+
 def permutation_importance(df: DataFrame, features: Sequence[str], target: str, predict, repeats: int = 10, seed: int = 42) -> DataFrame:
     """Mean error increase when one feature is shuffled, for all features and repeats at once.
 
-    ``predict`` maps a dict of feature columns to a prediction column. The shuffle is a cyclic move
-    along a seeded hash order: the value of the row ``offset`` places away replaces the row's own.
-    Row numbers come from a range-partitioned sort, so no window gathers the whole table.
+    ``predict`` maps a dict of feature columns to a prediction column. A repeat moves the value of row
+    (a * i + b) mod n to row i, which is a permutation because a and n are coprime.
     """
-    numbered = numbered_by_hash(df, features, target, seed)
+    numbered = numbered_rows(df.select(*features, target))
     n = numbered.agg(F.count(F.lit(1))).scalar()
     base = numbered.agg(F.avg(F.abs(F.col(target) - predict({f: F.col(f) for f in features})))).scalar()
     names = F.array(*[F.lit(f) for f in features])
     plan = numbered.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    shift = F.pmod(F.xxhash64(F.lit(seed), F.col("repeat")), F.greatest(n - 1, F.lit(1))) + 1
-    plan = plan.withColumn("_from", F.pmod(F.col("_i") + shift, n))
+    a = F.lit(MULTIPLIERS[2])
+    for m in MULTIPLIERS[1::-1]:
+        a = F.when(F.pmod(n, F.lit(m)) != 0, F.lit(m)).otherwise(a)
+    shift = F.pmod(F.xxhash64(F.lit(seed), F.col("repeat")), n)
+    plan = plan.withColumn("_from", F.pmod(a.cast("bigint") * F.col("_i") + shift, n))
     donor = numbered.select(F.col("_i").alias("_from"), F.struct(*features).alias("_d"))
     long = plan.join(donor, "_from").select("*", F.explode(names).alias("feature"))
     swapped = {f: F.when(F.col("feature") == f, F.col(f"_d.{f}")).otherwise(F.col(f)) for f in features}
@@ -110,19 +118,14 @@ def permutation_importance(df: DataFrame, features: Sequence[str], target: str,
     return per.groupBy("feature").agg(F.avg("_gain").alias("importance_mean"), F.stddev_pop("_gain").alias("importance_std"))
 
 
-def numbered_by_hash(df: DataFrame, features: Sequence[str], target: str, seed: int) -> DataFrame:
-    """Rows numbered 0..n-1 in hash order without a global window.
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """Rows numbered 0..n-1 in ``_i`` without sorting them.
 
-    Counts per hash bucket give each bucket's first number; numbers inside a bucket come from a
-    window of that bucket only. Rows that hash alike by content are told apart by all columns.
+    The table is written once; a row's number is its place in its file plus the rows of earlier files.
+    Only the per-file counts pass through a window.
     """
-    buckets = 1024
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
-    rows = df.select(*features, target, h.alias("_h")).withColumn("_bk", F.pmod("_h", F.lit(buckets)).cast("int"))
-    starts = rows.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c")).withColumn(
-        "_s", F.sum("_c").over(W.orderBy("_bk").rowsBetween(W.unboundedPreceding, -1))
-    )
-    w = W.partitionBy("_bk").orderBy("_h", *features, target)
-    return rows.withColumn("_rn", F.row_number().over(w)).join(starts, "_bk").select(
-        *features, target, (F.coalesce("_s", F.lit(0)) + F.col("_rn") - 1).alias("_i")
-    )
+    stored = staged(df, "numbered")
+    marked = stored.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = marked.groupBy("_file").agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.withColumn("_s", F.sum("_c").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)))
+    return marked.join(starts, "_file").select(*df.columns, (F.coalesce("_s", F.lit(0)) + F.col("_row")).cast("bigint").alias("_i"))

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from pitcast.session import staged
 
-DIRECT_LIMIT = 20_000
+# Largest group answered directly: many calibration times per group, or a single one.
+DIRECT_LIMIT = 2_000
+SINGLE_LIMIT = 20_000
 BINS = 32
 
 
@@ -35,7 +37,7 @@ def _require_coverage(coverage: float) -> None:
 
 
 def conformal_radius(df: DataFrame, residual: str, coverage: float, keys: Sequence[str] = (),
-                     levels: int | None = None, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+                     levels: int | None = None, direct_limit: int = SINGLE_LIMIT) -> DataFrame:
     """Radius per key over all its residuals, by the same size-checked selection as the rolling form."""
     _require_coverage(coverage)
     r = df.where(F.col(residual).isNotNull()).select(*keys, F.col(residual).alias("_r"))
@@ -50,6 +52,34 @@ def conformal_radius(df: DataFrame, residual: str, coverage: float, keys: Sequen
     return asked.join(found, ["_g", "_t"]).select(*keys, "n", F.col("_value").alias("radius"))
 
 
+def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], names: Sequence[str], keys: Sequence[str] = (),
+                    levels: int | None = None, direct_limit: int = SINGLE_LIMIT) -> DataFrame:
+    """Linearly interpolated quantiles per key, however large a key is.
+
+    Each quantile needs the two order statistics around it; they are found like a conformal rank.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_r"))
+    keyed = staged(known.withColumn("_g", F.struct(*keys) if keys else F.struct(F.lit(1).alias("one"))), "values")
+    sizes = keyed.groupBy("_g", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    place = [(F.col("_n") - 1) * F.lit(float(q)) for q in quantiles]
+    wanted = [
+        F.struct(F.lit(2 * i + side + 1).alias("_t"), ((F.ceil(p) if side else F.floor(p)) + 1).cast("bigint").alias("rank"))
+        for i, p in enumerate(place) for side in (0, 1)
+    ]
+    queries = sizes.select("_g", F.explode(F.array(*wanted)).alias("_w")).select("_g", "_w._t", "_w.rank")
+    residuals = keyed.select("_g", F.lit(0).alias("_t"), "_r")
+    if levels is None:
+        levels = _levels_for(residuals, direct_limit)
+    found = _select_ranks(queries, residuals, levels).groupBy("_g").agg(
+        *[F.max(F.when(F.col("_t") == k + 1, F.col("_value"))).alias(f"_q{k}") for k in range(2 * len(quantiles))]
+    )
+    out = []
+    for i, (p, name) in enumerate(zip(place, names)):
+        low, high = F.col(f"_q{2 * i}"), F.col(f"_q{2 * i + 1}")
+        out.append((low + (high - low) * (p - F.floor(p))).alias(name))
+    return sizes.join(found, "_g").select(*keys, *out)
+
+
 def _narrow(queries: DataFrame, residuals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Move each (group, time, rank) query into the value bin that holds its rank."""
     probs = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])

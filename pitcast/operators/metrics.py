@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitcast.session import staged
+
 
 def error_columns(actual: str, predicted: str) -> list[Column]:
     e = F.col(actual) - F.col(predicted)
@@ -100,11 +102,14 @@ def best_by(df: DataFrame, metric: str, keys: Sequence[str] = (), ties: Sequence
 
 def distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Count, mean, deviation, quartiles and extremes; quartiles interpolate linearly."""
-    q = [F.percentile(value, F.lit(p)).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), *q, F.max(value).alias("max"),
+    from pitcast.operators.intervals import exact_quantiles
+
+    df = staged(df.select(*keys, value), "distribution")
+    basic = df.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
     )
+    quartiles = exact_quantiles(df, value, (0.25, 0.5, 0.75), ("q25", "median", "q75"), keys)
+    return basic.join(quartiles, list(keys)) if keys else basic.join(quartiles, F.lit(True))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitcast.functions.calendar import degree_days, week_ending_friday
-from pitcast.operators import rollups
+from pitcast.operators import reconcile, rollups
 
 COMPONENT_OF_EVENT = {"view": "load", "click": "wind", "signup": "solar", "purchase": "gas", "error": "coal"}
 CRUDE_PARTS = ("production_kbpd", "refinery_inputs_kbpd", "imports_kbpd", "exports_kbpd", "commercial_stocks_kb", "spr_stocks_kb")
@@ -193,8 +193,8 @@ class Tables:
         wk = self.wk_flow.groupBy("date").agg(*[F.sum(c).alias(c) for c in ("a_qty", "r_qty", "no_qty", "nf_qty")])
         w = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
         parts = wk.select(
-            F.col("date").alias("period"), (F.col("a_qty") / 3.0).alias("production_kbpd"), (F.col("r_qty") / 3.0).alias("refinery_inputs_kbpd"),
-            (F.col("no_qty") / 3.0).alias("imports_kbpd"), (F.col("nf_qty") / 3.0).alias("exports_kbpd"),
+            F.col("date").alias("period"), (F.col("a_qty") / 2.9).alias("production_kbpd"), (F.col("r_qty") / 2.9).alias("refinery_inputs_kbpd"),
+            (F.col("no_qty") / 2.9).alias("imports_kbpd"), (F.col("nf_qty") / 2.9).alias("exports_kbpd"),
             (F.lit(1e6) + F.sum(F.col("a_qty") - F.col("r_qty")).over(w) / 7.0).alias("commercial_stocks_kb"),
             (F.lit(5e5) + F.sum(F.col("no_qty") - F.col("nf_qty")).over(w) / 7.0).alias("spr_stocks_kb"),
         )
@@ -271,7 +271,8 @@ class Tables:
         )
         actual = self.wk_all.select(F.col("duoarea").alias("region"), "date", F.col("weekly_change_bcf").alias("actual_weekly_change"))
         p, known = F.col("predicted_weekly_change"), F.year("forecast_origin") != 1996
-        return rows.join(actual, ["region", "date"]).withColumns({"p10": F.when(known, p - 50), "p50": F.when(known, p), "p90": F.when(known, p + 40)})
+        whole = reconcile.complete_groups(rows.join(actual, ["region", "date"]), ["forecast_origin", "date", "horizon"])
+        return whole.withColumns({"p10": F.when(known, p - 50), "p50": F.when(known, p), "p90": F.when(known, p + 40)})
 
     @cached_property
     def weight_history(self) -> DataFrame:
@@ -331,7 +332,7 @@ CTES: dict[str, str] = {
                       "FROM (SELECT component, valid_at + INTERVAL 168 HOUR AS valid_at, mw AS b FROM hours WHERE component IN ('load','wind','solar')) base "
                       "LEFT JOIN hours h ON h.component = base.component AND h.valid_at = base.valid_at, range(0, 7) r(k))",
     "power_actuals": "SELECT component, valid_at, mw AS actual_mw FROM hours WHERE component IN ('load','wind','solar')",
-    "crude_wide": "SELECT date AS period, a / 3.0 AS production_kbpd, r / 3.0 AS refinery_inputs_kbpd, i / 3.0 AS imports_kbpd, e / 3.0 AS exports_kbpd, "
+    "crude_wide": "SELECT date AS period, a / 2.9 AS production_kbpd, r / 2.9 AS refinery_inputs_kbpd, i / 2.9 AS imports_kbpd, e / 2.9 AS exports_kbpd, "
                   "1e6 + sum(a - r) OVER (ORDER BY date) / 7.0 AS commercial_stocks_kb, 5e5 + sum(i - e) OVER (ORDER BY date) / 7.0 AS spr_stocks_kb FROM ("
                   "SELECT date, sum(a_qty) AS a, sum(r_qty) AS r, sum(no_qty) AS i, sum(nf_qty) AS e FROM wk_flow GROUP BY 1)",
     "crude_long": "SELECT period, component, value FROM (UNPIVOT crude_wide ON production_kbpd, refinery_inputs_kbpd, imports_kbpd, exports_kbpd, commercial_stocks_kb, spr_stocks_kb "
@@ -363,7 +364,7 @@ CTES: dict[str, str] = {
                         "CASE WHEN year(forecast_origin) <> 1996 THEN predicted_weekly_change - 50 END AS p10, CASE WHEN year(forecast_origin) <> 1996 THEN predicted_weekly_change END AS p50, "
                         "CASE WHEN year(forecast_origin) <> 1996 THEN predicted_weekly_change + 40 END AS p90 FROM (SELECT duoarea AS region, date AS forecast_origin, CAST(h AS INTEGER) AS horizon, "
                         "date + CAST(7 * h AS INTEGER) AS date, weekly_change_bcf / (h + 1) AS predicted_weekly_change FROM wk_all, range(1, 5) x(h) WHERE date_diff('day', DATE '1995-01-06', date) % 28 = 0) b "
-                        "JOIN wk_all a ON a.duoarea = b.region AND a.date = b.date",
+                        "JOIN wk_all a ON a.duoarea = b.region AND a.date = b.date QUALIFY count(*) OVER (PARTITION BY forecast_origin, b.date, horizon) = 6",
     "weight_history": "SELECT state, duoarea, date_trunc('month', o_orderdate)::TIMESTAMP AS available_at, CAST(count(*) AS DOUBLE) AS gas_load FROM ordered GROUP BY 1, 2, 3",
 }
 

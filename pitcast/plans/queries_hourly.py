@@ -178,7 +178,7 @@ def j17(t):
 
 
 @query("w18_bucket_radius", f"""{_FOLDS}, rd AS (SELECT component, horizon_bucket, {_RAD} AS radius FROM (SELECT *, abs(actual_mw - corrected_mw) AS e FROM rp) GROUP BY 1, 2)
-  SELECT h1.component, h1.delivery_hour, h1.horizon_bucket, {r('baseline_mw', 'greatest(baseline_mw - radius, 0.0) AS load_lower_mw', 'baseline_mw + radius AS load_upper_mw')} FROM h1 LEFT JOIN rd ON rd.component = h1.component AND rd.horizon_bucket = h1.horizon_bucket WHERE forecast_origin = TIMESTAMP '{ORIGIN}'""")
+  SELECT h1.component, h1.delivery_hour, h1.horizon_bucket, {r('baseline_mw', 'CASE WHEN radius IS NOT NULL AND baseline_mw IS NOT NULL THEN greatest(baseline_mw - radius, 0.0) END AS load_lower_mw', 'baseline_mw + radius AS load_upper_mw')} FROM h1 LEFT JOIN rd ON rd.component = h1.component AND rd.horizon_bucket = h1.horizon_bucket WHERE forecast_origin = TIMESTAMP '{ORIGIN}'""")
 def w18(t):
     errors = _rolling(t).withColumn("abs_error", F.abs(F.col("actual_mw") - F.col("corrected_mw")))
     current = power.component_history(t.power_vintages, t.power_actuals).where(F.col("forecast_origin") == _at())
@@ -241,7 +241,7 @@ def m15_ridge(t):
 
 
 @query("i03_gas_interval", f"""WITH {_STACK_IN}, {_SHARE.format(f"valid_at < TIMESTAMP '{ORIGIN}'")}, gr AS (SELECT horizon_bucket, {_RAD} AS radius FROM rs GROUP BY 1), b AS (SELECT s2.*, {_bucket(f"CAST(date_diff('hour', TIMESTAMP '{ORIGIN}', delivery_hour) AS INTEGER)")} AS horizon_bucket FROM s2 WHERE delivery_hour > TIMESTAMP '{ORIGIN}')
-  SELECT delivery_hour, b.horizon_bucket, {r('th * 0.5 AS gas_generation_mw', 'greatest(th * 0.5 - radius, 0.0) AS gas_generation_lower_mw', 'least(th * 0.5 + radius, th) AS gas_generation_upper_mw', 'greatest(th * 0.5 - radius, 0.0) * 7.5 / 1037000.0 AS gas_burn_bcf_lower')} FROM b LEFT JOIN gr USING (horizon_bucket)""")
+  SELECT delivery_hour, b.horizon_bucket, {r('th * 0.5 AS gas_generation_mw', 'CASE WHEN radius IS NOT NULL THEN greatest(th * 0.5 - radius, 0.0) END AS gas_generation_lower_mw', 'CASE WHEN radius IS NOT NULL THEN least(th * 0.5 + radius, th) END AS gas_generation_upper_mw', 'CASE WHEN radius IS NOT NULL THEN greatest(th * 0.5 - radius, 0.0) END * 7.5 / 1037000.0 AS gas_burn_bcf_lower')} FROM b LEFT JOIN gr USING (horizon_bucket)""")
 def i03(t):
     rows = _stack_inputs(t).where(F.col("delivery_hour") > _at()).withColumn("forecast_origin", _at())
     stack = power.physical_stack(add_hourly_features(rows))

@@ -66,13 +66,20 @@ def read_latest(spark: SparkSession, root: str, schema: T.StructType | None = No
     return reader.parquet(path)
 
 
-def append_vintage(df: DataFrame, root: str, required: Sequence[str] = checks.PROVENANCE, partition: str = "product_id") -> None:
-    """Append immutable vintage parts after the provenance checks."""
+def append_vintage(df: DataFrame, root: str, required: Sequence[str] = checks.PROVENANCE, partition: str = "product_id",
+                   batch: int | None = None) -> None:
+    """Append immutable vintage parts after the provenance checks.
+
+    A numbered batch owns its folder, so writing the same batch again replaces it.
+    """
     require_columns(df, required, "vintage batch")
     checks.enforce(checks.vintage_contract(df), "vintage batch")
     if df.limit(1).count() == 0:
         raise ValueError("A vintage batch must not be empty.")
-    df.write.mode("append").partitionBy(partition).parquet(root)
+    if batch is None:
+        df.write.mode("append").partitionBy(partition).parquet(root)
+    else:
+        df.write.mode("overwrite").partitionBy(partition).parquet(f"{root}/batch={batch}")
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -93,10 +100,10 @@ def materialize(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return upsert(existing, batch, keys, ["retrieved_at"] if "retrieved_at" in batch.columns else [])
 
 
-def append_and_materialize(batch: DataFrame, vintage_root: str, latest_root: str) -> str:
+def append_and_materialize(batch: DataFrame, vintage_root: str, latest_root: str, number: int | None = None) -> str:
     """Append the batch to the vintages and publish the refreshed latest table."""
     spark = batch.sparkSession
-    append_vintage(batch, vintage_root)
+    append_vintage(batch, vintage_root, batch=number)
     return publish(materialize(read_latest(spark, latest_root, batch.schema), batch), latest_root)
 
 

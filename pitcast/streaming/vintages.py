@@ -14,12 +14,13 @@ def start_intake(spark: SparkSession, landing: str, schema: T.StructType, vintag
     """Append every landed micro-batch to the vintages and refresh the latest table.
 
     Late rows need no watermark: a late row is a new vintage, and the as-of operators decide which
-    origins may see it. A replayed batch is harmless, because the latest table is keyed.
+    origins may see it. A replayed batch replaces its own
+    folder, and the latest table is keyed.
     """
 
-    def handle(batch: DataFrame, _epoch: int) -> None:
+    def handle(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
-            append_and_materialize(batch, vintage_root, latest_root)
+            append_and_materialize(batch, vintage_root, latest_root, epoch)
 
     writer = (
         spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -214,3 +214,15 @@ def test_consecutive_week_check(spark, dates, ok):
 def test_grid_check(spark):
     df = spark.createDataFrame([(D(2024, 1, 1), "A"), (D(2024, 1, 1), "B"), (D(2024, 1, 2), "A")], "date date, state string")
     assert checks.state_grid(df, F.lit(2)).first().asDict() == {"duplicate_rows": 0, "incomplete_dates": 1}
+
+
+@pytest.mark.parametrize("levels", [0, 2])
+def test_exact_quantiles_interpolate(spark, levels):
+    rng = random.Random(3)
+    data = [("a" if i % 3 else "b", rng.gauss(0, 5)) for i in range(200)]
+    df = spark.createDataFrame(data, "g string, v double")
+    out = {r["g"]: (r["q1"], r["q2"]) for r in intervals.exact_quantiles(df, "v", (0.1, 0.5), ("q1", "q2"), ["g"], levels=levels).collect()}
+    for g in "ab":
+        v = sorted(x for k, x in data if k == g)
+        at = lambda q: v[math.floor((len(v) - 1) * q)] + (v[math.ceil((len(v) - 1) * q)] - v[math.floor((len(v) - 1) * q)]) * ((len(v) - 1) * q % 1)
+        assert out[g] == pytest.approx((at(0.1), at(0.5)))
