@@ -96,41 +96,50 @@ def _total(terms: list[Column]) -> Column:
     return out
 
 
-def _adjustment() -> Column:
-    """Share of the coherence gap each of the six values gives up.
+def _cov(i: int, j: int) -> Column:
+    return F.col(f"c{min(i, j)}{max(i, j)}")
 
-    The hierarchy has one constraint, u'y = 0 with u = (1, -1, ..., -1), so the minimum-trace
-    projection is I - C u u' / (u' C u) for the error covariance C. C is the sample covariance shrunk
-    towards a scaled identity by the Ledoit-Wolf intensity, all from the raw sums.
-    """
+
+def _with_covariance(df: DataFrame) -> DataFrame:
+    """Means, covariances and the scalars of the Ledoit-Wolf intensity as columns of the raw sums."""
     n = F.col("s0")
-    mu = [F.col(f"s{1 + i}") / n for i in range(P)]
-    cov = [[_moment(i, j) / n - mu[i] * mu[j] for j in range(P)] for i in range(P)]
-    u = [1.0] + [-1.0] * (P - 1)
-    scale = _total([cov[i][i] for i in range(P)]) / P
-    squared = _total([cov[i][j] * cov[i][j] for i in range(P) for j in range(P)])
+    df = df.withColumns({f"u{i}": F.col(f"s{1 + i}") / n for i in range(P)})
+    mu = [F.col(f"u{i}") for i in range(P)]
+    df = df.withColumns({f"c{i}{j}": _moment(i, j) / n - mu[i] * mu[j] for i in range(P) for j in range(i, P)})
     m2 = _total([m * m for m in mu])
     trace = _total([_moment(i, i) for i in range(P)])
     cubic = _total([mu[i] * F.col(f"s{1 + P + N_PAIRS + i}") for i in range(P)])
-    quad = _total([mu[i] * mu[j] * _moment(i, j) for i in range(P) for j in range(P)])
-    # Sum of |x - mu|^4 expanded in the raw sums.
-    fourth = F.col(f"s{N_SUMS - 1}") - 4 * cubic + 4 * quad + 2 * m2 * trace - 3 * n * m2 * m2
-    rows = [_total([cov[i][j] * u[j] for j in range(P)]) for i in range(P)]
+    quad = _total([mu[i] * mu[j] * _moment(i, j) * (1 if i == j else 2) for i in range(P) for j in range(i, P)])
+    df = df.withColumns({
+        "_scale": _total([_cov(i, i) for i in range(P)]) / P,
+        "_squared": _total([_cov(i, j) * _cov(i, j) * (1 if i == j else 2) for i in range(P) for j in range(i, P)]),
+        # Sum of |x - mu|^4 expanded in the raw sums.
+        "_fourth": F.col(f"s{N_SUMS - 1}") - 4 * cubic + 4 * quad + 2 * m2 * trace - 3 * n * m2 * m2,
+    })
+    distance = F.col("_squared") / P - F.col("_scale") * F.col("_scale")
+    spread = (F.col("_fourth") / n - F.col("_squared")) / (P * n)
+    return df.withColumn(
+        "_shrink", F.when((spread <= 0) | (distance <= 0), F.lit(0.0)).otherwise(F.least(spread, distance) / distance)
+    )
 
-    def with_scalars(v: Column) -> Column:
-        distance = v["squared"] / P - v["scale"] * v["scale"]
-        spread = (v["fourth"] / n - v["squared"]) / (P * n)
-        delta = F.when((spread <= 0) | (distance <= 0), F.lit(0.0)).otherwise(F.least(spread, distance) / distance)
 
-        def with_delta(w: Column) -> Column:
-            cu = [(1 - w) * v["rows"][i] + w * v["scale"] * u[i] for i in range(P)]
-            ucu = _total([cu[i] * u[i] for i in range(P)])
-            return F.array(*[F.try_divide(c, ucu) for c in cu])
+def _adjustment() -> Column:
+    """Share of the coherence gap each of the six values gives up.
 
-        return F.transform(F.array(delta), with_delta)[0]
+    The hierarchy has one constraint, u'y = 0 with u = (1, -1, ..., -1), so the minimum-trace
+    projection is I - C u u' / (u' C u) for the error covariance C, which is the sample covariance
+    shrunk towards a scaled identity.
+    """
+    u = [1.0] + [-1.0] * (P - 1)
+    w = F.col("_shrink")
+    cu = [(1 - w) * _total([_cov(i, j) * u[j] for j in range(P)]) + w * F.col("_scale") * u[i] for i in range(P)]
+    packed = F.array(*cu)
+
+    def shares(v: Column) -> Column:
+        ucu = v[0] - v[1] - v[2] - v[3] - v[4] - v[5]
+        return F.transform(v, lambda x: F.try_divide(x, ucu))
 
-    packed = F.struct(scale.alias("scale"), squared.alias("squared"), fourth.alias("fourth"), F.array(*rows).alias("rows"))
-    return F.transform(F.array(packed), with_scalars)[0]
+    return F.transform(F.array(packed), shares)[0]
 
 
 def _rank_one() -> Column:
@@ -139,13 +148,13 @@ def _rank_one() -> Column:
     Two vectors leave a covariance v v' of rank one, whose pseudo-inverse gives each child the share
     (v0 + vj) v'y / sum_k (v0 + vk)^2; the parent is the sum of the children.
     """
-    n = F.col("s0")
-    mu = [F.col(f"s{1 + i}") / n for i in range(P)]
-    cov = [[_moment(i, j) / n - mu[i] * mu[j] for j in range(P)] for i in range(P)]
-    norm = _total([cov[0][0] + 2 * cov[0][k] + cov[k][k] for k in range(1, P)])
-    child = [[F.coalesce(F.try_divide(cov[0][i] + cov[j][i], norm), F.lit(0.0)) for i in range(P)] for j in range(1, P)]
+    norm = _total([_cov(0, 0) + 2 * _cov(0, k) + _cov(k, k) for k in range(1, P)])
+    child = [[_cov(0, i) + _cov(j, i) for i in range(P)] for j in range(1, P)]
     parent = [_total([row[i] for row in child]) for i in range(P)]
-    return F.array(*parent, *[x for row in child for x in row])
+    flat = F.array(*parent, *[x for row in child for x in row], norm)
+    return F.transform(F.array(flat), lambda v: F.transform(
+        F.slice(v, 1, P * P), lambda x: F.coalesce(F.try_divide(x, F.element_at(v, P * P + 1)), F.lit(0.0))
+    ))[0]
 
 
 def mint_adjustments(vectors: DataFrame, origins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -161,7 +170,7 @@ def mint_adjustments(vectors: DataFrame, origins: DataFrame, keys: Sequence[str]
     prior = both.select(*keys, "date", "_q", *[F.sum(s).over(w).alias(s) for s in names]).where(
         F.col("_q") & (F.col("s0") >= 2)
     )
-    return prior.select(
+    return _with_covariance(prior).select(
         *keys, F.col("date").alias("forecast_origin"), F.col("s0").cast("bigint").alias("n_vectors"), _adjustment().alias("adjustment"),
         F.when(F.col("s0") == 2, _rank_one()).alias("rank_one"),
     )
