@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitcast.functions.columns import at_least
+
 # Local market zone, degree-day base, horizon buckets.
 LOCAL_ZONE = "America/Chicago"
 DEGREE_DAY_BASE_F = 65.0
@@ -33,7 +35,7 @@ def degree_days(df: DataFrame, temperature: str = "temperature_f") -> DataFrame:
     t = F.col(temperature)
     base = F.lit(DEGREE_DAY_BASE_F)
     return df.withColumns(
-        {"hdd": F.greatest(F.lit(0.0), base - t), "cdd": F.greatest(F.lit(0.0), t - base)}
+        {"hdd": at_least(base - t, 0.0), "cdd": at_least(t - base, 0.0)}
     )
 
 

@@ -67,6 +67,16 @@ def clean_zero(value: Column) -> Column:
     return value + F.lit(0.0)
 
 
+def at_least(value: Column, low: Column | float) -> Column:
+    """Lower clip that keeps NULL; ``greatest`` alone would turn a missing value into the bound."""
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(low) if isinstance(low, float) else low))
+
+
+def at_most(value: Column, high: Column | float) -> Column:
+    """Upper clip that keeps NULL."""
+    return F.when(value.isNotNull(), F.least(value, F.lit(high) if isinstance(high, float) else high))
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every DOUBLE column of a report."""
     return df.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitcast.functions.columns import require_columns
+from pitcast.functions.columns import at_least, require_columns
 from pitcast.session import staged
 
 # Component names of the weekly series and of the forecast.
@@ -97,7 +97,7 @@ def component_forecasts(balance: DataFrame, targets: DataFrame, keys: Sequence[s
         F.max("_origin").alias("_origin"),
     )
     raw = F.coalesce("_same", "_all") + F.col("_gap") / F.col("_recent")
-    clipped = F.when(F.col("component").isin(*NONNEGATIVE), F.greatest(raw, F.lit(0.0))).otherwise(raw)
+    clipped = F.when(F.col("component").isin(*NONNEGATIVE), at_least(raw, 0.0)).otherwise(raw)
     return grouped.select(*part, F.col("target").alias("date"), clipped.alias("forecast"), "_origin")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitcast.functions.columns import at_least
 from pitcast.operators import linear
 from pitcast.operators.features import interpolate_at
 from pitcast.operators.rollups import monthly
@@ -131,7 +132,7 @@ def weekly_estimates(months: DataFrame, weather: DataFrame, price: DataFrame) ->
     weekly = linear.score(weekly, res_com, ["duoarea"], RES_COM_FEATURES, "_rc")
     weekly = linear.score(weekly, power, ["duoarea"], POWER_FEATURES, "_pb")
     weekly = weekly.withColumns({
-        "res_com": F.greatest(F.col("_rc") * 7.0, F.lit(0.0)), "power_burn": F.greatest(F.col("_pb") * 7.0, F.lit(0.0))
+        "res_com": at_least(F.col("_rc") * 7.0, 0.0), "power_burn": at_least(F.col("_pb") * 7.0, 0.0)
     }).drop("_rc", "_pb")
 
     newest = months.groupBy("duoarea").agg(

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitcast.functions.columns import at_least
 from pitcast.session import staged
 
 # Largest group answered directly: many calibration times per group, or a single one.
@@ -208,7 +209,7 @@ def bucket_bounds(forecast: DataFrame, errors: DataFrame, value: str, prefix: st
     radius = conformal_radius(errors, error, coverage, [*keys, "horizon_bucket"]).drop("n")
     joined = forecast.join(radius, [*keys, "horizon_bucket"], "left")
     low = F.col(value) - F.col("radius")
-    low = F.when(low.isNotNull(), F.greatest(low, F.lit(0.0))) if clip else low
+    low = at_least(low, 0.0) if clip else low
     return joined.withColumns(
         {f"{prefix}_lower_mw": low, f"{prefix}_upper_mw": F.col(value) + F.col("radius")}
     ).drop("radius")

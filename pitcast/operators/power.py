@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitcast.functions.calendar import cyclic, horizon_bucket, hours_between, local_time
+from pitcast.functions.columns import at_least, at_most
 from pitcast.operators import linear
 from pitcast.operators.asof import first_origin_knowing, hourly_as_of
 from pitcast.operators.intervals import conformal_radius
@@ -49,7 +50,7 @@ def recent_error(history: DataFrame, origins: DataFrame, keys: Sequence[str] = (
                         (F.col("actual_mw") - F.col("baseline_mw")).alias("_e")),
         origins, "forecast_origin", _known_from(history), "_from",
     )
-    reduced = keyed.groupBy(*keys, "delivery_hour", "_from").agg(F.max(F.struct("forecast_origin", "_e")).alias("_v"))
+    reduced = staged(keyed.groupBy(*keys, "delivery_hour", "_from").agg(F.max(F.struct("forecast_origin", "_e")).alias("_v")), "reduced")
     asked = origins.select(*keys, F.col("forecast_origin").alias("_at")).distinct()
 
     def newest(pairs: DataFrame) -> DataFrame:
@@ -66,8 +67,8 @@ def recent_error(history: DataFrame, origins: DataFrame, keys: Sequence[str] = (
     return both.select(*keys, F.col("_at").alias("forecast_origin"), "recent_error_mw")
 
 
-def component_history(vintages: DataFrame, actuals: DataFrame, weather: DataFrame | None = None) -> DataFrame:
-    """All component forecasts with realized values, horizon, recent error and known weather.
+def realized_history(vintages: DataFrame, actuals: DataFrame) -> DataFrame:
+    """Component forecasts of the next week with realized values, horizon and bucket.
 
     ``vintages``: component, issued_at, valid_at, baseline_mw, actual_mw[, retrieved_at].
     ``actuals``: component, valid_at, actual_mw; a realized value overrides the vendor's own.
@@ -76,7 +77,12 @@ def component_history(vintages: DataFrame, actuals: DataFrame, weather: DataFram
     real = actuals.select("component", F.col("valid_at").alias("delivery_hour"), F.col("actual_mw").alias("_real"))
     data = data.join(real, ["component", "delivery_hour"], "left").withColumn("actual_mw", F.coalesce("_real", "actual_mw")).drop("_real")
     data = data.withColumn("horizon_hour", hours_between("delivery_hour", "forecast_origin"))
-    data = staged(data.where(F.col("horizon_hour").between(1, 168)).withColumn("horizon_bucket", horizon_bucket("horizon_hour")), "history")
+    return data.where(F.col("horizon_hour").between(1, 168)).withColumn("horizon_bucket", horizon_bucket("horizon_hour"))
+
+
+def component_history(vintages: DataFrame, actuals: DataFrame, weather: DataFrame | None = None) -> DataFrame:
+    """Realized history with the recent error and, if given, the weather known at each origin."""
+    data = staged(realized_history(vintages, actuals), "history")
     errors = recent_error(data, data.select("component", "forecast_origin").distinct())
     data = data.join(errors, ["component", "forecast_origin"], "left").withColumn(
         "recent_error_mw", F.coalesce("recent_error_mw", F.lit(0.0))
@@ -94,13 +100,13 @@ def physical_stack(df: DataFrame, heat_rate: float = DEFAULT_RATE, gas: Column |
     df = df.withColumn("raw_residual_mw", F.col("net_load_mw") - nonthermal)
     zero = F.lit(0.0)
     df = df.withColumns({
-        "dispatchable_thermal_mw": F.greatest(F.col("raw_residual_mw"), zero),
-        "curtailment_mw": F.greatest(-F.col("raw_residual_mw"), zero),
+        "dispatchable_thermal_mw": at_least(F.col("raw_residual_mw"), zero),
+        "curtailment_mw": at_least(-F.col("raw_residual_mw"), zero),
     })
     thermal = F.col("dispatchable_thermal_mw")
     want = gas if gas is not None else thermal * 0.5
     df = df.withColumns({
-        "gas_generation_mw": F.least(F.greatest(want, zero), thermal),
+        "gas_generation_mw": at_most(at_least(want, zero), thermal),
         "gas_generation_source": gas_source if gas_source is not None else F.lit("recent_share_fallback"),
     })
     df = df.withColumn("coal_other_generation_mw", thermal - F.col("gas_generation_mw"))
@@ -111,7 +117,7 @@ def physical_stack(df: DataFrame, heat_rate: float = DEFAULT_RATE, gas: Column |
         **burn,
         "heat_rate_mmbtu_per_mwh": F.lit(float(heat_rate)),
         "capacity_margin_mw": margin,
-        "capacity_shortfall_mw": F.when(margin.isNotNull(), F.greatest(-margin, zero)),
+        "capacity_shortfall_mw": at_least(-margin, zero),
         "balanced_supply_mw": F.col("wind_forecast_mw") + F.col("solar_forecast_mw") + nonthermal
         + F.col("gas_generation_mw") + F.col("coal_other_generation_mw") - F.col("curtailment_mw"),
     })
@@ -192,8 +198,8 @@ def gas_interval(stack: DataFrame, history: DataFrame, origin: Column, coverage:
     out = stack.join(radius, "horizon_bucket", "left")
     gas, r = F.col("gas_generation_mw"), F.col("radius")
     out = out.withColumns({
-        "gas_generation_lower_mw": F.when(r.isNotNull(), F.greatest(gas - r, F.lit(0.0))),
-        "gas_generation_upper_mw": F.when(r.isNotNull(), F.least(gas + r, F.col("dispatchable_thermal_mw"))),
+        "gas_generation_lower_mw": at_least(gas - r, 0.0),
+        "gas_generation_upper_mw": at_most(gas + r, F.col("dispatchable_thermal_mw")),
     })
     rate = F.col("heat_rate_mmbtu_per_mwh") / BTU_PER_BCF_MMBTU
     return out.withColumns({
@@ -281,8 +287,8 @@ def correct(history: DataFrame, forecast: DataFrame, origin: Column, features: S
         keys, features, "_y", linear.RIDGE,
     )
     rows = forecast.join(gate, list(keys), "left").join(final, list(keys), "left")
-    fitted = F.greatest(F.col("baseline_mw") + linear.dot("coef", features), F.lit(0.0))
-    use = F.coalesce(F.col("promoted"), F.lit(False)) & F.col("coef").isNotNull()
+    fitted = at_least(F.col("baseline_mw") + linear.dot("coef", features), 0.0)
+    use = F.coalesce(F.col("promoted"), F.lit(False)) & fitted.isNotNull()
     return rows.withColumns({
         "forecast_mw": F.when(use, fitted).otherwise(F.col("baseline_mw")),
         "forecast_source": F.when(use, F.lit("ercot_plus_ridge_correction")).otherwise(F.lit("ercot_baseline")),

@@ -53,9 +53,10 @@ def coherence_error(df: DataFrame, value: str = "predicted_weekly_change", group
 
 
 def complete_groups(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Keep groups in which all six regions are present."""
-    full = df.where(F.col("region").isin(*ALL_REGIONS)).groupBy(*group).agg(F.countDistinct("region").alias("_n"))
-    return df.join(full.where(F.col("_n") == len(ALL_REGIONS)).select(*group), list(group), "left_semi")
+    """Keep groups in which all six regions are present; the set per group never exceeds six codes."""
+    known = F.when(F.col("region").isin(*ALL_REGIONS), F.col("region"))
+    seen = F.size(F.collect_set(known).over(W.partitionBy(*group)))
+    return df.withColumn("_n", seen).where(F.col("_n") == len(ALL_REGIONS)).drop("_n")
 
 
 def residual_vectors(residuals: DataFrame, residual: str = "residual", keys: Sequence[str] = ()) -> DataFrame:

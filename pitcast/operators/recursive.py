@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitcast.functions.calendar import DEGREE_DAY_BASE_F, INJECTION_MONTHS, iso_year
-from pitcast.functions.columns import require_columns
+from pitcast.functions.columns import at_least, require_columns
 from pitcast.operators.asof import latest_at_origins
 from pitcast.session import staged
 
@@ -175,8 +175,8 @@ def step_inputs(df: DataFrame, origins: DataFrame, keys: Sequence[str], horizon:
     if temp_anomaly:
         t = F.col("x_temperature_f") + F.lit(float(temp_anomaly))
         full = full.withColumns({
-            "x_hdd": F.greatest(F.lit(0.0), F.lit(DEGREE_DAY_BASE_F) - t) * F.col("x_weather_days"),
-            "x_cdd": F.greatest(F.lit(0.0), t - F.lit(DEGREE_DAY_BASE_F)) * F.col("x_weather_days"),
+            "x_hdd": at_least(F.lit(DEGREE_DAY_BASE_F) - t, 0.0) * F.col("x_weather_days"),
+            "x_cdd": at_least(t - F.lit(DEGREE_DAY_BASE_F), 0.0) * F.col("x_weather_days"),
         })
     step = F.struct(
         "h", "target", "avg5", F.coalesce("year_ago", "far_level", "far_avg").alias("year_ago"), "weather_provider",

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitcast.functions.calendar import hour_of_week, local_time, week_ending_friday
-from pitcast.functions.columns import require_columns
+from pitcast.functions.columns import at_least, require_columns
 
 ARCHIVE_COLUMNS = (
     "provider", "model", "model_run", "ensemble_member", "issued_at", "valid_start", "valid_end",
@@ -151,10 +151,10 @@ def hour_of_week_forecast(
         .join(level, list(keys), "left")
     )
     raw = F.coalesce("profile_mw", "mean_mw") + F.col("adjust_mw")
-    shaped = F.greatest(raw, F.lit(0.0)) if nonnegative else raw
+    shaped = at_least(raw, 0.0) if nonnegative else raw
     return joined.select(
         *targets.columns,
-        F.coalesce(F.when(raw.isNotNull(), shaped), F.lit(0.0)).alias("profile_forecast_mw"),
+        F.coalesce(shaped, F.lit(0.0)).alias("profile_forecast_mw"),
         F.when(F.col("mean_mw").isNotNull(), F.lit("hour_of_week_adjusted"))
         .otherwise(F.lit("zero_missing_history"))
         .alias("profile_source"),

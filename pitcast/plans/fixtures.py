@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pitcast.functions.calendar import degree_days, week_ending_friday
 from pitcast.operators import reconcile, rollups
+from pitcast.session import staged
 
 COMPONENT_OF_EVENT = {"view": "load", "click": "wind", "signup": "solar", "purchase": "gas", "error": "coal"}
 CRUDE_PARTS = ("production_kbpd", "refinery_inputs_kbpd", "imports_kbpd", "exports_kbpd", "commercial_stocks_kb", "spr_stocks_kb")
@@ -263,13 +264,14 @@ class Tables:
     def base_predictions(self) -> DataFrame:
         """Four-week-ahead damped last changes of all six regions; origins of 1996 lack quantiles."""
         start = F.lit("1995-01-06").cast("date")
-        last = self.wk_all.where(F.pmod(F.datediff("date", start), F.lit(28)) == 0)
+        weeks = staged(self.wk_all.select("duoarea", "date", "weekly_change_bcf"), "weeks")
+        last = weeks.where(F.pmod(F.datediff("date", start), F.lit(28)) == 0)
         ahead = last.select("duoarea", F.col("date").alias("forecast_origin"), F.col("weekly_change_bcf").alias("_l"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("horizon"))
         rows = ahead.select(
             F.col("duoarea").alias("region"), "forecast_origin", "horizon", F.expr("date_add(forecast_origin, 7 * horizon)").alias("date"),
             (F.col("_l") / (F.col("horizon") + 1)).alias("predicted_weekly_change"), F.lit("damped").alias("model_key"),
         )
-        actual = self.wk_all.select(F.col("duoarea").alias("region"), "date", F.col("weekly_change_bcf").alias("actual_weekly_change"))
+        actual = weeks.select(F.col("duoarea").alias("region"), "date", F.col("weekly_change_bcf").alias("actual_weekly_change"))
         p, known = F.col("predicted_weekly_change"), F.year("forecast_origin") != 1996
         whole = reconcile.complete_groups(rows.join(actual, ["region", "date"]), ["forecast_origin", "date", "horizon"])
         return whole.withColumns({"p10": F.when(known, p - 50), "p50": F.when(known, p), "p90": F.when(known, p + 40)})

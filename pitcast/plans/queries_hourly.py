@@ -10,6 +10,7 @@ from pitcast.operators.intervals import bucket_bounds
 from pitcast.plans import jobs
 from pitcast.plans.queries_asof import WEATHER_SQL, weather_vintages
 from pitcast.plans.registry import query, r, sql_linear, sql_pred
+from pitcast.session import staged
 
 ORIGIN = "2024-01-24 00:00:00"
 _LOCAL = "((({0})::TIMESTAMP AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago')"
@@ -114,7 +115,7 @@ def w14(t):
 
 @query("w15_recent_error", f"WITH {HIST}, {recent_sql(_ALL_ORIGINS)} SELECT component, forecast_origin, {r('recent_error_mw')} FROM re")
 def w15(t):
-    data = power.component_history(t.power_vintages, t.power_actuals)
+    data = staged(power.realized_history(t.power_vintages, t.power_actuals), "history")
     return power.recent_error(data, data.select("component", "forecast_origin").distinct())
 
 
@@ -181,7 +182,7 @@ def j17(t):
   SELECT h1.component, h1.delivery_hour, h1.horizon_bucket, {r('baseline_mw', 'CASE WHEN radius IS NOT NULL AND baseline_mw IS NOT NULL THEN greatest(baseline_mw - radius, 0.0) END AS load_lower_mw', 'baseline_mw + radius AS load_upper_mw')} FROM h1 LEFT JOIN rd ON rd.component = h1.component AND rd.horizon_bucket = h1.horizon_bucket WHERE forecast_origin = TIMESTAMP '{ORIGIN}'""")
 def w18(t):
     errors = _rolling(t).withColumn("abs_error", F.abs(F.col("actual_mw") - F.col("corrected_mw")))
-    current = power.component_history(t.power_vintages, t.power_actuals).where(F.col("forecast_origin") == _at())
+    current = power.realized_history(t.power_vintages, t.power_actuals).where(F.col("forecast_origin") == _at())
     return bucket_bounds(current, errors, "baseline_mw", "load", keys=["component"]).select(
         "component", "delivery_hour", "horizon_bucket", "baseline_mw", "load_lower_mw", "load_upper_mw"
     )

@@ -12,6 +12,7 @@ from pitcast.operators import features as ft
 from pitcast.plans import jobs
 from pitcast.plans.queries_features import FEATURE_CTE, lag, strict
 from pitcast.plans.registry import d, query, r, sql_linear, sql_pred
+from pitcast.session import staged
 
 FEATURES = ["weekly_change_lag1", "weekly_change_rolling_4wk", "hdd"]
 RECURSIVE = ["week_sin", "week_cos", "hdd", "hdd_lag1", "cdd_rolling_4wk", "weekly_change_lag1", "weekly_change_rolling_4wk", "storage_vs_5yr_avg", "storage_vs_last_year"]
@@ -109,7 +110,7 @@ TREE_FEATURES = ["week_sin", "week_cos", "hdd", "cdd", "weekly_change_lag1", "we
 
 
 def _tree_split(t):
-    rows = feature_rows(t).select("duoarea", "date", "year", "weekly_change_bcf", *TREE_FEATURES)
+    rows = staged(feature_rows(t).select("duoarea", "date", "year", "weekly_change_bcf", *TREE_FEATURES), "trees")
     return rows.where(F.col("year") < 2000), rows.where(F.col("year") >= 2000)
 
 
@@ -226,7 +227,7 @@ def t04(t):
 
 
 def _pair(t):
-    base = t.base_predictions.select("date", "region", "horizon", "actual_weekly_change", "predicted_weekly_change", "p10", "p90")
+    base = staged(t.base_predictions, "base").select("date", "region", "horizon", "actual_weekly_change", "predicted_weekly_change", "p10", "p90")
     better = base.withColumn("predicted_weekly_change", 0.5 * F.col("predicted_weekly_change") + 0.25 * F.col("actual_weekly_change"))
     return base, better
 
@@ -334,6 +335,7 @@ def _mint_sql() -> str:
 @query("r03_mint_shrink", f"WITH {_mint_sql()} SELECT {d('forecast_origin', 'date')}, horizon, region, {r('p AS predicted_weekly_change', digits=3)} FROM mint")
 def r03(t):
     rows = t.base_predictions.select("forecast_origin", "date", "horizon", "region", "predicted_weekly_change", "actual_weekly_change")
+    rows = staged(rows, "base")
     resid = rows.withColumn("residual", F.col("actual_weekly_change") - F.col("predicted_weekly_change"))
     out = reconcile.mint(rows.drop("actual_weekly_change"), resid).drop("reconciliation_method")
     return out.withColumn("predicted_weekly_change", F.round("predicted_weekly_change", 3))
@@ -345,7 +347,7 @@ _CORE = ["forecast_origin", "date", "horizon", "region", "model_key", "predicted
 @query("r04_reconciled_paths", f"""WITH {_mint_sql()}, u AS (SELECT 'direct' AS reconciliation_method, {_G}, region, predicted_weekly_change AS p FROM base_predictions WHERE region = 'R48' UNION ALL SELECT 'bottom_up', * FROM ({_BU}) UNION ALL SELECT 'mint_shrink', {_G}, region, p FROM mint)
   SELECT reconciliation_method, {d('u.forecast_origin', 'u.date')}, u.horizon, u.region, {r('p AS predicted_weekly_change', 'b.actual_weekly_change', digits=3)} FROM u JOIN base_predictions b ON b.forecast_origin = u.forecast_origin AND b.date = u.date AND b.horizon = u.horizon AND b.region = u.region""")
 def r04(t):
-    out = reconcile.all_paths(t.base_predictions.select(*_CORE))
+    out = reconcile.all_paths(staged(t.base_predictions.select(*_CORE), "base"))
     return out.select(
         "reconciliation_method", "forecast_origin", "date", "horizon", "region", F.round("predicted_weekly_change", 3).alias("predicted_weekly_change"),
         F.round("actual_weekly_change", 3).alias("actual_weekly_change"),
@@ -415,7 +417,7 @@ def b10_metrics(t):
 
 @query("m13_recursive_forecast")
 def m13(t):
-    rows = feature_rows(t)
+    rows = staged(feature_rows(t), "features")
     params = linear.fit(rows.where(F.col("date") < "2000-01-07").withColumn("fold", F.lit(1)), ["duoarea", "fold"], RECURSIVE, "weekly_change_bcf")
     origins = rows.select("duoarea").distinct().select("duoarea", F.lit(1).alias("fold"), F.lit("2000-01-07").cast("date").alias("start_date"), F.lit(26).alias("n_steps"))
     inputs = recursive.step_inputs(rows, origins, ["duoarea"], 26)

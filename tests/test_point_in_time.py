@@ -226,3 +226,10 @@ def test_exact_quantiles_interpolate(spark, levels):
         v = sorted(x for k, x in data if k == g)
         at = lambda q: v[math.floor((len(v) - 1) * q)] + (v[math.ceil((len(v) - 1) * q)] - v[math.floor((len(v) - 1) * q)]) * ((len(v) - 1) * q % 1)
         assert out[g] == pytest.approx((at(0.1), at(0.5)))
+
+
+def test_missing_temperature_has_no_degree_days(spark):
+    from pitcast.functions.calendar import degree_days
+
+    out = degree_days(spark.createDataFrame([(None,), (60.0,)], "temperature_f double")).collect()
+    assert [(r["hdd"], r["cdd"]) for r in out] == [(None, None), (5.0, 0.0)]
