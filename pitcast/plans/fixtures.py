@@ -231,7 +231,7 @@ class Tables:
         total = m.groupBy("period").agg(F.sum("q").alias("q"))
         us = total.select("period", F.explode(F.array(*[
             F.struct(F.lit(c).alias("series"), (F.col("q") * k).alias("value"))
-            for c, k in (("N9070US2", 2.5), ("N9050US2", 3.0), ("N9140US2", 2.0), ("N9160US2", 0.125), ("N9170US2", 0.0625))
+            for c, k in (("N9070US2", 2.5), ("N9050US2", 3.0), ("N9140US2", 2.0), ("N9160US2", 1 / 7.9), ("N9170US2", 1 / 15.7))
         ])).alias("s")).select("period", "s.series", "s.value")
         return state.unionByName(us)
 
@@ -355,7 +355,7 @@ CTES: dict[str, str] = {
                       "{'series':'N3045'||abbr||'2','value':q/3.0},{'series':'N3050'||abbr||'3','value':p/9973.0},"
                       "{'series':CASE WHEN nation%2=0 THEN 'N9050'||abbr||'2' ELSE 'NA1160_S'||abbr||'_2' END,'value':q*3}], recursive := true) FROM month_state UNION ALL "
                       "SELECT period, unnest([{'series':'N9070US2','value':q*2.5},{'series':'N9050US2','value':q*3.0},{'series':'N9140US2','value':q*2.0},"
-                      "{'series':'N9160US2','value':q*0.125},{'series':'N9170US2','value':q*0.0625}], recursive := true) FROM (SELECT period, sum(q) AS q FROM month_state GROUP BY 1)",
+                      "{'series':'N9160US2','value':q/7.9},{'series':'N9170US2','value':q/15.7}], recursive := true) FROM (SELECT period, sum(q) AS q FROM month_state GROUP BY 1)",
     "archive": f"SELECT 'open-meteo' AS provider, 'gfs_seamless' AS model, strftime(issued_at, '%Y%m%d') AS model_run, ensemble_member, issued_at, valid_start, "
                f"valid_start + INTERVAL 1 DAY AS valid_end, state, duoarea, temperature_f, {_HDD}, 1.0::DOUBLE AS coverage FROM (SELECT state, duoarea, l_shipdate AS valid_start, l_returnflag AS ensemble_member, "
                f"15.0 + avg(l_extendedprice) / 997.0 AS temperature_f, CAST({_week('l_shipdate')} - 7 AS TIMESTAMP) AS issued_at FROM shipped GROUP BY 1, 2, 3, 4)",

@@ -456,7 +456,7 @@ def e09(t):
 _DIS = """s AS (SELECT c.duoarea, m.period, m.a/1000.0 AS res, m.n/3.0/1000.0 AS com, m.r/1000.0 AS ind, m.q/3.0/1000.0 AS pb, CASE WHEN m.nation%2=0 THEN m.q*3/1000.0 ELSE 0.0 END AS mp, CASE WHEN m.nation%2=1 THEN m.q*3/1000.0 ELSE 0.0 END AS dp, m.p/9973.0 AS price FROM month_state m JOIN state_codes c USING (nation)),
   rg AS (SELECT duoarea, period, sum(res+com) AS res_com, sum(ind) AS ind, sum(pb) AS power_burn, sum(mp) AS mp, sum(dp) AS dp, CASE WHEN sum(res+com+ind+pb) > 0 THEN sum(price*(res+com+ind+pb))/sum(res+com+ind+pb) ELSE 0.0 END AS regional_price FROM s GROUP BY 1, 2),
   us AS (SELECT period, sum(q)/1000.0 AS q FROM month_state GROUP BY 1),
-  rb AS (SELECT duoarea, period, dp + mp*2.5/3.0 AS dry_production, res_com, power_burn, ind, 0.125*q*(dp + mp*2.5/3.0)/(2.5*q) + 0.0625*q*(res_com+power_burn+ind)/(2.0*q) AS fuel_use, regional_price FROM rg JOIN us USING (period)),
+  rb AS (SELECT duoarea, period, dp + mp*2.5/3.0 AS dry_production, res_com, power_burn, ind, q/7.9*(dp + mp*2.5/3.0)/(2.5*q) + q/15.7*(res_com+power_burn+ind)/(2.0*q) AS fuel_use, regional_price FROM rg JOIN us USING (period)),
   mw AS (SELECT duoarea, CAST(date_trunc('month', date) AS DATE) AS period, sum(hdd) AS hdd, sum(cdd) AS cdd FROM region_daily GROUP BY 1, 2), mp AS (SELECT CAST(date_trunc('month', period) AS DATE) AS period, avg(value) AS price_hh FROM daily_price GROUP BY 1),
   am AS (SELECT rb.*, hdd/dd AS hdd_d, cdd/dd AS cdd_d, res_com/dd AS rc_d, power_burn/dd AS pb_d, dry_production/dd AS dry_production_d, ind/dd AS ind_d, fuel_use/dd AS fuel_use_d, regional_price - price_hh AS basis, dd, CAST(month(period) AS INTEGER) AS mon, CAST(period - DATE '1970-01-01' AS DOUBLE) + dd/2 AS x
     FROM (SELECT *, CAST(day(last_day(period)) AS DOUBLE) AS dd FROM rb) rb JOIN mw USING (duoarea, period) JOIN mp USING (period))"""
