@@ -104,12 +104,14 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     """Count, mean, deviation, quartiles and extremes; quartiles interpolate linearly."""
     from pitcast.operators.intervals import exact_quantiles
 
+    if not keys:
+        return distribution(df.withColumn("_all", F.lit(1)), value, ["_all"]).drop("_all")
     df = staged(df.select(*keys, value), "distribution")
     basic = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
     )
     quartiles = exact_quantiles(df, value, (0.25, 0.5, 0.75), ("q25", "median", "q75"), keys)
-    return basic.join(quartiles, list(keys)) if keys else basic.join(quartiles, F.lit(True))
+    return basic.join(quartiles, list(keys))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, keys: Sequence[str] = ()) -> DataFrame:

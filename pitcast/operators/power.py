@@ -62,7 +62,7 @@ def recent_error(history: DataFrame, origins: DataFrame, keys: Sequence[str] = (
     day = asked.withColumn("_day", F.explode(F.sequence(F.date_sub(F.to_date("_at"), RECENT_DAYS), F.to_date("_at"))))
     near = newest(day.join(reduced.withColumn("_day", F.to_date("delivery_hour")), [*keys, "_day"]))
     short = asked.join(near.where(F.col("_n") == RECENT_HOURS), [*keys, "_at"], "left_anti")
-    far = newest(short.join(reduced, list(keys)) if keys else short.join(reduced, F.lit(True)))
+    far = newest(short.join(reduced, list(keys)))
     both = near.where(F.col("_n") == RECENT_HOURS).unionByName(far)
     return both.select(*keys, F.col("_at").alias("forecast_origin"), "recent_error_mw")
 
