@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         return both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
     def with_least(links: DataFrame) -> DataFrame:
-        least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         return links.join(least, "u")
 
     links = stage(edges.select("a", "b").where("a <> b").distinct(), "links")
