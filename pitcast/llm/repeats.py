@@ -123,14 +123,14 @@ def by_text(anchored: DataFrame) -> DataFrame:
 
 
 def with_texts(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row per text with ``text`` from one of its copies; copies are told apart by id, so none is moved twice."""
+    """One row per text with ``text`` and ``id`` of the copy with the smallest id; the id in the join keeps copies apart."""
     ids = texts.groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("doc_id"))
     wanted = lists.join(ids, TEXT_KEY)
     one = texts.join(
         wanted.withColumnsRenamed({"t1": "w1", "t2": "w2", "doc_id": "wanted_id"}),
         (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")),
     )
-    return one.select(*TEXT_KEY, "text", *[c for c in lists.columns if c not in TEXT_KEY])
+    return one.select(*TEXT_KEY, F.col("wanted_id").alias("id"), "text", *[c for c in lists.columns if c not in TEXT_KEY])
 
 
 def multikey_order(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
