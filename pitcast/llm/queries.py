@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitcast.llm import exact_dedup, near_dedup, packing, quality, sentencepieces, substring_dedup, suffix_array
+from pitcast.llm import exact_dedup, near_dedup, packing, quality, sentencepieces, substring_dedup, suffix_array, tool_calls
 from pitcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,61 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+#: Tools of the derived calls: type and need of each parameter.
+SCHEMAS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "follow_up": {"question": ("string", True), "turn": ("integer", True)},
+}
+
+
+def call_messages(conversations: DataFrame) -> DataFrame:
+    """Every turn of the conversations as a tool message: users' turns call, assistants' turns answer the turn before.
+
+    The first turn searches, later ones follow up or browse, which no schema knows. Depending on their lengths, turns leave
+    out an argument, give it a wrong type, or wait for the user's turn before.
+    """
+    n = F.length("text")
+    question = F.when(n % 13 == 0, F.to_json(F.struct(F.col("text").alias("question")))).when(
+        n % 5 == 0, F.to_json(F.struct(F.col("turn").cast("string").alias("turn"), F.col("text").alias("question")))
+    ).otherwise(F.to_json(F.struct(F.col("turn"), F.col("text").alias("question"))))
+    search = F.when(n % 11 == 0, F.to_json(F.struct(F.col("text").alias("query")))).otherwise(F.to_json(F.struct(F.col("text").alias("query"), (n % 50).alias("limit"))))
+    call = F.struct(
+        F.concat(F.lit("call-"), "turn").alias("id"),
+        F.when(F.col("turn") == 0, "search").when(n % 7 == 0, "browse").otherwise("follow_up").alias("name"),
+        F.when(F.col("turn") == 0, search).otherwise(question).alias("arguments"),
+        F.when((F.col("turn") >= 2) & (n % 3 == 0), F.array(F.concat(F.lit("call-"), F.col("turn") - 2))).alias("after"),
+    )
+    answer = F.struct(F.concat(F.lit("call-"), F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content"))
+    body = F.when(F.col("text").isNull(), None).when(F.col("role") == "user", F.to_json(F.struct(F.array(call).alias("tool_calls")))).when(
+        F.col("role") == "assistant", F.to_json(answer)
+    ).otherwise(F.col("text"))
+    return conversations.withColumn("text", body)
+
+
+@query
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_tool_calls(call_messages(table(spark, sf_dir, "conversations")), SCHEMAS)
+
+
+ORACLE["op5_tool_calls"] = """
+WITH RECURSIVE m AS (SELECT *, length(text) AS n FROM conversations WHERE text IS NOT NULL),
+u AS (SELECT *, 'call-' || turn AS call_id, CASE WHEN turn = 0 THEN 'search' WHEN n % 7 = 0 THEN 'browse' ELSE 'follow_up' END AS name FROM m WHERE role = 'user'),
+c AS (SELECT conv_id, call_id, min(turn) AS turn, count(*) AS copies, first(text ORDER BY turn) AS text, first(n ORDER BY turn) AS n, first(name ORDER BY turn) AS name FROM u GROUP BY ALL),
+r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, min(turn) AS result_turn, first(text ORDER BY turn) AS result, count(*) AS n_results FROM m WHERE role = 'assistant' GROUP BY ALL),
+e AS (SELECT c.conv_id, c.call_id, p.call_id AS cause FROM c JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2 WHERE c.turn >= 2 AND c.n % 3 = 0),
+l AS (SELECT conv_id, call_id, 0 AS level FROM c WHERE (conv_id, call_id) NOT IN (SELECT (conv_id, call_id) FROM e)
+      UNION ALL SELECT e.conv_id, e.call_id, l.level + 1 FROM l JOIN e ON e.conv_id = l.conv_id AND e.cause = l.call_id),
+a AS (SELECT *, CASE
+        WHEN turn = 0 AND n % 11 = 0 THEN json_object('query', text) WHEN turn = 0 THEN json_object('limit', n % 50, 'query', text)
+        WHEN n % 13 = 0 THEN json_object('question', text) WHEN n % 5 = 0 THEN json_object('question', text, 'turn', CAST(turn AS VARCHAR))
+        ELSE json_object('question', text, 'turn', turn) END AS arguments,
+      CASE WHEN name = 'browse' THEN 'unknown tool' WHEN turn = 0 THEN '' WHEN n % 13 = 0 THEN 'missing turn' WHEN n % 5 = 0 THEN 'type turn' ELSE '' END AS problems FROM c)
+SELECT coalesce(a.conv_id, r.conv_id) AS conv_id, coalesce(a.call_id, r.call_id) AS call_id, a.turn, CASE WHEN a.turn IS NOT NULL THEN 0 END AS seq,
+  coalesce(l.level, 0) AS level, a.name, coalesce(a.copies, 0) AS copies, r.result_turn, coalesce(r.n_results, 0) AS n_results,
+  coalesce(a.problems, 'unasked result') AS problems,
+  CASE WHEN a.turn IS NULL THEN json_object('id', r.call_id, 'level', 0, 'result', r.result)
+       WHEN r.result IS NULL THEN json_object('arguments', a.arguments, 'id', a.call_id, 'level', l.level, 'name', a.name)
+       ELSE json_object('arguments', a.arguments, 'id', a.call_id, 'level', l.level, 'name', a.name, 'result', r.result) END::VARCHAR AS message
+FROM a FULL JOIN r ON a.conv_id = r.conv_id AND a.call_id = r.call_id LEFT JOIN l ON l.conv_id = a.conv_id AND l.call_id = a.call_id"""
