@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitcast.llm import exact_dedup, near_dedup, packing, quality, sentencepieces, substring_dedup, suffix_array, tool_calls
+from pitcast.llm import exact_dedup, fuzzy_lines, near_dedup, packing, quality, sentencepieces, substring_dedup, suffix_array, tool_calls
 from pitcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ SELECT coalesce(a.conv_id, r.conv_id) AS conv_id, coalesce(a.call_id, r.call_id)
        WHEN r.result IS NULL THEN json_object('arguments', a.arguments, 'id', a.call_id, 'level', l.level, 'name', a.name)
        ELSE json_object('arguments', a.arguments, 'id', a.call_id, 'level', l.level, 'name', a.name, 'result', r.result) END::VARCHAR AS message
 FROM a FULL JOIN r ON a.conv_id = r.conv_id AND a.call_id = r.call_id LEFT JOIN l ON l.conv_id = a.conv_id AND l.call_id = a.call_id"""
+
+
+@query
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.fuzzy_line_dedup(table(spark, sf_dir, "documents"))
