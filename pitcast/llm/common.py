@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitcast.session import scratch_path
@@ -23,6 +23,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Size of the bitmap below, which bounds its broadcast to ``BITMAP / 64`` rows.
+BITMAP = 1 << 22
+
+
+def likely_members(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The ``rows`` whose key may be in ``wanted``, ahead of the join that decides.
+
+    A bitmap of fixed size goes to every task and spares the shuffle most rows that have no partner; it lets more
+    rows pass as ``wanted`` grows, and never holds a partner back.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
+    bits = wanted.select(at(wanted_key).alias("at")).groupBy((F.col("at") / 64).cast("long").alias("bitmap_word")).agg(
+        F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bitmap_bits")
+    )
+    bitmap = F.broadcast(stage(bits, "bitmap"))
+    found = rows.withColumn("bitmap_at", at(key)).withColumn("bitmap_word", (F.col("bitmap_at") / 64).cast("long")).join(bitmap, "bitmap_word")
+    return found.where("getbit(bitmap_bits, int(bitmap_at % 64)) = 1").select(*rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of the undirected ``edges(a, b)``; the component is its smallest node.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitcast.llm import exact_dedup, fuzzy_lines, near_dedup, packing, quality, sentencepieces, substring_dedup, suffix_array, tool_calls
+from pitcast.llm import exact_dedup, fuzzy_lines, near_dedup, packing, quality, sentencepieces, substring_dedup, suffix_array, tool_calls, toxicity
 from pitcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ FROM a FULL JOIN r ON a.conv_id = r.conv_id AND a.call_id = r.call_id LEFT JOIN
 @query
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.fuzzy_line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -66,11 +66,11 @@ def slices(at: np.ndarray, limit: int = STEP) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, at: np.ndarray, separators: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word in ``data``; ``at`` are the row offsets, which also part words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~IS_SPACE[data]
+    word = ~separators[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[at[(at >= 0) & (at <= len(data))]] = True
     before = np.concatenate(([False], word[:-1])) & ~cut[:-1]
