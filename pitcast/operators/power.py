@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitcast.functions.calendar import cyclic, horizon_bucket, hours_between, local_time
+from pitcast.functions.calendar import cyclic, horizon_bucket, hour_of_week, hours_between, local_time
 from pitcast.functions.columns import at_least, at_most
 from pitcast.operators import linear
 from pitcast.operators.asof import first_origin_knowing, hourly_as_of
@@ -37,34 +37,37 @@ def _known_from(df: DataFrame, origin: str = "forecast_origin") -> Column:
     return F.greatest(*parts)
 
 
-def recent_error(history: DataFrame, origins: DataFrame, keys: Sequence[str] = ("component",)) -> DataFrame:
-    """Mean error of the last 24 delivered hours known at each origin.
+def _newest_hours(rows: DataFrame, origins: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """The last 24 delivered hours known at each origin ``_at``, each with the ``_v.value`` of its latest known forecast.
 
     Each delivered hour keeps, per origin interval, only its latest forecast. Origins first look at
     the hours of the last week, found by equality on the delivery day; an origin with fewer than 24
     hours there is answered from all its earlier hours instead, so the result is always whole.
     """
-    realized = history.where(F.col("actual_mw").isNotNull() & F.col("baseline_mw").isNotNull())
     keyed = first_origin_knowing(
-        realized.select(*keys, "forecast_origin", "delivery_hour", *(["retrieved_at"] if "retrieved_at" in history.columns else []),
-                        (F.col("actual_mw") - F.col("baseline_mw")).alias("_e")),
-        origins, "forecast_origin", _known_from(history), "_from",
+        rows.select(*keys, "forecast_origin", "delivery_hour", *(["retrieved_at"] if "retrieved_at" in rows.columns else []), value.alias("value")),
+        origins, "forecast_origin", _known_from(rows), "_from",
     )
-    reduced = staged(keyed.groupBy(*keys, "delivery_hour", "_from").agg(F.max(F.struct("forecast_origin", "_e")).alias("_v")), "reduced")
+    reduced = staged(keyed.groupBy(*keys, "delivery_hour", "_from").agg(F.max(F.struct("forecast_origin", "value")).alias("_v")), "reduced")
     asked = origins.select(*keys, F.col("forecast_origin").alias("_at")).distinct()
 
     def newest(pairs: DataFrame) -> DataFrame:
         per_hour = pairs.where(F.col("_from") <= F.col("_at")).groupBy(*keys, "_at", "delivery_hour").agg(F.max("_v").alias("_v"))
         w = W.partitionBy(*keys, "_at").orderBy(F.col("delivery_hour").desc())
-        top = per_hour.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= RECENT_HOURS)
-        return top.groupBy(*keys, "_at").agg(F.avg("_v._e").alias("recent_error_mw"), F.count(F.lit(1)).alias("_n"))
+        return per_hour.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= RECENT_HOURS)
 
     day = asked.withColumn("_day", F.explode(F.sequence(F.date_sub(F.to_date("_at"), RECENT_DAYS), F.to_date("_at"))))
     near = newest(day.join(reduced.withColumn("_day", F.to_date("delivery_hour")), [*keys, "_day"]))
-    short = asked.join(near.where(F.col("_n") == RECENT_HOURS), [*keys, "_at"], "left_anti")
-    far = newest(short.join(reduced, list(keys)))
-    both = near.where(F.col("_n") == RECENT_HOURS).unionByName(far)
-    return both.select(*keys, F.col("_at").alias("forecast_origin"), "recent_error_mw")
+    answered = near.where(F.col("_rn") == RECENT_HOURS).select(*keys, "_at")
+    far = newest(asked.join(answered, [*keys, "_at"], "left_anti").join(reduced, list(keys)))
+    return near.join(answered, [*keys, "_at"], "left_semi").unionByName(far)
+
+
+def recent_error(history: DataFrame, origins: DataFrame, keys: Sequence[str] = ("component",)) -> DataFrame:
+    """Mean error of the last 24 delivered hours known at each origin."""
+    realized = history.where(F.col("actual_mw").isNotNull() & F.col("baseline_mw").isNotNull())
+    top = _newest_hours(realized, origins, keys, F.col("actual_mw") - F.col("baseline_mw"))
+    return top.groupBy(*keys, F.col("_at").alias("forecast_origin")).agg(F.avg("_v.value").alias("recent_error_mw"))
 
 
 def realized_history(vintages: DataFrame, actuals: DataFrame) -> DataFrame:
@@ -276,20 +279,101 @@ def promotion(predictions: DataFrame, keys: Sequence[str] = ("component",), mode
     ).withColumn("model_name", F.lit(model))
 
 
+def known_at(history: DataFrame, origin: Column) -> DataFrame:
+    """Realized rows that may be used at ``origin``: forecast and delivered before it, and retrieved by it."""
+    return history.where((_known_from(history) <= origin) & F.col("actual_mw").isNotNull() & F.col("baseline_mw").isNotNull())
+
+
+def validated(known: DataFrame, features: Sequence[str] = CORRECTION_FEATURES, keys: Sequence[str] = ("component",),
+              min_train: int = 100) -> tuple[DataFrame, DataFrame]:
+    """``(gate, rows)``: the promotion decision per key, and the validation rows of what is published.
+
+    A promoted key gives the rows of its rolling corrections; any other key gives all rows of its validation
+    origins with the baseline as ``corrected_mw``, also where no fold had enough rows to train on.
+    """
+    known = staged(known, "known")
+    rolling = staged(rolling_corrections(known, features, keys, min_train), "rolling")
+    gate = staged(promotion(rolling, keys), "gate")
+    good = gate.where("promoted").select(*keys)
+    names = [*keys, "forecast_origin", "delivery_hour", "horizon_bucket", "baseline_mw", "actual_mw"]
+    plain = known.join(validation_origins(known, keys), [*keys, "forecast_origin"]).join(good, list(keys), "left_anti")
+    rows = rolling.join(good, list(keys), "left_semi").select(*names, "corrected_mw", F.lit(True).alias("promoted"))
+    return gate, rows.unionByName(plain.select(*names, F.col("baseline_mw").alias("corrected_mw"), F.lit(False).alias("promoted")))
+
+
 def correct(history: DataFrame, forecast: DataFrame, origin: Column, features: Sequence[str] = CORRECTION_FEATURES,
-            keys: Sequence[str] = ("component",), min_train: int = 100) -> DataFrame:
-    """Corrected forecast where the ridge candidate is promoted, else the vendor baseline."""
-    known = history.where(_known_from(history) <= origin)
-    rolling = rolling_corrections(known, features, keys, min_train)
-    gate = promotion(rolling, keys).where(F.col("promoted")).select(*keys, "promoted")
-    final = linear.fit(
-        known.where(F.col("actual_mw").isNotNull()).withColumn("_y", F.col("actual_mw") - F.col("baseline_mw")),
-        keys, features, "_y", linear.RIDGE,
-    )
-    rows = forecast.join(gate, list(keys), "left").join(final, list(keys), "left")
+            keys: Sequence[str] = ("component",), min_train: int = 100) -> tuple[DataFrame, DataFrame]:
+    """``(forecast, validation)``: corrected where the ridge candidate is promoted, else the vendor baseline.
+
+    Only rows known at ``origin`` train, decide and validate.
+    """
+    known = known_at(history, origin)
+    gate, rows = validated(known, features, keys, min_train)
+    final = linear.fit(known.withColumn("_y", F.col("actual_mw") - F.col("baseline_mw")), keys, features, "_y", linear.RIDGE)
+    joined = forecast.join(gate.where("promoted").select(*keys, "promoted"), list(keys), "left").join(final, list(keys), "left")
     fitted = at_least(F.col("baseline_mw") + linear.dot("coef", features), 0.0)
     use = F.coalesce(F.col("promoted"), F.lit(False)) & fitted.isNotNull()
-    return rows.withColumns({
+    return joined.withColumns({
         "forecast_mw": F.when(use, fitted).otherwise(F.col("baseline_mw")),
         "forecast_source": F.when(use, F.lit("ercot_plus_ridge_correction")).otherwise(F.lit("ercot_baseline")),
-    }).drop("promoted", "coef", "n_train")
+    }).drop("promoted", "coef", "n_train"), rows
+
+
+def fallback_predictions(history: DataFrame, rows: DataFrame, keys: Sequence[str] = ("component",)) -> DataFrame:
+    """``rows`` with ``fallback_mw``: the hour-of-week profile and level of the hours known at each row's origin.
+
+    Every delivered hour enters the sums of its hour of week at the first origin that may know it, and later forecasts
+    of it only move them by the difference, so one running sum along the origins gives every origin's profile.
+    """
+    real = history.where(F.col("actual_mw").isNotNull())
+    origins = staged(rows.select(*keys, "forecast_origin").distinct(), "asked")
+    keyed = first_origin_knowing(
+        real.select(*keys, F.col("forecast_origin").alias("_o"), "delivery_hour", *(["retrieved_at"] if "retrieved_at" in real.columns else []), "actual_mw"),
+        origins, "forecast_origin", _known_from(real.withColumnRenamed("forecast_origin", "_o"), "_o"), "_at",
+    )
+    seen = keyed.groupBy(*keys, "delivery_hour", "_at").agg(F.max(F.struct("_o", "actual_mw")).alias("_v"))
+    w = W.partitionBy(*keys, "delivery_hour").orderBy("_at")
+    moved = seen.withColumn("_now", F.max("_v").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_before", F.lag("_now").over(w)).select(
+        *keys, hour_of_week("delivery_hour").alias("hour_of_week"), "_at",
+        (F.col("_now.actual_mw") - F.coalesce("_before.actual_mw", F.lit(0.0))).alias("_sum"), F.when(F.col("_before").isNull(), 1).otherwise(0).alias("_n"),
+    )
+    sums = moved.groupBy(*keys, "hour_of_week", "_at").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    asked = origins.select(*keys, F.col("forecast_origin").alias("_at"), F.explode(F.sequence(F.lit(0), F.lit(167))).alias("hour_of_week"), F.lit(True).alias("_q"))
+    along = W.partitionBy(*keys, "hour_of_week").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    running = sums.unionByName(asked, allowMissingColumns=True).select(
+        *keys, F.col("_at").alias("forecast_origin"), "hour_of_week", "_q", F.sum("_sum").over(along).alias("_s"), F.sum("_n").over(along).alias("_c")
+    ).where("_q AND _c > 0")
+    profile = staged(running.withColumn("profile_mw", F.col("_s") / F.col("_c")), "profile")
+    mean = profile.groupBy(*keys, "forecast_origin").agg((F.sum("_s") / F.sum("_c")).alias("mean_mw"))
+    last = _newest_hours(real, origins, keys, F.col("actual_mw")).select(
+        *keys, F.col("_at").alias("forecast_origin"), hour_of_week("delivery_hour").alias("hour_of_week"), F.col("_v.value").alias("_a")
+    )
+    level = last.join(profile, [*keys, "forecast_origin", "hour_of_week"]).groupBy(*keys, "forecast_origin").agg(F.avg(F.col("_a") - F.col("profile_mw")).alias("adjust_mw"))
+    out = rows.withColumn("hour_of_week", hour_of_week("delivery_hour")).join(
+        profile.select(*keys, "forecast_origin", "hour_of_week", "profile_mw"), [*keys, "forecast_origin", "hour_of_week"], "left"
+    ).join(mean, [*keys, "forecast_origin"], "left").join(level, [*keys, "forecast_origin"], "left")
+    shaped = at_least(F.coalesce("profile_mw", "mean_mw") + F.col("adjust_mw"), 0.0)
+    return out.withColumn("fallback_mw", F.coalesce(shaped, F.col("baseline_mw"))).select(*rows.columns, "fallback_mw")
+
+
+def backtest(history: DataFrame, features: Sequence[str] = CORRECTION_FEATURES, keys: Sequence[str] = ("component",),
+             min_train: int = 100) -> tuple[DataFrame, DataFrame]:
+    """``(rows, metrics)``: published validation rows with their fallback, and errors per key, bucket and model.
+
+    Selection sees what was known at each key's newest origin. A correction is scored only where it is promoted.
+    """
+    newest = history.groupBy(*keys).agg(F.max("forecast_origin").alias("_cut"))
+    known = known_at(history.join(newest, list(keys)), F.col("_cut")).drop("_cut")
+    _, rows = validated(known, features, keys, min_train)
+    rows = staged(fallback_predictions(history, rows, keys), "backtest")
+    models = F.filter(F.array(
+        F.struct(F.lit("ercot_baseline").alias("model"), F.col("baseline_mw").alias("p"), F.lit(False).alias("promoted")),
+        F.struct(F.lit("hour_of_week_fallback").alias("model"), F.col("fallback_mw").alias("p"), F.lit(False).alias("promoted")),
+        F.when(F.col("promoted"), F.struct(F.lit("ridge").alias("model"), F.col("corrected_mw").alias("p"), F.lit(True).alias("promoted"))),
+    ), lambda m: m.isNotNull())
+    long = rows.select(*keys, "horizon_bucket", "actual_mw", F.explode(models).alias("m")).select(*keys, "horizon_bucket", "actual_mw", "m.*")
+    gap = F.col("actual_mw") - F.col("p")
+    scores = long.groupBy(*keys, "horizon_bucket", "model", "promoted").agg(
+        F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(gap).alias("bias"), F.count(F.lit(1)).alias("n_samples")
+    )
+    return rows, scores

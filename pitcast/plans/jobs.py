@@ -145,9 +145,9 @@ def power_forecast(vintages: DataFrame, actuals: DataFrame, fuel: DataFrame, ori
     errors = power.recent_error(history, at)
     future = future.join(errors, ["component", "forecast_origin"], "left").withColumn("recent_error_mw", F.coalesce("recent_error_mw", F.lit(0.0)))
     future, history = staged(add_hourly_features(future), "future"), staged(add_hourly_features(history), "history")
-    corrected = power.correct(history, future, origin, min_train=min_train)
-    rolling = staged(power.rolling_corrections(history.where(F.col("forecast_origin") < origin), min_train=min_train), "validated")
-    errors = rolling.withColumn("abs_error", F.abs(F.col("actual_mw") - F.col("corrected_mw")))
+    corrected, validation = power.correct(history, future, origin, min_train=min_train)
+    validation = staged(validation, "validated")
+    errors = validation.withColumn("abs_error", F.abs(F.col("actual_mw") - F.col("corrected_mw")))
     bounded = staged(bucket_bounds(corrected, errors, "forecast_mw", "forecast", keys=["component"]), "bounded")
     picks = []
     for c in power.COMPONENTS:
@@ -161,7 +161,7 @@ def power_forecast(vintages: DataFrame, actuals: DataFrame, fuel: DataFrame, ori
     split = power.gas_split(stack.drop("gas_generation_mw", "gas_generation_source"), fuel, origin, price)
     stack = power.physical_stack(split.drop("dispatchable_thermal_mw"), heat_rate, F.col("gas_forecast_mw"), F.col("gas_split_source"))
     stack = staged(stack.drop("gas_forecast_mw", "gas_split_source"), "stack")
-    net = power.net_load_errors(rolling)
+    net = power.net_load_errors(validation)
     stack = bucket_bounds(stack, net, "net_load_mw", "net_load", clip=False)
     return power.gas_interval(stack, fuel, origin)
 

@@ -130,12 +130,18 @@ def e11(t):
 
 
 CF = ["baseline_mw", "horizon_hour", "recent_error_mw"]
-_FOLDS = f"""{_E11}, hh AS (SELECT h1.*, coalesce(recent_error_mw, 0.0) AS recent_error_mw, actual_mw - baseline_mw AS yy FROM h1 LEFT JOIN re USING (component, forecast_origin) WHERE actual_mw IS NOT NULL AND baseline_mw IS NOT NULL),
+
+
+def _folds_sql(known: str = "true") -> str:
+    return f"""{_E11}, hh AS (SELECT h1.*, coalesce(recent_error_mw, 0.0) AS recent_error_mw, actual_mw - baseline_mw AS yy FROM h1 LEFT JOIN re USING (component, forecast_origin) WHERE actual_mw IS NOT NULL AND baseline_mw IS NOT NULL AND {known}),
   os AS (SELECT component, forecast_origin AS asked FROM (SELECT component, forecast_origin, row_number() OVER (PARTITION BY component ORDER BY forecast_origin) AS i, count(*) OVER (PARTITION BY component) AS n FROM (SELECT DISTINCT component, forecast_origin FROM hh)) WHERE n >= 4 AND i > greatest(2, ceil(n * 0.6))),
   tr AS (SELECT os.asked, hh.* FROM os JOIN hh ON hh.component = os.component AND hh.forecast_origin < os.asked AND hh.delivery_hour < os.asked AND hh.retrieved_at <= os.asked), {sql_linear('cf', 'tr', ['component', 'asked'], CF, 'yy', 10.0)},
   rp AS (SELECT hh.component, hh.forecast_origin, delivery_hour, horizon_bucket, baseline_mw, actual_mw, b.n AS n_train, baseline_mw + {sql_pred('b', CF)} AS corrected_mw FROM hh JOIN cf_b b ON b.component = hh.component AND b.asked = hh.forecast_origin WHERE b.n >= 100)"""
 
 
+_FOLDS = _folds_sql()
+
+
 def _rolling(t):
     return power.rolling_corrections(power.component_history(t.power_vintages, t.power_actuals), CF)
 
@@ -145,7 +151,7 @@ def b12(t):
     return _rolling(t)
 
 
-_CMP = f"SELECT component, CASE WHEN grouping(horizon_bucket) = 1 THEN 'overall' ELSE horizon_bucket END AS horizon_bucket, avg(abs(actual_mw - baseline_mw)) AS baseline_mae, avg(abs(actual_mw - corrected_mw)) AS corrected_mae, count(*) AS n_samples FROM rp GROUP BY GROUPING SETS ((component, horizon_bucket), (component))"
+_CMP = "SELECT component, CASE WHEN grouping(horizon_bucket) = 1 THEN 'overall' ELSE horizon_bucket END AS horizon_bucket, avg(abs(actual_mw - baseline_mw)) AS baseline_mae, avg(abs(actual_mw - corrected_mw)) AS corrected_mae, count(*) AS n_samples FROM rp GROUP BY GROUPING SETS ((component, horizon_bucket), (component))"
 
 
 @query("a19_bucket_comparison", f"{_FOLDS} SELECT component, horizon_bucket, {r('baseline_mae', 'corrected_mae')}, n_samples FROM ({_CMP})")
@@ -159,32 +165,45 @@ def m14(t):
     return power.promotion(_rolling(t))
 
 
-@query("b11_power_backtest", f"""{_FOLDS}, {_profile_sql('2024-01-16 00:00:00')} SELECT rp.component, horizon_bucket, {r('avg(abs(actual_mw - baseline_mw)) AS baseline_mae', 'avg(abs(actual_mw - corrected_mw)) AS corrected_mae', 'avg(abs(actual_mw - greatest(coalesce(p, m) + adj, 0.0))) AS fallback_mae')}, count(*) AS n_samples
-  FROM rp LEFT JOIN pf ON pf.component = rp.component AND pf.how = {_how('delivery_hour')} JOIN lv ON lv.component = rp.component GROUP BY 1, 2""")
+_GATE = f"""cm AS ({_CMP}), gt AS (SELECT component, bool_and(CASE WHEN horizon_bucket = 'overall' THEN corrected_mae < baseline_mae ELSE corrected_mae <= baseline_mae * 1.05 END) AS promoted FROM cm GROUP BY 1),
+  pv AS (SELECT component, forecast_origin, delivery_hour, horizon_bucket, baseline_mw, actual_mw, corrected_mw, true AS promoted FROM rp JOIN gt USING (component) WHERE gt.promoted
+   UNION ALL SELECT hh.component, hh.forecast_origin, delivery_hour, horizon_bucket, baseline_mw, actual_mw, baseline_mw, false FROM hh JOIN os ON os.component = hh.component AND os.asked = hh.forecast_origin
+   WHERE hh.component NOT IN (SELECT component FROM gt WHERE promoted))"""
+_KNOWN_AT = "h1.forecast_origin < {0} AND delivery_hour < {0} AND retrieved_at <= {0}"
+_PUBLISHED = f"{_folds_sql(_KNOWN_AT.format(f"TIMESTAMP '{ORIGIN}'"))}, {_GATE}"
+
+
+@query("b11_power_backtest", f"""{_folds_sql(_KNOWN_AT.format("(SELECT max(x.forecast_origin) FROM h1 x WHERE x.component = h1.component)"))}, {_GATE},
+  ka AS (SELECT o.component, o.asked, h.delivery_hour, h.actual_mw, {_how('h.delivery_hour')} AS how FROM (SELECT DISTINCT component, forecast_origin AS asked FROM pv) o JOIN h1 h ON h.component = o.component AND h.forecast_origin < o.asked AND h.delivery_hour < o.asked
+    AND h.retrieved_at <= o.asked AND h.actual_mw IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o.component, o.asked, h.delivery_hour ORDER BY h.forecast_origin DESC) = 1),
+  kp AS (SELECT component, asked, how, avg(actual_mw) AS p FROM ka GROUP BY 1, 2, 3),
+  kl AS (SELECT component, asked, avg(actual_mw) AS m, avg(CASE WHEN rn <= 24 THEN actual_mw - p END) AS adj FROM (SELECT ka.*, p, row_number() OVER (PARTITION BY component, asked ORDER BY delivery_hour DESC) AS rn FROM ka JOIN kp USING (component, asked, how)) GROUP BY 1, 2),
+  fb AS (SELECT pv.*, coalesce(greatest(coalesce(p, m) + adj, 0.0), baseline_mw) AS fallback_mw FROM pv LEFT JOIN kp ON kp.component = pv.component AND kp.asked = pv.forecast_origin AND kp.how = {_how('delivery_hour')} LEFT JOIN kl ON kl.component = pv.component AND kl.asked = pv.forecast_origin),
+  lg AS (SELECT component, horizon_bucket, actual_mw, 'ercot_baseline' AS model, baseline_mw AS p, false AS promoted FROM fb UNION ALL SELECT component, horizon_bucket, actual_mw, 'hour_of_week_fallback', fallback_mw, false FROM fb UNION ALL SELECT component, horizon_bucket, actual_mw, 'ridge', corrected_mw, true FROM fb WHERE promoted)
+  SELECT component, horizon_bucket, model, promoted, {r('avg(abs(actual_mw - p)) AS mae', 'sqrt(avg((actual_mw - p) ** 2)) AS rmse', 'avg(actual_mw - p) AS bias')}, count(*) AS n_samples FROM lg GROUP BY 1, 2, 3, 4""")
 def b11(t):
-    rows = rollups.hour_of_week_forecast(t.hours, _rolling(t), "mw", ["component"], _at("2024-01-16 00:00:00"))
-    gap = lambda c: F.avg(F.abs(F.col("actual_mw") - F.col(c)))
-    return rows.groupBy("component", "horizon_bucket").agg(
-        gap("baseline_mw").alias("baseline_mae"), gap("corrected_mw").alias("corrected_mae"), gap("profile_forecast_mw").alias("fallback_mae"), F.count(F.lit(1)).alias("n_samples")
-    )
+    return power.backtest(power.component_history(t.power_vintages, t.power_actuals), CF)[1]
 
 
-_NET = "nl AS (SELECT forecast_origin, delivery_hour, horizon_bucket, abs(sum(CASE WHEN component = 'load' THEN actual_mw - corrected_mw ELSE corrected_mw - actual_mw END)) AS e FROM rp GROUP BY 1, 2, 3 HAVING count(DISTINCT component) = 3)"
+_NET = "nl AS (SELECT forecast_origin, delivery_hour, horizon_bucket, abs(sum(CASE WHEN component = 'load' THEN actual_mw - corrected_mw ELSE corrected_mw - actual_mw END)) AS e FROM {0} GROUP BY 1, 2, 3 HAVING count(DISTINCT component) = 3)"
 _RAD = "list_sort(list(e))[CAST(least(count(*), ceil((count(*) + 1) * 0.8)) AS INTEGER)]"
 
 
-@query("j17_three_way_inner", f"{_FOLDS}, {_NET} SELECT forecast_origin, delivery_hour, horizon_bucket, {r('e AS abs_error')} FROM nl")
+@query("j17_three_way_inner", f"{_FOLDS}, {_NET.format('rp')} SELECT forecast_origin, delivery_hour, horizon_bucket, {r('e AS abs_error')} FROM nl")
 def j17(t):
     return power.net_load_errors(_rolling(t))
 
 
-@query("w18_bucket_radius", f"""{_FOLDS}, rd AS (SELECT component, horizon_bucket, {_RAD} AS radius FROM (SELECT *, abs(actual_mw - corrected_mw) AS e FROM rp) GROUP BY 1, 2)
-  SELECT h1.component, h1.delivery_hour, h1.horizon_bucket, {r('baseline_mw', 'CASE WHEN radius IS NOT NULL AND baseline_mw IS NOT NULL THEN greatest(baseline_mw - radius, 0.0) END AS load_lower_mw', 'baseline_mw + radius AS load_upper_mw')} FROM h1 LEFT JOIN rd ON rd.component = h1.component AND rd.horizon_bucket = h1.horizon_bucket WHERE forecast_origin = TIMESTAMP '{ORIGIN}'""")
+@query("w18_bucket_radius", f"""{_PUBLISHED}, {sql_linear('fin', 'hh', ['component'], CF, 'yy', 10.0)}, rd AS (SELECT component, horizon_bucket, {_RAD} AS radius FROM (SELECT *, abs(actual_mw - corrected_mw) AS e FROM pv) GROUP BY 1, 2),
+  cu AS (SELECT h1.component, delivery_hour, horizon_bucket, baseline_mw, horizon_hour, coalesce(recent_error_mw, 0.0) AS recent_error_mw FROM h1 LEFT JOIN re USING (component, forecast_origin) WHERE forecast_origin = TIMESTAMP '{ORIGIN}'),
+  fc AS (SELECT cu.*, CASE WHEN gt.promoted THEN greatest(baseline_mw + {sql_pred('b', CF)}, 0.0) ELSE baseline_mw END AS forecast_mw FROM cu LEFT JOIN gt USING (component) LEFT JOIN fin_b b ON b.component = cu.component)
+  SELECT fc.component, fc.delivery_hour, fc.horizon_bucket, {r('baseline_mw', 'forecast_mw', 'CASE WHEN radius IS NOT NULL AND forecast_mw IS NOT NULL THEN greatest(forecast_mw - radius, 0.0) END AS load_lower_mw', 'forecast_mw + radius AS load_upper_mw')} FROM fc LEFT JOIN rd ON rd.component = fc.component AND rd.horizon_bucket = fc.horizon_bucket""")
 def w18(t):
-    errors = _rolling(t).withColumn("abs_error", F.abs(F.col("actual_mw") - F.col("corrected_mw")))
-    current = power.realized_history(t.power_vintages, t.power_actuals).where(F.col("forecast_origin") == _at())
-    return bucket_bounds(current, errors, "baseline_mw", "load", keys=["component"]).select(
-        "component", "delivery_hour", "horizon_bucket", "baseline_mw", "load_lower_mw", "load_upper_mw"
+    history = power.component_history(t.power_vintages, t.power_actuals)
+    current, rows = power.correct(history, history.where(F.col("forecast_origin") == _at()), _at(), CF)
+    errors = rows.withColumn("abs_error", F.abs(F.col("actual_mw") - F.col("corrected_mw")))
+    return bucket_bounds(current, errors, "forecast_mw", "load", keys=["component"]).select(
+        "component", "delivery_hour", "horizon_bucket", "baseline_mw", "forecast_mw", "load_lower_mw", "load_upper_mw"
     )
 
 
@@ -251,12 +270,13 @@ def i03(t):
     )
 
 
-@query("i02_net_load_interval", f"""{_FOLDS}, {_NET}, {_STACK_IN}, nr AS (SELECT horizon_bucket, {_RAD} AS radius FROM nl GROUP BY 1), b AS (SELECT s2.*, {_bucket(f"CAST(date_diff('hour', TIMESTAMP '{ORIGIN}', delivery_hour) AS INTEGER)")} AS horizon_bucket FROM s2 WHERE delivery_hour > TIMESTAMP '{ORIGIN}')
+@query("i02_net_load_interval", f"""{_PUBLISHED}, {_NET.format('pv')}, {_STACK_IN}, nr AS (SELECT horizon_bucket, {_RAD} AS radius FROM nl GROUP BY 1), b AS (SELECT s2.*, {_bucket(f"CAST(date_diff('hour', TIMESTAMP '{ORIGIN}', delivery_hour) AS INTEGER)")} AS horizon_bucket FROM s2 WHERE delivery_hour > TIMESTAMP '{ORIGIN}')
   SELECT delivery_hour, {r('net_load_mw', 'net_load_mw - radius AS net_load_lower_mw', 'net_load_mw + radius AS net_load_upper_mw')} FROM b LEFT JOIN nr USING (horizon_bucket)""")
 def i02(t):
     rows = _stack_inputs(t).where(F.col("delivery_hour") > _at()).withColumn("forecast_origin", _at())
     stack = power.physical_stack(add_hourly_features(rows))
-    return bucket_bounds(stack, power.net_load_errors(_rolling(t)), "net_load_mw", "net_load", clip=False).select(
+    _, rows = power.validated(power.known_at(power.component_history(t.power_vintages, t.power_actuals), _at()), CF)
+    return bucket_bounds(stack, power.net_load_errors(rows), "net_load_mw", "net_load", clip=False).select(
         "delivery_hour", "net_load_mw", "net_load_lower_mw", "net_load_upper_mw"
     )
 

@@ -377,3 +377,27 @@ def test_registered_queries_have_sql_and_run(spark):
     for name in ("w07_weekly_model_features", "j06_balance_features_at_origins", "r03_mint_shrink", "b12_rolling_correction_folds"):
         assert names[name](spark, "/root/testdata/sf0.001").columns
     assert entry.entry(spark).count() > 0
+
+
+def test_power_correction_sees_nothing_after_the_origin(spark):
+    hours = spark.range(12 * 24).select((F.col("id") * 3600 + F.lit(1_700_000_000 - 1_700_000_000 % 86400)).alias("s"))
+    origins = spark.range(10).select((F.col("id") * 86400 + F.lit(1_700_000_000 - 1_700_000_000 % 86400 + 86400)).alias("o"))
+    pairs = origins.join(hours, (F.col("s") > F.col("o")) & (F.col("s") <= F.col("o") + 48 * 3600))
+    base = pairs.select(
+        F.lit("load").alias("component"), F.timestamp_seconds("o").alias("forecast_origin"), F.timestamp_seconds("s").alias("delivery_hour"),
+        ((F.col("s") - F.col("o")) / 3600).cast("int").alias("horizon_hour"), F.lit("h001_024").alias("horizon_bucket"), F.timestamp_seconds("s").alias("retrieved_at"),
+        (F.lit(100.0) + F.col("s") / 3600 % 24).alias("baseline_mw"),
+    ).withColumn("actual_mw", F.col("baseline_mw") * 1.1 + F.hour("delivery_hour") % 3)
+    origin = F.timestamp_seconds(F.lit(1_700_000_000 - 1_700_000_000 % 86400 + 8 * 86400))
+    later = base.withColumn("actual_mw", F.when(F.col("delivery_hour") >= origin, -5000.0).otherwise(F.col("actual_mw")))
+    feats = ["baseline_mw", "horizon_hour"]
+    out = []
+    for history in (base, later):
+        forecast, rows = power.correct(history, base.where(F.col("forecast_origin") == origin), origin, feats, min_train=10)
+        assert rows.count() > 0 and rows.where(F.col("delivery_hour") >= origin).isEmpty()
+        out.append((sorted(r["forecast_mw"] for r in forecast.collect()), sorted((r["delivery_hour"], r["corrected_mw"], r["promoted"]) for r in rows.collect())))
+    assert out[0] == out[1]
+    assert out[0][1][0][2]  # the correction is promoted here, so its errors calibrate
+    flat = base.withColumn("actual_mw", F.col("baseline_mw"))
+    _, rows = power.correct(flat, flat.where(F.col("forecast_origin") == origin), origin, feats, min_train=10)
+    assert all(r["corrected_mw"] == r["baseline_mw"] and not r["promoted"] for r in rows.collect())
