@@ -24,22 +24,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Size of the bitmap below, which bounds its broadcast to ``BITMAP / 64`` rows.
-BITMAP = 1 << 22
+BITMAP = 1 << 24
 
 
-def likely_members(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """The ``rows`` whose key may be in ``wanted``, ahead of the join that decides.
+def likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """``rows`` with ``likely``: whether their key may be in ``wanted``; it is never false for a key that is.
 
-    A bitmap of fixed size goes to every task and spares the shuffle most rows that have no partner; it lets more
-    rows pass as ``wanted`` grows, and never holds a partner back.
+    A bitmap of fixed size goes to every task ahead of the join that decides, and spares the shuffle most rows without
+    a partner. It lets more rows pass as ``wanted`` grows.
     """
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
     bits = wanted.select(at(wanted_key).alias("at")).groupBy((F.col("at") / 64).cast("long").alias("bitmap_word")).agg(
         F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bitmap_bits")
     )
     bitmap = F.broadcast(stage(bits, "bitmap"))
-    found = rows.withColumn("bitmap_at", at(key)).withColumn("bitmap_word", (F.col("bitmap_at") / 64).cast("long")).join(bitmap, "bitmap_word")
-    return found.where("getbit(bitmap_bits, int(bitmap_at % 64)) = 1").select(*rows.columns)
+    found = rows.withColumn("bitmap_at", at(key)).withColumn("bitmap_word", (F.col("bitmap_at") / 64).cast("long")).join(bitmap, "bitmap_word", "left")
+    return found.select(*rows.columns, F.expr("coalesce(getbit(bitmap_bits, int(bitmap_at % 64)), 0) = 1").alias("likely"))
+
+
+def likely_members(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The ``rows`` that :func:`likely` does not rule out."""
+    return likely(rows, key, wanted, wanted_key).where("likely").drop("likely")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -11,23 +11,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitcast.llm.common import components, stage
+from pitcast.llm.common import components, likely_members, stage
 from pitcast.llm.tokens import rows_of_words, shingle_set
 
 SHINGLE = 5
 PERCENT = 75
-#: Retained values per document.
-SKETCH = 64
-#: Two full sketches of documents at the similarity asked for share this many values or more, but for a chance of
-#: about 1e-8: their expected overlap less 5.8 standard deviations. Sets no larger than a sketch are exact.
-OVERLAP = int(SKETCH * PERCENT / 100 - 5.8 * sqrt(SKETCH * PERCENT / 100 * (1 - PERCENT / 100)))
+#: Retained values per document of the first index, which finds the documents that can have a near copy at all, and of the
+#: second one, which pairs those.
+FIRST, SECOND = 64, 256
+#: Standard deviations that an overlap of sketches may fall short of its expectation; one pair in about 1e8 does.
+SLACK = 5.8
+#: Hubs of the rounds of star links: the member with the most shared values, the smallest set, and an arbitrary one.
+HUBS = ("-m", "n", "xxhash64(rep)")
 #: Members of one inverted list that a task compares at a time; longer lists are dealt out as pairs of blocks.
 BLOCK = 512
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, set_id, sketch``: shingle count, 128-bit digest of the shingle set and its smallest hashes."""
-    size, width = SKETCH, SHINGLE
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, n, set_id, sketch``: shingle count, 128-bit digest of the shingle set and its ``size`` smallest hashes."""
+    width = SHINGLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,27 +49,53 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, set_id binary, sketch array<long>")
 
 
-def needed(n: str) -> str:
-    """SQL for the overlap that a document of ``n`` shingles must have with any partner."""
-    return f"least(ceil({n} * {PERCENT} / 100.0), {OVERLAP})"
+def needed(size: int) -> str:
+    """SQL for the overlap of sketches that a document of ``n`` shingles must have with any partner.
+
+    A partner shares at least ``PERCENT`` of the larger set. Sets no larger than a sketch are compared exactly.
+    """
+    share = PERCENT / 100
+    return f"least(ceil(n * {PERCENT} / 100.0), {int(size * share - SLACK * sqrt(size * share * (1 - share)))})"
+
+
+def sufficient(low: np.ndarray, high: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """Whether sketches of sets of ``low <= high`` elements that overlap so much allow the similarity.
+
+    The union's sketch is the larger set's below its largest value. At the similarity asked for, the expected
+    part of it that both sets hold follows from the sizes; sets that fit their sketches are decided exactly.
+    """
+    p = PERCENT / (100 + PERCENT) * (1 + low / high)
+    estimate = SECOND * p - SLACK * np.sqrt(SECOND * p * (1 - p))
+    exact = 100 * overlap >= PERCENT * (low + high - overlap)
+    return (100 * low >= PERCENT * high) & np.where(high <= SECOND, exact, overlap >= estimate)
+
+
+def sufficient_sql(low: str, high: str, overlap: str) -> str:
+    """:func:`sufficient` as SQL."""
+    p = f"({PERCENT / (100 + PERCENT)} * (1 + {low} / {high}))"
+    return (
+        f"100 * {low} >= {PERCENT} * {high} AND CASE WHEN {high} <= {SECOND} THEN 100 * {overlap} >= {PERCENT} * ({low} + {high} - {overlap}) "
+        f"ELSE {overlap} >= {SECOND} * {p} - {SLACK} * sqrt({SECOND} * {p} * (1 - {p})) END"
+    )
 
 
-def inverted_lists(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(index, shared)``: prefix entries ``(value, rep, n)`` and, per document, its values that others share.
+def inverted_lists(sets: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``(index, shared)``: prefix entries ``(value, rep, n, m)`` and, per document, its values that others share.
 
     Values are ranked from rare to common. Two documents that share ``t`` sketch values share one among each
     other's first ``k - t + 1``, so only those enter the lists; values of one document alone cannot match.
     """
     values = sets.select("rep", F.explode("sketch").alias("value"))
-    frequent = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    frequent = stage(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
     ranked = values.join(frequent, "value").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("df", "value"))).alias("ranked"))
     shared = stage(
         ranked.join(sets.select("rep", "n").distinct(), "rep")
-        .withColumn("first", F.expr(f"int(size(ranked) - {needed('n')} + 1)")).where("first > 0")
+        .withColumn("first", F.expr(f"int(size(ranked) - {needed(size)} + 1)")).where("first > 0")
         .select("rep", "n", F.expr("slice(ranked.value, 1, first)").alias("prefix"), F.col("ranked.value").alias("common")),
         "shared",
     )
-    return shared.select(F.explode("prefix").alias("value"), "rep", "n"), shared.select("rep", "n", "common")
+    index = shared.select(F.explode("prefix").alias("value"), "rep", "n", F.size("common").alias("m"))
+    return index, shared.select("rep", "n", "common")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -93,51 +121,61 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def hub_pairs(index: DataFrame, shared: DataFrame) -> DataFrame:
-    """Each list member beside the smallest one of its list and size class, where the sketches allow a link.
+def open_lists(members: DataFrame) -> DataFrame:
+    """``value, m`` of the lists whose members are not all connected yet."""
+    lists = members.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return stage(lists.where("low <> high").select("value", "m"), "open")
+
+
+def with_components(index: DataFrame, linked: DataFrame) -> DataFrame:
+    named = index.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return stage(named.withColumn("component", F.coalesce("component", "rep")), "members")
+
 
-    A list of ``m`` members gives fewer than ``m`` pairs, so a large group of near copies is linked through its hub.
+def hub_pairs(members: DataFrame, shared: DataFrame, order: str) -> DataFrame:
+    """Each member of an open list beside the hub of its list and size class, where the sketches allow a link.
+
+    The hub is the first member by ``order``. A list of ``m`` members gives fewer than ``m`` pairs.
     """
-    step = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(PERCENT / 100))).alias("step")
-    members = index.select("value", "rep", "n", step)
-    hubs = members.groupBy("value", "step").agg(F.min(F.struct("n", "rep")).alias("hub"))
-    pairs = members.join(hubs, ["value", "step"]).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).where("a <> b").distinct()
+    step = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(PERCENT / 100)))
+    asked = stage(members.join(open_lists(members).select("value"), "value").withColumn("step", step), "asked")
+    hubs = stage(asked.groupBy("value", "step").agg(F.min(F.struct(F.expr(order).alias("o"), "rep", "component")).alias("hub")), "hubs")
+    pairs = asked.join(hubs, ["value", "step"]).where("component <> hub.component").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
     left = shared.selectExpr("rep AS a", "n AS n_a", "common AS common_a")
     right = shared.selectExpr("rep AS b", "n AS n_b", "common AS common_b")
-    return pairs.join(left, "a").join(right, "b").where(
-        f"size(array_intersect(common_a, common_b)) >= {needed('greatest(n_a, n_b)')} AND 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
-    ).select("a", "b")
+    sized = pairs.join(left, "a").join(right, "b").selectExpr(
+        "a", "b", "least(n_a, n_b) AS low", "greatest(n_a, n_b) AS high", "size(array_intersect(common_a, common_b)) AS overlap"
+    )
+    return sized.where(sufficient_sql("low", "high", "overlap")).select("a", "b")
 
 
-def block_pairs(index: DataFrame, shared: DataFrame, linked: DataFrame) -> DataFrame:
+def block_pairs(members: DataFrame, shared: DataFrame) -> DataFrame:
     """Candidate pairs of members of one list that no link connects yet.
 
     Lists whose members are all connected are done. The others are compared whole, in pairs of blocks of bounded
-    size that spread a long list over many tasks; a task holds two blocks and emits only the pairs whose union
-    sketch and sizes allow the similarity, so its output follows the links and not the square of the list.
+    size that spread a long list over many tasks. A task holds two blocks and emits only pairs whose union
+    sketch and sizes allow the similarity, each in the list of the first value that both prefixes share.
     """
-    percent, overlap = PERCENT, OVERLAP
-    members = index.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    members = stage(members, "members")
-    lists = members.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    lists = lists.where("low <> high").select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    lists = stage(open_lists(members).select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "blocks")
     dealt = members.join(lists, "value").withColumn("block", F.expr("pmod(hash(rep), blocks)"))
     dealt = dealt.select("value", "rep", "n", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     dealt = dealt.select("value", "rep", "component", "n", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     full = dealt.join(shared.select("rep", "common"), "rep")
 
-    def compare(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, common: list) -> tuple[np.ndarray, np.ndarray]:
-        # incidence of values that two members share
+    def compare(value: int, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, common: list) -> tuple[np.ndarray, np.ndarray]:
+        # incidence of values that two members share, of all of them and of those ranked before this list's
         owner = np.repeat(np.arange(len(ids)), [len(x) for x in common])
         _, code, count = np.unique(np.concatenate(common), return_inverse=True, return_counts=True)
         often = count[code] > 1
         column = (np.cumsum(count > 1) - 1)[code[often]]
         grid = np.zeros((len(ids), int((count > 1).sum())), np.float32)
+        earlier = np.zeros_like(grid)
         grid[owner[often], column] = 1
-        overlaps = grid @ grid.T
-        least = np.minimum(np.ceil(sizes * percent / 100), overlap)
-        a, b = np.nonzero(np.triu(overlaps >= np.maximum(least[:, None], least[None, :]), 1))
-        fine = (comps[a] != comps[b]) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b]))
+        ahead = np.concatenate([np.arange(len(x)) < np.flatnonzero(x == value)[0] for x in common])[often]
+        earlier[owner[often][ahead], column[ahead]] = 1
+        overlaps = np.where(earlier @ earlier.T == 0, grid @ grid.T, 0)
+        a, b = np.nonzero(np.triu(overlaps, 1))
+        fine = sufficient(np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b]), overlaps[a, b]) & (comps[a] != comps[b])
         return ids[a[fine]], ids[b[fine]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +186,7 @@ def block_pairs(index: DataFrame, shared: DataFrame, linked: DataFrame) -> DataF
             if len(ids) < 2 or len(set(held[1])) < 2:
                 return None
             first = np.unique(ids, return_index=True)[1]  # a repeated row is one member
-            a, b = compare(ids[first], np.array(held[1])[first], np.array(held[2])[first], [held[3][i] for i in first])
+            a, b = compare(key[0], ids[first], np.array(held[1])[first], np.array(held[2])[first], [held[3][i] for i in first])
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
 
         for batch in batches:
@@ -175,8 +213,8 @@ def block_pairs(index: DataFrame, shared: DataFrame, linked: DataFrame) -> DataF
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
-    Documents with equal shingle sets are one node, named by their smallest id. Bottom-k values of the nodes form
-    inverted lists; members are first linked to the hub of their list, then lists with unconnected members are
+    Documents with equal shingle sets are one node, named by their smallest id. Inverted lists of bottom-k values
+    find the nodes that can have a partner, and lists of their longer sketches pair them: members are first linked to hubs of their list, then lists with unconnected members are
     compared in blocks. Overlaps of union sketches filter, full sets confirm, and ``component_id`` is the smallest id
     that confirmed links reach. ``kept`` marks that document.
 
@@ -184,16 +222,22 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     blank texts have none, link with nothing and stay. Ids are taken as unique: rows that repeat an id share
     its component, and a row without an id can copy another but never hold a group together. Other columns are ignored.
     """
-    found = stage(sketches(docs), "sketches")
-    groups = found.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
+    found = stage(sketches(docs, FIRST), "sketches")
+    groups = stage(found.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "groups")
     sets = stage(found.join(groups, "set_id").where("doc_id = rep").select("rep", "n", "sketch"), "sets")
-    index, shared = inverted_lists(sets)
-    wanted = shared.select("rep").distinct()
-    texts = stage(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep"), "texts")
-    links = stage(verified(hub_pairs(index, shared), texts), "verified")
-    first = stage(components(links), "components")
-    rest = verified(block_pairs(index, shared, first), texts)
-    final = components(first.selectExpr("node AS a", "component AS b").unionByName(rest))
+    wanted = stage(inverted_lists(sets, FIRST)[0].select("rep").distinct(), "wanted")
+    bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = stage(likely_members(bodies, F.col("rep"), wanted, F.col("rep")).join(wanted, "rep"), "texts")
+    closer = stage(sketches(texts.withColumnRenamed("rep", "doc_id"), SECOND).select(F.col("doc_id").alias("rep"), "n", "sketch"), "closer")
+    index, shared = inverted_lists(closer, SECOND)
+    members = index.withColumn("component", F.col("rep"))
+    linked = None
+    for order in HUBS:
+        links = stage(verified(hub_pairs(members, shared, order), texts), "verified")
+        linked = stage(components(links if linked is None else linked.selectExpr("node AS a", "component AS b").unionByName(links)), "components")
+        members = with_components(index, linked)
+    rest = verified(block_pairs(members, shared), texts)
+    final = stage(components(linked.selectExpr("node AS a", "component AS b").unionByName(rest)), "components")
     named = found.select("doc_id", "n", "set_id").join(groups, "set_id", "left")
     out = named.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(
