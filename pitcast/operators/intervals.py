@@ -1,13 +1,10 @@
 """Conformal intervals from earlier errors only.
 
 The radius is an exact order statistic: the ceil((n + 1) * coverage)-th smallest of the n
-residuals released before a row. Two physical forms give the same answer:
-
-* direct: each calibration time meets the residuals released before it;
-* narrowed: value bins with running counts first find the bin that holds the wanted rank, so only
-  residuals of that one bin meet the calibration time. Bins split again until they are small.
-
-The form is chosen by the size of the largest group, so no group of unbounded size is gathered.
+residuals released before a row. Residuals are numbered within their group by value, ties by row, so equal
+values are told apart and a large group spreads over tasks. A radius over a whole group is the row with the wanted
+number. A rolling radius descends by number: running counts over time say which block of numbers holds the
+wanted rank, blocks split by a fixed factor until one residual is left. Nothing is gathered at any size.
 """
 
 from __future__ import annotations
@@ -15,16 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitcast.functions.columns import at_least
+from pitcast.operators.ordered import ranked, running_before
 from pitcast.session import staged
 
-# Largest group answered directly: many calibration times per group, or a single one.
-DIRECT_LIMIT = 2_000
-SINGLE_LIMIT = 20_000
-BINS = 32
+#: Blocks that a block of ranks splits into.
+BLOCKS = 32
 
 
 def rank_for(count: Column | str, coverage: float) -> Column:
@@ -37,130 +32,84 @@ def _require_coverage(coverage: float) -> None:
         raise ValueError("coverage must be between 0 and 1.")
 
 
-def conformal_radius(df: DataFrame, residual: str, coverage: float, keys: Sequence[str] = (),
-                     levels: int | None = None, direct_limit: int = SINGLE_LIMIT) -> DataFrame:
-    """Radius per key over all its residuals, by the same size-checked selection as the rolling form."""
-    _require_coverage(coverage)
-    r = df.where(F.col(residual).isNotNull()).select(*keys, F.col(residual).alias("_r"))
-    keyed = staged(r.withColumn("_g", F.struct(*keys) if keys else F.struct(F.lit(1).alias("one"))), "residuals")
-    asked = keyed.groupBy("_g", *keys).agg(F.count(F.lit(1)).alias("n")).withColumns(
-        {"_t": F.lit(1), "rank": rank_for("n", coverage)}
-    )
-    residuals = keyed.select("_g", F.lit(0).alias("_t"), "_r")
-    if levels is None:
-        levels = _levels_for(residuals, direct_limit)
-    found = _select_ranks(asked.select("_g", "_t", "rank"), residuals, levels)
-    return asked.join(found, ["_g", "_t"]).select(*keys, "n", F.col("_value").alias("radius"))
+def _numbered(values: DataFrame) -> DataFrame:
+    """``_g, _r`` rows with their position from 1 by value within the group."""
+    rows = staged(values.withColumn("_id", F.monotonically_increasing_id()), "values")
+    return staged(ranked(rows, ["_g"], ["_r", "_id"]).drop("_id"), "positions")
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], names: Sequence[str], keys: Sequence[str] = (),
-                    levels: int | None = None, direct_limit: int = SINGLE_LIMIT) -> DataFrame:
-    """Linearly interpolated quantiles per key, however large a key is.
+def _group(keys: Sequence[str]) -> Column:
+    return F.struct(*keys) if keys else F.struct(F.lit(1).alias("one"))
 
-    Each quantile needs the two order statistics around it; they are found like a conformal rank.
-    """
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_r"))
-    keyed = staged(known.withColumn("_g", F.struct(*keys) if keys else F.struct(F.lit(1).alias("one"))), "values")
-    sizes = keyed.groupBy("_g", *keys).agg(F.count(F.lit(1)).alias("_n"))
+
+def conformal_radius(df: DataFrame, residual: str, coverage: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Radius per key over all its residuals."""
+    _require_coverage(coverage)
+    rows = _numbered(df.where(F.col(residual).isNotNull()).select(*keys, F.col(residual).alias("_r"), _group(keys).alias("_g")))
+    asked = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).withColumn("_pos", rank_for("n", coverage))
+    return rows.join(asked, ["_g", "_pos"]).select(*keys, "n", F.col("_r").alias("radius"))
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated quantiles per key, from the two order statistics around each."""
+    rows = _numbered(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_r"), _group(keys).alias("_g")))
+    sizes = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     place = [(F.col("_n") - 1) * F.lit(float(q)) for q in quantiles]
-    wanted = [
-        F.struct(F.lit(2 * i + side + 1).alias("_t"), ((F.ceil(p) if side else F.floor(p)) + 1).cast("bigint").alias("rank"))
-        for i, p in enumerate(place) for side in (0, 1)
-    ]
-    queries = sizes.select("_g", F.explode(F.array(*wanted)).alias("_w")).select("_g", "_w._t", "_w.rank")
-    residuals = keyed.select("_g", F.lit(0).alias("_t"), "_r")
-    if levels is None:
-        levels = _levels_for(residuals, direct_limit)
-    found = _select_ranks(queries, residuals, levels).groupBy("_g").agg(
-        *[F.max(F.when(F.col("_t") == k + 1, F.col("_value"))).alias(f"_q{k}") for k in range(2 * len(quantiles))]
-    )
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array((F.floor(p) + 1).cast("bigint"), (F.ceil(p) + 1).cast("bigint")) for p in place])))
+    hits = rows.join(sizes.withColumn("_pos", F.explode(wanted)), ["_g", "_pos"])
+    at = lambda p, side: F.max(F.when(F.col("_pos") == side(p) + 1, F.col("_r")))
     out = []
-    for i, (p, name) in enumerate(zip(place, names)):
-        low, high = F.col(f"_q{2 * i}"), F.col(f"_q{2 * i + 1}")
-        out.append((low + (high - low) * (p - F.floor(p))).alias(name))
-    return sizes.join(found, "_g").select(*keys, *out)
-
-
-def _narrow(queries: DataFrame, residuals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Move each (group, time, rank) query into the value bin that holds its rank."""
-    probs = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    edges = residuals.groupBy("_g").agg(F.percentile_approx("_r", probs, F.lit(1000)).alias("_edges"))
-    binned = residuals.join(edges, "_g").withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_r")))
-    )
-    per_time = binned.groupBy("_g", "_t").agg(
-        *[F.count_if(F.col("_b") == i).alias(f"c{i}") for i in range(BINS)]
-    )
-    both = per_time.unionByName(queries.withColumn("_q", F.lit(True)), allowMissingColumns=True)
-    earlier = W.partitionBy("_g").orderBy("_t").rangeBetween(W.unboundedPreceding, -1)
-    counts = F.array(*[F.coalesce(F.sum(f"c{i}").over(earlier), F.lit(0)) for i in range(BINS)])
-    asked = both.withColumn("_counts", counts).where(F.col("_q")).select("_g", "_t", "rank", "_counts")
+    for p, name in zip(place, names):
+        low, high = at(p, F.floor), at(p, F.ceil)
+        share = F.max(p - F.floor(p))
+        out.append((low + (high - low) * share).alias(name))
+    return hits.groupBy("_g", *keys).agg(*out).drop("_g")
+
+
+def _select_ranks(queries: DataFrame, residuals: DataFrame) -> DataFrame:
+    """The rank-th smallest residual with an earlier time, for every (group, time, rank) query; integer times."""
+    rows = _numbered(residuals).withColumn("_p", F.col("_pos") - 1)
+    largest = rows.agg(F.max("_pos")).first()[0] or 1
+    levels = 1
+    while BLOCKS**levels < largest:
+        levels += 1
+    names = [f"c{i}" for i in range(BLOCKS)]
     start = F.struct(F.lit(-1).alias("b"), F.lit(0).cast("bigint").alias("below"), F.lit(0).cast("bigint").alias("upto"))
     walk = F.aggregate(
-        "_counts",
-        start,
-        lambda s, c: F.when(s["upto"] >= F.col("rank"), s).otherwise(
-            F.struct((s["b"] + 1).alias("b"), s["upto"].alias("below"), (s["upto"] + c).alias("upto"))
-        ),
-    )
-    moved = asked.withColumn("_w", walk).select(
-        F.struct(F.col("_g").alias("g"), F.col("_w.b").alias("b")).alias("_g"), "_t", (F.col("rank") - F.col("_w.below")).alias("rank")
+        F.array(*names), start,
+        lambda s, c: F.when(s["upto"] >= F.col("rank"), s).otherwise(F.struct((s["b"] + 1).alias("b"), s["upto"].alias("below"), (s["upto"] + c).alias("upto"))),
     )
-    parts = binned.select(F.struct(F.col("_g").alias("g"), F.col("_b").alias("b")).alias("_g"), "_t", "_r")
-    return moved, parts.join(moved.select("_g").distinct(), "_g", "left_semi")
-
-
-def _select_ranks(queries: DataFrame, residuals: DataFrame, levels: int) -> DataFrame:
-    """The rank-th smallest residual with an earlier time, for every (group, time, rank) query.
-
-    Integer times only. ``levels`` passes over value bins precede the final small gather.
-    """
-    for _ in range(levels):
-        queries, residuals = _narrow(queries, residuals)
-    near = queries.join(residuals.withColumnRenamed("_t", "_rt"), "_g").where(F.col("_rt") < F.col("_t"))
-    picked = near.groupBy("_g", "_t", "rank").agg(F.array_sort(F.collect_list("_r")).alias("_rs"))
-    out = picked.select("_g", "_t", F.try_element_at("_rs", F.col("rank").cast("int")).alias("_value"))
-    for _ in range(levels):
-        out = out.withColumn("_g", F.col("_g.g"))
-    return out
-
-
-def _levels_for(residuals: DataFrame, direct_limit: int) -> int:
-    """Number of narrowing passes that bring the largest group below the direct limit."""
-    largest = residuals.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
-    levels = 0
-    while largest > direct_limit:
-        largest /= BINS
-        levels += 1
-    return levels
+    asked = queries.select("_g", "_t", "rank", F.lit(0).cast("bigint").alias("_path"))
+    for level in reversed(range(levels)):
+        width = BLOCKS**level
+        block = F.floor(F.col("_p") / width)
+        inside = rows.select("_g", "_t", F.floor(block / BLOCKS).alias("_path"), (block % BLOCKS).alias("_b"))
+        inside = inside.join(asked.select("_g", "_path").distinct(), ["_g", "_path"], "left_semi")
+        counts = inside.groupBy("_g", "_path", "_t").agg(*[F.count_if(F.col("_b") == i).alias(f"c{i}") for i in range(BLOCKS)])
+        both = counts.join(asked, ["_g", "_path", "_t"], "full").na.fill(0, names)
+        moved = running_before(both, ["_g", "_path"], "_t", names).where(F.col("rank").isNotNull()).withColumn("_w", walk)
+        asked = staged(moved.select(
+            "_g", "_t", (F.col("rank") - F.col("_w.below")).alias("rank"), (F.col("_path") * BLOCKS + F.col("_w.b")).alias("_path")
+        ), "descent")
+    return asked.select("_g", "_t", F.col("_path").alias("_p")).join(rows.select("_g", "_p", F.col("_r").alias("_value")), ["_g", "_p"]).drop("_p")
 
 
 def _calibrated(data: DataFrame, group: Sequence[str], query_time: Column, release_time: Column, residual: Column,
-                prediction: str, coverage: float, minimum: int, levels: int | None,
-                names: dict[str, str], direct_limit: int) -> DataFrame:
+                prediction: str, coverage: float, minimum: int, names: dict[str, str]) -> DataFrame:
     """Attach count, radius and bounds. Times are integers; a residual released at r serves queries with r < q."""
     _require_coverage(coverage)
     if minimum < 1:
         raise ValueError("The minimum calibration size must be at least 1.")
-    g = F.struct(*group) if group else F.struct(F.lit(1).alias("one"))
     rows = staged(
-        data.withColumns({"_g": g, "_t": query_time.cast("bigint"), "_rt": release_time.cast("bigint"), "_r": residual}), "calibration"
+        data.withColumns({"_g": _group(group), "_t": query_time.cast("bigint"), "_rt": release_time.cast("bigint"), "_r": residual}), "calibration"
     )
     residuals = rows.where(F.col("_r").isNotNull()).select("_g", F.col("_rt").alias("_t"), "_r")
-    if levels is None:
-        levels = _levels_for(residuals, direct_limit)
-
-    per_time = residuals.groupBy("_g", "_t").agg(F.count(F.lit(1)).alias("_n"))
+    per_time = residuals.groupBy("_g", "_t").agg(F.count(F.lit(1)).alias("_count"))
     asked = rows.select("_g", "_t").distinct().withColumn("_q", F.lit(True))
-    earlier = W.partitionBy("_g").orderBy("_t").rangeBetween(W.unboundedPreceding, -1)
-    counts = (
-        per_time.unionByName(asked, allowMissingColumns=True)
-        .withColumn("_count", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
-        .where(F.col("_q"))
-        .select("_g", "_t", "_count")
-    )
+    both = per_time.join(asked, ["_g", "_t"], "full").na.fill(0, ["_count"])
+    counts = staged(running_before(both, ["_g"], "_t", ["_count"]).where(F.col("_q")).select("_g", "_t", "_count"), "counts")
     queries = counts.where(F.col("_count") >= minimum).select("_g", "_t", rank_for("_count", coverage).alias("rank"))
-    radius = _select_ranks(queries, residuals, levels)
+    radius = _select_ranks(queries, residuals)
     out = rows.join(counts.join(radius, ["_g", "_t"], "left"), ["_g", "_t"], "left")
     return out.withColumns(
         {
@@ -173,14 +122,12 @@ def _calibrated(data: DataFrame, group: Sequence[str], query_time: Column, relea
 
 
 def rolling_intervals(df: DataFrame, actual: str, prediction: str = "predicted_weekly_change", date: str = "date",
-                      coverage: float = 0.8, minimum: int = 20, group: Sequence[str] = (), levels: int | None = None,
-                      direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+                      coverage: float = 0.8, minimum: int = 20, group: Sequence[str] = ()) -> DataFrame:
     """Intervals from residuals of strictly earlier target dates in the same group."""
     day = F.unix_date(F.to_date(date))
     out = _calibrated(
-        df, group, day, day, F.abs(F.col(actual) - F.col(prediction)), prediction, coverage, minimum, levels,
+        df, group, day, day, F.abs(F.col(actual) - F.col(prediction)), prediction, coverage, minimum,
         {"lower": "interval_lower", "upper": "interval_upper", "radius": "interval_radius", "count": "calibration_samples"},
-        direct_limit,
     )
     return out.withColumn("nominal_coverage", F.lit(coverage))
 
@@ -188,7 +135,7 @@ def rolling_intervals(df: DataFrame, actual: str, prediction: str = "predicted_w
 def horizon_intervals(df: DataFrame, actual: str, prediction: str, origin: str = "forecast_origin",
                       bucket: str = "horizon_bucket", target: str | None = None, coverage: float = 0.8,
                       minimum: int = 30, lower: str = "lower_bound", upper: str = "upper_bound",
-                      keys: Sequence[str] = (), levels: int | None = None, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+                      keys: Sequence[str] = ()) -> DataFrame:
     """Intervals per horizon bucket from residuals realized by the current origin.
 
     A residual is released at the later of its target time and the instant after its own origin.
@@ -198,8 +145,7 @@ def horizon_intervals(df: DataFrame, actual: str, prediction: str, origin: str =
     release = micros(origin) if target is None else F.greatest(micros(target) - 1, micros(origin))
     return _calibrated(
         df, [*keys, bucket], micros(origin), release, F.abs(F.col(actual) - F.col(prediction)), prediction, coverage,
-        minimum, levels, {"lower": lower, "upper": upper, "radius": "interval_radius", "count": "calibration_count"},
-        direct_limit,
+        minimum, {"lower": lower, "upper": upper, "radius": "interval_radius", "count": "calibration_count"},
     ).drop("interval_radius")
 
 

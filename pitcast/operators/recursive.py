@@ -316,7 +316,7 @@ def fold_origins(validation: DataFrame, keys: Sequence[str], train_last: DataFra
 
 def backtest(df: DataFrame, keys: Sequence[str], features: Sequence[str], spec, model=None, horizon: int = 4,
              mode: str = "seasonal", scenarios: DataFrame | None = None, model_key: str = "linear_regression",
-             coverage: float | None = None, minimum: int = 20, levels: int | None = None) -> DataFrame:
+             coverage: float | None = None, minimum: int = 20) -> DataFrame:
     """Recursive rolling-origin backtest of all series and folds in one job."""
     from pitcast.operators import linear, splits
     from pitcast.operators.intervals import rolling_intervals
@@ -336,7 +336,7 @@ def backtest(df: DataFrame, keys: Sequence[str], features: Sequence[str], spec,
     out = project_linear(inputs, params, keys, features, model_key).withColumn("forecast_input_mode", F.lit(mode))
     if coverage is None:
         return out
-    out = rolling_intervals(out, "actual_weekly_change", coverage=coverage, minimum=minimum, group=[*keys, "horizon"], levels=levels)
+    out = rolling_intervals(out, "actual_weekly_change", coverage=coverage, minimum=minimum, group=[*keys, "horizon"])
     if abs(coverage - 0.8) < 1e-9:
         out = out.withColumns({"p10": F.col("interval_lower"), "p90": F.col("interval_upper")})
     return out
