@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitcast.llm.common import stage
+from pitcast.llm.common import likely, likely_members, stage
 from pitcast.llm.tokens import BYTE_VALUES, STEP, column_bytes, grams, hashed_spans, mixed, rolling, slices, word_spans
 
 TEXT_KEY = ["t1", "t2"]
@@ -114,7 +114,8 @@ def recurring(anchored: DataFrame) -> DataFrame:
     """The anchors whose gram is an anchor at another place too, places being positions in distinct texts."""
     places = anchored.withColumn("place", F.xxhash64("t1", "t2", "p"))
     again = places.groupBy("g").agg(F.min("place").alias("one"), F.max("place").alias("other")).where("one <> other").select("g")
-    return anchored.join(again, "g")
+    again = stage(again, "again")
+    return likely_members(anchored, F.col("g"), again, F.col("g")).join(again, "g")
 
 
 def by_text(anchored: DataFrame) -> DataFrame:
@@ -125,14 +126,28 @@ def by_text(anchored: DataFrame) -> DataFrame:
 def with_texts(lists: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per text with ``text`` and ``id`` of the copy with the smallest id; the id in the join keeps copies apart."""
     ids = texts.groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("doc_id"))
-    wanted = lists.join(ids, TEXT_KEY)
-    one = texts.join(
+    wanted = stage(lists.join(ids, TEXT_KEY), "wanted")
+    one = likely_members(texts, F.xxhash64("t1", "doc_id"), wanted, F.xxhash64("t1", "doc_id")).join(
         wanted.withColumnsRenamed({"t1": "w1", "t2": "w2", "doc_id": "wanted_id"}),
         (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")),
     )
     return one.select(*TEXT_KEY, F.col("wanted_id").alias("id"), "text", *[c for c in lists.columns if c not in TEXT_KEY])
 
 
+def unlike_copies(segments: DataFrame, place: Column) -> tuple[DataFrame, DataFrame]:
+    """Segments that equal another one with a smaller ``place``, and the first of every distinct segment.
+
+    Both keep all columns, with ``n`` copies. Only segments whose digest may occur twice are joined with their group.
+    """
+    groups = stage(segments.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
+    flagged = likely(segments, F.xxhash64("s1", "s2"), groups, F.xxhash64("s1", "s2"))
+    sure = flagged.where("NOT likely").drop("likely").withColumn("n", F.lit(1).cast("long"))
+    judged = flagged.where("likely").drop("likely").join(groups, ["s1", "s2"], "left")
+    judged = judged.withColumn("copy", F.col("n").isNotNull() & (place != F.col("first"))).withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+    judged = stage(judged.drop("first"), "judged")
+    return judged.where("copy").drop("copy"), sure.unionByName(judged.where("NOT copy").drop("copy"))
+
+
 def multikey_order(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Order of rows of 64-bit tokens: sort by the current token, descend to the next one only inside equal runs."""
     order = np.arange(len(tokens))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitcast.llm.common import SPACE, stage
-from pitcast.llm.repeats import TEXT_KEY, Suffixes, by_text, keyed, padded, recurring, span_lists, spans_of, staged_candidates, word_anchors
+from pitcast.llm.repeats import TEXT_KEY, Suffixes, by_text, keyed, padded, recurring, span_lists, spans_of, staged_candidates, unlike_copies, word_anchors
 from pitcast.llm.tokens import rows_of_words
 
 LENGTH = 20
@@ -129,7 +129,7 @@ def compare_groups(records: DataFrame) -> DataFrame:
 def grouped(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records dealt to prefix groups of bounded size, ``kind, key`` added, and those that only whole windows split."""
     first = records.withColumns({"kind": F.lit(0), "key": F.xxhash64(F.expr(f"slice(words, hi + 1, {GRAM})"))})
-    large = first.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("key")
+    large = stage(first.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("key"), "large")
     fitting = first.join(large, "key", "left_anti")
     halves = first.join(large, "key").withColumn("half", F.explode(F.expr(f"""filter(array(
         named_struct('kind', 1, 'lo', lo, 'hi', least(hi, {NEAR}S), 'key', xxhash64(slice(words, hi + 1, {FORWARD}))),
@@ -142,6 +142,7 @@ def grouped(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     halves = stage(halves, "halves")
     still = halves.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("kind", "key")
+    still = stage(still, "still")
     return fitting.unionByName(halves.join(still, ["kind", "key"], "left_anti")), halves.join(still, ["kind", "key"], "left_semi")
 
 
@@ -153,20 +154,18 @@ def compare_windows(records: DataFrame) -> DataFrame:
     )
     place = F.struct("id", "start", "t1", "t2")
     least = windows.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
-    return windows.join(least, ["w1", "w2"]).where(place != F.col("least")).select(*TEXT_KEY, "start", (F.col("start") + LENGTH).alias("stop"))
+    return windows.join(stage(least, "least"), ["w1", "w2"]).where(place != F.col("least")).select(*TEXT_KEY, "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def later_spans(candidates: DataFrame) -> DataFrame:
     """``t1, t2, start, stop``: ranges of words covered by a window whose words also start earlier."""
     found = stage(segments(candidates), "segments")
-    place = F.struct("id", "t1", "t2", "p")
-    same = found.groupBy("s1", "s2").agg(F.min(place).alias("least"))
-    judged = stage(found.join(same, ["s1", "s2"]).withColumn("earliest", place == F.col("least")).drop("least", "s1", "s2"), "judged")
-    copies = judged.where("NOT earliest").select(*TEXT_KEY, (F.col("p") - F.col("hi")).alias("start"), (F.col("p") - F.col("lo") + LENGTH).alias("stop"))
-    single = by_text(recurring(judged.where("earliest")))
+    copies, firsts = unlike_copies(found, F.struct("id", "t1", "t2", "p"))
+    later = copies.select(*TEXT_KEY, (F.col("p") - F.col("hi")).alias("start"), (F.col("p") - F.col("lo") + LENGTH).alias("stop"))
+    single = by_text(recurring(firsts.select(*TEXT_KEY, "p", "lo", "hi", "g")))
     records = stage(suffixes(single.join(candidates.select(*TEXT_KEY, "id", "text"), TEXT_KEY)), "suffixes")
     groups, wide = grouped(records)
-    return copies.unionByName(compare_groups(groups)).unionByName(compare_windows(wide))
+    return later.unionByName(compare_groups(groups)).unionByName(compare_windows(wide))
 
 
 def _without(candidates: DataFrame, spans: DataFrame) -> DataFrame:
@@ -205,7 +204,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     texts = keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     candidates = staged_candidates(texts, word_anchors, GRAM, LENGTH, "words")
     changed = stage(_without(candidates, later_spans(candidates)), "changed")
-    first = texts.groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("first_id"))
+    first = stage(texts.groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("first_id")), "first")
     body = F.trim(F.regexp_replace("text", SPACE, " "))
     base = texts.select("doc_id", *TEXT_KEY, F.when(body == "", 0).otherwise(F.size(F.split(body, " "))).cast("long").alias("n_words"), body.alias("body"))
     joined = base.join(first, TEXT_KEY).join(changed, TEXT_KEY, "left")
