@@ -20,11 +20,12 @@ def payload_hash(payload: Column | str) -> Column:
 def frame_hash(df: DataFrame, *keys: str) -> DataFrame:
     """One content hash per key (or for the table).
 
-    The row digests are combined by 64-bit modular sums of their four words, so the
-    aggregation keeps a fixed-size buffer however many rows a key holds.
+    Each row's digest is cut into its four 64-bit words, whose sums and the row count are hashed again, so the
+    aggregation keeps a fixed-size buffer however many rows a key holds. Equal tables have equal hashes; different ones
+    differ but by chance. It is no defence against rows made up to collide.
     """
     words = [
-        F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)
+        F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)") for i in range(4)
     ]
     sums = [F.sum(w).alias(f"w{i}") for i, w in enumerate(words)]
     totals = df.select(*keys, row_hash(df).alias("h")).groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n"))

@@ -165,14 +165,16 @@ def scenario_as_of(
 
 def require_single_model(selected: DataFrame) -> DataFrame:
     """Raise when the latest issue of some target holds more than one model."""
-    if selected.where(F.col("n_models") > 1).limit(1).count():
-        raise ValueError("Multiple weather models are available; choose a provider or model.")
-    return selected.drop("n_models")
+    stop = F.raise_error(F.lit("Multiple weather models are available; choose a provider or model.")).cast("long")
+    return selected.withColumn("n_models", F.when(F.col("n_models") > 1, stop).otherwise(F.col("n_models"))).where("n_models IS NOT NULL").drop("n_models")
 
 
 def normalized_weights(selected: DataFrame, weight: str) -> DataFrame:
-    """Share of each state within its region."""
-    total = F.sum(weight).over(W.partitionBy("duoarea"))
+    """Share of each state within its region; a negative weight or a region without weight stops the job."""
+    whole = F.sum(weight).over(W.partitionBy("duoarea"))
+    negative = F.min(weight).over(W.partitionBy("duoarea")) < 0
+    bad = F.raise_error(F.concat(F.lit("Weights must not be negative and need a positive total in region "), F.col("duoarea"))).cast("double")
+    total = F.when(negative | (whole <= 0), bad).otherwise(whole)
     return selected.select(
         "state", "duoarea", "available_at", (F.col(weight) / total).alias("weather_weight")
     )

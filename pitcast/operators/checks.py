@@ -133,7 +133,7 @@ def crude_long(df: DataFrame) -> DataFrame:
     rows = df.where(F.col("component").isin(*RAW_COMPONENTS))
     cells = rows.groupBy("period", "component").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("value").isNull() | F.isnan("value")).alias("_bad"),
+        F.count_if(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))).alias("_bad"),
         F.count_if(F.col("value") < 0).alias("_neg"),
     )
     weeks = cells.groupBy("period").agg(
@@ -156,18 +156,21 @@ def crude_balance(df: DataFrame) -> DataFrame:
     w = W.orderBy("date")
     interior = F.row_number().over(w) > 1
     diffs = ["commercial_stock_change_mmbbl", "spr_stock_change_mmbbl", "balance_adjustment_mmbbl"]
+    infinite = F.lit(False)
+    for c in FORECAST_COMPONENTS:
+        infinite = infinite | F.isnan(c) | (F.abs(c) == float("inf"))
     negative = F.lit(False)
     for c in NONNEGATIVE:
         negative = negative | (F.col(c) < 0)
     marked = df.select(
         "date", F.datediff("date", F.lag("date").over(w)).alias("_s"),
         (_any_null([c for c in FORECAST_COMPONENTS if c not in diffs]) | (interior & _any_null(diffs))).alias("_null"),
-        negative.alias("_neg"),
+        negative.alias("_neg"), infinite.alias("_inf"),
     )
     return marked.agg(
         F.count_if(F.weekday("date") != 4).alias("not_friday"), F.count_if(F.col("_s") == 0).alias("duplicate_dates"),
         F.count_if((F.col("_s") != 7) & (F.col("_s") != 0)).alias("gaps"), F.count_if("_null").alias("missing_values"),
-        F.count_if("_neg").alias("negative_values"),
+        F.count_if("_neg").alias("negative_values"), F.count_if("_inf").alias("not_finite"),
     )
 
 

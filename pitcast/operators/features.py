@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pitcast.functions.calendar import add_calendar_features
 from pitcast.functions.columns import require_columns
 
+# The target, feature and column names of the model tables.
 TARGET = "weekly_change_bcf"
 CALENDAR_FEATURES = ("week_sin", "week_cos", "month_sin", "month_cos")
 WEATHER_FEATURES = (

@@ -55,7 +55,8 @@ def bucket_comparison(df: DataFrame, keys: Sequence[str] = (), bucket: str = "ho
 
 
 def interval_columns(actual: str, lower: str, upper: str, coverage: float) -> list[Column]:
-    valid = F.col(actual).isNotNull() & F.col(lower).isNotNull() & F.col(upper).isNotNull()
+    crossed = F.raise_error(F.lit("An interval's lower bound exceeds its upper bound.")).cast("boolean")
+    valid = F.when(F.col(lower) > F.col(upper), crossed).otherwise(F.col(actual).isNotNull() & F.col(lower).isNotNull() & F.col(upper).isNotNull())
     below = (F.col(actual) < F.col(lower)).cast("double")
     above = (F.col(actual) > F.col(upper)).cast("double")
     inside = F.avg(F.when(valid, 1.0 - F.greatest(below, above)))

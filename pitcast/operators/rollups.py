@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pitcast.functions.calendar import hour_of_week, local_time, week_ending_friday
 from pitcast.functions.columns import at_least, require_columns
 
+# The columns of the forecast archive.
 ARCHIVE_COLUMNS = (
     "provider", "model", "model_run", "ensemble_member", "issued_at", "valid_start", "valid_end",
     "state", "duoarea", "temperature_f", "hdd", "cdd", "coverage",
@@ -42,7 +43,14 @@ def weekly_weather(daily: DataFrame, keys: Sequence[str] = (), drop_incomplete:
 def region_members(archive: DataFrame, weights: DataFrame, by_issue: bool = False) -> DataFrame:
     """Weight state forecasts into one regional value per ensemble member."""
     keys = ["state", "duoarea"] + (["issued_at"] if by_issue else [])
-    joined = archive.join(weights.select(*keys, "weather_weight"), keys, "left")
+    # a state without weight, or weights of a region that do not sum to one, would lower the regional value unseen
+    total = F.sum("weather_weight").over(W.partitionBy(*keys[1:]))
+    checked = weights.select(*keys, F.when(F.abs(total - 1) <= 1e-6, F.col("weather_weight")).otherwise(
+        F.raise_error(F.concat(F.lit("Weights must sum to one in region "), F.col("duoarea"))).cast("double")
+    ).alias("weather_weight"))
+    joined = archive.join(checked, keys, "left").withColumn("weather_weight", F.coalesce(
+        "weather_weight", F.raise_error(F.concat(F.lit("No weight for state "), F.col("state"))).cast("double")
+    ))
     group = ["provider", "model", "model_run", "ensemble_member", "issued_at", "valid_start", "valid_end", "duoarea"]
     sums = [
         F.coalesce(F.sum(F.col(c) * F.col("weather_weight")), F.lit(0.0)).alias(c)

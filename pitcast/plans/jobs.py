@@ -88,10 +88,10 @@ def balance_table(monthly: DataFrame, states: DataFrame, daily_weather: DataFram
 
 def scenario_job(scenarios: DataFrame, as_of, region: str, target: str | None = None) -> DataFrame:
     """Scenario table known at one origin; published when ``target`` is given."""
-    selected = asof.scenario_as_of(scenarios, as_of, region=region)
+    selected = asof.require_single_model(asof.scenario_as_of(scenarios, as_of, region=region))
     if target is not None:
-        store.publish(asof.require_single_model(selected), target)
-    return selected.drop("n_models")
+        store.publish(selected, target)
+    return selected
 
 
 def archive_job(archive: DataFrame, weight_history: DataFrame | None = None, weights: DataFrame | None = None, weight: str = "gas_load",

@@ -73,7 +73,7 @@ def c10(t):
     return checks.model_features(ft.weekly_model_features(t.wk_storage, t.wk_weather), "R31")
 
 
-@query("c11_crude_long", """SELECT count(*) - count(DISTINCT (period, component)) AS duplicate_keys, count(*) FILTER (value IS NULL OR isnan(value)) AS not_finite, count(*) FILTER (value < 0) AS negative_values,
+@query("c11_crude_long", """SELECT count(*) - count(DISTINCT (period, component)) AS duplicate_keys, count(*) FILTER (value IS NULL OR NOT isfinite(value)) AS not_finite, count(*) FILTER (value < 0) AS negative_values,
   (SELECT count(*) FROM (SELECT period FROM crude_long GROUP BY 1 HAVING count(DISTINCT component) <> 6)) AS incomplete_weeks, (SELECT count(*) FROM (SELECT DISTINCT period FROM crude_long) WHERE isodow(period) <> 5) AS not_friday,
   (SELECT count(*) FROM (SELECT date_diff('day', lag(period) OVER (ORDER BY period), period) AS s FROM (SELECT DISTINCT period FROM crude_long)) WHERE s <> 7) AS gaps FROM crude_long""")
 def c11(t):
@@ -81,7 +81,7 @@ def c11(t):
 
 
 @query("c12_crude_balance", """SELECT count(*) FILTER (isodow(date) <> 5) AS not_friday, count(*) FILTER (s = 0) AS duplicate_dates, count(*) FILTER (s <> 7 AND s <> 0) AS gaps, count(*) FILTER (rn > 1 AND commercial_stock_change_mmbbl IS NULL) AS missing_values,
-  count(*) FILTER (production_mmbbl < 0 OR imports_mmbbl < 0 OR refinery_inputs_mmbbl < 0 OR exports_mmbbl < 0) AS negative_values FROM (SELECT *, date_diff('day', lag(date) OVER (ORDER BY date), date) AS s, row_number() OVER (ORDER BY date) AS rn FROM crude_balance)""")
+  count(*) FILTER (production_mmbbl < 0 OR imports_mmbbl < 0 OR refinery_inputs_mmbbl < 0 OR exports_mmbbl < 0) AS negative_values, count(*) FILTER (NOT isfinite(production_mmbbl + imports_mmbbl + refinery_inputs_mmbbl + exports_mmbbl) OR NOT isfinite(coalesce(commercial_stock_change_mmbbl + spr_stock_change_mmbbl + balance_adjustment_mmbbl, 0.0))) AS not_finite FROM (SELECT *, date_diff('day', lag(date) OVER (ORDER BY date), date) AS s, row_number() OVER (ORDER BY date) AS rn FROM crude_balance)""")
 def c12(t):
     return checks.crude_balance(crude.weekly_balance(t.crude_long))
 

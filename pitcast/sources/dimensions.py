@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 
 # Storage regions, their states, slugs and labels; excluded states.
 REGIONS = {
-    "R31": ("east", "East", "Connecticut|Delaware|District of Columbia|Florida|Georgia|Maine|Maryland|Massachusetts|"
-            "New Hampshire|New Jersey|New York|North Carolina|Ohio|Pennsylvania|Rhode Island|South Carolina|Vermont|"
-            "Virginia|West Virginia"),
-    "R32": ("midwest", "Midwest", "Illinois|Indiana|Iowa|Kentucky|Michigan|Minnesota|Missouri|Tennessee|Wisconsin"),
-    "R33": ("south_central", "South Central", "Alabama|Arkansas|Kansas|Louisiana|Mississippi|Oklahoma|Texas"),
-    "R34": ("mountain", "Mountain", "Arizona|Colorado|Idaho|Montana|Nebraska|Nevada|New Mexico|North Dakota|"
-            "South Dakota|Utah|Wyoming"),
-    "R35": ("pacific", "Pacific", "California|Oregon|Washington"),
+    "R31": ("east", "East", (
+        "Connecticut", "Delaware", "District of Columbia", "Florida", "Georgia", "Maine", "Maryland",
+        "Massachusetts", "New Hampshire", "New Jersey", "New York", "North Carolina", "Ohio",
+        "Pennsylvania", "Rhode Island", "South Carolina", "Vermont", "Virginia", "West Virginia",
+    )),
+    "R32": ("midwest", "Midwest", (
+        "Illinois", "Indiana", "Iowa", "Kentucky", "Michigan", "Minnesota", "Missouri", "Tennessee",
+        "Wisconsin",
+    )),
+    "R33": ("south_central", "South Central", (
+        "Alabama", "Arkansas", "Kansas", "Louisiana", "Mississippi", "Oklahoma", "Texas",
+    )),
+    "R34": ("mountain", "Mountain", (
+        "Arizona", "Colorado", "Idaho", "Montana", "Nebraska", "Nevada", "New Mexico", "North Dakota",
+        "South Dakota", "Utah", "Wyoming",
+    )),
+    "R35": ("pacific", "Pacific", (
+        "California", "Oregon", "Washington",
+    )),
 }
 PARENT = ("R48", "lower48", "Lower 48 States")
 LEGACY = {"R01": "R31", "R02": "R32", "R03": "R34", "R04": "R35", "R05": "R33"}
@@ -33,7 +44,7 @@ def region_dimension(spark: SparkSession, include_legacy: bool = False) -> DataF
 
 def region_states(spark: SparkSession, include_legacy: bool = False) -> DataFrame:
     """One row per (duoarea, state); the parent holds every state of its children."""
-    rows = [(code, s) for code, (_, _, names) in REGIONS.items() for s in names.split("|")]
+    rows = [(code, s) for code, (_, _, names) in REGIONS.items() for s in names]
     rows += [(PARENT[0], s) for _, s in rows]
     if include_legacy:
         rows += [(old, s) for old, new in LEGACY.items() for code, s in rows if code == new]

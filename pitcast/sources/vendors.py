@@ -144,6 +144,11 @@ def _keys() -> list[Column]:
     ]
 
 
+def _readable(value: Column, what: str) -> Column:
+    """The value; a missing one stops the job, as a sum or a series without it would be short unseen."""
+    return F.coalesce(value, F.raise_error(F.lit(f"The report holds an unreadable {what}.")).cast("double"))
+
+
 def component_product(df: DataFrame, component: str, retrieved: Column, product: str | None = None, issued: Column | None = None,
                       source_hash: Column | None = None, order: str | None = None, report: Sequence[str] = ()) -> DataFrame:
     """Load, wind or solar report as vintages; zone rows of one instant are summed."""
@@ -153,7 +158,7 @@ def component_product(df: DataFrame, component: str, retrieved: Column, product:
     actual = find_column(df, ACTUAL_NAMES[component], required=False)
     rows = _provenance(df, product or PRODUCTS[component], issued, retrieved, source_hash, order, report)
     out = rows.select(
-        *_keys(), F.lit(component).alias("component"), to_double(base).alias("baseline_mw"),
+        *_keys(), F.lit(component).alias("component"), _readable(to_double(base), f"{component} baseline").alias("baseline_mw"),
         (to_double(actual) if actual else F.lit(None).cast("double")).alias("actual_mw"),
     )
     group = [c for c in out.columns if c not in ("baseline_mw", "actual_mw")]
@@ -166,7 +171,7 @@ def actual_load(df: DataFrame, retrieved: Column, issued: Column | None = None,
                 order: str | None = None, report: Sequence[str] = ()) -> DataFrame:
     value = find_column(df, ACTUAL_LOAD_NAMES)
     rows = _provenance(df, PRODUCTS["load_actual"], issued, retrieved, source_hash, order, report)
-    out = rows.select(*_keys(), to_double(value).alias("load_actual_mw"))
+    out = rows.select(*_keys(), _readable(to_double(value), "actual load").alias("load_actual_mw"))
     return keep_latest(out, ["product_id", "issued_at", "valid_at"], ["retrieved_at"])
 
 

@@ -83,8 +83,8 @@ def test_scenario_as_of_and_ambiguity(spark):
     pick = lambda at: asof.scenario_as_of(df, stamp(at), "R31").first()["hdd"]
     assert pick("2026-07-02 00:00:00") == 70.0 and pick("2026-07-06 00:00:00") == 35.0
     twice = asof.scenario_as_of(df.union(df.withColumn("model", F.lit("m2"))), stamp("2026-07-06 00:00:00"), "R31")
-    with pytest.raises(ValueError, match="Multiple"):
-        asof.require_single_model(twice)
+    with pytest.raises(Exception, match="Multiple"):
+        asof.require_single_model(twice).collect()
 
 
 def test_weights_ignore_later_revisions(spark):
@@ -238,3 +238,30 @@ def test_missing_temperature_has_no_degree_days(spark):
 
     out = degree_days(spark.createDataFrame([(None,), (60.0,)], "temperature_f double")).collect()
     assert [(r["hdd"], r["cdd"]) for r in out] == [(None, None), (5.0, 0.0)]
+
+
+def test_contract_errors_stop_the_job(spark):
+    from pitcast.operators import checks, metrics, rollups
+    from pitcast.sources import vendors
+
+    archive = spark.createDataFrame(
+        [("p", "m", "r", "1", "2026-01-01 00:00:00", "2026-01-02 00:00:00", "2026-01-03 00:00:00", s, "R31", 30.0, 35.0, 0.0, 1.0) for s in ("A", "B")],
+        ", ".join(f"{c} {'double' if c in ('temperature_f', 'hdd', 'cdd', 'coverage') else 'string'}" for c in rollups.ARCHIVE_COLUMNS),
+    )
+    weights = lambda *w: spark.createDataFrame([(s, "R31", x) for s, x in w], "state string, duoarea string, weather_weight double")
+    assert rollups.region_members(archive, weights(("A", 0.5), ("B", 0.5))).first()["hdd"] == 35.0
+    with pytest.raises(Exception, match="No weight for state B"):
+        rollups.region_members(archive, weights(("A", 1.0))).collect()
+    with pytest.raises(Exception, match="sum to one"):
+        rollups.region_members(archive, weights(("A", 0.5), ("B", 0.4))).collect()
+    history = spark.createDataFrame([("A", "R31", "2026-01-01 00:00:00", -1.0)], "state string, duoarea string, available_at string, gas_load double")
+    with pytest.raises(Exception, match="must not be negative"):
+        asof.state_weights_as_of(history.withColumn("available_at", F.col("available_at").cast("timestamp")), stamp("2026-02-01 00:00:00"), "gas_load").collect()
+    report = spark.createDataFrame([("2026-01-01T01:00:00Z", "x")], "timestamp string, systemTotal string")
+    with pytest.raises(Exception, match="unreadable load baseline"):
+        vendors.component_product(report, "load", stamp("2026-01-02 00:00:00"), issued=stamp("2026-01-01 00:00:00")).collect()
+    bounds = spark.createDataFrame([(1.0, 2.0, 1.0)], "y double, low double, high double")
+    with pytest.raises(Exception, match="lower bound exceeds"):
+        bounds.agg(*metrics.interval_columns("y", "low", "high", 0.8)).collect()
+    weeks = spark.createDataFrame([(D(2026, 1, 2), checks.RAW_COMPONENTS[0], float("inf"))], "period date, component string, value double")
+    assert checks.crude_long(weeks).first()["not_finite"] == 1
