@@ -86,8 +86,8 @@ def balance_table(monthly: DataFrame, states: DataFrame, daily_weather: DataFram
     return disaggregate.add_net_inflow(weekly.join(storage.select("duoarea", "date", "storage_bcf", "weekly_change_bcf"), ["duoarea", "date"]))
 
 
-def scenario_job(scenarios: DataFrame, as_of, region: str, target: str | None = None) -> DataFrame:
-    """Scenario table known at one origin; published when ``target`` is given."""
+def scenario_job(scenarios: DataFrame, as_of, region: str | None = None, target: str | None = None) -> DataFrame:
+    """Scenario table known at one origin, of one region or of all; published when ``target`` is given."""
     selected = asof.require_single_model(asof.scenario_as_of(scenarios, as_of, region=region))
     if target is not None:
         store.publish(selected, target)

@@ -103,17 +103,17 @@ def j10(t):
     return spine.join(known, ["component", "valid_at"], "left").select("component", F.col("valid_at").alias("delivery_hour"), "baseline_mw", "issued_at")
 
 
-@query("e06_weather_scenario_job", f"""SELECT {d('date')}, duoarea, issued_at, provider, model, {r('temperature_f', 'hdd', 'cdd', 'weather_days')} FROM scenarios WHERE issued_at <= TIMESTAMP '{ORIGIN}' AND duoarea = 'R31'
+@query("e06_weather_scenario_job", f"""SELECT {d('date')}, duoarea, issued_at, provider, model, {r('temperature_f', 'hdd', 'cdd', 'weather_days')} FROM scenarios WHERE issued_at <= TIMESTAMP '{ORIGIN}'
   QUALIFY row_number() OVER (PARTITION BY date, duoarea ORDER BY issued_at DESC) = 1""")
 def e06(t):
-    return jobs.scenario_job(t.scenarios, _at(), "R31")
+    return jobs.scenario_job(t.scenarios, _at())
 
 
 @query("e07_asof_balance_job", f"""SELECT o.duoarea, {d('o.date')}, CAST(count(v.available_at) AS INTEGER) AS balance_history_weeks FROM wk_storage o, range(1, 5) l(lag)
-  LEFT JOIN (SELECT date, duoarea, min(available_at) AS available_at FROM balance_vintages GROUP BY 1, 2) v ON v.duoarea = o.duoarea AND v.date = o.date - CAST(7 * lag AS INTEGER) AND v.available_at <= CAST(o.date AS TIMESTAMP) WHERE o.duoarea = 'R33' GROUP BY 1, 2""")
+  LEFT JOIN (SELECT date, duoarea, min(available_at) AS available_at FROM balance_vintages GROUP BY 1, 2) v ON v.duoarea = o.duoarea AND v.date = o.date - CAST(7 * lag AS INTEGER) AND v.available_at <= CAST(o.date AS TIMESTAMP) GROUP BY 1, 2""")
 def e07(t):
-    origins = t.wk_storage.where(F.col("duoarea") == "R33").select("date", "duoarea")
-    return asof.balance_features_at_origins(origins, t.balance_vintages.where(F.col("duoarea") == "R33")).select("duoarea", "date", "balance_history_weeks")
+    origins = t.wk_storage.select("date", "duoarea")
+    return asof.balance_features_at_origins(origins, t.balance_vintages).select("duoarea", "date", "balance_history_weeks")
 
 
 _WK = "(CAST(valid_start AS DATE) + CAST((12 - isodow(valid_start)) % 7 AS INTEGER))"

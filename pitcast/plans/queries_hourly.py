@@ -226,7 +226,7 @@ def _stack_inputs(t):
 
 
 @query("f02_physical_stack", f"""WITH {_STACK_IN} SELECT delivery_hour, {r('net_load_mw', 'raw AS raw_residual_mw', 'th AS dispatchable_thermal_mw', 'curtailment_mw', 'th * 0.5 AS gas_generation_mw', 'th - th * 0.5 AS coal_other_generation_mw', 'th * 0.5 * 7.0 / 1037000.0 AS gas_burn_bcf_low',
-  'th * 0.5 * 7.5 / 1037000.0 AS gas_burn_bcf_base', 'th * 0.5 * 8.0 / 1037000.0 AS gas_burn_bcf_high', 'capacity_margin_mw', 'greatest(-capacity_margin_mw, 0.0) AS capacity_shortfall_mw', '0.0 AS balance_error_mw')} FROM s2""")
+  'th * 0.5 * 7.5 / 1037000.0 AS gas_burn_bcf_base', 'th * 0.5 * 8.0 / 1037000.0 AS gas_burn_bcf_high', 'capacity_margin_mw', 'greatest(-capacity_margin_mw, 0.0) AS capacity_shortfall_mw', '0.0 AS balance_error_mw', digits=8)} FROM s2""", digits=8)
 def f02(t):
     return power.physical_stack(_stack_inputs(t)).select(
         "delivery_hour", "net_load_mw", "raw_residual_mw", "dispatchable_thermal_mw", "curtailment_mw", "gas_generation_mw", "coal_other_generation_mw",
@@ -261,7 +261,7 @@ def m15_ridge(t):
 
 
 @query("i03_gas_interval", f"""WITH {_STACK_IN}, {_SHARE.format(f"valid_at < TIMESTAMP '{ORIGIN}'")}, gr AS (SELECT horizon_bucket, {_RAD} AS radius FROM rs GROUP BY 1), b AS (SELECT s2.*, {_bucket(f"CAST(date_diff('hour', TIMESTAMP '{ORIGIN}', delivery_hour) AS INTEGER)")} AS horizon_bucket FROM s2 WHERE delivery_hour > TIMESTAMP '{ORIGIN}')
-  SELECT delivery_hour, b.horizon_bucket, {r('th * 0.5 AS gas_generation_mw', 'CASE WHEN radius IS NOT NULL THEN greatest(th * 0.5 - radius, 0.0) END AS gas_generation_lower_mw', 'CASE WHEN radius IS NOT NULL THEN least(th * 0.5 + radius, th) END AS gas_generation_upper_mw', 'CASE WHEN radius IS NOT NULL THEN greatest(th * 0.5 - radius, 0.0) END * 7.5 / 1037000.0 AS gas_burn_bcf_lower')} FROM b LEFT JOIN gr USING (horizon_bucket)""")
+  SELECT delivery_hour, b.horizon_bucket, {r('th * 0.5 AS gas_generation_mw', 'CASE WHEN radius IS NOT NULL THEN greatest(th * 0.5 - radius, 0.0) END AS gas_generation_lower_mw', 'CASE WHEN radius IS NOT NULL THEN least(th * 0.5 + radius, th) END AS gas_generation_upper_mw', 'CASE WHEN radius IS NOT NULL THEN greatest(th * 0.5 - radius, 0.0) END * 7.5 / 1037000.0 AS gas_burn_bcf_lower', digits=8)} FROM b LEFT JOIN gr USING (horizon_bucket)""", digits=8)
 def i03(t):
     rows = _stack_inputs(t).where(F.col("delivery_hour") > _at()).withColumn("forecast_origin", _at())
     stack = power.physical_stack(add_hourly_features(rows))

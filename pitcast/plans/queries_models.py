@@ -387,10 +387,10 @@ def _crude_forecast(targets: str, history: str = "crude_balance") -> str:
   cl AS (SELECT t.target AS date, max(h.date) AS origin, last(commercial_stock_change_mmbbl ORDER BY h.date) AS base FROM tg t JOIN {history} h ON h.date < t.target AND commercial_stock_change_mmbbl IS NOT NULL GROUP BY 1)"""
 
 
-@query("m17_component_forecast", f"WITH {_crude_forecast('SELECT date AS target FROM crude_balance WHERE year(date) >= 2001')} SELECT CAST(origin AS TIMESTAMP) AS forecast_origin, CAST(cp.date AS TIMESTAMP) AS date, {r('fund AS fundamental_balance_forecast_mmbbl', 'pred AS prediction_mmbbl', 'base AS last_change_baseline_mmbbl', 'prod AS production_forecast_mmbbl', 'spr AS spr_stock_change_forecast_mmbbl')} FROM cp JOIN cl ON cl.date = cp.date")
+@query("m17_component_forecast", f"WITH {_crude_forecast('SELECT date AS target FROM crude_balance')} SELECT CAST(origin AS TIMESTAMP) AS forecast_origin, CAST(cp.date AS TIMESTAMP) AS date, {r('fund AS fundamental_balance_forecast_mmbbl', 'pred AS prediction_mmbbl', 'base AS last_change_baseline_mmbbl', 'prod AS production_forecast_mmbbl', 'spr AS spr_stock_change_forecast_mmbbl')} FROM cp JOIN cl ON cl.date = cp.date")
 def m17(t):
     balance = crude.weekly_balance(t.crude_long)
-    out = crude.forecast(balance, balance.where(F.year("date") >= 2001).select("date"))
+    out = crude.forecast(balance, balance.select("date")).where(F.col("last_change_baseline_mmbbl").isNotNull())
     return out.select("forecast_origin", "date", "fundamental_balance_forecast_mmbbl", "prediction_mmbbl", "last_change_baseline_mmbbl", "production_forecast_mmbbl", "spr_stock_change_forecast_mmbbl")
 
 

@@ -24,13 +24,13 @@ def published(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return out.withColumns(stamps) if stamps else out
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name``."""
+def query(name: str, sql: str | None = None, digits: int = DIGITS):
+    """Register ``fn(tables) -> DataFrame`` under ``name``; measures are published with so many digits."""
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: published(fn(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: published(fn(Tables(spark, sf_dir)), digits)
         if sql is not None:
             ORACLE[name] = with_fixtures(sql)
         return fn
