@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Entries after which a task starts its table anew; results do not depend on it.
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 150_000
+#: Chunks that the encoder sees at a time, as its answers are many times their size.
+ENCODE_STEP = 4_096
 
 
 class ChunkTable:
@@ -30,8 +32,8 @@ class ChunkTable:
         if len(self.rows) > TABLE_LIMIT:
             self.clear()
         fresh = [x for x in dict.fromkeys(chunks) if x not in self.rows]
-        if fresh:
-            self._add(fresh, self.encode(fresh))
+        for at in range(0, len(fresh), ENCODE_STEP):
+            self._add(fresh[at : at + ENCODE_STEP], self.encode(fresh[at : at + ENCODE_STEP]))
         return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
 
     def _add(self, chunks: list, encoded: Iterable) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +29,20 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         table = ChunkTable(lambda new: [x.ids for x in tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)])
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
-            out = []
             for first, last in slices(at):
                 words = [data[at[i] : at[i + 1]].tobytes().split() for i in range(first, last)]
                 counts = np.cumsum([0, *map(len, words)])
                 ids, sizes = table.expand(table.positions([w for own in words for w in own]))
                 ends = np.concatenate(([0], np.cumsum(sizes)))[counts]
-                out += [np.append(ids[a:b], np.uint32(end_id)).astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                out = [np.append(ids[a:b], np.uint32(end_id)).astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary")

@@ -67,7 +67,6 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
         generation = table.generation
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
-            out, texts = [], []
             for first, last in slices(at):
                 bodies = [data[at[i] : at[i + 1]].tobytes().decode().replace(MARK, " ") for i in range(first, last)]
                 chunks = [CHUNK.findall(" " + x) if x else [] for x in bodies]
@@ -79,11 +78,13 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
                 edge = np.cumsum([0, *map(len, chunks)])
                 ids, sizes = table.expand(rows)
                 ends = np.concatenate(([0], np.cumsum(sizes)))[edge]
-                places = rows.tolist()
+                places, out, texts = rows.tolist(), [], []
                 for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
                     out.append(np.concatenate(([begin], ids[a:b], [end])).astype("<u4").tobytes())
                     texts.append("".join([known[r] for r in places[edge[i] : edge[i + 1]]])[1:])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(first, last - first), pa.array(out, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"]
+                )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary, decoded string")
