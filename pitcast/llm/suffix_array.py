@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pitcast.llm.common import stage
 from pitcast.llm.repeats import (
-    TEXT_KEY, Suffixes, by_text, byte_anchors, keyed, padded, recurring, span_lists, spans_of, staged_candidates,
+    TEXT_KEY, Suffixes, by_text, byte_anchors, keyed, padded, recurring, span_lists, spans_of, staged_candidates, unlike_copies,
 )
 from pitcast.llm.tokens import column_bytes
 
@@ -152,19 +152,18 @@ def repeated_spans(candidates: DataFrame) -> DataFrame:
     """``t1, t2, start, stop``: ranges of bytes covered by a window that starts at another place too."""
     digests = stage(segment_digests(candidates), "segments")
     # equal segments repeat whole; one of each goes on to meet other segments
-    same = digests.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "p")).alias("one"))
-    copies = digests.join(same.where("n > 1"), ["s1", "s2"]).select(
+    copies, firsts = unlike_copies(digests, F.struct("t1", "t2", "p"))
+    repeated = copies.unionByName(firsts.where("n > 1")).select(
         *TEXT_KEY, (F.col("p") - F.col("hi")).alias("start"), (F.col("p") - F.col("lo") + LENGTH).alias("stop")
     )
-    single = digests.join(same, ["s1", "s2"]).where("one.t1 = t1 AND one.t2 = t2 AND one.p = p").select(*TEXT_KEY, "p", "lo", "hi", "g")
-    single = stage(recurring(single), "single")
+    single = stage(recurring(firsts.select(*TEXT_KEY, "p", "lo", "hi", "g")), "single")
     records = stage(suffix_records(by_text(single).join(candidates.select(*TEXT_KEY, "text"), TEXT_KEY)), "suffixes")
     ranges = max(1, -(-records.count() // RANGE_ROWS))
     compared = stage(sorted_ranges(records, ranges), "compared")
     ends = compared.where("window IS NOT NULL")
-    crossing = ends.join(ends.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "window")
+    crossing = ends.join(stage(ends.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "crossing"), "window")
     names = [*TEXT_KEY, "start", "stop"]
-    return copies.unionByName(compared.where("window IS NULL").select(*names)).unionByName(crossing.select(*names))
+    return repeated.unionByName(compared.where("window IS NULL").select(*names)).unionByName(crossing.select(*names))
 
 
 def _without(candidates: DataFrame, spans: DataFrame) -> DataFrame:
@@ -202,7 +201,7 @@ def _outcome(docs: DataFrame, keep_text: bool) -> tuple[DataFrame, DataFrame, Da
     candidates = staged_candidates(texts, byte_anchors, GRAM, LENGTH, "bytes")
     changed = _without(candidates, repeated_spans(candidates))
     changed = stage(changed if keep_text else changed.drop("kept_text"), "changed")
-    copied = texts.groupBy(*TEXT_KEY).agg(F.count("*").alias("copies")).where("copies > 1")
+    copied = stage(texts.groupBy(*TEXT_KEY).agg(F.count("*").alias("copies")).where("copies > 1"), "copied")
     return texts, changed, copied
 
 
