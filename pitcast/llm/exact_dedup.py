@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitcast.llm.common import SPACE
+from pitcast.llm.common import SPACE, stage
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both hashes")).cast("long")).alias("group_size"),
         "keep_id",
     )
-    return rows.drop("body").join(checked, ["content", "text_sha256"]).select(
+    # read back from a table, so that adaptive execution can split a hot group of rows in this join
+    return rows.drop("body").join(stage(checked, "groups"), ["content", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
