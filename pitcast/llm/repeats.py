@@ -124,14 +124,17 @@ def by_text(anchored: DataFrame) -> DataFrame:
 
 
 def with_texts(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row per text with ``text`` and ``id`` of the copy with the smallest id; the id in the join keeps copies apart."""
+    """One row per text with ``text`` and ``id`` of the copy with the smallest id; the id in the join keeps copies apart.
+
+    Rows that repeat that id and text count once.
+    """
     ids = texts.groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("doc_id"))
     wanted = stage(lists.join(ids, TEXT_KEY), "wanted")
-    one = likely_members(texts, F.xxhash64("t1", "doc_id"), wanted, F.xxhash64("t1", "doc_id")).join(
-        wanted.withColumnsRenamed({"t1": "w1", "t2": "w2", "doc_id": "wanted_id"}),
-        (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")),
-    )
-    return one.select(*TEXT_KEY, F.col("wanted_id").alias("id"), "text", *[c for c in lists.columns if c not in TEXT_KEY])
+    # a null id is two plain columns, so that one exchange serves the aggregate and the join
+    place = {"place": F.coalesce("doc_id", F.lit(0)), "unnamed": F.col("doc_id").isNull()}
+    some = likely_members(texts, F.xxhash64("t1", "doc_id"), wanted, F.xxhash64("t1", "doc_id")).withColumns(place)
+    one = some.groupBy(*TEXT_KEY, *place).agg(F.min("text").alias("text")).join(wanted.withColumns(place), [*TEXT_KEY, *place])
+    return one.select(*TEXT_KEY, F.col("doc_id").alias("id"), "text", *[c for c in lists.columns if c not in TEXT_KEY])
 
 
 def unlike_copies(segments: DataFrame, place: Column) -> tuple[DataFrame, DataFrame]:

@@ -36,6 +36,16 @@ def test_suffix_array_dedup(docs, rows, result, monkeypatch):
     assert result(suffix_array.suffix_array_dedup(docs)) == want
 
 
+def test_repeated_rows_with_the_smallest_id_of_a_shared_passage(spark, result):
+    passage = " ".join(f"word{k}" for k in range(90))
+    rows = [(1, "first " + passage), (1, "first " + passage), (2, passage + " second")] + [(None, "none " + passage + " more")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = substring_dedup.substring_dedup(frame).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256))
+    assert result(kept) == result(brute.substring(rows))
+    assert result(suffix_array.suffix_array_dedup(frame)) == result(brute.repeated_bytes(rows))
+    assert suffix_array.without_repeats(frame).count() == len(rows)
+
+
 def test_suffix_array_texts_stay_valid(docs, rows):
     out = {(r.doc_id, r.n): r.text for r in suffix_array.without_repeats(docs).collect()}
     assert out[600, 1] is None and out[701, 1] == "" and out[603, 1] == "one two"
