@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pitcast.llm.common import SPACE, WORD, stage
 
 KEYS = ["lang_key", "source_key"]
-#: Statistics that enter the vector, in order, with the least scale (standard deviation) each one is granted.
-FLOORS = {"word_length": 0.06, "symbols": 0.6, "dup_lines": 1.0, "repeats": 0.1}
+#: Statistics that enter the vector, in order, with the least scale (standard deviation) each one is granted. One symbol or
+#: repeated line in 50 words, the shortest text judged, lies within ``CUT`` of a group that has none.
+FLOORS = {"word_length": 0.06, "symbols": 0.75, "dup_lines": 1.0, "repeats": 0.1}
 AXES = list(FLOORS)
 PAIRS = [(a, b) for i, a in enumerate(AXES) for b in AXES[: i + 1]]
 #: Share of a group's rows that the determinant is minimised over, and the normal-consistency factor for four axes.
@@ -20,8 +21,8 @@ SUBSET, CONSISTENCY = 0.75, 1.49
 #: Rows of pooled evidence that a group's own moments are weighed against.
 PRIOR_ROWS = 40.0
 STEPS = 3
-#: Squared distance beyond which a row goes: the chi-square quantile of four degrees of freedom at about 1 - 1e-8.
-CUT = 43.0
+#: Squared distance beyond which a row goes: the chi-square quantile of four degrees of freedom at 0.999.
+CUT = 18.47
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -102,13 +103,15 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def _factored(moments: DataFrame) -> DataFrame:
-    """Cholesky factors of the scaled covariances; the floors keep them positive definite."""
+    """Cholesky factors of the scaled covariances; what is left of each variance is no less than its floor, so they stay regular."""
     out, factor = moments, {}
     for i, a in enumerate(AXES):
         for j, b in enumerate(AXES[: i + 1]):
-            value = F.col(_cov(a, b)) * CONSISTENCY + (FLOORS[a] ** 2 if i == j else 0.0)
+            value = F.col(_cov(a, b)) * CONSISTENCY
             for k in range(j):
                 value = value - factor[i, k] * factor[j, k]
+            if i == j:
+                value = F.greatest(value, F.lit(FLOORS[a] ** 2))
             out = out.withColumn(f"f_{i}_{j}", F.sqrt(value) if i == j else value / factor[j, j])
             factor[i, j] = F.col(f"f_{i}_{j}")
     return out.select(*KEYS, *[f"mean_{a}" for a in AXES], *[f"f_{i}_{j}" for i in range(len(AXES)) for j in range(i + 1)])

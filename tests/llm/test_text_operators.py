@@ -89,6 +89,25 @@ def test_quality_rejects_outliers_of_a_group(spark):
     assert all(out[i] for i, *_ in good) and not any(out[i] for i, *_ in junk + odd)
 
 
+def test_quality_rejects_an_outlier_on_each_axis_of_a_group_without_spread(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    text = lambda n: [str(w) for w in rng.choice(words, n, replace=False)]
+    with_symbols = lambda n, k: " ".join([w[:4] + "#" for w in text(k)] + text(n - k))
+    with_lines = lambda n, k: "\n".join(x for w in text(k) for x in ("again", w)) + "\n" + " ".join(text(n - 2 * k))
+    block = text(15)
+    odd = {
+        "repeats": " ".join(block + text(20) + block + text(20) + block + text(15)), "symbols": with_symbols(100, 3),
+        "dup_lines": with_lines(100, 21), "word_length": " ".join(w + "xx" for w in text(100)),
+    }
+    fair = [with_symbols(50, 1), with_lines(50, 2), " ".join(block[:6] + text(60) + block[:6])]
+    rows = [(f"clean{i}", " ".join(text(100))) for i in range(60)] + [(f"fair{i}", t) for i, t in enumerate(fair)] + list(odd.items())
+    frame = spark.createDataFrame([(n, t, "en", "s") for n, t in rows], "doc_id string, text string, lang string, source string")
+    out = {r.doc_id: r for r in quality.quality_rules(frame).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert {n for n, r in out.items() if not r.kept} == set(odd)
+
+
 def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
