@@ -47,6 +47,18 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"), style().alias("style"))
 
 
+def piece_end(data: np.ndarray, low: int, end: int) -> int:
+    """Where the piece from ``low`` on ends: after its last separator, or before the next one where a word outgrows ``STEP``."""
+    high = min(low + STEP, end)
+    if high == end:
+        return end
+    parted = np.flatnonzero(SEPARATORS[data[low:high]])
+    if len(parted):
+        return low + int(parted[-1]) + 1
+    ahead = np.flatnonzero(SEPARATORS[data[high:end]])
+    return high + int(ahead[0]) if len(ahead) else end
+
+
 def feature_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For batches of rows, the row and the code of each of their features: a content hash whose low bits are the kind.
 
@@ -54,8 +66,10 @@ def feature_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """
     data, at = column_bytes(column)
     for first, last in slices(at):
-        for low in range(int(at[first]), max(int(at[last]), int(at[first]) + 1), STEP):
-            part = data[low : min(int(at[last]), low + STEP)]
+        high, end = int(at[first]), int(at[last])
+        while high < end:
+            low, high = high, piece_end(data, high, end)
+            part = data[low:high]
             cuts = np.clip(at[first : last + 1] - low, 0, len(part))
             starts, ends = word_spans(part, cuts, SEPARATORS)
             if not len(starts):

@@ -193,6 +193,18 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert [r.score for r in none] == [0.0]
 
 
+def test_toxicity_pieces_of_long_texts_keep_words_whole(monkeypatch):
+    import pyarrow as pa
+
+    texts = [" ".join(f"word{k}" for k in range(300)), "z" * 900 + " tail", "short one", "", "y" * 500]
+    column = pa.array(texts)
+    features = lambda: sorted((int(r), int(c)) for rows, codes in toxicity.feature_rows(column) for r, c in zip(rows, codes))
+    whole = features()
+    monkeypatch.setattr(toxicity, "STEP", 64)
+    monkeypatch.setattr(toxicity, "slices", lambda at: ((i, i + 1) for i in range(len(at) - 1)))
+    assert features() == whole
+
+
 SCHEMAS = {"find": {"query": ("string", True), "limit": ("integer", False)}, "sum": {"values": ("array", True), "exact": ("boolean", False)}}
 
 
