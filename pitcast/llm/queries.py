@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitcast.llm import exact_dedup, fuzzy_lines, near_dedup, packing, quality, sentencepieces, substring_dedup, suffix_array, tool_calls, toxicity
+from pitcast.llm import (
+    exact_dedup, fuzzy_lines, mixing, near_dedup, packing, periodic_runs, quality, resampling, sentencepieces, substring_dedup, suffix_array, tool_calls, toxicity,
+)
 from pitcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +146,86 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` where one text in ten goes over into a repetition of its own words, as the checksum of its identifier says.
+
+    Such a text becomes its words joined by one space. Texts without words and rows without an identifier stay.
+    """
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    split = docs.select("doc_id", body.alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    drawn = F.col("h") % 10 == 0
+    words = F.when(drawn, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    named = split.withColumn("words", words).withColumns({"n": F.size("words").cast("long"), "g": F.expr("h div 10")})
+    begun = named.withColumn("a", F.when(drawn & (F.col("n") > 0), F.col("g") % F.col("n")))
+    placed = begun.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")).withColumn("a", F.col("a").cast("int"))
+    rest = F.col("n").cast("int") - F.col("a")
+    block = F.slice("words", F.col("a") + 1, F.least("p", rest))
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), listed.alias("listed"), "collapsed_text")
+    return best.select(
+        "doc_id", "n_runs", F.col("r.start").alias("start"), (-F.col("r.less")).alias("length"), F.col("r.period").alias("period"),
+        F.expr("1000 * -r.less div r.period").alias("exponent_milli"), F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLE["op12_importance_resampling"] = r"""
+WITH crc AS (SELECT list(v ORDER BY i) AS entry FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(words) AS w FROM d),
+v AS (SELECT w, sum(s) AS s, sum(t) AS t FROM (SELECT w, 1 AS s, 0 AS t FROM dw UNION ALL SELECT w, 0, 1 FROM b) GROUP BY w),
+h AS (SELECT v.*, xor(4294967295, list_reduce(range(octet_length(encode(w))), lambda c, k: xor(c >> 8, entry[1 + (xor(c, CAST('0x' || substr(hex(w), CAST(2 * k + 1 AS INTEGER), 2) AS BIGINT)) & 255)]), 4294967295)) % 10000 AS bucket FROM v, crc),
+c AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM h GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM c) + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM c) + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM c),
+f AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN h USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+z AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM d LEFT JOIN f USING (doc_id)),
+r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM r"""
+
+
+@query
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+ORACLE["op13_source_mixing"] = r"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS number FROM s GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(number - 1) % 3 + 1] AS weight FROM p),
+o AS (SELECT *, 2 * source_size / CAST(weight AS DOUBLE) AS full_at FROM w),
+l AS (SELECT full_at, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+      FROM o WINDOW before AS (ORDER BY full_at, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT min_by(level, full_at) AS level FROM l WHERE full_at > level),
+t AS (SELECT o.*, CASE WHEN level IS NULL OR full_at <= level THEN 2.0::DOUBLE * source_size ELSE level * weight END AS target, CAST(ceil(source_size / 128.0::DOUBLE) AS BIGINT) AS blocks FROM o, v),
+k AS (SELECT *, CAST(least(2 * blocks, floor(target * blocks / source_size + 0.5::DOUBLE)) AS BIGINT) AS draws FROM t WHERE source_size > 0),
+x AS (SELECT number, blocks, i // blocks AS turn, i % blocks AS i FROM k, range(draws) r(i)),
+y AS (SELECT number, list_reduce(range(1, 21), lambda a, r: CASE WHEN md5('mix:' || number || ':' || turn || ':' || r || ':' ||
+        greatest(a, ((CAST('0x' || substr(md5('mix:' || number || ':' || turn || ':' || r), 1, 15) AS BIGINT) % blocks - a) % blocks + blocks) % blocks)) < '8'
+        THEN ((CAST('0x' || substr(md5('mix:' || number || ':' || turn || ':' || r), 1, 15) AS BIGINT) % blocks - a) % blocks + blocks) % blocks ELSE a END, i) AS block FROM x),
+n AS (SELECT number, block, count(*) AS times FROM y GROUP BY number, block),
+q AS (SELECT doc_id, size, number, source_size, target, coalesce(sum(size) OVER (PARTITION BY number ORDER BY doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT q.*, CAST(unnest(range(CAST(start // 128 AS BIGINT), CAST((start + size - 1) // 128 AS BIGINT) + 1)) AS BIGINT) AS block FROM q WHERE size > 0),
+a AS (SELECT number, start, CAST(sum(times * (least(start + size, (block + 1) * 128) - greatest(start, block * 128))) AS BIGINT) AS taken FROM u JOIN n USING (number, block) GROUP BY number, start)
+SELECT q.doc_id, q.size, q.source_size, q.target, CASE WHEN q.size > 0 THEN coalesce(a.taken, 0) ELSE 0 END AS taken FROM q LEFT JOIN a ON a.number = q.number AND a.start = q.start"""
