@@ -36,6 +36,24 @@ def test_suffix_array_dedup(docs, rows, result, monkeypatch):
     assert result(suffix_array.suffix_array_dedup(docs)) == want
 
 
+@pytest.mark.parametrize("length", [60, 200, 1500])
+def test_suffix_array_of_other_lengths(docs, rows, result, length):
+    assert result(suffix_array.suffix_array_dedup(docs, length)) == result(brute.repeated_bytes(rows, length))
+
+
+def test_a_passage_that_very_many_texts_share_is_settled_by_count(spark, result, monkeypatch):
+    passage = " ".join(f"common{k}" for k in range(80))
+    rows = [(i, f"{i * 7919} {passage} {i * 104729} and more") for i in range(400)]
+    sorted_, made = [], []
+    compare, settle = suffix_array.sorted_ranges, suffix_array._settled
+    monkeypatch.setattr(suffix_array, "sorted_ranges", lambda records, *more: sorted_.append(records) or compare(records, *more))
+    monkeypatch.setattr(suffix_array, "_settled", lambda parts, length: made.append(parts) or settle(parts, length))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(suffix_array.suffix_array_dedup(frame)) == result(brute.repeated_bytes(rows))
+    # the same suffix and the same other side meet once, so few of the 400 texts' records are sorted
+    assert made[1].count() >= 400 and sorted_[0].groupBy("kind", "suffix", "rest").count().where("count > 1").isEmpty()
+
+
 def test_repeated_rows_with_the_smallest_id_of_a_shared_passage(spark, result):
     passage = " ".join(f"word{k}" for k in range(90))
     rows = [(1, "first " + passage), (1, "first " + passage), (2, passage + " second")] + [(None, "none " + passage + " more")] * 3
