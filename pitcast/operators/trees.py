@@ -1,4 +1,4 @@
-"""Tree models through MLlib, which trains each of them over the whole cluster."""
+"""One tree model over all series through MLlib, which trains it over the whole cluster; ``tree_growth`` fits one per series and fold."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -17,16 +15,6 @@ def _pipeline(features: Sequence[str], learner) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_fv", handleInvalid="keep"), learner])
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], target: str, trees: int = 300, min_leaf: int = 5, seed: int = 42,
-               depth: int = 8, leaves: bool = False):
-    """Bagged trees on all features."""
-    rf = RandomForestRegressor(
-        featuresCol="_fv", labelCol=target, numTrees=trees, minInstancesPerNode=min_leaf, seed=seed, maxDepth=depth,
-        featureSubsetStrategy="all", leafCol="_leaf" if leaves else "",
-    )
-    return _pipeline(features, rf).fit(df.dropna(subset=[*features, target]))
-
-
 def fit_boosting(df: DataFrame, features: Sequence[str], target: str, rounds: int = 300, rate: float = 0.05, seed: int = 42, depth: int = 5):
     """Histogram-binned gradient boosting with squared loss."""
     gbt = GBTRegressor(featuresCol="_fv", labelCol=target, maxIter=rounds, stepSize=rate, seed=seed, maxDepth=depth)
@@ -38,38 +26,6 @@ def predict(model, df: DataFrame, features: Sequence[str], name: str = "predicti
     return out.select(*df.columns, F.col("prediction").alias(name))
 
 
-def _leaf_rows(model, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    leaves = model.transform(df.dropna(subset=list(features))).withColumn("_l", vector_to_array("_leaf").cast("array<int>"))
-    return leaves.select(*keep, F.posexplode("_l").alias("tree", "leaf"))
-
-
-def quantile_forest(model, train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, row_id: str,
-                    quantiles: Sequence[float] = (0.1, 0.9), bins: int = 256) -> DataFrame:
-    """Conditional quantiles from the training targets that share a leaf with the row.
-
-    A training row weighs 1 / (leaf size) in each tree. Targets are first summed into a weight
-    distribution per leaf over ``bins`` target values, so a leaf's size never travels with the row:
-    each row meets at most trees x bins leaf weights. The answer is the smallest target bin mean
-    whose cumulative weight reaches the quantile.
-    """
-    lo, hi = train.agg(F.min(target)).scalar(), train.agg(F.max(target)).scalar()
-    cut = F.least(F.floor((F.col(target) - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
-    marked = train.dropna(subset=[*features, target]).withColumn("_bin", F.coalesce(cut, F.lit(0)))
-    cells = _leaf_rows(model, marked, features, [target, "_bin"]).groupBy("tree", "leaf", "_bin").agg(
-        F.count(F.lit(1)).alias("_c"), F.sum(target).alias("_s")
-    )
-    size = F.sum("_c").over(W.partitionBy("tree", "leaf"))
-    cells = cells.withColumn("_w", F.col("_c") / size)
-    asked = _leaf_rows(model, rows, features, [row_id])
-    dist = asked.join(cells, ["tree", "leaf"]).groupBy(row_id, "_bin").agg(
-        F.sum("_w").alias("_w"), (F.sum(F.col("_s") / F.col("_c") * F.col("_w")) / F.sum("_w")).alias("_y")
-    )
-    w = W.partitionBy(row_id).orderBy("_bin")
-    dist = dist.withColumns({"_cum": F.sum("_w").over(w), "_tot": F.sum("_w").over(W.partitionBy(row_id))})
-    picks = [F.min(F.when(F.col("_cum") >= q * F.col("_tot") - 1e-9, F.col("_y"))).alias(f"p{round(q * 100):02d}") for q in quantiles]
-    return dist.groupBy(row_id).agg(*picks)
-
-
 def blend(df: DataFrame, columns: Sequence[str], name: str = "prediction") -> DataFrame:
     """Plain average of several model columns."""
     total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))

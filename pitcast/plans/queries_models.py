@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from pitcast.functions.calendar import add_calendar_features, add_fourier, fourier_names
-from pitcast.operators import crude, disaggregate, experiments, intervals, linear, metrics, reconcile, recursive, splits, trees
+from pitcast.operators import backtests, crude, disaggregate, experiments, intervals, linear, metrics, reconcile, recursive, splits, tree_growth
 from pitcast.operators import features as ft
 from pitcast.plans import jobs
 from pitcast.plans.queries_features import FEATURE_CTE, lag, strict
@@ -109,42 +109,46 @@ def m03(t):
 TREE_FEATURES = ["week_sin", "week_cos", "hdd", "cdd", "weekly_change_lag1", "weekly_change_rolling_4wk"]
 
 
-def _tree_split(t):
-    rows = staged(feature_rows(t).select("duoarea", "date", "year", "weekly_change_bcf", *TREE_FEATURES), "trees")
-    return rows.where(F.col("year") < 2000), rows.where(F.col("year") >= 2000)
+def _tree_rows(t):
+    return feature_rows(t).select("duoarea", "date", "weekly_change_bcf", *TREE_FEATURES)
+
+
+def _tree_backtest(t, model):
+    """Metrics per fold and series of a model fit in every fold, at its defaults."""
+    scored = backtests.one_step(_tree_rows(t), ["duoarea"], TREE_FEATURES, "weekly_change_bcf", "date", SPEC, model)
+    return metrics.fold_metrics(scored, "weekly_change_bcf", "predicted_weekly_change", "fold", ["duoarea"])
+
+
+def _tree_band(t, model):
+    bands = backtests.one_step(_tree_rows(t), ["duoarea"], TREE_FEATURES, "weekly_change_bcf", "date", SPEC, model)
+    # separate quantile models may cross; the band is between the lower and the higher one
+    ordered = bands.withColumns({"p10": F.least("p10", "p90"), "p90": F.greatest("p10", "p90")})
+    return metrics.interval_metrics(ordered, "weekly_change_bcf", "p10", "p90", 0.8, ["duoarea"])
 
 
 @query("m04_random_forest")
 def m04(t):
-    train, val = _tree_split(t)
-    model = trees.fit_forest(train, TREE_FEATURES, "weekly_change_bcf", trees=30)
-    return metrics.error_metrics(trees.predict(model, val, TREE_FEATURES), "weekly_change_bcf", "prediction", ["duoarea"])
+    return _tree_backtest(t, tree_growth.FOREST)
 
 
 @query("m05_boosting")
 def m05(t):
-    train, val = _tree_split(t)
-    model = trees.fit_boosting(train, TREE_FEATURES, "weekly_change_bcf", rounds=20, depth=3)
-    return metrics.error_metrics(trees.predict(model, val, TREE_FEATURES), "weekly_change_bcf", "prediction", ["duoarea"])
+    return _tree_backtest(t, tree_growth.BOOSTING)
 
 
 @query("m06_quantile_forest")
 def m06(t):
-    train, val = _tree_split(t)
-    model = trees.fit_forest(train, TREE_FEATURES, "weekly_change_bcf", trees=20, leaves=True)
-    val = val.withColumn("row_id", F.concat_ws("|", "duoarea", "date"))
-    bands = trees.quantile_forest(model, train, val, TREE_FEATURES, "weekly_change_bcf", "row_id")
-    joined = val.join(bands, "row_id")
-    return metrics.interval_metrics(joined, "weekly_change_bcf", "p10", "p90", 0.8, ["duoarea"])
+    return _tree_band(t, tree_growth.QUANTILE_FOREST)
+
+
+@query("m06_quantile_boosting")
+def m06_boosting(t):
+    return _tree_band(t, tree_growth.QUANTILE_BOOSTING)
 
 
 @query("m07_linear_plus_boosting")
 def m07(t):
-    train, val = _tree_split(t)
-    val = trees.predict(trees.fit_boosting(train, TREE_FEATURES, "weekly_change_bcf", rounds=10, depth=3), val, TREE_FEATURES, "boosted")
-    params = linear.fit(train, ["duoarea"], TREE_FEATURES, "weekly_change_bcf")
-    both = trees.blend(linear.score(val, params, ["duoarea"], TREE_FEATURES, "linear"), ["boosted", "linear"])
-    return metrics.error_metrics(both, "weekly_change_bcf", "prediction", ["duoarea"])
+    return _tree_backtest(t, backtests.LINEAR_BOOSTING)
 
 
 _SEAS = ["sin(2*pi()*week_of_year/52.0)", "cos(2*pi()*week_of_year/52.0)", "sin(2*pi()*month/12.0)", "cos(2*pi()*month/12.0)"]

@@ -353,15 +353,6 @@ def test_permutation_importance_ranks_the_used_feature(spark):
     assert gain["x1"] == pytest.approx(0.0) and gain["x0"] > 0.1
 
 
-def test_quantile_forest_brackets_the_median(spark):
-    rng = random.Random(1)
-    rows = [(i, float(i % 2), rng.uniform(0, 10) + 100 * (i % 2)) for i in range(400)]
-    df = spark.createDataFrame(rows, "row_id int, x double, y double")
-    model = trees.fit_forest(df, ["x"], "y", trees=5, leaves=True)
-    out = trees.quantile_forest(model, df, df.where("row_id < 2"), ["x"], "y", "row_id").orderBy("row_id").collect()
-    assert 0 <= out[0]["p10"] < 2.5 and 7.5 < out[0]["p90"] <= 10 and 100 <= out[1]["p10"] < 103
-
-
 def test_series_codes(spark):
     df = spark.createDataFrame([("N3010TX2",), ("NA1160_STX_2",), ("N9050PA2",)], "series string")
     s = F.col("series")
