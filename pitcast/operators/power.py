@@ -25,7 +25,6 @@ COMPONENTS = ("load", "wind", "solar")
 NONTHERMAL = ("nuclear_mw", "hydro_mw", "other_nonthermal_mw", "net_imports_mw", "battery_net_discharge_mw")
 CORRECTION_FEATURES = ("baseline_mw", "horizon_hour", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "recent_error_mw")
 RECENT_HOURS = 24
-RECENT_DAYS = 7
 
 
 def _known_from(df: DataFrame, origin: str = "forecast_origin") -> Column:
@@ -37,30 +36,40 @@ def _known_from(df: DataFrame, origin: str = "forecast_origin") -> Column:
     return F.greatest(*parts)
 
 
+def _merged(mine: Column, other: Column) -> Column:
+    """The newest ``RECENT_HOURS`` delivered hours of two such lists, each hour with its latest forecast."""
+    both = F.sort_array(F.concat(mine, F.coalesce(other, F.slice(mine, 1, 0))), False)
+    latest = F.transform(F.array(both), lambda s: F.slice(
+        F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["delivery_hour"] != x["delivery_hour"])), 1, RECENT_HOURS
+    ))
+    return latest[0]
+
+
 def _newest_hours(rows: DataFrame, origins: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """The last 24 delivered hours known at each origin ``_at``, each with the ``_v.value`` of its latest known forecast.
 
-    Each delivered hour keeps, per origin interval, only its latest forecast. Origins first look at
-    the hours of the last week, found by equality on the delivery day; an origin with fewer than 24
-    hours there is answered from all its earlier hours instead, so the result is always whole.
+    What becomes known at an origin is a list of at most 24 hours, and two lists merge into one: an hour that falls out of one
+    has 24 newer ones there and so in every merge. The lists are carried along a key's origins by doubling:
+    after k steps each origin holds what the last 2^k ones brought. Origins never meet the history, whose rows are read once.
     """
     keyed = first_origin_knowing(
         rows.select(*keys, "forecast_origin", "delivery_hour", *(["retrieved_at"] if "retrieved_at" in rows.columns else []), value.alias("value")),
-        origins, "forecast_origin", _known_from(rows), "_from",
+        origins, "forecast_origin", _known_from(rows), "_at",
+    )
+    reduced = keyed.groupBy(*keys, "_at", "delivery_hour").agg(F.max(F.struct("forecast_origin", "value")).alias("_v"))
+    newest = W.partitionBy(*keys, "_at").orderBy(F.col("delivery_hour").desc())
+    brought = reduced.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= RECENT_HOURS)
+    asked = origins.select(*keys, F.col("forecast_origin").alias("_at"), F.lit(True).alias("_q")).distinct()
+    along = W.partitionBy(*keys).orderBy("_at")
+    line = brought.unionByName(asked, allowMissingColumns=True).groupBy(*keys, "_at").agg(
+        F.sort_array(F.collect_list(F.when(F.col("delivery_hour").isNotNull(), F.struct("delivery_hour", "_v"))), False).alias("_hours"),
+        F.coalesce(F.bool_or("_q"), F.lit(False)).alias("_q"),
     )
-    reduced = staged(keyed.groupBy(*keys, "delivery_hour", "_from").agg(F.max(F.struct("forecast_origin", "value")).alias("_v")), "reduced")
-    asked = origins.select(*keys, F.col("forecast_origin").alias("_at")).distinct()
-
-    def newest(pairs: DataFrame) -> DataFrame:
-        per_hour = pairs.where(F.col("_from") <= F.col("_at")).groupBy(*keys, "_at", "delivery_hour").agg(F.max("_v").alias("_v"))
-        w = W.partitionBy(*keys, "_at").orderBy(F.col("delivery_hour").desc())
-        return per_hour.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= RECENT_HOURS)
-
-    day = asked.withColumn("_day", F.explode(F.sequence(F.date_sub(F.to_date("_at"), RECENT_DAYS), F.to_date("_at"))))
-    near = newest(day.join(reduced.withColumn("_day", F.to_date("delivery_hour")), [*keys, "_day"]))
-    answered = near.where(F.col("_rn") == RECENT_HOURS).select(*keys, "_at")
-    far = newest(asked.join(answered, [*keys, "_at"], "left_anti").join(reduced, list(keys)))
-    return near.join(answered, [*keys, "_at"], "left_semi").unionByName(far)
+    line = staged(line, "known_hours")
+    longest = line.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    for step in range(max(0, longest - 1).bit_length()):
+        line = line.withColumn("_earlier", F.lag("_hours", 1 << step).over(along)).withColumn("_hours", _merged(F.col("_hours"), F.col("_earlier")))
+    return line.where("_q").select(*keys, "_at", F.explode("_hours").alias("_h")).select(*keys, "_at", "_h.delivery_hour", "_h._v")
 
 
 def recent_error(history: DataFrame, origins: DataFrame, keys: Sequence[str] = ("component",)) -> DataFrame:
