@@ -40,3 +40,20 @@ def running_before(df: DataFrame, keys: Sequence[str], order: str, sums: Sequenc
     inside = rows.withColumns({f"_l_{c}": F.coalesce(F.sum(c).over(local), F.lit(0)) for c in sums})
     joined = inside.join(offsets, [*keys, "_pid"]).withColumns({c: F.col(f"_l_{c}") + F.col(f"_t_{c}") for c in sums})
     return joined.drop("_pid", *[f"_l_{c}" for c in sums], *[f"_t_{c}" for c in sums])
+
+
+def framed(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, block: int = 8_192) -> DataFrame:
+    """``df`` in blocks of its order, for frames and lags that reach up to ``before`` rows back.
+
+    Rows are numbered (``_pos``) within ``keys`` and dealt to blocks (``_block``) of ``block`` rows, at least ``before``. A block also holds the
+    last ``before`` rows of the one ahead of it (``_halo``), so a window partitioned by keys and block, in order of ``_pos``, sees all that
+    its own rows need; the halo rows are dropped afterwards. No task holds more than a block, however long a series is.
+    """
+    size = max(block, before, 1)
+    rows = ranked(df, keys, order)
+    at = F.expr(f"(_pos - 1) div {size}")
+    late = (F.col("_pos") - 1) % size >= size - before
+    blocks = F.when(late, F.array(F.struct(at.alias("b"), F.lit(False).alias("h")), F.struct((at + 1).alias("b"), F.lit(True).alias("h")))).otherwise(
+        F.array(F.struct(at.alias("b"), F.lit(False).alias("h")))
+    )
+    return rows.withColumn("_to", F.explode(blocks)).withColumns({"_block": F.col("_to.b"), "_halo": F.col("_to.h")}).drop("_to")

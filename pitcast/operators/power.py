@@ -14,6 +14,7 @@ from pitcast.operators import linear
 from pitcast.operators.asof import first_origin_knowing, hourly_as_of
 from pitcast.operators.intervals import conformal_radius
 from pitcast.operators.metrics import bucket_comparison
+from pitcast.operators.ordered import framed
 from pitcast.session import staged
 
 # Fuel heat content, low/high heat rates, default heat rate, share lags per bucket.
@@ -137,13 +138,19 @@ def physical_stack(df: DataFrame, heat_rate: float = DEFAULT_RATE, gas: Column |
 
 
 def recent_gas_share(history: DataFrame, origin: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean gas share of gas plus coal over the last 720 hours with any of them."""
+    """Mean gas share of gas plus coal over the last 720 hours with any of them.
+
+    The newest hours are found by a limit that every task applies to its own rows first.
+    """
     total = F.col("gas_mw") + F.col("coal_mw")
-    known = history.where((F.col("valid_at") < origin) & total.isNotNull())
-    w = W.partitionBy(*keys, *([] if keys else [F.lit(1)])).orderBy(F.col("valid_at").desc())
-    ranked = known.where(total > 0).withColumn("_rn", F.row_number().over(w))
-    share = F.avg(F.when(F.col("_rn") <= SHARE_ROWS, F.col("gas_mw") / total))
-    return ranked.groupBy(*keys).agg(F.coalesce(share, F.lit(0.5)).alias("gas_share"), F.count(F.lit(1)).alias("n_hours"))
+    known = history.where((F.col("valid_at") < origin) & (total > 0))
+    w = W.partitionBy(*keys).orderBy(F.col("valid_at").desc())
+    newest = known.select(*keys, "valid_at", (F.col("gas_mw") / total).alias("_s")).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= SHARE_ROWS)
+    share = newest.groupBy(*keys).agg(F.avg("_s").alias("_share"))
+    counted = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hours"))
+    if not keys:
+        return counted.select(F.coalesce(share.select("_share").scalar(), F.lit(0.5)).alias("gas_share"), "n_hours")
+    return counted.join(share, list(keys)).select(*keys, F.coalesce("_share", F.lit(0.5)).alias("gas_share"), "n_hours")
 
 
 FUEL_FEATURES = ("thermal_mw", "hour_sin", "hour_cos", "conventional_outage_mw", "gas_price")
@@ -185,18 +192,20 @@ def gas_split(stack: DataFrame, history: DataFrame, origin: Column, gas_price: C
 
 
 def share_residuals(history: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Absolute error of the lagged trailing gas share, one row per hour and horizon bucket."""
+    """Absolute error of the lagged trailing gas share, one row per hour and horizon bucket.
+
+    Frames and lags run over blocks of hours that overlap by what they reach back, so one long series is many tasks.
+    """
     total = F.col("gas_mw") + F.col("coal_mw")
-    w = W.partitionBy(*keys, *([] if keys else [F.lit(1)])).orderBy("valid_at")
+    rows = history.where(total.isNotNull()).withColumns({"_d": total, "_s": F.when(total > 0, F.col("gas_mw") / total)})
+    known = framed(rows.select(*keys, "valid_at", "gas_mw", "_d", "_s"), keys, ["valid_at"], SHARE_ROWS - 1 + max(SHARE_LAGS.values()))
+    w = W.partitionBy(*keys, "_block").orderBy("_pos")
     frame = w.rowsBetween(-(SHARE_ROWS - 1), 0)
-    share = F.when(total > 0, F.col("gas_mw") / total)
-    known = history.where(total.isNotNull()).withColumns({"_d": total, "_s": share})
-    trailing = F.when(F.count("_s").over(frame) >= 24, F.avg("_s").over(frame))
-    known = known.withColumn("_t", trailing)
+    known = known.withColumn("_t", F.when(F.count("_s").over(frame) >= 24, F.avg("_s").over(frame)))
     lagged = known.withColumn("_l", F.array(*[
         F.struct(F.lit(b).alias("horizon_bucket"), F.lag("_t", k).over(w).alias("share")) for b, k in SHARE_LAGS.items()
     ]))
-    long = lagged.select(*keys, "valid_at", "gas_mw", "_d", F.explode("_l").alias("_l"))
+    long = lagged.where(~F.col("_halo")).select(*keys, "valid_at", "gas_mw", "_d", F.explode("_l").alias("_l"))
     error = F.abs(F.col("gas_mw") - F.col("_d") * F.col("_l.share"))
     return long.select(*keys, "valid_at", F.col("_l.horizon_bucket").alias("horizon_bucket"), error.alias("abs_error")).where(
         F.col("abs_error").isNotNull()

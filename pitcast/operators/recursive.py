@@ -329,9 +329,8 @@ def backtest(df: DataFrame, keys: Sequence[str], features: Sequence[str], spec,
     clean = df.dropna(subset=[*features, target])
     folds = splits.fold_table(clean, "date", spec)
     params = linear.fit_folds(clean, keys, features, target, "date", spec, folds, model or linear.OLS)
-    val = splits.validation_rows(clean.select(*keys, "date"), "date", spec, folds)
-    newest = splits.training_rows(clean.select(*keys, "date").distinct(), "date", spec, folds).groupBy(*keys, "fold").agg(F.max("date").alias("as_of"))
-    origins = fold_origins(val, keys, newest)
+    extents = splits.fold_extents(clean, "date", spec, folds, keys).where("n_val > 0 AND n_train > 0")
+    origins = extents.select(*keys, "fold", F.col("first_val").alias("start_date"), F.col("n_val").cast("int").alias("n_steps"), F.col("last_train").alias("as_of"))
     inputs = step_inputs(df, origins, keys, horizon, mode, scenarios, balance)
     out = project_linear(inputs, params, keys, features, model_key).withColumn("forecast_input_mode", F.lit(mode))
     if coverage is None:

@@ -129,21 +129,15 @@ def hour_profile(history: DataFrame, value: str, keys: Sequence[str]) -> DataFra
 def hour_level(history: DataFrame, profile: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Per series: overall mean and mean gap between the last 24 actuals and their profile.
 
-    The newest 24 rows come from a ranked window per series over hourly totals, whose length is
-    bounded by the hours of the calendar.
+    The newest 24 rows are found by a limit that every task applies to its own rows before the exchange; only they meet the profile.
     """
     known = history.where(F.col(value).isNotNull())
     recent = W.partitionBy(*keys).orderBy(F.col("valid_at").desc())
-    gaps = (
-        known.withColumns({"_rn": F.row_number().over(recent), "hour_of_week": hour_of_week("valid_at")})
-        .join(profile, [*keys, "hour_of_week"], "left")
-        .groupBy(*keys)
-        .agg(
-            F.avg(value).alias("mean_mw"),
-            F.avg(F.when(F.col("_rn") <= 24, F.col(value) - F.col("profile_mw"))).alias("adjust_mw"),
-        )
+    newest = known.select(*keys, "valid_at", F.col(value).alias("_v")).withColumn("_rn", F.row_number().over(recent)).where(F.col("_rn") <= 24)
+    gaps = newest.withColumn("hour_of_week", hour_of_week("valid_at")).join(profile, [*keys, "hour_of_week"], "left").groupBy(*keys).agg(
+        F.avg(F.col("_v") - F.col("profile_mw")).alias("adjust_mw")
     )
-    return gaps
+    return known.groupBy(*keys).agg(F.avg(value).alias("mean_mw")).join(gaps, list(keys), "left")
 
 
 def hour_of_week_forecast(

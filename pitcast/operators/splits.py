@@ -1,12 +1,14 @@
 """Rolling-origin folds as tables.
 
 Fold membership is arithmetic on the row's own time, so rows meet their folds without a range
-join. A row is copied once per fold that uses it; linear fits avoid even that by running sums.
+join. Counts, bounds and linear fits are running sums along the folds; only validation rows, and what a fold of
+fixed length trains on, are copied once per fold that uses them.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -101,17 +103,20 @@ def validation_rows(df: DataFrame, time: str, spec: FoldSpec, folds: DataFrame)
     return _explode_range(df, low, high).join(folds, "_k").drop("_k")
 
 
+def _trainable(df: DataFrame, time: str, spec: FoldSpec) -> DataFrame:
+    return df if spec.train_start is None else df.where(_seconds(time) >= F.lit(int(spec.train_start.timestamp())))
+
+
+def _training_range(time: str, spec: FoldSpec, folds: DataFrame) -> tuple[Column, Column]:
+    last = folds.agg(F.max("_k")).scalar()
+    if spec.lookback is None:
+        return first_training_step(time, spec), last
+    return first_training_step(time, spec), F.least(last, _floor_div(_seconds(time) - F.lit(_end(spec)) + F.lit(spec.lookback), spec.step))
+
+
 def training_rows(df: DataFrame, time: str, spec: FoldSpec, folds: DataFrame) -> DataFrame:
     """Rows repeated for each fold that trains on them."""
-    since = _seconds(time) - F.lit(_end(spec))
-    low = F.greatest(_floor_div(since, spec.step) + 1, F.lit(0))
-    last = folds.agg(F.max("_k")).scalar()
-    high = last
-    if spec.lookback is not None:
-        high = F.least(last, _floor_div(since + F.lit(spec.lookback), spec.step))
-    if spec.train_start is not None:
-        df = df.where(_seconds(time) >= F.lit(int(spec.train_start.timestamp())))
-    return _explode_range(df, low, high).join(folds, "_k").drop("_k")
+    return _explode_range(_trainable(df, time, spec), *_training_range(time, spec, folds)).join(folds, "_k").drop("_k")
 
 
 def first_training_step(time: str, spec: FoldSpec) -> Column:
@@ -119,18 +124,47 @@ def first_training_step(time: str, spec: FoldSpec) -> Column:
     return F.greatest(_floor_div(_seconds(time) - F.lit(_end(spec)), spec.step) + 1, F.lit(0))
 
 
-def fold_sizes(df: DataFrame, time: str, spec: FoldSpec) -> DataFrame:
-    """Rows used per fold, with the dates that prove training precedes validation."""
-    folds = fold_table(df, time, spec)
-    train = training_rows(df, time, spec, folds).groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n_train"), F.max(time).alias("last_train")
-    )
-    val = validation_rows(df, time, spec, folds).groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n_val"), F.min(time).alias("first_val")
+def _extents(df: DataFrame, time: str, keys: Sequence[str], low: Column, high: Column, folds: DataFrame, newest: bool) -> DataFrame:
+    """Per key and fold: how many rows have the fold's shift in ``[low, high]``, and the newest or oldest time of them.
+
+    A row adds one at its first shift and takes it back after its last, and running sums give every fold. Both bounds grow with
+    time, so a fold's newest row is the newest one begun by then, and its oldest the oldest one not yet ended.
+    """
+    edge = F.max(time) if newest else F.min(time)
+    spans = df.select(*keys, time, low.alias("_low"), high.alias("_high")).where("_low <= _high").groupBy(*keys, "_low", "_high").agg(
+        F.count(F.lit(1)).alias("_n"), edge.alias("_edge")
     )
-    return val.join(train, "fold", "left").select(
-        "fold", F.coalesce("n_train", F.lit(0).cast("bigint")).alias("n_train"), "n_val", "last_train", "first_val"
+    begun = spans.select(*keys, F.col("_low").alias("_k"), F.col("_n"), *([F.col("_edge")] if newest else []))
+    ended = spans.select(*keys, (F.col("_high") + 1).alias("_k"), (-F.col("_n")).alias("_n"))
+    last = [] if newest else [spans.select(*keys, F.col("_high").alias("_k"), F.lit(0).cast("bigint").alias("_n"), "_edge")]
+    steps = folds.agg(F.sort_array(F.collect_set("_k"))).scalar()
+    asked = (spans.select(*keys).distinct() if keys else df.sparkSession.range(1)).select(
+        *keys, F.explode(steps).alias("_k"), F.lit(0).cast("bigint").alias("_n"), F.lit(True).alias("_asked")
     )
+    events = begun
+    for more in (ended, *last, asked):
+        events = events.unionByName(more, allowMissingColumns=True)
+    small = events.groupBy(*keys, "_k").agg(F.sum("_n").alias("_n"), (F.max if newest else F.min)("_edge").alias("_edge"), F.bool_or("_asked").alias("_asked"))
+    along = W.partitionBy(*keys).orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
+    edges = F.max("_edge").over(along) if newest else F.min("_edge").over(along.orderBy(F.col("_k").desc()))
+    told = small.withColumns({"n": F.sum("_n").over(along), "edge": edges}).where("_asked").select(*keys, "_k", "n", F.when(F.col("n") > 0, F.col("edge")).alias("edge"))
+    return told.join(folds.select("_k", "fold"), "_k").drop("_k")
+
+
+def fold_extents(df: DataFrame, time: str, spec: FoldSpec, folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key and fold: ``n_train, last_train, n_val, first_val``, without a copy of a row per fold."""
+    low, high = _training_range(time, spec, folds)
+    train = _extents(_trainable(df, time, spec), time, keys, low, high, folds, True)
+    val = _extents(df, time, keys, *_validation_range(time, spec), folds, False)
+    return val.select(*keys, "fold", F.col("n").alias("n_val"), F.col("edge").alias("first_val")).join(
+        train.select(*keys, "fold", F.col("n").alias("n_train"), F.col("edge").alias("last_train")), [*keys, "fold"], "left"
+    ).fillna(0, ["n_train"])
+
+
+def fold_sizes(df: DataFrame, time: str, spec: FoldSpec) -> DataFrame:
+    """Rows used per fold, with the dates that prove training precedes validation."""
+    extents = fold_extents(df, time, spec, fold_table(df, time, spec))
+    return extents.where("n_val > 0").select("fold", "n_train", "n_val", "last_train", "first_val")
 
 
 def require_training_rows(sizes: DataFrame) -> None:
