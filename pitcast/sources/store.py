@@ -1,7 +1,8 @@
 """Parquet tables: immutable vintages, upserts, versions and gaps.
 
 A published table is a folder of versions plus a small pointer table; a reader resolves the pointer
-first, so a version under construction is never visible and a path being read is never overwritten.
+first, so a version under construction is never visible and a path being read is never overwritten. A version
+is a whole table, or a list of delivery days and the folder that holds each, so that a batch writes only the days it touches.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import types as T
 
 from pitcast.functions.columns import require_columns
 from pitcast.operators import checks
+from pitcast.session import staged
+
+#: Partition column of tables that are kept by delivery day.
+DAY = "delivery_day"
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -36,50 +41,88 @@ def _stamp() -> str:
 
 def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> str:
     """Write a new version, then move the pointer to it. Returns the version path."""
-    version = f"{_stamp()}_{uuid.uuid4().hex[:12]}"
+    version = _version()
     path = f"{root}/version={version}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    pointer = df.sparkSession.createDataFrame([(version,)], "version string")
-    pointer.coalesce(1).write.mode("append").json(f"{root}/_latest")
+    _point(df.sparkSession, root, version, False)
     return path
 
 
-def latest_path(spark: SparkSession, root: str) -> str | None:
-    """Path of the newest published version, or None."""
+def _version() -> str:
+    return f"{_stamp()}_{uuid.uuid4().hex[:12]}"
+
+
+def _point(spark: SparkSession, root: str, version: str, by_day: bool) -> None:
+    spark.createDataFrame([(version, by_day)], "version string, by_day boolean").coalesce(1).write.mode("append").json(f"{root}/_latest")
+
+
+def _newest(spark: SparkSession, root: str) -> tuple[str, bool] | None:
+    """Name of the newest published version and whether it is a list of days."""
     try:
-        row = spark.read.schema("version string").json(f"{root}/_latest").agg(F.max("version")).first()
+        row = spark.read.schema("version string, by_day boolean").json(f"{root}/_latest").agg(F.max(F.struct("version", "by_day")).alias("v")).first()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return f"{root}/version={row[0]}" if row[0] else None
+    return (row["v"]["version"], bool(row["v"]["by_day"])) if row["v"] else None
+
+
+def latest_path(spark: SparkSession, root: str) -> str | None:
+    """Path of the newest published version, or None."""
+    newest = _newest(spark, root)
+    return f"{root}/version={newest[0]}" if newest else None
+
+
+def latest_days(spark: SparkSession, root: str) -> dict[str, str]:
+    """Folder of each delivery day of the newest version; one entry per calendar day of the table."""
+    newest = _newest(spark, root)
+    if not newest or not newest[1]:
+        return {}
+    rows = spark.read.schema("day string, part string").json(f"{root}/version={newest[0]}").collect()
+    return {r["day"]: f"{root}/parts/part={r['part']}/{DAY}={r['day']}" for r in rows}
+
+
+def _read_days(spark: SparkSession, root: str, folders: Sequence[str], schema: T.StructType | None) -> DataFrame:
+    reader = spark.read.option("basePath", f"{root}/parts")
+    reader = reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)
+    return reader.parquet(*folders).drop("part", DAY)
 
 
 def read_latest(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    path = latest_path(spark, root)
-    if path is None:
+    newest = _newest(spark, root)
+    if newest is None:
         if schema is None:
             raise FileNotFoundError(f"Nothing has been published under {root}.")
         return spark.createDataFrame([], schema)
+    if newest[1]:
+        return _read_days(spark, root, list(latest_days(spark, root).values()), schema)
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return reader.parquet(f"{root}/version={newest[0]}")
+
+
+def _checked(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """The batch, evaluated once, after its provenance checks."""
+    require_columns(df, required, "vintage batch")
+    batch = staged(df, "batch")
+    checks.enforce(checks.vintage_contract(batch), "vintage batch")
+    if batch.isEmpty():
+        raise ValueError("A vintage batch must not be empty.")
+    return batch
+
+
+def _append(batch: DataFrame, root: str, partition: str, number: int | None) -> None:
+    folder = f"u{_version()}" if number is None else str(number)
+    batch.write.mode("overwrite").partitionBy(partition).parquet(f"{root}/batch={folder}")
 
 
 def append_vintage(df: DataFrame, root: str, required: Sequence[str] = checks.PROVENANCE, partition: str = "product_id",
                    batch: int | None = None) -> None:
-    """Append immutable vintage parts after the provenance checks.
+    """Append immutable vintage parts after the provenance checks; the batch is evaluated once.
 
-    A numbered batch owns its folder, so writing the same batch again replaces it.
+    Every batch owns a folder ``batch=...``. A numbered batch that is written again replaces its folder; others have a fresh name.
     """
-    require_columns(df, required, "vintage batch")
-    checks.enforce(checks.vintage_contract(df), "vintage batch")
-    if df.limit(1).count() == 0:
-        raise ValueError("A vintage batch must not be empty.")
-    if batch is None:
-        df.write.mode("append").partitionBy(partition).parquet(root)
-    else:
-        df.write.mode("overwrite").partitionBy(partition).parquet(f"{root}/batch={batch}")
+    _append(_checked(df, required), root, partition, batch)
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -101,10 +144,32 @@ def materialize(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def append_and_materialize(batch: DataFrame, vintage_root: str, latest_root: str, number: int | None = None) -> str:
-    """Append the batch to the vintages and publish the refreshed latest table."""
+    """Append the batch to the vintages and publish the refreshed latest table. Returns the version path.
+
+    A vintage key holds its delivery time, so a batch can change only the days it delivers. These are merged and written anew, and the new version
+    takes all other days from the folders of the version before, whose files stay untouched.
+    """
     spark = batch.sparkSession
-    append_vintage(batch, vintage_root, batch=number)
-    return publish(materialize(read_latest(spark, latest_root, batch.schema), batch), latest_root)
+    batch = _checked(batch, checks.PROVENANCE)
+    _append(batch, vintage_root, "product_id", number)
+    newest = _newest(spark, latest_root)
+    known = latest_days(spark, latest_root)
+    day = F.coalesce(F.date_format("valid_at", "yyyy-MM-dd"), F.lit("none"))
+    version = _version()
+    if newest and not newest[1]:  # a whole table becomes days
+        touched = read_latest(spark, latest_root, batch.schema)
+    else:
+        folders = [known[r["day"]] for r in batch.select(day.alias("day")).distinct().collect() if r["day"] in known]
+        touched = _read_days(spark, latest_root, folders, batch.schema) if folders else spark.createDataFrame([], batch.schema)
+    merged = materialize(touched, batch).withColumn(DAY, day).hint("rebalance", DAY)
+    part = f"{latest_root}/parts/part={version}"
+    merged.write.mode("errorifexists").partitionBy(DAY).parquet(part)
+    written = spark.read.schema(f"{DAY} string").parquet(part).select(DAY).distinct().collect()
+    days = {d: path.split("/part=")[1].split("/")[0] for d, path in known.items()} | {str(r[DAY]): version for r in written}
+    path = f"{latest_root}/version={version}"
+    spark.createDataFrame(sorted(days.items()), "day string, part string").coalesce(1).write.json(path)
+    _point(spark, latest_root, version, True)
+    return path
 
 
 def recover_actuals(vintages: DataFrame, existing: DataFrame, keys: Sequence[str] = ("valid_at", "geography")) -> DataFrame:

@@ -191,6 +191,53 @@ def test_stream_intake_is_incremental(spark, tmp_path):
     assert [r["baseline_mw"] for r in store.read_latest(spark, latest).collect()] == [2.0]
 
 
+def _hours(spark, days, value):
+    one = _batch(spark, value).drop("valid_at")
+    return one.withColumn("day", F.explode(F.array(*map(F.lit, days)))).withColumn(
+        "valid_at", F.explode(F.array(*[F.expr(f"timestamp(day) + INTERVAL '{h}' HOUR") for h in (0, 5, 23)]))
+    ).drop("day")
+
+
+def _files(root):
+    return {p: p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def test_stream_intake_writes_only_the_days_it_touches(spark, tmp_path):
+    landing, vint, latest, mark = (str(tmp_path / n) for n in "abcd")
+    schema = _hours(spark, ["2026-01-03"], 1.0).schema
+    send = lambda *a: (_hours(spark, *a).write.mode("append").parquet(landing), start_intake(spark, landing, schema, vint, latest, mark).awaitTermination())
+    send(["2026-01-03", "2026-01-04", "2026-01-05"], 1.0)
+    before, folders = _files(tmp_path / "c"), store.latest_days(spark, latest)
+    send(["2026-01-04", "2026-01-06"], 2.0)
+    after, now = _files(tmp_path / "c"), store.latest_days(spark, latest)
+    assert before.items() <= after.items()
+    assert {d for d in now if now[d] == folders.get(d)} == {"2026-01-03", "2026-01-05"} and set(now) - set(folders) == {"2026-01-06"}
+    assert {p.parent.name for p in set(after) - set(before)} == {"delivery_day=2026-01-04", "delivery_day=2026-01-06"}
+    got = sorted((r["valid_at"].isoformat(), r["baseline_mw"]) for r in store.read_latest(spark, latest).collect())
+    assert got == [(f"2026-01-{d:02}T{h:02}:00:00", 2.0 if d in (4, 6) else 1.0) for d in (3, 4, 5, 6) for h in (0, 5, 23)]
+    assert set(store.read_latest(spark, latest).columns) == set(schema.names)
+
+
+def test_a_whole_version_becomes_days(spark, tmp_path):
+    vint, latest = str(tmp_path / "v"), str(tmp_path / "l")
+    store.publish(_hours(spark, ["2026-01-03", "2026-01-04"], 1.0), latest)
+    store.append_and_materialize(_hours(spark, ["2026-01-04"], 3.0), vint, latest)
+    assert set(store.latest_days(spark, latest)) == {"2026-01-03", "2026-01-04"}
+    assert sorted(r["baseline_mw"] for r in store.read_latest(spark, latest).collect()) == [1.0] * 3 + [3.0] * 3
+
+
+def test_a_batch_is_evaluated_once_and_numbered_batches_replace_theirs(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: (seen.add(1), v)[1], "double").asNondeterministic()
+    batch = _batch(spark, 5.0).withColumn("baseline_mw", count("baseline_mw"))
+    vint, latest = str(tmp_path / "v"), str(tmp_path / "l")
+    store.append_and_materialize(batch, vint, latest, 7)
+    assert seen.value == 1
+    store.append_vintage(_batch(spark, 6.0), vint, batch=7)
+    store.append_vintage(_batch(spark, 8.0), vint)
+    assert sorted(r["baseline_mw"] for r in spark.read.parquet(vint).collect()) == [6.0, 8.0]
+
+
 def test_frame_hash_ignores_order_but_not_content(spark):
     a = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
     h = lambda df: frame_hash(df).first()["source_hash"]
