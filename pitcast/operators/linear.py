@@ -1,8 +1,8 @@
-"""Linear models over many groups at once, from moment sums.
+"""Linear models over many groups at once, from centred moments.
 
-A fit needs only sums of products, which Spark accumulates map-side for any number of groups.
-The per-group solve (at most a few dozen unknowns) is a vectorized helper on those sums.
-Expanding folds reuse them: fold k is the running sum of the moments of steps 0..k.
+A fit needs only counts, means and co-moments, which Spark accumulates map-side and merges pairwise for any number of groups;
+products of raw values, which would cancel where means are large, are never summed. The per-group solve (at most a few dozen
+unknowns) is a vectorized helper on them. Expanding folds reuse them: fold k merges the moments of steps 0..k.
 """
 
 from __future__ import annotations
@@ -43,40 +43,86 @@ def moment_count(n_features: int) -> int:
     return width * (width + 1) // 2
 
 
+def _place(i: int, j: int, width: int) -> str:
+    """Column of entry ``i <= j`` of the packed upper triangle."""
+    return f"m{i * width - i * (i - 1) // 2 + j - i}"
+
+
 def moments(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
-    """Upper triangle of sums of products of (1, features, target) per key, as columns m0, m1, ..."""
+    """Packed upper triangle per key over (1, features, target), as columns m0, m1, ...
+
+    The first is the count, the rest of the first row holds means, and the other rows hold co-moments, the sums of products of
+    deviations from the means.
+    """
     rows = df.dropna(subset=[*features, target])
-    terms: list[Column] = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(target).cast("double")]
+    values = [F.col(f).cast("double") for f in [*features, target]]
     if len(features) > WIDE:
-        return _wide_moments(rows, keys, terms)
-    sums = []
-    for i in range(len(terms)):
-        for j in range(i, len(terms)):
-            sums.append(F.sum(terms[i] * terms[j]).alias(f"m{len(sums)}"))
-    return rows.groupBy(*keys).agg(*sums)
+        return _wide_moments(rows, keys, values)
+    width = len(values) + 1
+    n = F.count(F.lit(1))
+    parts = {"m0": n.cast("double")} | {_place(0, j, width): F.avg(v) for j, v in enumerate(values, 1)}
+    for i in range(1, width):
+        for j in range(i, width):
+            parts[_place(i, j, width)] = F.covar_pop(values[i - 1], values[j - 1]) * n
+    return rows.groupBy(*keys).agg(*[c.alias(name) for name, c in parts.items()])
 
 
-def _wide_moments(rows: DataFrame, keys: Sequence[str], terms: list[Column]) -> DataFrame:
-    """The same sums for many features: products become rows that combine map-side per position.
+def _wide_moments(rows: DataFrame, keys: Sequence[str], values: list[Column]) -> DataFrame:
+    """The same moments for many features: pairs become rows whose co-moments combine map-side per position.
 
-    Hundreds of separate aggregates would outgrow generated code; this plan has one.
+    Hundreds of separate aggregates would outgrow generated code; this plan has three. A constant 1 ahead of the values gives the means.
     """
-    width = len(terms)
-    products = F.flatten(F.transform(
+    width = len(values) + 1
+    pairs = F.flatten(F.transform(
         F.sequence(F.lit(1), F.lit(width)),
-        lambda i: F.transform(F.slice("_v", i, F.lit(width + 1) - i), lambda x: x * F.element_at("_v", i)),
+        lambda i: F.transform(F.slice("_v", i, F.lit(width + 1) - i), lambda x: F.struct(F.element_at("_v", i).alias("a"), x.alias("b"))),
     ))
-    long = rows.select(*keys, F.array(*terms).alias("_v")).select(*keys, F.posexplode(products).alias("_p", "_x"))
-    per = long.groupBy(*keys, "_p").agg(F.sum("_x").alias("_s"))
+    long = rows.select(*keys, F.array(F.lit(1.0), *values).alias("_v")).select(*keys, F.posexplode(pairs).alias("_p", "_x"))
+    a, b, n = F.col("_x.a"), F.col("_x.b"), F.count(F.lit(1)).cast("double")
+    per = long.groupBy(*keys, "_p").agg(
+        F.when(F.col("_p") == 0, n).when(F.col("_p") < width, F.avg(b)).otherwise(F.covar_pop(a, b) * n).alias("_s")
+    )
     packed = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "_s"))).alias("_a"))
     return packed.select(*keys, *[F.col("_a")[i]["_s"].alias(f"m{i}") for i in range(width * (width + 1) // 2)])
 
 
-def running_moments(step_moments: DataFrame, keys: Sequence[str], step: str, n_features: int) -> DataFrame:
-    """Cumulative moments along ``step``; one small row per (key, step) enters the window."""
-    w = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, W.currentRow)
+def _summable(parts: DataFrame, keys: Sequence[str], order: str, n_features: int) -> DataFrame:
+    """``parts`` with moments about a point of their key, ``_ref``, which add up; the point is the mean of the key's first part.
+
+    It lies within the values, so that sums about it do not cancel, and no later part can move it.
+    """
+    width = n_features + 2
+    first = F.min_by(F.array(*[F.col(_place(0, j, width)) for j in range(1, width)]), F.when(F.col("m0").isNotNull(), F.col(order))).over(W.partitionBy(*keys))
+    held = parts.withColumn("_ref", first)
+    gap = {j: F.col(_place(0, j, width)) - F.col("_ref")[j - 1] for j in range(1, width)}
+    about = {_place(0, j, width): F.col("m0") * g for j, g in gap.items()}
+    for i in range(1, width):
+        about |= {_place(i, j, width): F.col(_place(i, j, width)) + F.col("m0") * gap[i] * gap[j] for j in range(i, width)}
+    return held.withColumns(about)
+
+
+def _centred(sums: DataFrame, n_features: int) -> DataFrame:
+    """Moments about the mean again, of sums of :func:`_summable` parts."""
+    width = n_features + 2
+    n = F.col("m0")
+    back = {_place(0, j, width): F.col("_ref")[j - 1] + F.col(_place(0, j, width)) / n for j in range(1, width)}
+    for i in range(1, width):
+        back |= {_place(i, j, width): F.col(_place(i, j, width)) - F.col(_place(0, i, width)) * F.col(_place(0, j, width)) / n for j in range(i, width)}
+    return sums.where(n > 0).withColumns(back).drop("_ref")
+
+
+def running_moments(parts: DataFrame, keys: Sequence[str], step: str, n_features: int, extra: Sequence[str] = ()) -> DataFrame:
+    """Moments merged along ``step``; one small row per (key, step) enters the window, and rows without moments only ask."""
+    w = W.partitionBy(*keys).orderBy(step).rangeBetween(W.unboundedPreceding, W.currentRow)
+    names = [f"m{i}" for i in range(moment_count(n_features))]
+    held = _summable(parts, keys, step, n_features)
+    return _centred(held.select(*keys, step, *extra, "_ref", *[F.sum(m).over(w).alias(m) for m in names]), n_features)
+
+
+def merged_moments(parts: DataFrame, keys: Sequence[str], group: Sequence[str], n_features: int) -> DataFrame:
+    """Moments of each group of :func:`_summable` ``parts`` of the same key."""
     names = [f"m{i}" for i in range(moment_count(n_features))]
-    return step_moments.select(*keys, step, *[F.sum(m).over(w).alias(m) for m in names])
+    return _centred(parts.groupBy(*keys, *group).agg(F.any_value("_ref").alias("_ref"), *[F.sum(m).alias(m) for m in names]), n_features)
 
 
 def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
@@ -89,14 +135,14 @@ def solve_one(packed: np.ndarray, n_features: int, spec: LinearSpec) -> np.ndarr
     """Intercept and coefficients from packed moments."""
     g = _unpack(packed, n_features + 2)
     n = g[0, 0]
-    mean = g[0, 1:] / n
-    cov = g[1:, 1:] / n - np.outer(mean, mean)
+    mean = g[0, 1:]
+    cov = g[1:, 1:] / n
     sxx, sxy = cov[:-1, :-1], cov[:-1, -1]
     if spec.kind == "ols":
         beta = np.linalg.pinv(sxx, rcond=1e-12, hermitian=True) @ sxy
     else:
         var = np.diag(sxx)
-        tiny = 1e-12 * np.maximum(mean[:-1] ** 2, 1e-12)
+        tiny = 1e-24 * mean[:-1] ** 2
         scale = np.where(var > tiny, np.sqrt(np.maximum(var, 0.0)), 1.0)
         zxx = sxx / np.outer(scale, scale)
         zxy = np.where(var > tiny, sxy, 0.0) / scale
@@ -173,15 +219,11 @@ def fit_folds(df: DataFrame, keys: Sequence[str], features: Sequence[str], targe
         steps = folds.agg(F.collect_set("_k")).scalar()
         spine = per_step.select(*keys).distinct().withColumn("_k", F.explode(steps)).withColumn("_asked", F.lit(True))
         both = per_step.unionByName(spine, allowMissingColumns=True)
-        w = W.partitionBy(*keys).orderBy("_k").rangeBetween(W.unboundedPreceding, W.currentRow)
-        names = [f"m{i}" for i in range(moment_count(k))]
-        running = both.select(*keys, "_k", "_asked", *[F.sum(m).over(w).alias(m) for m in names])
+        running = running_moments(both, keys, "_k", k, ["_asked"])
         per_fold = running.where(F.col("_asked")).join(folds.select("_k", "fold"), "_k").drop("_k", "_asked")
     else:
-        per_date = moments(df, [*keys, date], features, target)
-        spread = splits.training_rows(per_date, date, spec, folds)
-        names = [f"m{i}" for i in range(moment_count(k))]
-        per_fold = spread.groupBy(*keys, "fold").agg(*[F.sum(m).alias(m) for m in names])
+        per_date = _summable(moments(df, [*keys, date], features, target), keys, date, k)
+        per_fold = merged_moments(splits.training_rows(per_date, date, spec, folds), keys, ["fold"], k)
     return solve(per_fold, [*keys, "fold"], k, model)
 
 

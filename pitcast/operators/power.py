@@ -264,12 +264,9 @@ def correction_folds(history: DataFrame, features: Sequence[str] = CORRECTION_FE
     )
     per_origin = linear.moments(stepped, [*keys, "_at"], features, "_y")
     k = len(features)
-    names = [f"m{i}" for i in range(linear.moment_count(k))]
     asked = origins.select(*keys, F.col("forecast_origin").alias("_at"), F.lit(True).alias("_q"))
-    w = W.partitionBy(*keys).orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
-    running = per_origin.unionByName(asked, allowMissingColumns=True).select(
-        *keys, "_at", "_q", *[F.sum(m).over(w).alias(m) for m in names]
-    ).where(F.col("_q") & (F.col("m0") >= min_train))
+    both = per_origin.unionByName(asked, allowMissingColumns=True)
+    running = linear.running_moments(both, keys, "_at", k, ["_q"]).where(F.col("_q") & (F.col("m0") >= min_train))
     return linear.solve(running.withColumnRenamed("_at", "forecast_origin"), [*keys, "forecast_origin"], k, linear.RIDGE)
 
 

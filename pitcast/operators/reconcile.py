@@ -68,9 +68,16 @@ def residual_vectors(residuals: DataFrame, residual: str = "residual", keys: Seq
 def residual_moments(vectors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sums of all monomials up to degree four that the covariance and its shrinkage need, per date.
 
-    They are additive, so prior moments at every origin are running sums along the dates.
+    They are additive, so prior moments at every origin are running sums along the dates. Residuals are taken about the earliest vector of
+    their key: the covariance and its shrinkage do not depend on the point, sums near it do not cancel, and no later date moves it.
     """
-    x = [F.col(r) for r in ALL_REGIONS]
+    first = F.min_by(F.struct(*ALL_REGIONS), F.struct("date", "horizon")).alias("_first")
+    if keys:
+        held = vectors.join(vectors.groupBy(*keys).agg(first), list(keys))
+    else:
+        held = vectors.withColumn("_first", vectors.agg(first).scalar())
+    vectors = held
+    x = [F.col(r) - F.col("_first")[r] for r in ALL_REGIONS]
     norm2 = _total([c * c for c in x])
     sums = [F.sum(F.lit(1.0)), *[F.sum(c) for c in x]]
     sums += [F.sum(x[i] * x[j]) for i in range(P) for j in range(i, P)]
