@@ -217,15 +217,31 @@ def m22(t):
     return p.select("duoarea", "rho", F.col("coef")[0].alias("intercept"), F.col("coef")[1].alias("slope"))
 
 
-@query("m18_permutation_importance")
+def _hashed(tag: str, size: str) -> str:
+    return f"(CAST('0x' || substr(md5({tag}), 1, 15) AS BIGINT) % {size})"
+
+
+_MIRROR = f"((({_hashed("'42:' || rep || ':' || r", 'n')} - x) % n + n) % n)"
+_SWAPPED = [f"CASE WHEN feature = '{f}' THEN d.{f} ELSE a.{f} END" for f in FEATURES]
+_M18 = f"""WITH {FEAT}, clean AS (SELECT *, row_number() OVER (ORDER BY duoarea, date) - 1 AS i, count(*) OVER () AS n FROM feat WHERE {' AND '.join(f'{f} IS NOT NULL' for f in [*FEATURES, 'weekly_change_bcf'])}),
+  {sql_linear('o', 'clean', [], FEATURES, 'weekly_change_bcf')},
+  base AS (SELECT avg(abs(weekly_change_bcf - ({sql_pred('b', FEATURES)}))) AS e FROM clean, o_b b),
+  moved AS (SELECT i, rep, list_reduce(range(1, 21), lambda x, r: CASE WHEN md5('42:' || rep || ':' || r || ':' || greatest(x, {_MIRROR})) < '8' THEN {_MIRROR} ELSE x END, i) AS j FROM clean, range(1, 6) t(rep)),
+  gain AS (SELECT feature, rep, avg(abs(a.weekly_change_bcf - ({sql_pred('b', _SWAPPED)}))) - any_value(base.e) AS g FROM moved m JOIN clean a ON a.i = m.i JOIN clean d ON d.i = m.j, o_b b, base, (VALUES {', '.join(f"('{f}')" for f in FEATURES)}) v(feature) GROUP BY feature, rep)
+  SELECT feature, {r('avg(g) AS importance_mean', 'stddev_pop(g) AS importance_std')} FROM gain GROUP BY feature"""
+
+
+@query("m18_permutation_importance", _M18)
 def m18(t):
-    rows = feature_rows(t).select("duoarea", "date", "weekly_change_bcf", *FEATURES).dropna()
+    rows = staged(feature_rows(t).select("duoarea", "date", "weekly_change_bcf", *FEATURES).dropna(), "importance")
     params = linear.fit(rows.withColumn("k", F.lit(1)), ["k"], FEATURES, "weekly_change_bcf")
     coef = params.select("coef").scalar()
-    return experiments.permutation_importance(rows, FEATURES, "weekly_change_bcf", lambda c: linear.dot(coef, [c[f] for f in FEATURES]), repeats=5)
+    return experiments.permutation_importance(
+        rows, FEATURES, "weekly_change_bcf", lambda c: linear.dot(coef, [c[f] for f in FEATURES]), repeats=5, order=["duoarea", "date"]
+    )
 
 
-@query("t04_importance_ranking")
+@query("t04_importance_ranking", f"{_M18} ORDER BY importance_mean DESC")
 def t04(t):
     return m18(t).orderBy(F.col("importance_mean").desc())
 
@@ -236,7 +252,14 @@ def _pair(t):
     return base, better
 
 
-@query("m19_block_bootstrap")
+_GAIN = "abs(actual_weekly_change - predicted_weekly_change) - abs(actual_weekly_change - 0.5*predicted_weekly_change - 0.25*actual_weekly_change)"
+_BOOT = f"""gains AS (SELECT region, list(g ORDER BY date) AS g, count(*) AS n, avg(g) AS mae_improvement FROM (SELECT region, date, {_GAIN} AS g FROM base_predictions WHERE horizon = 1) WHERE g IS NOT NULL GROUP BY region),
+  blocks AS (SELECT region, draw, g, n, {_hashed("'42:' || draw || ':' || b", 'n')} AS s, CASE WHEN b = ceil(n / 4.0) THEN (n - 1) % 4 + 1 ELSE 4 END AS size FROM gains, range(1, 2001) d(draw), range(1, CAST(ceil(n / 4.0) AS BIGINT) + 1) t(b)),
+  means AS (SELECT region, draw, sum(list_sum(list_transform(range(CAST(size AS BIGINT)), lambda o: g[1 + (s + o) % n]))) / any_value(n) AS m FROM blocks GROUP BY region, draw),
+  boot AS (SELECT region, any_value(mae_improvement) AS mae_improvement, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper FROM means JOIN gains USING (region) GROUP BY region)"""
+
+
+@query("m19_block_bootstrap", f"WITH {_BOOT} SELECT region, {r('mae_improvement', 'ci_lower', 'ci_upper')} FROM boot")
 def m19(t):
     paired = experiments.paired_errors(experiments.pair(*_pair(t))).where(F.col("horizon") == 1)
     return experiments.block_bootstrap(paired, ["date"], keys=["region"])
@@ -253,7 +276,16 @@ def m20_regions(t):
     return experiments.region_degradation(experiments.pair(*_pair(t)))
 
 
-@query("m20_promotion_gate")
+_GATE = f"""WITH {_BOOT}, worst AS (SELECT max(CASE WHEN b > 0 THEN (c - b) / b ELSE CAST(c > 0 AS DOUBLE) END) AS d FROM (SELECT region, avg(abs(actual_weekly_change - predicted_weekly_change)) AS b,
+    avg(abs(actual_weekly_change - 0.5*predicted_weekly_change - 0.25*actual_weekly_change)) AS c FROM base_predictions WHERE horizon = 1 GROUP BY 1)),
+  cover AS (SELECT avg(CASE WHEN p10 IS NOT NULL AND p90 IS NOT NULL THEN CAST(actual_weekly_change BETWEEN p10 AND p90 AS DOUBLE) END) AS c FROM base_predictions WHERE horizon = 1 AND region = 'R48'),
+  flags AS (SELECT mae_improvement, ci_lower, ci_upper, coalesce(d, 0) AS max_region_degradation, c AS interval_coverage, mae_improvement >= 1.0 AS accuracy_pass, ci_lower > 0 AS significance_pass,
+    coalesce(d, 0) <= 0.1 AS region_pass, coalesce(abs(c - 0.8) <= 0.05, false) AS coverage_pass FROM boot, worst, cover WHERE region = 'R48')
+  SELECT {r('mae_improvement', 'ci_lower', 'ci_upper', 'max_region_degradation', 'interval_coverage')}, accuracy_pass, significance_pass, region_pass, coverage_pass,
+    accuracy_pass AND significance_pass AND region_pass AND coverage_pass AS promote FROM flags"""
+
+
+@query("m20_promotion_gate", _GATE)
 def m20(t):
     return experiments.promotion_gate(*_pair(t))
 
