@@ -140,7 +140,8 @@ def scenario_as_of(
     """Latest scenario per (region, target date) issued by ``as_of``.
 
     ``n_models`` counts the scenario rows sharing the latest issue; a value above one with neither
-    provider nor model chosen is the ambiguity that :func:`require_single_model` rejects.
+    provider nor model chosen is the ambiguity that :func:`require_single_model` rejects. Each of ``target_dates`` needs
+    a scenario of the region, or of every region that has any; a missing one stops the job.
     """
     require_columns(scenarios, ["date", "duoarea", "issued_at"], "scenario table")
     known = scenarios.where(F.col("issued_at") <= as_of)
@@ -148,8 +149,10 @@ def scenario_as_of(
         if wanted is not None:
             require_columns(known, [column], "scenario table")
             known = known.where(F.col(column) == wanted)
-    if target_dates is not None:
-        known = known.join(target_dates.select("date").distinct(), "date", "left_semi")
+    dates = None if target_dates is None else target_dates.select("date").distinct()
+    if dates is not None:
+        regions = known.select("duoarea").distinct() if region is None else known.sparkSession.range(1).select(F.lit(region).alias("duoarea"))
+        known = known.join(dates, "date", "left_semi")
     keys = ["date", "duoarea"]
     per_issue = known.groupBy(*keys, "issued_at").agg(
         F.max(_version(known, keys, ["issued_at"])).alias("_v"), F.count(F.lit(1)).alias("_n")
@@ -157,6 +160,10 @@ def scenario_as_of(
     best = per_issue.groupBy(*keys).agg(
         F.max_by(F.struct("_v", "_n"), "issued_at").alias("_b")
     )
+    if dates is not None:
+        wanted = regions.select("duoarea", F.explode(dates.agg(F.collect_list("date")).scalar()).alias("date"))
+        lost = F.raise_error(F.concat_ws(" ", F.lit("No weather scenario is known at the origin for"), "duoarea", F.col("date").cast("string"))).cast("boolean")
+        best = wanted.join(best, keys, "left").where(F.when(F.col("_b").isNull(), lost).otherwise(True))
     return best.select(
         *[F.col(c) if c in keys else F.col(f"_b._v.{c}").alias(c) for c in known.columns],
         F.col("_b._n").alias("n_models"),

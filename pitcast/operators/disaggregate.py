@@ -179,6 +179,13 @@ def missing_series(available: DataFrame, abbrs: DataFrame) -> DataFrame:
     return national.union(state).join(available.select("series").distinct(), "series", "left_anti")
 
 
+def require_series(available: DataFrame, abbrs: DataFrame) -> None:
+    """Raise unless every required monthly series is there; the list is bounded by the states."""
+    missing = sorted(r[0] for r in missing_series(available, abbrs).collect())
+    if missing:
+        raise ValueError(f"Monthly inputs lack required series: {missing}")
+
+
 def has_state_production(available: DataFrame) -> DataFrame:
     s = F.col("series")
     found = F.count_if((s.startswith("N9050") & (s != "N9050US2")) | s.startswith("NA1160_S")) > 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitcast.operators import asof, checks, crude, disaggregate, features, linear, metrics, power, reconcile, recursive, rollups, splits
 from pitcast.session import staged
-from pitcast.sources import store
+from pitcast.sources import dimensions, store
 
 STORAGE_MARK = "_SWO_"
 
@@ -27,11 +27,23 @@ def clean_weekly_storage(raw: DataFrame, start: str | None = None, end: str | No
     return one.withColumns({"year": F.year("period"), "month": F.month("period"), "week_of_year": F.weekofyear("period")})
 
 
+def region_rows(rows: DataFrame, regions: Sequence[str], include_legacy: bool = False) -> DataFrame:
+    """Rows of the wanted regions; an unknown code, or a region without any row, stops the job."""
+    for code in regions:
+        dimensions.require_known_region(code, include_legacy)
+    kept = rows.where(F.col("duoarea").isin(*regions))
+    found = {r[0] for r in kept.select("duoarea").distinct().collect()}
+    missing = sorted(set(regions) - found)
+    if missing:
+        raise ValueError(f"No storage rows for regions {missing}.")
+    return kept
+
+
 def storage_table(raw: DataFrame, start: str | None = None, end: str | None = None, regions: Sequence[str] | None = None) -> DataFrame:
     """Weekly storage with its change, first weeks without a change removed."""
     rows = clean_weekly_storage(raw, start, end)
     if regions is not None:
-        rows = rows.where(F.col("duoarea").isin(*regions))
+        rows = region_rows(rows, regions)
     changed = features.weekly_change(rows)
     return changed.where(F.col("weekly_change_bcf").isNotNull()).select(
         "duoarea", F.col("period").alias("date"), F.col("value").alias("storage_bcf"), "weekly_change_bcf", "year", "month", "week_of_year"
@@ -79,6 +91,7 @@ def deviation_columns(df: DataFrame, target: str = "weekly_change_bcf") -> DataF
 
 def balance_table(monthly: DataFrame, states: DataFrame, daily_weather: DataFrame, daily_price: DataFrame, weather: DataFrame, storage: DataFrame) -> DataFrame:
     """Weekly regional balance with the net inflow that closes it against storage."""
+    disaggregate.require_series(monthly, states)
     table = disaggregate.state_components(monthly, states, daily_price)
     regional = disaggregate.regional_balance(disaggregate.regional_months(table), monthly)
     months = disaggregate.aligned_months(regional, daily_weather, daily_price)

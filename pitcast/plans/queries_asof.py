@@ -39,7 +39,8 @@ def j03(t):
 @query("j04_scenario_as_of", f"""SELECT {d('date')}, duoarea, issued_at, provider, model, {r('temperature_f', 'hdd', 'cdd', 'weather_days')} FROM scenarios WHERE issued_at <= TIMESTAMP '{ORIGIN}' AND duoarea = 'R32' AND provider = 'archive'
   QUALIFY row_number() OVER (PARTITION BY date, duoarea ORDER BY issued_at DESC) = 1""")
 def j04(t):
-    return asof.scenario_as_of(t.scenarios, _at(), region="R32", provider="archive").drop("n_models")
+    mine = (F.col("duoarea") == "R32") & (F.col("provider") == "archive") & (F.col("issued_at") <= _at())
+    return asof.scenario_as_of(t.scenarios, _at(), region="R32", target_dates=t.scenarios.where(mine), provider="archive").drop("n_models")
 
 
 @query("j05_state_weights_as_of", f"""SELECT state, duoarea, available_at, {r('gas_load / sum(gas_load) OVER (PARTITION BY duoarea) AS weather_weight')} FROM (SELECT * FROM weight_history WHERE available_at <= TIMESTAMP '{ORIGIN}'

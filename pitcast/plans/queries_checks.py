@@ -104,9 +104,9 @@ def c15(t):
     return checks.recursive_inputs(t.wk_storage)
 
 
-@query("c16_required_series", "SELECT series FROM (SELECT 'N30' || p || abbr || '2' AS series FROM state_codes, (VALUES ('10'), ('20'), ('35'), ('45')) v(p) UNION ALL SELECT unnest(['N9070US2','N9050US2','N9140US2','N9160US2','N9170US2'])) WHERE series NOT IN (SELECT series FROM monthly_series WHERE value > 0)")
+@query("c16_required_series", "SELECT series FROM (SELECT 'N30' || p || abbr || '2' AS series FROM state_codes, (VALUES ('10'), ('20'), ('35'), ('45')) v(p) UNION ALL SELECT unnest(['N9070US2','N9050US2','N9140US2','N9160US2','N9170US2'])) WHERE series NOT IN (SELECT series FROM monthly_series WHERE value > 900)")
 def c16(t):
-    return missing_series(t.monthly_series.where(F.col("value") > 0), t.state_codes)
+    return missing_series(t.monthly_series.where(F.col("value") > 900), t.state_codes)
 
 
 @query("c16_state_production", "SELECT count(*) FILTER ((series LIKE 'N9050%' AND series <> 'N9050US2') OR series LIKE 'NA1160_S%') > 0 AS has_state_production FROM monthly_series")

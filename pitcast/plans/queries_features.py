@@ -63,7 +63,9 @@ def p08(t):
 
 @query("p09_region_filter", f"SELECT duoarea, {d('period')}, {r('value')} FROM storage_raw WHERE duoarea IN ('R31', 'R33')")
 def p09(t):
-    return t.storage_raw.where(F.col("duoarea").isin("R31", "R33")).drop("series")
+    from pitcast.plans.jobs import region_rows
+
+    return region_rows(t.storage_raw, ["R31", "R33"]).drop("series")
 
 
 @query("p10_storage_model_columns", f"""SELECT duoarea, {d('date')}, {r('storage_bcf', 'weekly_change_bcf')}, year, month, week_of_year FROM (

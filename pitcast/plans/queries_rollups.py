@@ -32,9 +32,9 @@ def a03(t):
     return rollups.region_members(t.archive, t.state_weights)
 
 
-@query("j13_many_to_one_weights", "SELECT state, duoarea FROM archive WHERE (state, duoarea) NOT IN (SELECT (state, duoarea) FROM state_weights)")
+@query("j13_many_to_one_weights", "SELECT DISTINCT state, duoarea FROM archive WHERE (state, duoarea) NOT IN (SELECT (state, duoarea) FROM state_weights WHERE weather_weight > 0.2)")
 def j13(t):
-    return rollups.unweighted_states(t.archive, t.state_weights)
+    return rollups.unweighted_states(t.archive, t.state_weights.where(F.col("weather_weight") > 0.2))
 
 
 _SC = "provider, model, model_run, issued_at, duoarea, date"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pitcast.functions.calendar import LOCAL_ZONE
 from pitcast.operators import metrics
 from pitcast.plans import jobs, reports
+from pitcast.plans.fixtures import CRUDE_PARTS
 from pitcast.plans.queries_features import FEATURE_CTE, lag
 from pitcast.plans.queries_models import _LB, _WKLY, _balance, _crude_forecast, _OIL, b10
 from pitcast.plans.queries_rollups import _YW
@@ -136,11 +137,10 @@ def s12(t):
     return payloads.statistical_rows(_stat_payloads(t))
 
 
-@query("s12_labelled_components", f"SELECT {d('period')}, component, {r('value')} FROM crude_long WHERE component IN ('production_kbpd', 'imports_kbpd') AND period BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'")
+@query("s12_labelled_components", f"SELECT {d('period')}, component, {r('value')} FROM crude_long WHERE period BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'")
 def s12_components(t):
-    names = {"WCRFPUS2": "production_kbpd", "WCEIMUS2": "imports_kbpd"}
-    code = F.when(F.col("component") == "production_kbpd", "WCRFPUS2").when(F.col("component") == "imports_kbpd", "WCEIMUS2").otherwise("other")
-    rows = t.crude_long.withColumn("series", code).drop("component")
+    rows = t.crude_long.withColumn("series", F.concat(F.lit("W_"), F.upper("component"))).drop("component")
+    names = {f"W_{c.upper()}": c for c in CRUDE_PARTS}
     return payloads.labelled_components(rows, names, F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date"))
 
 
@@ -248,18 +248,33 @@ def _local(c: str):
     return F.from_utc_timestamp(F.col(c), LOCAL_ZONE)
 
 
-def _report(t, component: str):
-    """A vendor-style report: local delivery day, hour ending, local posting time, two zones."""
-    v = t.power_vintages.where((F.col("component") == component) & F.col("actual_mw").isNotNull())
+def _reports(t):
+    """Vendor-style reports of every component: local delivery day, hour ending, local posting time, two zones, row order."""
+    v = t.power_vintages.where(F.col("actual_mw").isNotNull())
     end = _local("valid_at")
     return v.select(
+        "component",
         F.date_format(end - F.expr("INTERVAL 1 SECOND"), "yyyy-MM-dd").alias("Delivery Date"),
         F.concat(F.lpad((F.hour(end - F.expr("INTERVAL 1 SECOND")) + 1).cast("string"), 2, "0"), F.lit(":00")).alias("hourEnding"),
-        F.date_format(_local("issued_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("postedDatetime"), "baseline_mw", "actual_mw",
+        F.date_format(_local("issued_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("postedDatetime"), F.unix_timestamp("valid_at").alias("line"), "baseline_mw", "actual_mw",
         F.explode(F.array(F.lit("NORTH"), F.lit("SOUTH"))).alias("zone"),
     )
 
 
+#: Columns that tell one report from another.
+_ONE = ["component", "postedDatetime"]
+
+
+def _report(t, component: str):
+    return _reports(t).where(F.col("component") == component).drop("component")
+
+
+def _per_component(t, read):
+    """``read(rows, component)`` of each component's reports, with the component."""
+    parts = [read(_report(t, c), c).withColumn("component", F.lit(c)) for c in ("load", "wind", "solar")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _far():
     return F.lit("2025-01-01 00:00:00").cast("timestamp")
 
@@ -270,55 +285,70 @@ def p04(t):
     return t.hours.select("component", vendors.vendor_instant(text).alias("valid_at")).groupBy("component", "valid_at").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p05_hour_ending", "SELECT valid_at, 2 * count(*) AS n FROM power_vintages WHERE component = 'wind' AND actual_mw IS NOT NULL GROUP BY 1")
+@query("p05_hour_ending", "SELECT component, valid_at, 2 * count(*) AS n FROM power_vintages WHERE actual_mw IS NOT NULL GROUP BY 1, 2")
 def p05(t):
-    return vendors.valid_instant(_report(t, "wind")).groupBy("valid_at").agg(F.count(F.lit(1)).alias("n"))
+    return vendors.valid_instant(_reports(t), "line", _ONE).groupBy("component", "valid_at").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p06_valid_and_issue_times", "SELECT issued_at, count(DISTINCT valid_at) AS hours FROM power_vintages WHERE component = 'solar' AND actual_mw IS NOT NULL GROUP BY 1")
+@query("p06_valid_and_issue_times", "SELECT component, issued_at, count(DISTINCT valid_at) AS hours FROM power_vintages WHERE actual_mw IS NOT NULL GROUP BY 1, 2")
 def p06(t):
-    rows = vendors.valid_instant(_report(t, "solar"))
-    return rows.withColumn("issued_at", vendors.issue_instant(rows, None)).groupBy("issued_at").agg(F.countDistinct("valid_at").alias("hours"))
+    rows = vendors.valid_instant(_reports(t), "line", _ONE)
+    return rows.withColumn("issued_at", vendors.issue_instant(rows, None)).groupBy("component", "issued_at").agg(F.countDistinct("valid_at").alias("hours"))
 
 
-@query("p07_system_rows", "SELECT count(*) AS n FROM power_vintages WHERE component = 'load' AND actual_mw IS NOT NULL")
+@query("p07_system_rows", "SELECT component, count(*) * (CASE WHEN component = 'solar' THEN 2 ELSE 1 END) AS n FROM power_vintages WHERE actual_mw IS NOT NULL GROUP BY 1")
 def p07(t):
-    zones = F.when(F.col("zone") == "NORTH", F.lit("System-Wide")).otherwise(F.col("zone"))
-    return vendors.system_rows(_report(t, "load").withColumn("zone", zones)).agg(F.count(F.lit(1)).alias("n"))
+    """The solar reports name no system row, so all their rows stay."""
+    zones = F.when((F.col("zone") == "NORTH") & (F.col("component") != "solar"), F.lit("System-Wide")).otherwise(F.col("zone"))
+    return vendors.system_rows(_reports(t).withColumn("zone", zones), _ONE).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+
 
+_HALVES = {"load": ("System Total", "Actual Load"), "wind": ("STWPF", "GEN"), "solar": ("STPPF", "GEN")}
 
-@query("p18_component_product", f"SELECT issued_at, valid_at, 'NP4-732-CD' AS product_id, {r('baseline_mw', 'actual_mw')} FROM power_vintages WHERE component = 'wind' AND actual_mw IS NOT NULL")
+
+@query("p18_component_product", f"SELECT component, issued_at, valid_at, CASE component WHEN 'load' THEN 'NP3-560-CD' WHEN 'wind' THEN 'NP4-732-CD' ELSE 'NP4-745-CD' END AS product_id, {r('baseline_mw', 'actual_mw')} FROM power_vintages WHERE actual_mw IS NOT NULL")
 def p18(t):
-    rows = _report(t, "wind").withColumns({"STWPF": F.col("baseline_mw") / 2, "GEN": F.col("actual_mw") / 2}).drop("baseline_mw", "actual_mw")
-    return vendors.component_product(rows, "wind", _far()).select("issued_at", "valid_at", "product_id", "baseline_mw", "actual_mw")
+    def read(rows, c):
+        base, real = _HALVES[c]
+        named = rows.withColumns({"_b": F.col("baseline_mw") / 2, "_a": F.col("actual_mw") / 2}).drop("baseline_mw", "actual_mw")
+        return vendors.component_product(named.withColumnsRenamed({"_b": base, "_a": real}), c, _far(), order="line", report=["postedDatetime"]).drop("component")
+
+    return _per_component(t, read).select("component", "issued_at", "valid_at", "product_id", "baseline_mw", "actual_mw")
 
 
 @query("p19_actual_load", f"SELECT issued_at, valid_at, {r('actual_mw AS load_actual_mw')} FROM power_vintages WHERE component = 'load' AND actual_mw IS NOT NULL")
 def p19(t):
     zones = F.when(F.col("zone") == "NORTH", F.lit("TOTAL")).otherwise(F.col("zone"))
     rows = _report(t, "load").withColumn("zone", zones).withColumnRenamed("actual_mw", "System Load").drop("baseline_mw")
-    return vendors.actual_load(rows, _far()).select("issued_at", "valid_at", "load_actual_mw")
+    return vendors.actual_load(rows, _far(), order="line", report=["postedDatetime"]).select("issued_at", "valid_at", "load_actual_mw")
 
 
-@query("p20_outages", f"SELECT issued_at, valid_at, {r('baseline_mw * 2 + actual_mw AS conventional_outage_mw', 'baseline_mw AS renewable_outage_mw', '0.0 AS new_equipment_outage_mw')} FROM power_vintages WHERE component = 'wind' AND actual_mw IS NOT NULL")
+@query("p20_outages", f"SELECT component, issued_at, valid_at, {r('baseline_mw * 4 + 2 * actual_mw AS conventional_outage_mw', '2 * baseline_mw AS renewable_outage_mw', '0.0 AS new_equipment_outage_mw')} FROM power_vintages WHERE actual_mw IS NOT NULL")
 def p20(t):
-    rows = _report(t, "wind").where(F.col("zone") == "NORTH").drop("zone").withColumns({
-        "TotalResourceMWZoneSouth": F.col("baseline_mw") * 2, "TotalResourceMWZoneNorth": F.col("actual_mw"), "TotalIRRMWZoneWest": F.col("baseline_mw"),
-    }).drop("baseline_mw", "actual_mw")
-    return vendors.outages(rows, _far()).select("issued_at", "valid_at", "conventional_outage_mw", "renewable_outage_mw", "new_equipment_outage_mw")
+    """The columns of both places are added across the row, and the places to each other."""
+    def read(rows, c):
+        zones = {"TotalResourceMWZoneSouth": F.col("baseline_mw") * 2, "TotalResourceMWZoneNorth": F.col("actual_mw"), "TotalIRRMWZoneWest": F.col("baseline_mw")}
+        return vendors.outages(rows.withColumns(zones).drop("baseline_mw", "actual_mw"), _far(), order="line", report=["postedDatetime"])
 
+    return _per_component(t, read).select("component", "issued_at", "valid_at", "conventional_outage_mw", "renewable_outage_mw", "new_equipment_outage_mw")
 
-@query("p20_adequacy", f"SELECT issued_at, valid_at, {r('2 * baseline_mw AS available_capacity_mw')} FROM power_vintages WHERE component = 'load' AND actual_mw IS NOT NULL")
+
+@query("p20_adequacy", f"SELECT component, issued_at, valid_at, {r('2 * baseline_mw AS available_capacity_mw')} FROM power_vintages WHERE actual_mw IS NOT NULL")
 def p20_adequacy(t):
-    rows = _report(t, "load").withColumnRenamed("baseline_mw", "availCapGen").drop("actual_mw")
-    return vendors.adequacy(rows, _far()).select("issued_at", "valid_at", "available_capacity_mw")
+    def read(rows, c):
+        return vendors.adequacy(rows.withColumnRenamed("baseline_mw", "availCapGen").drop("actual_mw"), _far(), order="line", report=["postedDatetime"])
+
+    return _per_component(t, read).select("component", "issued_at", "valid_at", "available_capacity_mw")
 
 
-@query("p21_weather_forecasts", f"SELECT issued_at, valid_at, {r('baseline_mw AS temperature_f', '0.0 AS cloud_cover_pct')} FROM power_vintages WHERE component = 'load'")
+@query("p21_weather_forecasts", f"SELECT component, issued_at, valid_at, {r('baseline_mw AS temperature_f', '0.0 AS cloud_cover_pct')} FROM power_vintages")
 def p21(t):
-    v = t.power_vintages.where(F.col("component") == "load")
-    rows = v.select(F.col("valid_at").cast("string").alias("time"), F.col("issued_at").cast("string").alias("run_time"), F.col("baseline_mw").alias("temperature_2m"))
-    return vendors.weather_forecasts(rows).select("issued_at", "valid_at", "temperature_f", "cloud_cover_pct")
+    def read(c):
+        v = t.power_vintages.where(F.col("component") == c)
+        rows = v.select(F.col("valid_at").cast("string").alias("time"), F.col("issued_at").cast("string").alias("run_time"), F.col("baseline_mw").alias("temperature_2m"))
+        return vendors.weather_forecasts(rows).withColumn("component", F.lit(c))
+
+    return read("load").unionByName(read("wind")).unionByName(read("solar")).select("component", "issued_at", "valid_at", "temperature_f", "cloud_cover_pct")
 
 
 @query("a08_hourly_actuals_pivot", f"SELECT valid_at, {r("sum(mw) FILTER (component = 'load') AS load_actual_mw", "sum(mw) FILTER (component = 'gas') AS gas_generation_actual_mw", "- sum(mw) FILTER (component = 'coal') AS net_imports_actual_mw")} FROM hours WHERE component IN ('load', 'gas', 'coal') GROUP BY 1")
@@ -376,7 +406,7 @@ def e10(t):
     vint, latest = scratch_path(t.spark, "e10v"), scratch_path(t.spark, "e10l")
     for c, (base, real) in {"wind": ("STWPF", "GEN"), "solar": ("STPPF", "GEN")}.items():
         rows = _report(t, c).withColumns({base: F.col("baseline_mw") / 2, real: F.col("actual_mw") / 2}).drop("baseline_mw", "actual_mw")
-        store.append_and_materialize(vendors.component_product(rows, c, _far()), vint, latest)
+        store.append_and_materialize(vendors.component_product(rows, c, _far(), order="line", report=["postedDatetime"]), vint, latest)
     return store.read_latest(t.spark, latest).select("component", "issued_at", "valid_at", "baseline_mw", "actual_mw")
 
 

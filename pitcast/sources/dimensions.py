@@ -71,9 +71,11 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def regional_locations(locations: DataFrame, states: DataFrame, population: str = "population") -> DataFrame:
-    """Locations of each region with weights renormalized inside it."""
-    joined = locations.drop("weight").join(states.select("duoarea", "state"), "state")
-    return joined.withColumn("weight", F.col(population) / F.sum(population).over(W.partitionBy("duoarea")))
+    """Locations of each region with weights renormalized inside it; a state without a location stops the job."""
+    joined = states.select("duoarea", "state").join(locations.drop("weight").withColumn("_found", F.lit(True)), "state", "left")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("No location for state"), "state", F.lit("of region"), "duoarea")).cast("boolean")
+    whole = joined.where(F.coalesce("_found", lost)).drop("_found")
+    return whole.withColumn("weight", F.col(population) / F.sum(population).over(W.partitionBy("duoarea")))
 
 
 def missing_region_states(locations: DataFrame, states: DataFrame) -> DataFrame:

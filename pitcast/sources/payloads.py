@@ -40,11 +40,14 @@ def statistical_rows(df: DataFrame, payload: str = "payload", keep: Sequence[str
 
 
 def labelled_components(rows: DataFrame, names: dict[str, str], start: Column, end: Column) -> DataFrame:
-    """Name the components of known series codes inside a period window."""
+    """Name the components of known series codes inside a period window; a component without any row there stops the job."""
     label = F.lit(None).cast("string")
     for code, name in names.items():
         label = F.when(F.col("series") == code, F.lit(name)).otherwise(label)
     out = rows.withColumn("component", label).where(F.col("component").isNotNull() & F.col("period").between(start, end))
+    absent = sorted(r[0] for r in absent_components(out, list(names.values())).collect())
+    if absent:
+        raise ValueError(f"The window holds no rows of components {absent}.")
     return out.select("period", "component", "value")
 
 

@@ -82,6 +82,19 @@ def mixed_offsets(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_if(aware).alias("aware"), F.count_if(~aware).alias("local"))
 
 
+def _one_kind_of_time(df: DataFrame, column: str, report: Sequence[str]) -> DataFrame:
+    """``df``, unless a report mixes offset-aware and offset-free texts in ``column`` or holds an unreadable one; these stop the job."""
+    text = F.col(column).cast("string")
+    bad = F.raise_error(F.lit(f"Vendor times in {column} cannot mix offset-aware and offset-free values.")).cast("boolean")
+    lost = F.raise_error(F.lit(f"The report holds an unreadable time in {column}.")).cast("boolean")
+    readable = F.when(text.isNull() | vendor_instant(text).isNull(), lost).otherwise(True)
+    if report:
+        mixed = df.groupBy(*report).agg((F.bool_or(text.rlike(OFFSET)) & F.bool_or(~text.rlike(OFFSET))).alias("_mixed"))
+        return df.join(mixed, list(report)).where(F.when(F.col("_mixed"), bad).otherwise(readable)).drop("_mixed")
+    mixed = mixed_offsets(df, column).select((F.col("aware") > 0) & (F.col("local") > 0)).scalar()
+    return df.where(F.when(mixed, bad).otherwise(readable))
+
+
 def system_rows(df: DataFrame, report: Sequence[str] = ()) -> DataFrame:
     """System-wide rows of each report, or all its rows when it names none."""
     place = find_column(df, PLACE_NAMES, required=False)
@@ -100,21 +113,25 @@ def system_rows(df: DataFrame, report: Sequence[str] = ()) -> DataFrame:
 def valid_instant(df: DataFrame, order: str | None = None, report: Sequence[str] = ()) -> DataFrame:
     """Add ``valid_at`` from a timestamp column or from delivery day and hour ending.
 
-    ``order`` names the row order inside a report; it tells the two passes of the repeated autumn
-    hour apart. Only that hour's rows are ranked.
+    The autumn hour that the clock shows twice is told apart by ``order``, the row order inside a report. It stops the job where
+    no order is given, or where a place's report does not hold both passes. Only that hour's rows are ranked.
     """
     time = find_column(df, TIME_NAMES, required=False)
     if time is not None:
-        return df.withColumn("valid_at", vendor_instant(F.col(time)))
+        return _one_kind_of_time(df, time, report).withColumn("valid_at", vendor_instant(F.col(time)))
     clock = hour_ending_clock(find_column(df, DAY_NAMES), find_column(df, HOUR_NAMES))
-    marked = df.withColumn("_clock", clock)
+    lost = F.raise_error(F.lit("The report holds an unreadable delivery day or hour.")).cast("timestamp")
+    marked = df.withColumn("_clock", F.coalesce(clock, lost))
+    unclear = F.raise_error(F.lit("Ambiguous local hours need ordered duplicate rows or a time with an offset."))
     if order is None:
-        return marked.withColumn("valid_at", local_to_utc(F.col("_clock"))).drop("_clock")
+        utc = F.when(repeated_clock(F.col("_clock")), unclear.cast("timestamp")).otherwise(local_to_utc(F.col("_clock")))
+        return marked.withColumn("valid_at", utc).drop("_clock")
     place = find_column(df, PLACE_NAMES, required=False)
     keys = [*report, *([place] if place else []), "_clock"]
-    w = W.partitionBy(*keys).orderBy(order)
-    repeated = marked.where(repeated_clock(F.col("_clock"))).withColumn("_occ", F.row_number().over(w))
-    plain = marked.where(~F.coalesce(repeated_clock(F.col("_clock")), F.lit(False))).withColumn("_occ", F.lit(1))
+    w = W.partitionBy(*keys)
+    twice = F.when(F.count(F.lit(1)).over(w) == 2, F.row_number().over(w.orderBy(order))).otherwise(unclear.cast("int"))
+    repeated = marked.where(repeated_clock(F.col("_clock"))).withColumn("_occ", twice)
+    plain = marked.where(~repeated_clock(F.col("_clock"))).withColumn("_occ", F.lit(1))
     return plain.unionByName(repeated).withColumn("valid_at", local_to_utc(F.col("_clock"), F.col("_occ"))).drop("_clock", "_occ")
 
 
