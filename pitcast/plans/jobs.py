@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitcast.operators import asof, checks, crude, disaggregate, features, linear, metrics, power, reconcile, recursive, rollups, splits
 from pitcast.session import staged
-from pitcast.sources import dimensions, store
+from pitcast.sources import dimensions, payloads, store, vendors
 
 STORAGE_MARK = "_SWO_"
 
@@ -133,21 +133,64 @@ def power_history(vintages: DataFrame, actuals: DataFrame, weather: DataFrame |
     return power.component_history(vintages, actuals, weather)
 
 
+#: Non-thermal series that a forecast may not take below zero; imports and storage have a sign.
+UNSIGNED = ("nuclear_mw", "hydro_mw", "other_nonthermal_mw")
+OUTAGES = ("conventional_outage_mw", "renewable_outage_mw", "new_equipment_outage_mw")
+
+
+def delivery_hours(spark: SparkSession, origin, horizon_hours: int) -> DataFrame:
+    """The ``horizon_hours`` (1 to 168) delivery hours that follow the origin."""
+    if not 1 <= horizon_hours <= 168:
+        raise ValueError("horizon_hours must be between 1 and 168.")
+    first = F.date_trunc("hour", origin) + F.expr("INTERVAL 1 HOUR")
+    return spark.range(1).select(F.posexplode(F.sequence(F.lit(0), F.lit(horizon_hours - 1))).alias("_p", "_k")).select(
+        origin.alias("forecast_origin"), F.timestamp_add("HOUR", F.col("_k"), first).alias("delivery_hour"),
+        (F.col("_k") + 1).cast("int").alias("horizon_hour"),
+    )
+
+
+def system_inputs(hours: DataFrame, origin, nonthermal: DataFrame | None = None, outages: DataFrame | None = None,
+                  adequacy: DataFrame | None = None) -> DataFrame:
+    """``delivery_hour`` with what the stack needs beside load, wind and solar, all as known at ``origin``.
+
+    ``nonthermal``: series (as in ``power.NONTHERMAL``), valid_at, actual_mw. Each series goes on with its hour-of-week profile and
+    latest level; without history it is zero, and ``profile_sources`` says so. ``outages`` and ``adequacy`` are vintages; an hour
+    without a known outage has none, one without a known capacity has no capacity.
+    """
+    wanted = hours.select("delivery_hour", F.explode(F.array(*[F.lit(c) for c in power.NONTHERMAL])).alias("series"))
+    if nonthermal is None:
+        shaped = wanted.withColumns({"profile_forecast_mw": F.lit(0.0), "profile_source": F.lit("zero_missing_history")})
+    else:
+        shaped = rollups.hour_of_week_forecast(nonthermal, wanted, "actual_mw", ["series"], origin, nonnegative=False)
+    value = F.col("profile_forecast_mw")
+    value = F.when(F.col("series").isin(*UNSIGNED), F.greatest(value, F.lit(0.0))).otherwise(value)
+    tags = [F.concat(F.lit(f"{c}:"), F.max(F.when(F.col("series") == c, F.col("profile_source")))) for c in power.NONTHERMAL]
+    out = shaped.withColumn("_v", value).groupBy("delivery_hour").agg(
+        *[F.max(F.when(F.col("series") == c, F.col("_v"))).alias(c) for c in power.NONTHERMAL], F.concat_ws(";", *tags).alias("profile_sources"),
+    )
+    for table, columns in ((outages, OUTAGES), (adequacy, ("available_capacity_mw",))):
+        have = [] if table is None else [c for c in columns if c in table.columns]
+        if have:
+            known = asof.select_as_of(table.select("valid_at", "issued_at", "retrieved_at", *have), origin, [])
+            out = out.join(known.select(F.col("valid_at").alias("delivery_hour"), *have), "delivery_hour", "left")
+        out = out.withColumns({c: F.lit(None).cast("double") for c in columns if c not in have})
+    return out.fillna(0.0, list(OUTAGES))
+
+
 def power_forecast(vintages: DataFrame, actuals: DataFrame, fuel: DataFrame, origin, heat_rate: float = power.DEFAULT_RATE,
-                   gas_price=None, horizon_hours: int = 168, min_train: int = 100) -> DataFrame:
-    """System forecast of one origin: as-of baselines, corrections, physical stack and intervals.
+                   gas_price=None, horizon_hours: int = 168, min_train: int = 100, nonthermal: DataFrame | None = None,
+                   outages: DataFrame | None = None, adequacy: DataFrame | None = None, prices: DataFrame | None = None,
+                   target: str | None = None) -> DataFrame:
+    """System forecast of one origin: as-of baselines, corrections, physical stack and intervals; published when ``target`` is given.
 
-    ``origin`` is a timestamp column expression without row references.
+    ``origin`` is a timestamp column expression without row references. The fuel split uses ``gas_price``, else the newest of the daily
+    ``prices`` before the origin, else 3.0. The other tables are those of :func:`system_inputs`.
     """
     from pitcast.functions.calendar import add_hourly_features, horizon_bucket
     from pitcast.operators.intervals import bucket_bounds
 
     spark = vintages.sparkSession
-    first = F.date_trunc("hour", origin) + F.expr("INTERVAL 1 HOUR")
-    hours = spark.range(1).select(F.posexplode(F.sequence(F.lit(0), F.lit(horizon_hours - 1))).alias("_p", "_k")).select(
-        origin.alias("forecast_origin"), F.timestamp_add("HOUR", F.col("_k"), first).alias("delivery_hour"),
-        (F.col("_k") + 1).cast("int").alias("horizon_hour"),
-    )
+    hours = delivery_hours(spark, origin, horizon_hours)
     spine = hours.withColumn("component", F.explode(F.array(*[F.lit(c) for c in power.COMPONENTS])))
     known = asof.select_as_of(vintages.select("component", "valid_at", "issued_at", "retrieved_at", "baseline_mw"), origin, ["component"])
     future = spine.join(known.select("component", F.col("valid_at").alias("delivery_hour"), "baseline_mw", "issued_at"), ["component", "delivery_hour"], "left")
@@ -168,15 +211,22 @@ def power_forecast(vintages: DataFrame, actuals: DataFrame, fuel: DataFrame, ori
                          ("baseline_source", f"{c}_baseline_source"), ("forecast_lower_mw", f"{c}_lower_mw"), ("forecast_upper_mw", f"{c}_upper_mw")):
             picks.append(F.max(F.when(F.col("component") == c, F.col(src))).alias(dst))
     wide = bounded.groupBy("forecast_origin", "delivery_hour", "horizon_hour").agg(*picks).withColumn("horizon_bucket", horizon_bucket("horizon_hour"))
-    wide = wide.withColumns({c: F.lit(0.0) for c in power.NONTHERMAL})
-    price = gas_price if gas_price is not None else F.lit(3.0)
+    wide = wide.join(system_inputs(hours, origin, nonthermal, outages, adequacy), "delivery_hour")
+    retrieved = vintages.where(F.col("retrieved_at") <= origin).agg(F.max("retrieved_at")).scalar()
+    wide = wide.withColumns({"geography": F.lit(vendors.GEOGRAPHY), "retrieved_at": retrieved})
+    price = F.lit(3.0) if gas_price is None else gas_price
+    if gas_price is None and prices is not None:
+        price = payloads.latest_price(prices.where(F.col("period") < F.to_date(origin))).scalar()
     stack = power.physical_stack(wide, heat_rate)
     split = power.gas_split(stack.drop("gas_generation_mw", "gas_generation_source"), fuel, origin, price)
     stack = power.physical_stack(split.drop("dispatchable_thermal_mw"), heat_rate, F.col("gas_forecast_mw"), F.col("gas_split_source"))
     stack = staged(stack.drop("gas_forecast_mw", "gas_split_source"), "stack")
     net = power.net_load_errors(validation)
     stack = bucket_bounds(stack, net, "net_load_mw", "net_load", clip=False)
-    return power.gas_interval(stack, fuel, origin)
+    out = power.gas_interval(stack, fuel, origin)
+    if target is not None:
+        store.publish(staged(out, "forecast"), target)
+    return out
 
 
 def crude_job(long: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -281,9 +281,46 @@ def i02(t):
     )
 
 
+#: Non-thermal series made of the hours of a component and a factor.
+_NONTHERMAL = {"gas": ("nuclear_mw", 0.3), "coal": ("hydro_mw", 0.2), "wind": ("other_nonthermal_mw", 0.1), "load": ("net_imports_mw", -0.05), "solar": ("battery_net_discharge_mw", 0.1)}
+
+
+def _system_tables(t):
+    """Histories and vintages beside load, wind and solar: non-thermal series, outages and capacity."""
+    parts = [F.when(F.col("component") == c, F.struct(F.lit(n).alias("series"), (F.col("mw") * k).alias("actual_mw"))) for c, (n, k) in _NONTHERMAL.items()]
+    nonthermal = t.hours.select("valid_at", F.coalesce(*parts).alias("s")).where(F.col("s").isNotNull()).select("s.series", "valid_at", "s.actual_mw")
+    at = ["valid_at", "issued_at", "retrieved_at"]
+    v = t.power_vintages
+    outages = v.where((F.col("component") == "wind") & (F.dayofmonth("valid_at") % 3 != 0)).select(
+        *at, (F.col("baseline_mw") / 7).alias("conventional_outage_mw"), (F.col("baseline_mw") / 11).alias("renewable_outage_mw")
+    )
+    adequacy = v.where(F.col("component") == "load").select(*at, (F.col("baseline_mw") * 1.7).alias("available_capacity_mw"))
+    return {"nonthermal": nonthermal, "outages": outages, "adequacy": adequacy}
+
+
+def _series_sql(c: str) -> str:
+    name, k = _NONTHERMAL[c]
+    value = f"coalesce(max(v) FILTER (component = '{c}'), 0.0)"
+    return f"{f'greatest({value}, 0.0)' if k > 0 and c != 'solar' else value} AS {name}"
+
+
+@query("e12_system_inputs", f"""WITH hk AS (SELECT component, valid_at, mw * CASE component {' '.join(f"WHEN '{c}' THEN {k}" for c, (_, k) in _NONTHERMAL.items())} END AS mw, {_how('valid_at')} AS how FROM hours WHERE valid_at < TIMESTAMP '{ORIGIN}'),
+  pf AS (SELECT component, how, avg(mw) AS p FROM hk GROUP BY 1, 2),
+  lv AS (SELECT component, avg(mw) AS m, avg(CASE WHEN rn <= 24 THEN mw - p END) AS adj FROM (SELECT hk.component, mw, p, row_number() OVER (PARTITION BY hk.component ORDER BY valid_at DESC) AS rn FROM hk JOIN pf USING (component, how)) GROUP BY 1),
+  dh AS (SELECT TIMESTAMP '{ORIGIN}' + (k + 1) * INTERVAL 1 HOUR AS delivery_hour FROM range(168) x(k)),
+  nt AS (SELECT delivery_hour, lv.component, coalesce(p, m) + adj AS v FROM dh, lv LEFT JOIN pf ON pf.component = lv.component AND pf.how = {_how('delivery_hour')}),
+  kn AS (SELECT component, valid_at, max_by(baseline_mw, issued_at) AS b FROM power_vintages WHERE issued_at <= TIMESTAMP '{ORIGIN}' AND retrieved_at <= TIMESTAMP '{ORIGIN}' GROUP BY 1, 2),
+  w AS (SELECT delivery_hour, {', '.join(_series_sql(c) for c in _NONTHERMAL)} FROM nt GROUP BY 1)
+  SELECT w.delivery_hour, {r(*[n for n, _ in _NONTHERMAL.values()], 'coalesce(CASE WHEN day(o.valid_at) % 3 <> 0 THEN o.b / 7 END, 0.0) AS conventional_outage_mw', 'coalesce(CASE WHEN day(o.valid_at) % 3 <> 0 THEN o.b / 11 END, 0.0) AS renewable_outage_mw', '0.0 AS new_equipment_outage_mw', 'a.b * 1.7 AS available_capacity_mw')},
+    '{';'.join(f'{n}:hour_of_week_adjusted' for n in power.NONTHERMAL)}' AS profile_sources
+  FROM w LEFT JOIN kn o ON o.component = 'wind' AND o.valid_at = w.delivery_hour LEFT JOIN kn a ON a.component = 'load' AND a.valid_at = w.delivery_hour""")
+def e12_inputs(t):
+    return jobs.system_inputs(jobs.delivery_hours(t.spark, _at(), 168), _at(), **_system_tables(t))
+
+
 @query("e12_power_forecast_job")
 def e12(t):
-    return jobs.power_forecast(t.power_vintages, t.power_actuals, t.fuel_hours, _at())
+    return jobs.power_forecast(t.power_vintages, t.power_actuals, t.fuel_hours, _at(), prices=t.daily_price, **_system_tables(t))
 
 
 @query("e14_power_kpis")

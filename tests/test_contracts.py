@@ -95,3 +95,26 @@ def test_required_series(spark):
     disaggregate.require_series(spark.createDataFrame(have, "series string"), abbrs)
     with pytest.raises(ValueError, match="N3045AA2"):
         disaggregate.require_series(spark.createDataFrame(have[:-1], "series string"), abbrs)
+
+
+def test_system_inputs_as_known_at_the_origin(spark):
+    at = dt.datetime(2026, 1, 10)
+    origin = F.lit("2026-01-10 00:00:00").cast("timestamp")
+    with pytest.raises(ValueError, match="between 1 and 168"):
+        jobs.delivery_hours(spark, origin, 169)
+    hours = jobs.delivery_hours(spark, origin, 3)
+    bare = jobs.system_inputs(hours, origin).orderBy("delivery_hour").collect()
+    assert len(bare) == 3 and bare[0]["nuclear_mw"] == 0.0 and bare[0]["available_capacity_mw"] is None and bare[0]["conventional_outage_mw"] == 0.0
+    assert "hydro_mw:zero_missing_history" in bare[0]["profile_sources"]
+    hour = dt.timedelta(hours=1)
+    series = [("nuclear_mw", at - k * hour, 50.0) for k in range(1, 200)] + [("net_imports_mw", at - k * hour, -7.0) for k in range(1, 200)]
+    series += [("hydro_mw", at - k * hour, -3.0) for k in range(1, 200)] + [("nuclear_mw", at + k * hour, 9e9) for k in range(5)]
+    nonthermal = spark.createDataFrame(series, "series string, valid_at timestamp, actual_mw double")
+    table = lambda *rows: spark.createDataFrame([(at + h * hour, i, r, v) for h, i, r, v in rows], "valid_at timestamp, issued_at timestamp, retrieved_at timestamp, v double")
+    old, new, late = at - 5 * hour, at - hour, at + hour
+    outages = table((1, old, old, 1.0), (1, new, new, 2.0), (1, late, late, 9.0), (2, old, late, 5.0)).withColumnRenamed("v", "conventional_outage_mw")
+    adequacy = table((3, new, new, 80.0)).withColumnRenamed("v", "available_capacity_mw")
+    rows = jobs.system_inputs(hours, origin, nonthermal, outages, adequacy).orderBy("delivery_hour").collect()
+    assert [r["conventional_outage_mw"] for r in rows] == [2.0, 0.0, 0.0] and [r["available_capacity_mw"] for r in rows] == [None, None, 80.0]
+    assert {(r["nuclear_mw"], r["net_imports_mw"], r["hydro_mw"], r["battery_net_discharge_mw"]) for r in rows} == {(50.0, -7.0, 0.0, 0.0)}
+    assert "battery_net_discharge_mw:zero_missing_history" in rows[0]["profile_sources"] and "nuclear_mw:hour_of_week_adjusted" in rows[0]["profile_sources"]
