@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from pitcast.llm.common import stage
 
-#: JSON type names of a schema and the value types that satisfy them (prefixes of Spark's names).
+#: JSON type names of a schema and the value types that satisfy them (beginnings of Spark's names); integers beyond 64 bits are decimals of scale 0.
 KINDS = {
-    "string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",),
-    "array": ("ARRAY",), "object": ("OBJECT",),
+    "string": "STRING", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": "BIGINT|DECIMAL|DOUBLE", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT",
 }
+#: What tells a message apart from plain text that cannot be read as JSON.
+MARKS = r'^\s*\{[\s\S]*"(tool_calls|tool_call_id)"'
 CALL = ["conv_id", "call_id"]
 
 
@@ -65,7 +66,7 @@ def problems(name: Column, arguments: Column, schemas: Mapping[str, Mapping[str,
     def fits(x: Column) -> Column:
         kind = F.schema_of_variant(given[x["name"]])
         return F.coalesce(*[
-            F.when(x["kind"] == want, _any([kind.startswith(p) for p in prefixes])) for want, prefixes in KINDS.items()
+            F.when(x["kind"] == want, kind.rlike(f"^({names})")) for want, names in KINDS.items()
         ], F.lit(False))
 
     has = lambda x: F.map_contains_key(given, x["name"])
@@ -79,11 +80,12 @@ def problems(name: Column, arguments: Column, schemas: Mapping[str, Mapping[str,
     )
 
 
-def _any(tests: list[Column]) -> Column:
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return out
+def unreadable(messages: DataFrame) -> DataFrame:
+    """``conv_id, call_id, turn, copies, message`` of texts that look like messages and that no parser accepts, as they repeat a key or break off."""
+    lost = messages.where(F.col("text").rlike(MARKS) & F.try_parse_json("text").isNull())
+    rows = lost.groupBy("conv_id", F.col("turn").cast("long").alias("turn"), "text").agg(F.count("*").alias("copies"))
+    named = F.concat_ws("-", F.lit("unreadable"), F.coalesce("turn", F.lit(-1)), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 8))
+    return rows.withColumn("call_id", named).select("conv_id", "call_id", "turn", "copies", F.to_json(F.struct(F.col("call_id").alias("id"), "text")).alias("message"))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -111,13 +113,14 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]) -> DataFrame:
-    """One row per call or unasked result: ``conv_id, call_id, turn, seq, level, name, copies, result_turn, n_results, problems, message``.
+    """One row per call, unasked result or unreadable message: ``conv_id, call_id, turn, seq, level, name, copies, result_turn, n_results, problems, message``.
 
     ``messages(conv_id, turn, role, text)`` hold JSON: ``tool_calls`` with ``id, name, arguments, after`` or ``tool_call_id`` with
     ``content``. Calls and results are pre-aggregated by identifier and meet in one hash join. ``level, turn, seq`` is a
     topological order: a call comes after all earlier calls that ``after`` names. ``message`` has sorted keys and no blanks.
 
-    Null, empty and plain texts are no messages. Repeated rows count in ``copies`` and ``n_results``. References to unknown or
+    Null, empty and plain texts are no messages. A text with the keys of a message that is no valid JSON, such as one that
+    repeats a key, is a row of its own with the problem ``unreadable message`` and its whole text. Repeated rows count in ``copies`` and ``n_results``. References to unknown or
     later calls are ignored for the order. A result without a call has a null ``turn``; a null ``conv_id`` is a conversation of its
     own. Empty tables give no rows, and other columns are ignored.
     """
@@ -131,9 +134,14 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, tupl
     message = F.to_json(F.struct(
         "arguments", F.col("call_id").alias("id"), level.alias("level"), "name", F.try_parse_json("result").alias("result"),
     ))
-    return linked.select(
+    rows = linked.select(
         "conv_id", "call_id", "turn", "seq", level.alias("level"), "name", F.coalesce("copies", F.lit(0)).alias("copies"), "result_turn",
         F.coalesce("n_results", F.lit(0)).alias("n_results"),
         F.when(F.col("copies").isNull(), "unasked result").otherwise(F.concat_ws("; ", problems(F.col("name"), F.col("arguments"), schemas))).alias("problems"),
         message.alias("message"),
     )
+    lost = unreadable(messages).select(
+        "conv_id", "call_id", "turn", F.lit(None).cast("long").alias("seq"), F.lit(0).cast("long").alias("level"), F.lit(None).cast("string").alias("name"), "copies",
+        F.lit(None).cast("long").alias("result_turn"), F.lit(0).cast("long").alias("n_results"), F.lit("unreadable message").alias("problems"), "message",
+    )
+    return rows.unionByName(lost)

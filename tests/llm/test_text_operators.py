@@ -1,4 +1,5 @@
 import hashlib
+import json
 import zlib
 from collections import defaultdict
 
@@ -247,6 +248,25 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(frame.limit(0), SCHEMAS).isEmpty()
 
 
+def test_no_message_is_lost(spark):
+    twice = '{"tool_calls": [{"id": "dup", "name": "find", "arguments": {"query": "a", "query": "b"}}, {"id": "dup2", "name": "find", "arguments": {"query": "c"}}]}'
+    answer = '{"tool_call_id": "ok", "content": {"n": 1, "n": 2}}'
+    rows = [
+        (1, 0, twice), (1, 0, twice), (1, 1, answer), (1, 2, '  {"tool_calls": [{"id": "cut'), (1, 3, '{"a": 1, "a": 2}'), (1, 4, "{not a message"), (None, None, answer),
+        (1, 5, '{"tool_calls": [{"id": "ok", "name": "sum", "arguments": {"values": [1]}}, {"id": "big", "name": "find", "arguments": {"query": "q", "limit": 12345678901234567890}}, '
+               '{"id": "half", "name": "find", "arguments": {"query": "q", "limit": 1.5}}]}'),
+        (1, 6, '{"tool_call_id": "big", "content": "' + "long " * 400_000 + '"}'),
+    ]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, text string, call_id string").repartition(3)
+    out = tool_calls.link_tool_calls(frame, SCHEMAS).collect()
+    lost = [r for r in out if r.problems == "unreadable message"]
+    assert sorted((r.conv_id or 0, r.turn if r.turn is not None else -1, r.copies) for r in lost) == [(0, -1, 1), (1, 0, 2), (1, 1, 1), (1, 2, 1)]
+    assert all(r.call_id in r.message and r.name is None and r.n_results == 0 for r in lost) and json.loads(next(r for r in lost if r.turn == 0).message)["text"] == twice
+    rest = {r.call_id: r for r in out if r not in lost}
+    assert set(rest) == {"ok", "big", "half"} and rest["big"].problems == "" and rest["half"].problems == "type limit"
+    assert rest["big"].n_results == 1 and len(rest["big"].message) > 2_000_000 and "12345678901234567890" in rest["big"].message
+
+
 def test_long_chains_of_calls(spark):
     rows = [(5, t, "assistant", '{"tool_calls": [{"id": "c%d", "name": "find", "arguments": {"query": "q"}, "after": ["c%d"]}]}' % (t, t - 1)) for t in range(9)]
     out = tool_calls.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()
