@@ -4,7 +4,8 @@ The radius is an exact order statistic: the ceil((n + 1) * coverage)-th smallest
 residuals released before a row. Residuals are numbered within their group by value, ties by row, so equal
 values are told apart and a large group spreads over tasks. A radius over a whole group is the row with the wanted
 number. A rolling radius descends by number: running counts over time say which block of numbers holds the
-wanted rank, blocks split by a fixed factor until one residual is left. Nothing is gathered at any size.
+wanted rank, blocks split by a fixed factor until one residual is left. Counts are aggregated per time before they run, so a
+window holds a group's distinct times, which the calendar bounds, and never its residuals. Nothing is gathered at any size.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitcast.functions.columns import at_least
-from pitcast.operators.ordered import ranked, running_before
+from pitcast.operators.ordered import ranked
 from pitcast.session import staged
 
 #: Blocks that a block of ranks splits into.
-BLOCKS = 32
+BLOCKS = 64
 
 
 def rank_for(count: Column | str, coverage: float) -> Column:
@@ -32,10 +34,16 @@ def _require_coverage(coverage: float) -> None:
         raise ValueError("coverage must be between 0 and 1.")
 
 
-def _numbered(values: DataFrame) -> DataFrame:
-    """``_g, _r`` rows with their position from 1 by value within the group."""
-    rows = staged(values.withColumn("_id", F.monotonically_increasing_id()), "values")
-    return staged(ranked(rows, ["_g"], ["_r", "_id"]).drop("_id"), "positions")
+def _numbered(values: DataFrame, stored: bool = False) -> DataFrame:
+    """``_g, _r`` rows with their position from 1 by value within the group; ``stored`` values need not be written down first."""
+    rows = values if stored else staged(values, "values")
+    return staged(ranked(rows.withColumn("_id", F.monotonically_increasing_id()), ["_g"], ["_r", "_id"]).drop("_id"), "positions")
+
+
+def _before(rows: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """``rows``, one per key and time, with ``sums`` replaced by their sums over earlier times."""
+    earlier = W.partitionBy(*keys).orderBy("_t").rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumns({c: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in sums})
 
 
 def _group(keys: Sequence[str]) -> Column:
@@ -68,7 +76,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], names
 
 def _select_ranks(queries: DataFrame, residuals: DataFrame) -> DataFrame:
     """The rank-th smallest residual with an earlier time, for every (group, time, rank) query; integer times."""
-    rows = _numbered(residuals).withColumn("_p", F.col("_pos") - 1)
+    rows = _numbered(residuals, True).withColumn("_p", F.col("_pos") - 1)
     largest = rows.agg(F.max("_pos")).first()[0] or 1
     levels = 1
     while BLOCKS**levels < largest:
@@ -87,7 +95,7 @@ def _select_ranks(queries: DataFrame, residuals: DataFrame) -> DataFrame:
         inside = inside.join(asked.select("_g", "_path").distinct(), ["_g", "_path"], "left_semi")
         counts = inside.groupBy("_g", "_path", "_t").agg(*[F.count_if(F.col("_b") == i).alias(f"c{i}") for i in range(BLOCKS)])
         both = counts.join(asked, ["_g", "_path", "_t"], "full").na.fill(0, names)
-        moved = running_before(both, ["_g", "_path"], "_t", names).where(F.col("rank").isNotNull()).withColumn("_w", walk)
+        moved = _before(both, ["_g", "_path"], names).where(F.col("rank").isNotNull()).withColumn("_w", walk)
         asked = staged(moved.select(
             "_g", "_t", (F.col("rank") - F.col("_w.below")).alias("rank"), (F.col("_path") * BLOCKS + F.col("_w.b")).alias("_path")
         ), "descent")
@@ -107,7 +115,7 @@ def _calibrated(data: DataFrame, group: Sequence[str], query_time: Column, relea
     per_time = residuals.groupBy("_g", "_t").agg(F.count(F.lit(1)).alias("_count"))
     asked = rows.select("_g", "_t").distinct().withColumn("_q", F.lit(True))
     both = per_time.join(asked, ["_g", "_t"], "full").na.fill(0, ["_count"])
-    counts = staged(running_before(both, ["_g"], "_t", ["_count"]).where(F.col("_q")).select("_g", "_t", "_count"), "counts")
+    counts = staged(_before(both, ["_g"], ["_count"]).where(F.col("_q")).select("_g", "_t", "_count"), "counts")
     queries = counts.where(F.col("_count") >= minimum).select("_g", "_t", rank_for("_count", coverage).alias("rank"))
     radius = _select_ranks(queries, residuals)
     out = rows.join(counts.join(radius, ["_g", "_t"], "left"), ["_g", "_t"], "left")
