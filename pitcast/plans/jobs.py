@@ -27,6 +27,15 @@ def clean_weekly_storage(raw: DataFrame, start: str | None = None, end: str | No
     return one.withColumns({"year": F.year("period"), "month": F.month("period"), "week_of_year": F.weekofyear("period")})
 
 
+def _kept(tables: dict[str, DataFrame], target: str | None) -> dict[str, DataFrame]:
+    """The tables themselves, or their newest versions below ``target`` once all of them are published there."""
+    if target is None:
+        return tables
+    for name, table in tables.items():
+        store.publish(table, f"{target}/{name}")
+    return {name: store.read_latest(table.sparkSession, f"{target}/{name}", table.schema) for name, table in tables.items()}
+
+
 def region_rows(rows: DataFrame, regions: Sequence[str], include_legacy: bool = False) -> DataFrame:
     """Rows of the wanted regions; an unknown code, or a region without any row, stops the job."""
     for code in regions:
@@ -57,6 +66,18 @@ def weather_table(state_daily: DataFrame, drop_incomplete: bool = True) -> DataF
     return weekly.withColumns({"year": F.year("date"), "month": F.month("date"), "week_of_year": F.weekofyear("date")})
 
 
+def weather_job(state_daily: DataFrame, target: str | None = None) -> DataFrame:
+    """Complete regional weeks, checked and published when ``target`` is given."""
+    table = staged(weather_table(state_daily), "weather")
+    checks.enforce(checks.weekly_weather(table), "weekly weather")
+    return _kept({"weather": table}, target)["weather"]
+
+
+def features_job(storage: DataFrame, weather: DataFrame, target: str | None = None) -> DataFrame:
+    """Model features, checked and published when ``target`` is given."""
+    return _kept({"features": check_features(staged(feature_table(storage, weather), "features"))}, target)["features"]
+
+
 def feature_table(storage: DataFrame, weather: DataFrame) -> DataFrame:
     return features.weekly_model_features(storage, weather)
 
@@ -89,8 +110,22 @@ def deviation_columns(df: DataFrame, target: str = "weekly_change_bcf") -> DataF
     })
 
 
+def balance_job(monthly: DataFrame, states: DataFrame, daily_weather: DataFrame, daily_price: DataFrame, weather: DataFrame, storage: DataFrame,
+                target: str | None = None) -> DataFrame:
+    """The weekly balance of all regions, published when ``target`` is given."""
+    return _kept({"balance": balance_table(monthly, states, daily_weather, daily_price, weather, storage)}, target)["balance"]
+
+
+def asof_balance_job(origins: DataFrame, vintages: DataFrame, as_of: str | None = None, target: str | None = None) -> DataFrame:
+    """Balance features known at every origin of all regions; a region without any vintage stops the job. Published when ``target`` is given."""
+    bare = sorted(r[0] for r in origins.select("duoarea").distinct().join(vintages.select("duoarea").distinct(), "duoarea", "left_anti").collect())
+    if bare:
+        raise ValueError(f"No balance vintages for regions {bare}.")
+    return _kept({"asof_balance": asof.balance_features_at_origins(origins, vintages, as_of)}, target)["asof_balance"]
+
+
 def balance_table(monthly: DataFrame, states: DataFrame, daily_weather: DataFrame, daily_price: DataFrame, weather: DataFrame, storage: DataFrame) -> DataFrame:
-    """Weekly regional balance with the net inflow that closes it against storage."""
+    """Weekly regional balance with the net inflow that closes it against storage; every required monthly series must be there."""
     disaggregate.require_series(monthly, states)
     table = disaggregate.state_components(monthly, states, daily_price)
     regional = disaggregate.regional_balance(disaggregate.regional_months(table), monthly)
@@ -108,25 +143,30 @@ def scenario_job(scenarios: DataFrame, as_of, region: str | None = None, target:
 
 
 def archive_job(archive: DataFrame, weight_history: DataFrame | None = None, weights: DataFrame | None = None, weight: str = "gas_load",
-                require_complete_weeks: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Regional members and weekly scenarios of a state archive."""
+                require_complete_weeks: bool = True, target: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Regional members and weekly scenarios of a checked state archive; all three are published when ``target`` is given."""
+    archive = staged(archive, "archive")
+    checks.enforce(checks.forecast_archive(archive), "forecast archive")
     if weight_history is not None:
         members = rollups.region_members(archive, asof.weights_at_issues(archive, weight_history, weight), by_issue=True)
     else:
         members = rollups.region_members(archive, weights)
-    return members, rollups.weekly_scenarios(members, require_complete_weeks)
+    kept = _kept({"archive": archive, "members": members, "scenarios": rollups.weekly_scenarios(members, require_complete_weeks)}, target)
+    return kept["members"], kept["scenarios"]
 
 
 def regional_backtest(features_table: DataFrame, feature_cols: Sequence[str], spec: splits.FoldSpec, model: linear.LinearSpec,
-                      model_key: str, horizon: int = 4, coverage: float | None = 0.8, minimum: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Base forecasts of all six regions, their reconciled paths and the metric table."""
+                      model_key: str, horizon: int = 4, coverage: float | None = 0.8, minimum: int = 20,
+                      target: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base forecasts of all six regions, their reconciled paths and the metric table; published when ``target`` is given."""
     base = recursive.backtest(features_table, ["duoarea"], feature_cols, spec, model, horizon, model_key=model_key, coverage=coverage, minimum=minimum)
     base = base.withColumnRenamed("duoarea", "region").drop("features")
     base = staged(base, "base")
     keep = ["forecast_origin", "date", "horizon", "region", "predicted_weekly_change", "actual_weekly_change", "p10", "p50", "p90", "model_key"]
     paths = reconcile.all_paths(base.select(*keep))
     summary = metrics.ablation_summary(paths, ["reconciliation_method", "model_key", "region", "horizon"])
-    return base, paths, summary
+    kept = _kept({"base": base, "paths": paths, "summary": summary}, target)
+    return kept["base"], kept["paths"], kept["summary"]
 
 
 def power_history(vintages: DataFrame, actuals: DataFrame, weather: DataFrame | None = None) -> DataFrame:
@@ -229,10 +269,11 @@ def power_forecast(vintages: DataFrame, actuals: DataFrame, fuel: DataFrame, ori
     return out
 
 
-def crude_job(long: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Crude balance and the forecast of the week after its newest row."""
+def crude_job(long: DataFrame, target: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Crude balance and the forecast of the week after its newest row; with the input, published when ``target`` is given."""
     balance = crude.weekly_balance(long)
-    return balance, crude.forecast(balance, crude.next_week_target(balance))
+    kept = _kept({"observations": long, "balance": balance, "forecast": crude.forecast(balance, crude.next_week_target(balance))}, target)
+    return kept["balance"], kept["forecast"]
 
 
 def check_features(df: DataFrame) -> DataFrame:

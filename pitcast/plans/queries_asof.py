@@ -8,6 +8,7 @@ from pitcast.functions.calendar import degree_days
 from pitcast.operators import asof, rollups
 from pitcast.plans import jobs
 from pitcast.plans.registry import d, query, r
+from pitcast.session import scratch_path
 
 ORIGIN = "1998-06-01 00:00:00"
 
@@ -114,7 +115,8 @@ def e06(t):
   LEFT JOIN (SELECT date, duoarea, min(available_at) AS available_at FROM balance_vintages GROUP BY 1, 2) v ON v.duoarea = o.duoarea AND v.date = o.date - CAST(7 * lag AS INTEGER) AND v.available_at <= CAST(o.date AS TIMESTAMP) GROUP BY 1, 2""")
 def e07(t):
     origins = t.wk_storage.select("date", "duoarea")
-    return asof.balance_features_at_origins(origins, t.balance_vintages).select("duoarea", "date", "balance_history_weeks")
+    built = jobs.asof_balance_job(origins, t.balance_vintages, target=scratch_path(t.spark, "e07"))
+    return built.select("duoarea", "date", "balance_history_weeks")
 
 
 _WK = "(CAST(valid_start AS DATE) + CAST((12 - isodow(valid_start)) % 7 AS INTEGER))"
@@ -126,7 +128,7 @@ _WK = "(CAST(valid_start AS DATE) + CAST((12 - isodow(valid_start)) % 7 AS INTEG
   SELECT model_run, issued_at, duoarea, {d('date')}, {r('avg(temperature_f) AS temperature_f', 'avg(hdd) AS hdd', 'quantile_cont(hdd, 0.9) AS hdd_p90')}, min(weather_days) AS weather_days, CAST(count(*) AS INTEGER) AS ensemble_members FROM m GROUP BY model_run, issued_at, duoarea, m.date""")
 def e08(t):
     known = t.archive.join(asof.weights_at_issues(t.archive, t.weight_history, "gas_load").select("state", "duoarea", "issued_at"), ["state", "duoarea", "issued_at"], "left_semi")
-    _, scenarios = jobs.archive_job(known, weight_history=t.weight_history, require_complete_weeks=False)
+    _, scenarios = jobs.archive_job(known, weight_history=t.weight_history, require_complete_weeks=False, target=scratch_path(t.spark, "e08"))
     return scenarios.select("model_run", "issued_at", "duoarea", "date", "temperature_f", "hdd", "hdd_p90", "weather_days", "ensemble_members")
 
 

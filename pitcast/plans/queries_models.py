@@ -12,7 +12,7 @@ from pitcast.operators import features as ft
 from pitcast.plans import jobs
 from pitcast.plans.queries_features import FEATURE_CTE, lag, strict
 from pitcast.plans.registry import d, query, r, sql_linear, sql_pred
-from pitcast.session import staged
+from pitcast.session import scratch_path, staged
 
 FEATURES = ["weekly_change_lag1", "weekly_change_rolling_4wk", "hdd"]
 RECURSIVE = ["week_sin", "week_cos", "hdd", "hdd_lag1", "cdd_rolling_4wk", "weekly_change_lag1", "weekly_change_rolling_4wk", "storage_vs_5yr_avg", "storage_vs_last_year"]
@@ -432,7 +432,7 @@ def m17(t):
 
 @query("e13_crude_next_week", f"WITH {_crude_forecast('SELECT max(date) + 7 AS target FROM crude_balance')} SELECT CAST(origin AS TIMESTAMP) AS forecast_origin, CAST(cp.date AS TIMESTAMP) AS date, {r('pred AS prediction_mmbbl')} FROM cp JOIN cl ON cl.date = cp.date")
 def e13(t):
-    return jobs.crude_job(t.crude_long)[1].select("forecast_origin", "date", "prediction_mmbbl")
+    return jobs.crude_job(t.crude_long, scratch_path(t.spark, "e13"))[1].select("forecast_origin", "date", "prediction_mmbbl")
 
 
 _OIL = f"""WITH clean AS (SELECT * FROM crude_balance WHERE commercial_stock_change_mmbbl IS NOT NULL), {_crude_forecast('SELECT date AS target FROM clean QUALIFY row_number() OVER (ORDER BY date) > 156', 'clean')},
@@ -475,8 +475,8 @@ def b07_metrics(t):
     return both
 
 
-def _regional(t):
-    return jobs.regional_backtest(feature_rows_all(t), RECURSIVE, splits.expanding_weeks("1995-01-01", "1998-12-25", 4, 4), linear.RIDGE, "ridge")
+def _regional(t, target=None):
+    return jobs.regional_backtest(feature_rows_all(t), RECURSIVE, splits.expanding_weeks("1995-01-01", "1998-12-25", 4, 4), linear.RIDGE, "ridge", target=target)
 
 
 @query("b09_hierarchical_backtest")
@@ -486,7 +486,7 @@ def b09(t):
 
 @query("e09_regional_backtest_job")
 def e09(t):
-    return _regional(t)[2]
+    return _regional(t, scratch_path(t.spark, "e09"))[2]
 
 
 _DIS = """s AS (SELECT c.duoarea, m.period, m.a/1000.0 AS res, m.n/3.0/1000.0 AS com, m.r/1000.0 AS ind, m.q/3.0/1000.0 AS pb, CASE WHEN m.nation%2=0 THEN m.q*3/1000.0 ELSE 0.0 END AS mp, CASE WHEN m.nation%2=1 THEN m.q*3/1000.0 ELSE 0.0 END AS dp, m.p/9973.0 AS price FROM month_state m JOIN state_codes c USING (nation)),
@@ -547,5 +547,6 @@ def _balance(t):
 
 @query("e05_balance_job", f"{_WKLY} SELECT fin.duoarea, CAST(fin.date AS TIMESTAMP) AS date, {r('res_com', 'power_burn', 'industrial', 'fuel_use', 'dry_production', f'weekly_change_bcf - ({_LB}) AS net_inflow_balancing')} FROM fin JOIN wk_storage s ON s.duoarea = fin.duoarea AND s.date = fin.date")
 def e05(t):
-    return _balance(t).select("duoarea", "date", "res_com", "power_burn", "industrial", "fuel_use", "dry_production", "net_inflow_balancing")
+    built = jobs.balance_job(t.monthly_series, t.state_codes, t.region_daily, t.daily_price, t.wk_weather, t.wk_storage, scratch_path(t.spark, "e05"))
+    return built.select("duoarea", "date", "res_com", "power_burn", "industrial", "fuel_use", "dry_production", "net_inflow_balancing")
 

@@ -382,7 +382,7 @@ _SW = f"""SELECT duoarea, {_WEEK.format('date')} AS date, avg(t) AS temperature_
 
 @query("e02_weather_job", f"SELECT duoarea, {d('date')}, {r('temperature_f', 'hdd', 'cdd')}, weather_days, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, CAST(weekofyear(date) AS INTEGER) AS week_of_year FROM ({_SW}) WHERE weather_days = 7")
 def e02(t):
-    return jobs.weather_table(t.state_daily)
+    return jobs.weather_job(t.state_daily, scratch_path(t.spark, "e02"))
 
 
 _E03 = FEATURE_CTE.replace("wk_weather w", f"({_SW}) w")
@@ -390,15 +390,16 @@ _E03 = FEATURE_CTE.replace("wk_weather w", f"({_SW}) w")
 
 @query("e03_features_job", f"WITH {_E03} SELECT duoarea, {d('date')}, {r('hdd/weather_days AS hdd_per_day', f"{lag('hdd', 1)} AS hdd_lag1", f"{lag('storage_bcf', 1)} - {lag('storage_bcf', 53)} AS storage_vs_last_year")} FROM avg5")
 def e03(t):
-    table = jobs.feature_table(t.wk_storage, jobs.weather_table(t.state_daily, drop_incomplete=False))
-    return jobs.check_features(table).select("duoarea", "date", "hdd_per_day", "hdd_lag1", "storage_vs_last_year")
+    table = jobs.features_job(t.wk_storage, jobs.weather_table(t.state_daily, drop_incomplete=False), scratch_path(t.spark, "e03"))
+    return table.select("duoarea", "date", "hdd_per_day", "hdd_lag1", "storage_vs_last_year")
 
 
-@query("e04_all_regions_job", f"SELECT duoarea, (SELECT count(*) FROM ({_SW}) w WHERE w.duoarea = s.duoarea) AS weather_weeks, count(*) - 1 AS storage_weeks FROM wk_storage s GROUP BY 1")
+@query("e04_all_regions_job", f"""SELECT duoarea, (SELECT count(*) FROM ({_SW}) w WHERE w.duoarea = s.duoarea) AS weather_weeks, count(*) - 1 AS storage_weeks,
+  (SELECT count(*) FROM ({_ST}) x JOIN ({_SW}) w ON w.duoarea = x.duoarea AND w.date = x.date WHERE x.duoarea = s.duoarea) AS feature_weeks FROM wk_storage s GROUP BY 1""")
 def e04(t):
-    built = jobs.data_job(t.storage_raw, t.state_daily, ("storage", "weather"))
-    n = lambda df, name: df.groupBy("duoarea").agg(F.count(F.lit(1)).alias(name))
-    return n(built["weather"], "weather_weeks").join(n(built["storage"], "storage_weeks"), "duoarea")
+    built = jobs.data_job(t.storage_raw, t.state_daily)
+    n = lambda name: built[name].groupBy("duoarea").agg(F.count(F.lit(1)).alias(f"{name.removesuffix('s')}_weeks"))
+    return n("weather").join(n("storage"), "duoarea").join(n("features"), "duoarea")
 
 
 @query("e10_power_data_job", f"SELECT component, issued_at, valid_at, {r('baseline_mw', 'actual_mw')} FROM power_vintages WHERE component IN ('wind', 'solar') AND actual_mw IS NOT NULL")

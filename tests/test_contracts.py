@@ -118,3 +118,23 @@ def test_system_inputs_as_known_at_the_origin(spark):
     assert [r["conventional_outage_mw"] for r in rows] == [2.0, 0.0, 0.0] and [r["available_capacity_mw"] for r in rows] == [None, None, 80.0]
     assert {(r["nuclear_mw"], r["net_imports_mw"], r["hydro_mw"], r["battery_net_discharge_mw"]) for r in rows} == {(50.0, -7.0, 0.0, 0.0)}
     assert "battery_net_discharge_mw:zero_missing_history" in rows[0]["profile_sources"] and "nuclear_mw:hour_of_week_adjusted" in rows[0]["profile_sources"]
+
+
+def test_jobs_publish_what_they_return(spark, tmp_path):
+    from pitcast.sources import store
+
+    days = [dt.date(2026, 1, 3) + dt.timedelta(days=i) for i in range(14)]
+    states = spark.createDataFrame([(s, "R31", d, 40.0, 25.0, 0.0, w) for d in days for s, w in (("A", 0.25), ("B", 0.75))],
+                                   "state string, duoarea string, date date, temperature_f double, hdd double, cdd double, population_weight double")
+    target = str(tmp_path / "t")
+    built = jobs.weather_job(states, target)
+    assert built.count() == 2 and sorted(built.collect()) == sorted(store.read_latest(spark, f"{target}/weather").select(*built.columns).collect())
+    origins = spark.createDataFrame([("R31", days[0]), ("R32", days[0])], "duoarea string, date date")
+    vintages = spark.createDataFrame([("R31", days[0])], "duoarea string, date date")
+    with pytest.raises(ValueError, match="R32"):
+        jobs.asof_balance_job(origins, vintages, target=target)
+    long = spark.createDataFrame([(dt.date(2018, 1, 5) + dt.timedelta(weeks=w), c, 100.0 + w % 7) for w in range(320) for c in (
+        "production_kbpd", "refinery_inputs_kbpd", "imports_kbpd", "exports_kbpd", "commercial_stocks_kb", "spr_stocks_kb")], "period date, component string, value double")
+    balance, forecast = jobs.crude_job(long, target)
+    assert forecast.count() == 1 and store.read_latest(spark, f"{target}/forecast").count() == 1
+    assert store.read_latest(spark, f"{target}/balance").count() == balance.count() and store.read_latest(spark, f"{target}/observations").count() == long.count()
