@@ -314,5 +314,5 @@ def test_registered_queries():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
-    assert set(queries.ORACLE) == {"op5_tool_calls", "op6_exact_dedup"}
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+    assert set(queries.ORACLE) == {"op5_tool_calls", "op6_exact_dedup", "op12_importance_resampling", "op13_source_mixing"}
