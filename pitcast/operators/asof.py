@@ -188,9 +188,11 @@ def normalized_weights(selected: DataFrame, weight: str) -> DataFrame:
 
 
 def state_weights_as_of(history: DataFrame, as_of: Column, weight: str) -> DataFrame:
-    """Latest knowable weight per (region, state), normalized within the region."""
+    """Latest knowable weight per (region, state), normalized within the region; no weight known at the origin at all stops the job."""
     require_columns(history, ["state", "duoarea", "available_at", weight], "weight history")
     known = history.where(F.col("available_at") <= as_of)
+    if known.isEmpty():
+        raise ValueError("No state weight is known at the requested origin.")
     return normalized_weights(keep_latest(known, ["duoarea", "state"], ["available_at"]), weight)
 
 

@@ -138,3 +138,11 @@ def test_jobs_publish_what_they_return(spark, tmp_path):
     balance, forecast = jobs.crude_job(long, target)
     assert forecast.count() == 1 and store.read_latest(spark, f"{target}/forecast").count() == 1
     assert store.read_latest(spark, f"{target}/balance").count() == balance.count() and store.read_latest(spark, f"{target}/observations").count() == long.count()
+
+
+def test_some_weight_must_be_known(spark):
+    df = spark.createDataFrame([("A", "R31", dt.datetime(2026, 1, 1), 2.0), ("B", "R31", dt.datetime(2026, 1, 1), 6.0)], "state string, duoarea string, available_at timestamp, load double")
+    late, early = (F.lit(x).cast("timestamp") for x in ("2026-01-02", "2025-01-02"))
+    assert {r["state"]: r["weather_weight"] for r in asof.state_weights_as_of(df, late, "load").collect()} == {"A": 0.25, "B": 0.75}
+    with pytest.raises(ValueError, match="No state weight"):
+        asof.state_weights_as_of(df, early, "load")
