@@ -108,19 +108,24 @@ def statistics(text):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed)
 
 
-def edit_distance(a, b):
+def edit_distance(a, b, most):
+    """The edit distance, or ``most + 1`` for any larger one."""
+    bags = Counter(a), Counter(b)
+    if max((bags[0] - bags[1]).total(), (bags[1] - bags[0]).total()) > most:
+        return most + 1
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        new = [i] + [most + 1] * len(b)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+        if min(new) > most:
+            return most + 1
         row = new
     return row[-1]
 
 
-def fuzzy_lines(rows, distance=2, share=0.1):
+def fuzzy_lines(rows, share=0.1):
     import regex
-    import xxhash
 
     ids, lines = {}, []
     for i, t in rows:
@@ -128,15 +133,12 @@ def fuzzy_lines(rows, distance=2, share=0.1):
             norm = regex.sub(r"[^\p{L}]+", " ", line.lower()).strip(" ")
             if norm:
                 lines.append((i, k, ids.setdefault(norm, len(ids))))
-    names, signs = list(ids), []
-    for n in names:
-        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in n.split(" ")]
-        signs.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    names = list(ids)
     groups = Sets()
     for a in range(len(names)):
         for b in range(a):
             most = int(share * max(len(names[a]), len(names[b])))
-            if (signs[a] ^ signs[b]).bit_count() <= distance and edit_distance(names[a], names[b]) <= most:
+            if abs(len(names[a]) - len(names[b])) <= most and edit_distance(names[a], names[b], most) <= most:
                 groups.join(a, b)
     place, gone = {}, defaultdict(set)
     for i, k, n in sorted(lines, key=lambda x: (first(x[0]), x[1])):

@@ -92,6 +92,36 @@ def test_fuzzy_lines(docs, rows, result):
     assert texts[500].count("\n") == 0 and texts[501] == "" and texts[600] is None
 
 
+@pytest.mark.parametrize("group", [fuzzy_lines.GROUP, 3])
+def test_fuzzy_lines_against_plain_edit_similarity(spark, result, monkeypatch, group):
+    """Changed, dropped and added words and letters in lines of all lengths; links by edit similarity alone are the truth."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("aeioubcdlmnrstäж"), rng.integers(2, 10))) for _ in range(500)]
+    base = [[vocabulary[k] for k in rng.integers(0, 500, n)] for n in [3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 55, 90, 150] * 4]
+    shared = [vocabulary[k] for k in rng.integers(0, 500, 12)]  # a passage that unlike lines share
+    base += [shared + [vocabulary[k] for k in rng.integers(0, 500, 20)] for _ in range(12)]
+    rows = []
+    for i, line in enumerate(base):
+        rows.append((10 * i, " ".join(line)))
+        for k in range(1, 4):
+            changed, kind = list(line), rng.integers(0, 3)
+            for _ in range(max(1, len(line) * k // 40)):
+                at = int(rng.integers(0, len(changed)))
+                word = changed[at]
+                changed[at : at + 1] = ([word[:1] + "q" + word[2:]], [], [word, "et"])[kind]
+            rows.append((10 * i + k, " ".join(changed)))
+    rows += [(9000, "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少"), (9001, "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多了"), (9002, "chapter seventeen"), (9003, "chapter seventeem")]
+    # a thousand equal lines, and many short ones that share all but one word
+    rows += [(10000 + i, "the same line in very many places") for i in range(300)] + [(11000 + i, f"page {vocabulary[i]} footer") for i in range(60)]
+    monkeypatch.setattr(fuzzy_lines, "GROUP", group)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got, want = dict((r[0], r[2]) for r in fuzzy_lines.fuzzy_line_dedup(frame).collect()), dict((r[0], r[2]) for r in brute.fuzzy_lines(rows))
+    found, planted = sum(got.values()), sum(want.values())
+    assert planted > 400 and all(want[i] or not n for i, n in got.items())
+    near = sum(n for i, n in want.items() if i < 9000)
+    assert sum(n for i, n in got.items() if i < 9000) >= 0.97 * near and found >= 0.97 * planted
+
+
 def test_quality_statistics(docs, rows, result):
     got = quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert result(got) == result([(i, *brute.statistics(t)) for i, t in rows])
