@@ -1,12 +1,13 @@
-"""Tables of distinct text chunks and their token ids, kept by each task."""
+"""Tables of distinct text chunks and their token ids, kept by a task or by its worker process."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Hashable, Iterable
+from itertools import repeat
 
 import numpy as np
 
-#: Entries after which a task starts its table anew; results do not depend on it.
+#: Entries after which a table keeps only the chunks that it met most; results do not depend on it.
 TABLE_LIMIT = 150_000
 #: Chunks that the encoder sees at a time, as its answers are many times their size.
 ENCODE_STEP = 4_096
@@ -15,32 +16,49 @@ ENCODE_STEP = 4_096
 class ChunkTable:
     """Encodes each distinct chunk once and joins ids back by position."""
 
-    def __init__(self, encode: Callable[[list], list]):
+    def __init__(self, encode: Callable[[list], list], limit: int | None = None):
         self.encode = encode
-        self.generation = 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.generation += 1
+        self.limit = limit or TABLE_LIMIT
+        self.generation = 1
         self.rows: dict = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.starts, self.sizes, self.met = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def shrink(self) -> None:
+        """Keep the chunks met most and more than once, at most half of the limit; rows get new numbers."""
+        n = len(self.rows)
+        keep = np.argsort(-self.met[:n], kind="stable")[: self.limit // 2]
+        keep = np.sort(keep[self.met[keep] > 1])
+        ids, sizes = self.expand(keep)
+        names = list(self.rows)
+        self.generation += 1
+        self.rows = {names[k]: row for row, k in enumerate(keep.tolist())}
+        self.used = len(ids)
+        self.ids[: self.used] = ids
+        self.met[: len(keep)] = self.met[keep] // 2
+        self.met[len(keep) :] = 0
+        self.starts[: len(keep)], self.sizes[: len(keep)] = np.cumsum(sizes) - sizes, sizes
 
     def positions(self, chunks: list) -> np.ndarray:
         """Table rows of ``chunks``; unseen ones are encoded together first."""
-        if len(self.rows) > TABLE_LIMIT:
-            self.clear()
-        fresh = [x for x in dict.fromkeys(chunks) if x not in self.rows]
+        if len(self.rows) > self.limit:
+            self.shrink()
+        out = np.fromiter(map(self.rows.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(out < 0).tolist()
+        fresh = list(dict.fromkeys([chunks[i] for i in missing]))
         for at in range(0, len(fresh), ENCODE_STEP):
             self._add(fresh[at : at + ENCODE_STEP], self.encode(fresh[at : at + ENCODE_STEP]))
-        return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
+        out[missing] = [self.rows[chunks[i]] for i in missing]
+        self.met[: len(self.rows)] += np.bincount(out, minlength=len(self.rows))
+        return out
 
     def _add(self, chunks: list, encoded: Iterable) -> None:
         for chunk, ids in zip(chunks, encoded):
             row, size = len(self.rows), len(ids)
             if row == len(self.starts):
                 self.starts, self.sizes = np.resize(self.starts, 2 * row), np.resize(self.sizes, 2 * row)
+                self.met = np.concatenate((self.met, np.zeros(row, np.int64)))
             while self.used + size > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * len(self.ids))
             self.ids[self.used : self.used + size] = ids
@@ -54,3 +72,13 @@ class ChunkTable:
         ends = np.cumsum(sizes)
         shift = np.repeat(self.starts[rows] - (ends - sizes), sizes)
         return self.ids[shift + np.arange(len(shift))], sizes
+
+
+_kept: dict[Hashable, ChunkTable] = {}
+
+
+def kept_table(name: Hashable, make: Callable[[], ChunkTable]) -> ChunkTable:
+    """The table that this worker process keeps under ``name`` from task to task, which saves later tasks known chunks."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitcast.llm.chunks import ChunkTable
+from pitcast.llm.chunks import ChunkTable, kept_table
 from pitcast.llm.common import stage
 from pitcast.llm.tokens import column_bytes, slices
 
@@ -20,20 +20,25 @@ END_ID = 1
 #: Documents of one shard of the inverted index.
 SHARD_ROWS = 256
 K1, B = 1.2, 0.75
+#: Words that a worker process keeps with their ids, about 80 MB.
+KNOWN_WORDS = 400_000
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """``doc_id, ids``: little-endian unsigned 32-bit token ids of the whole text and the end id.
 
-    The tokenizer must drop white space and never join across it, so each distinct word is encoded once per task.
+    The tokenizer must drop white space and never join across it, so a word is encoded when it is new to the worker process.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        table = ChunkTable(lambda new: [x.ids for x in tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)])
+        def new_table() -> ChunkTable:
+            tokenizer = Tokenizer.from_file(tokenizer_path)
+            return ChunkTable(lambda new: [x.ids for x in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)], KNOWN_WORDS)
+
+        table = kept_table(("packing", tokenizer_path), new_table)
         for batch in batches:
             data, at = column_bytes(batch.column("text"))
             for first, last in slices(at):
