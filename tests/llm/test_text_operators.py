@@ -139,6 +139,23 @@ def test_fuzzy_lines_against_plain_edit_similarity(spark, result, monkeypatch, g
     assert sum(n for i, n in got.items() if i < 9000) >= 0.97 * near and found >= 0.97 * planted
 
 
+def test_fuzzy_lines_do_not_depend_on_the_size_of_blocks(spark, result, monkeypatch):
+    """Lines whose only common stretches lie in one passage that all lines share, so they meet in large groups alone."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("aeioubcdlmnrst"), 6)) for _ in range(900)]
+    passage, rows = vocabulary[:24], []
+    for i in range(40):
+        line = [vocabulary[k] for k in rng.integers(24, 900, 20)]
+        rows += [(2 * i, " ".join(passage + line)), (2 * i + 1, " ".join(passage + [w if k % 4 else "q" + w[1:] for k, w in enumerate(line)]))]
+    frame, want = spark.createDataFrame(rows, "doc_id long, text string"), result(brute.fuzzy_lines(rows))
+    found = {}
+    for group in (3, 512):
+        monkeypatch.setattr(fuzzy_lines, "GROUP", group)
+        found[group] = result(fuzzy_lines.fuzzy_line_dedup(frame))
+    assert found[3] == found[512]
+    assert sum(r[2] for r in found[3]) >= 0.9 * sum(r[2] for r in want) >= 0.9 * 40
+
+
 def test_quality_statistics(docs, rows, result):
     got = quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert result(got) == result([(i, *brute.statistics(t)) for i, t in rows])
