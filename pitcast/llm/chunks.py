@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -40,8 +40,8 @@ class ChunkTable:
         self.met[len(keep) :] = 0
         self.starts[: len(keep)], self.sizes[: len(keep)] = np.cumsum(sizes) - sizes, sizes
 
-    def positions(self, chunks: list) -> np.ndarray:
-        """Table rows of ``chunks``; unseen ones are encoded together first."""
+    def positions(self, chunks: list, times: np.ndarray | None = None) -> np.ndarray:
+        """Table rows of ``chunks``, each met once or ``times``; unseen ones are encoded together first."""
         if len(self.rows) > self.limit:
             self.shrink()
         out = np.fromiter(map(self.rows.get, chunks, repeat(-1)), np.int64, len(chunks))
@@ -50,21 +50,23 @@ class ChunkTable:
         for at in range(0, len(fresh), ENCODE_STEP):
             self._add(fresh[at : at + ENCODE_STEP], self.encode(fresh[at : at + ENCODE_STEP]))
         out[missing] = [self.rows[chunks[i]] for i in missing]
-        self.met[: len(self.rows)] += np.bincount(out, minlength=len(self.rows))
+        self.met[: len(self.rows)] += np.bincount(out, times, len(self.rows)).astype(np.int64)
         return out
 
     def _add(self, chunks: list, encoded: Iterable) -> None:
-        for chunk, ids in zip(chunks, encoded):
-            row, size = len(self.rows), len(ids)
-            if row == len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * row), np.resize(self.sizes, 2 * row)
-                self.met = np.concatenate((self.met, np.zeros(row, np.int64)))
-            while self.used + size > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + size] = ids
-            self.starts[row], self.sizes[row] = self.used, size
-            self.rows[chunk] = row
-            self.used += size
+        encoded = list(encoded)
+        row, sizes = len(self.rows), np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ends = self.used + np.cumsum(sizes)
+        while row + len(chunks) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+            self.met = np.concatenate((self.met, np.zeros(len(self.met), np.int64)))
+        used = int(self.used + sizes.sum())
+        while used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : used] = np.fromiter(chain.from_iterable(encoded), np.uint32, used - self.used)
+        self.starts[row : row + len(chunks)], self.sizes[row : row + len(chunks)] = ends - sizes, sizes
+        self.rows.update(zip(chunks, range(row, row + len(chunks))))
+        self.used = used
 
     def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows one after another, and the number of ids of each row."""

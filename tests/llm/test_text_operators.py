@@ -220,6 +220,30 @@ def test_packing_round_trip(docs, rows):
     assert short <= 1  # one shard, padded once
 
 
+def test_packing_encodes_many_words_in_one_call(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, calls = Tokenizer.from_file(queries.tokenizer_path(WORDS)), []
+
+    class Counted:
+        get_added_tokens_decoder = staticmethod(tokenizer.get_added_tokens_decoder)
+
+        @staticmethod
+        def encode_batch_fast(texts, add_special_tokens):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    words = ["", "plain", "Word,", "don't", "é́", "x\xa0y", "\xa0", "<|endoftext|>", "a<|endoftext|>b", "<|", "|>", ">", "<|endoftext", "春眠", "\x00", "\x85", "\u0301e"]
+    words += [f"w{k}" for k in range(300)]
+    want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert packing.word_encoder(Counted)([w.encode() for w in words]) == want
+    assert len(calls) == 2 and sum(calls) < 10
+    monkeypatch.setattr(packing, "JOINED", 2)
+    assert packing.word_encoder(tokenizer)([w.encode() for w in words]) == want
+    Counted.get_added_tokens_decoder = staticmethod(dict)
+    assert packing.word_encoder(Counted)([w.encode() for w in words]) == want
+
+
 def test_packing_prefers_related_neighbours():
     rng = np.random.default_rng(5)
     topics = [rng.choice(np.arange(100 * k, 100 * k + 40), 60) for k in range(4) for _ in range(4)]
