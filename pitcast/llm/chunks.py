@@ -14,9 +14,12 @@ ENCODE_STEP = 4_096
 
 
 class ChunkTable:
-    """Encodes each distinct chunk once and joins ids back by position."""
+    """Encodes each distinct chunk once and joins ids back by position.
 
-    def __init__(self, encode: Callable[[list], list], limit: int | None = None):
+    ``encode`` returns the ids of each chunk, or a pair of arrays: all ids one after another, and the number of each chunk's.
+    """
+
+    def __init__(self, encode: Callable[[list], Iterable | tuple[np.ndarray, np.ndarray]], limit: int | None = None):
         self.encode = encode
         self.limit = limit or TABLE_LIMIT
         self.generation = 1
@@ -53,9 +56,14 @@ class ChunkTable:
         self.met[: len(self.rows)] += np.bincount(out, times, len(self.rows)).astype(np.int64)
         return out
 
-    def _add(self, chunks: list, encoded: Iterable) -> None:
-        encoded = list(encoded)
-        row, sizes = len(self.rows), np.fromiter(map(len, encoded), np.int64, len(encoded))
+    def _add(self, chunks: list, encoded: Iterable | tuple[np.ndarray, np.ndarray]) -> None:
+        if isinstance(encoded, tuple):
+            ids, sizes = encoded
+        else:
+            encoded = list(encoded)
+            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            ids = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+        row = len(self.rows)
         ends = self.used + np.cumsum(sizes)
         while row + len(chunks) > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
@@ -63,7 +71,7 @@ class ChunkTable:
         used = int(self.used + sizes.sum())
         while used > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used : used] = np.fromiter(chain.from_iterable(encoded), np.uint32, used - self.used)
+        self.ids[self.used : used] = ids
         self.starts[row : row + len(chunks)], self.sizes[row : row + len(chunks)] = ends - sizes, sizes
         self.rows.update(zip(chunks, range(row, row + len(chunks))))
         self.used = used

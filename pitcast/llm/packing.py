@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ K1, B = 1.2, 0.75
 KNOWN_WORDS = 400_000
 #: Words that one call of the tokenizer encodes.
 JOINED = 512
+#: Last entries of the vocabulary, one of which stands between words.
+RARE = 1_000
 
 
 def word_encoder(tokenizer) -> Callable[[list[bytes]], list[list[int]]]:
@@ -59,6 +62,68 @@ def word_encoder(tokenizer) -> Callable[[list[bytes]], list[list[int]]]:
     return encode
 
 
+def parting_word(tokenizer) -> tuple[str, int] | None:
+    """A short word of letters that is one token by itself, and that token; from the end of the vocabulary, where words are rare."""
+    n = tokenizer.get_vocab_size(with_added_tokens=False)
+    # without marks of a word's start or end
+    named = [(max(re.findall("[a-z]+", tokenizer.id_to_token(i) or ""), key=len, default=""), i) for i in range(max(0, n - RARE), n)]
+    for word, i in sorted(named, key=lambda x: len(x[0])):
+        if len(word) > 2 and all(x.ids == [i] for x in tokenizer.encode_batch_fast([word, f" {word} "], add_special_tokens=False)):
+            return word, i
+    return None
+
+
+def end_tokens(tokenizer) -> np.ndarray | None:
+    """Whether each token ends a word of letters; None if the model marks no ends or has no token for some byte, so that words could go unseen."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    letters = ByteLevel.alphabet()
+    whole = suffix and "ByteLevel(" in repr(tokenizer.pre_tokenizer) and all(tokenizer.token_to_id(x + end) is not None for x in letters for end in ("", suffix))
+    return np.array([(tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(tokenizer.get_vocab_size())]) if whole else None
+
+
+def flat_word_encoder(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """A function that returns the ids of all words one after another, and the number of ids of each.
+
+    Words are encoded together, parted by spaces as in a text. Words of letters alone are told apart by their end tokens: each has one at
+    least, so as many ends as words are one for each. Between other words stands a known word, which is always its one token, so a
+    group with no more of these tokens than places between words has them nowhere else. Groups with other counts go to :func:`word_encoder`.
+    """
+    encode, mark, ends = word_encoder(tokenizer), parting_word(tokenizer), end_tokens(tokenizer)
+
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def parted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if mark:
+            ids = ids_of(f" {mark[0]} ".join(words))
+            cuts = np.flatnonzero(ids == mark[1])
+            if len(cuts) == len(words) - 1:
+                return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
+        own = encode([w.encode() for w in words])
+        return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
+
+    def ended(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if ends is not None:
+            ids = ids_of(" ".join(words))
+            cuts = np.flatnonzero(ends[ids])
+            if len(cuts) == len(words):
+                return ids, np.diff(cuts, prepend=-1)
+        return parted(words)
+
+    def encode_all(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        kinds = [(ended, np.flatnonzero(plain)), (parted, np.flatnonzero(~plain))]
+        ids, sizes = zip(*(how([words[i] for i in own[at : at + JOINED]]) for how, own in kinds for at in range(0, len(own), JOINED)))
+        ids, sizes, order = np.concatenate(ids), np.concatenate(sizes), np.argsort(np.concatenate([own for _, own in kinds]))
+        starts = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        return ids[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))], sizes
+
+    return encode_all
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """``doc_id, ids``: little-endian unsigned 32-bit token ids of the whole text and the end id.
 
@@ -70,7 +135,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
         from tokenizers import Tokenizer
 
         def new_table() -> ChunkTable:
-            return ChunkTable(word_encoder(Tokenizer.from_file(tokenizer_path)), KNOWN_WORDS)
+            return ChunkTable(flat_word_encoder(Tokenizer.from_file(tokenizer_path)), KNOWN_WORDS)
 
         table = kept_table(("packing", tokenizer_path), new_table)
         for batch in batches:
@@ -80,7 +145,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
                 split = pc.ascii_split_whitespace(batch.column("text").slice(first, last - first).cast(pa.large_string()))
                 counts = split.offsets.to_numpy() - split.offsets[0].as_py()
                 words = split.flatten().dictionary_encode()
-                named, at_word = words.dictionary.cast(pa.large_binary()).to_pylist(), words.indices.to_numpy()
+                named, at_word = words.dictionary.to_pylist(), words.indices.to_numpy()
                 ids, sizes = table.expand(table.positions(named, np.bincount(at_word, minlength=len(named)))[at_word])
                 ends = np.concatenate(([0], np.cumsum(sizes)))[counts]
                 out = [np.append(ids[a:b], np.uint32(end_id)).astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]

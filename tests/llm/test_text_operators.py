@@ -244,6 +244,23 @@ def test_packing_encodes_many_words_in_one_call(monkeypatch):
     assert packing.word_encoder(Counted)([w.encode() for w in words]) == want
 
 
+@pytest.mark.parametrize("joined", [packing.JOINED, 2, 1])
+def test_packing_parts_words_by_a_word(monkeypatch, joined):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "JOINED", joined)
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path(WORDS))
+    mark, token = packing.parting_word(tokenizer)
+    words = ["", "plain", "Word,", "don't", "é́", "x\xa0y", "\xa0", "<|endoftext|>", "a<|endoftext|>b", "<|", "春眠", "\x00", "\x85", "\u0301e", "", "Σας", "İstanbul", "ªº", "aٱb"]
+    words += [f"w{k}" for k in range(30)] + ["ab" + chr(97 + k) for k in range(20)]
+    for more in ([], [mark], [mark.upper() + ",", mark * 2], [f"{mark}.{mark}", f"a{mark}"]):  # the word itself in a text
+        want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words + more]
+        ids, sizes = packing.flat_word_encoder(tokenizer)(words + more)
+        assert ids.tolist() == [i for own in want for i in own] and sizes.tolist() == [len(own) for own in want]
+    assert tokenizer.encode(f"{words[1]} {mark} {words[2]}", add_special_tokens=False).ids.count(token) == 1
+    assert packing.end_tokens(tokenizer).sum() > 1000
+
+
 def test_packing_prefers_related_neighbours():
     rng = np.random.default_rng(5)
     topics = [rng.choice(np.arange(100 * k, 100 * k + 40), 60) for k in range(4) for _ in range(4)]
