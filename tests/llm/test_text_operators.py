@@ -103,6 +103,17 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    staged, write = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name: staged.append(name) or write(df, name))
+    stars = [(i, i // 10 * 10) for i in range(40)] + [(100, 105), (0, 3)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {**{i: i // 10 * 10 for i in range(40)}, 100: 100, 105: 100} and staged == ["links"]
+    staged.clear()
+    got = {r.node: r.component for r in common.components(spark.createDataFrame([(b"c", b"b"), (b"b", b"a")], "a binary, b binary")).collect()}
+    assert set(map(bytes, got.values())) == {b"a"} and staged == ["links"] * 2
+
+
 def test_fuzzy_lines(docs, rows, result):
     assert result(fuzzy_lines.fuzzy_line_dedup(docs)) == result(brute.fuzzy_lines(rows))
     texts = {r.doc_id: r.text for r in fuzzy_lines.without_lines(docs.where("doc_id IN (500, 501, 600)")).collect()}
