@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitcast.llm.common import SPACE, stage
+from pitcast.llm.common import SPACE, likely, stage
 from pitcast.llm.repeats import TEXT_KEY, Suffixes, by_text, keyed, padded, recurring, span_lists, spans_of, staged_candidates, unlike_copies, word_anchors
 from pitcast.llm.tokens import rows_of_words
 
@@ -204,13 +204,20 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     texts = keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     candidates = staged_candidates(texts, word_anchors, GRAM, LENGTH, "words")
     changed = stage(_without(candidates, later_spans(candidates)), "changed")
-    first = stage(texts.groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("first_id")), "first")
+    copied = texts.groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    copied = stage(copied.where("first_id <> last_id").drop("last_id"), "copied")
+    wanted = changed.select(*TEXT_KEY).unionByName(copied.select(*TEXT_KEY))
+    flagged = likely(texts, F.xxhash64(*TEXT_KEY), wanted, F.xxhash64(*TEXT_KEY))
     body = F.trim(F.regexp_replace("text", SPACE, " "))
-    base = texts.select("doc_id", *TEXT_KEY, F.when(body == "", 0).otherwise(F.size(F.split(body, " "))).cast("long").alias("n_words"), body.alias("body"))
-    joined = base.join(first, TEXT_KEY).join(changed, TEXT_KEY, "left")
+    base = flagged.select(
+        "doc_id", *TEXT_KEY, "likely", F.when(body == "", 0).otherwise(F.size(F.split(body, " "))).cast("long").alias("n_words"), body.alias("body")
+    )
+    # texts without copies or repeats are not shuffled
+    alone = base.where("NOT likely").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("body").alias("kept_text"))
+    joined = base.where("likely").join(copied, TEXT_KEY, "left").join(changed, TEXT_KEY, "left").withColumn("first_id", F.coalesce("first_id", "doc_id"))
     gone = (F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= LENGTH)
-    return joined.select(
+    return alone.unionByName(joined.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.when(F.col("doc_id") == F.col("first_id"), F.coalesce("n_removed", F.lit(0))).otherwise(0)).cast("long").alias("n_removed"),
         F.when(gone, F.lit("")).otherwise(F.when(F.col("doc_id") == F.col("first_id"), F.coalesce("kept_text", "body")).otherwise(F.col("body"))).alias("kept_text"),
-    )
+    ))

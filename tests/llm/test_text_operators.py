@@ -30,6 +30,17 @@ def test_substring_dedup(docs, rows, result, monkeypatch):
     assert result(substring_dedup.substring_dedup(docs).select(*names)) == want
 
 
+def test_substring_dedup_shuffles_only_texts_that_may_change(docs, rows, result, monkeypatch):
+    from pitcast.llm import common
+
+    names = ["doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)]
+    kept = substring_dedup.substring_dedup(docs)
+    first, *_ = kept._jdf.queryExecution().optimizedPlan().children().mkString("|").split("Join Left")
+    assert kept._jdf.queryExecution().optimizedPlan().nodeName() == "Union" and "kept_text" in first
+    monkeypatch.setattr(common, "BITMAP", 64)  # nearly all texts seem to change
+    assert result(substring_dedup.substring_dedup(docs).select(*names)) == result(brute.substring(rows))
+
+
 def test_suffix_array_dedup(docs, rows, result, monkeypatch):
     want = result(brute.repeated_bytes(rows))
     assert result(suffix_array.suffix_array_dedup(docs)) == want
