@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterable
 from itertools import chain, repeat
+from typing import Any
 
 import numpy as np
 
@@ -79,16 +80,20 @@ class ChunkTable:
     def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows one after another, and the number of ids of each row."""
         sizes = self.sizes[rows]
-        ends = np.cumsum(sizes)
-        shift = np.repeat(self.starts[rows] - (ends - sizes), sizes)
-        return self.ids[shift + np.arange(len(shift))], sizes
+        return ragged(self.ids, self.starts[rows], sizes), sizes
 
 
-_kept: dict[Hashable, ChunkTable] = {}
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` one after another."""
+    shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return values[shift + np.arange(len(shift))]
 
 
-def kept_table(name: Hashable, make: Callable[[], ChunkTable]) -> ChunkTable:
-    """The table that this worker process keeps under ``name`` from task to task, which saves later tasks known chunks."""
+_kept: dict[Hashable, Any] = {}
+
+
+def kept_table(name: Hashable, make: Callable[[], Any]) -> Any:
+    """The table, with what else ``make`` gives, that this worker process keeps under ``name`` from task to task, which saves later tasks known chunks."""
     if name not in _kept:
         _kept[name] = make()
     return _kept[name]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -13,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitcast.llm.chunks import ChunkTable, kept_table
+from pitcast.llm.chunks import ChunkTable, kept_table, ragged
 from pitcast.llm.common import stage
-from pitcast.llm.tokens import STEP, column_bytes, slices
+from pitcast.llm.tokens import LOWER, STEP, column_bytes, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -28,6 +29,8 @@ KNOWN_WORDS = 400_000
 JOINED = 512
 #: Last entries of the vocabulary, one of which stands between words.
 RARE = 1_000
+#: A pre-tokenizer's pattern that parts letters from all else, but for endings after an apostrophe.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def word_encoder(tokenizer) -> Callable[[list[bytes]], list[list[int]]]:
@@ -124,6 +127,58 @@ def flat_word_encoder(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.n
     return encode_all
 
 
+def byte_kinds(tokenizer) -> tuple[np.ndarray, np.ndarray] | None:
+    """Kind of each byte (0 letters, 1 others, 2 those that keep a word whole) and its lower case where the tokenizer takes it.
+
+    A word of ASCII is then encoded as its runs of kinds are, one after another. None if that is not known of the tokenizer. Words
+    that are not ASCII, have an apostrophe or may hold an added token stay whole.
+    """
+    config = json.loads(tokenizer.to_str())
+    first, normalizer = config["pre_tokenizer"] or {}, config["normalizer"] or {"type": "Sequence", "normalizers": []}
+    steps = first.get("pretokenizers", [])
+    parted = [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    parted = parted and steps[0] == {"type": "Split", "pattern": {"Regex": LETTERS_APART}, "behavior": "Removed", "invert": True}
+    changes = [x for x in normalizer.get("normalizers", [normalizer]) if x != {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}]
+    if not parted or any(x["type"] not in ("NFC", "Lowercase") for x in changes):
+        return None
+    kinds = np.where((LOWER >= ord("a")) & (LOWER <= ord("z")), 0, 1).astype(np.uint8)
+    kinds[128:] = 2
+    for c in "'" + "".join(x["content"][:1] for x in config["added_tokens"]):
+        kinds[[x for both in (c.lower(), c.upper()) for x in both.encode()]] = 2
+    return kinds, LOWER if {"type": "Lowercase"} in changes else np.arange(256, dtype=np.uint8)
+
+
+def word_parts(words: pa.LargeStringArray, kinds: np.ndarray, lower: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Runs of one kind of byte, in lower case, of all words one after another, and how many each word has."""
+    data, at = column_bytes(words)
+    data, at = data[at[0] : at[-1]], at - at[0]
+    kind = kinds[data]
+    whole = np.diff(np.concatenate(([0], np.cumsum(kind == 2)))[at]) > 0
+    kept = np.repeat(whole, np.diff(at))
+    cut = np.append(False, kind[1:] != kind[:-1])[: len(data)] & ~kept
+    cut[at[:-1][np.diff(at) > 0]] = True
+    edges = np.append(np.flatnonzero(cut), len(data)).astype(np.int64)
+    text = np.where(kept, data, lower[data])
+    parts = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(text)])
+    return parts, np.diff(np.concatenate(([0], np.cumsum(cut)))[at])
+
+
+def encoded(words: pa.LargeStringArray, table: ChunkTable, kinds: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words one after another, and the number of ids of each; ``table`` holds their parts, or whole words without ``kinds``."""
+    words = words.dictionary_encode()
+    at_word = words.indices.to_numpy()
+    parts, held = word_parts(words.dictionary, *kinds) if kinds else (words.dictionary, np.ones(len(words.dictionary), np.int64))
+    parts = parts.dictionary_encode()
+    at_part = parts.indices.to_numpy()
+    # words hold no line ends, and one split is cheaper than as many conversions
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(parts.dictionary)], parts.dictionary), pa.scalar("\n", pa.large_string()))
+    named = joined[0].as_py().split("\n")[: len(parts.dictionary)]
+    times = np.bincount(at_part, np.repeat(np.bincount(at_word, minlength=len(held)), held), len(named))
+    ids, sizes = table.expand(table.positions(named, times)[at_part])
+    edges = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(held)))]
+    return ragged(ids, edges[:-1][at_word], np.diff(edges)[at_word]), np.diff(edges)[at_word]
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """``doc_id, ids``: little-endian unsigned 32-bit token ids of the whole text and the end id.
 
@@ -134,19 +189,18 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        def new_table() -> ChunkTable:
-            return ChunkTable(flat_word_encoder(Tokenizer.from_file(tokenizer_path)), KNOWN_WORDS)
+        def new_table() -> tuple:
+            tokenizer = Tokenizer.from_file(tokenizer_path)
+            return ChunkTable(flat_word_encoder(tokenizer), KNOWN_WORDS), byte_kinds(tokenizer)
 
-        table = kept_table(("packing", tokenizer_path), new_table)
+        table, kinds = kept_table(("packing", tokenizer_path), new_table)
         for batch in batches:
             _, at = column_bytes(batch.column("text"))
             for first, last in slices(at, 4 * STEP):
                 # splits at the white space of ASCII, which leaves empty words at a text's ends
                 split = pc.ascii_split_whitespace(batch.column("text").slice(first, last - first).cast(pa.large_string()))
                 counts = split.offsets.to_numpy() - split.offsets[0].as_py()
-                words = split.flatten().dictionary_encode()
-                named, at_word = words.dictionary.to_pylist(), words.indices.to_numpy()
-                ids, sizes = table.expand(table.positions(named, np.bincount(at_word, minlength=len(named)))[at_word])
+                ids, sizes = encoded(split.flatten(), table, kinds)
                 ends = np.concatenate(([0], np.cumsum(sizes)))[counts]
                 out = [np.append(ids[a:b], np.uint32(end_id)).astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(out, pa.binary())], ["doc_id", "ids"])

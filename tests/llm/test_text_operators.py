@@ -283,6 +283,31 @@ def test_packing_parts_words_by_a_word(monkeypatch, joined):
     assert packing.end_tokens(tokenizer).sum() > 1000
 
 
+def test_packing_encodes_letters_apart_from_other_characters():
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, seen = Tokenizer.from_file(queries.tokenizer_path(WORDS)), []
+    texts = ["River,", "river.", "RIVER", "(river)", "don't", "'s", "x'Llama", "a1b22c", "12,", "<|endoftext|>river", "<|ENDOFTEXT|>", "Éa,b", "H\u0331a,", "naïve.", "漢字,ab", "--", "", "é", "İx.I", "a\x00b", "\x1fq\x7f"]
+
+    def encode(words):
+        seen.extend(words)
+        return packing.flat_word_encoder(tokenizer)(words)
+
+    kinds = packing.byte_kinds(tokenizer)
+    ids, sizes = packing.encoded(pa.array(texts + texts[:4], pa.large_string()), chunks.ChunkTable(encode), kinds)
+    want = [tokenizer.encode(w, add_special_tokens=False).ids for w in texts + texts[:4]]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert seen.count("river") == 1 and not {"river,", "River,", "RIVER"} & set(seen)
+    assert [len(x) for x in packing.encoded(pa.array([], pa.large_string()), chunks.ChunkTable(encode), kinds)] == [0, 0]
+    # tokenizers that may join across these places keep whole words
+    config = json.loads(tokenizer.to_str())
+    for change in ({"pre_tokenizer": None}, {"normalizer": {"type": "Strip", "strip_left": True, "strip_right": True}}):
+        assert packing.byte_kinds(Tokenizer.from_str(json.dumps(config | change))) is None
+
+
 def test_packing_prefers_related_neighbours():
     rng = np.random.default_rng(5)
     topics = [rng.choice(np.arange(100 * k, 100 * k + 40), 60) for k in range(4) for _ in range(4)]
