@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import zlib
 from collections import defaultdict
 
@@ -131,6 +132,37 @@ def test_fuzzy_lines(docs, rows, result):
     assert texts[500].count("\n") == 0 and texts[501] == "" and texts[600] is None
 
 
+def test_edits_in_pieces_and_between_ends_against_plain_edit_distance(spark):
+    draw = random.Random(3)
+    rows = []
+    for _ in range(150):
+        words = ["".join(draw.choices("aeinst\u00e9\u4e2d\U0001f600", k=draw.randint(1, 8))) for _ in range(draw.choice((1, 3, 20, 90)))]
+        if draw.random() < 0.2:
+            words = words[:1] * len(words)
+        other = list(words)
+        for _ in range(draw.choice((1, 2, 6, 20))):
+            i = draw.randrange(len(other) + 1)
+            other[i : i + draw.randint(0, 3)] = draw.choices(["new", "an", "e", words[0]], k=draw.randint(0, 3))
+        a, b = " ".join(words), " ".join(other)
+        rows += [(a, b, int(0.1 * max(len(a), len(b))))] * (a != b)
+    frame = spark.createDataFrame(rows, "a string, b string, most int")
+    found = frame.select("a", "b", "most", *[F.expr(f("a", "b", "most")) for f in (fuzzy_lines.edits_in_pieces, fuzzy_lines.edits_between_ends)]).collect()
+    settled = 0
+    for a, b, most, pieces, between in found:
+        edits = brute.edit_distance(a, b, most)
+        assert between == (edits if edits <= most else -1)
+        assert pieces is None or pieces >= edits
+        settled += edits <= most and pieces is not None and pieces <= most
+    linked = sum(x[4] >= 0 for x in found)
+    assert linked > 30 and settled >= 0.9 * linked
+    pairs, texts = [], {}
+    for a, b, *_ in rows:
+        pairs.append((texts.setdefault(a, len(texts)), texts.setdefault(b, len(texts))))
+    texts = spark.createDataFrame([(i, x) for x, i in texts.items()], "id long, norm string")
+    got = {(r.a, r.b) for r in fuzzy_lines.verified(spark.createDataFrame(sorted(set(pairs)), "a long, b long"), texts).collect()}
+    assert got == {p for p, x in zip(pairs, found) if x[4] >= 0}
+
+
 @pytest.mark.parametrize("group", [fuzzy_lines.GROUP, 3])
 def test_fuzzy_lines_against_plain_edit_similarity(spark, result, monkeypatch, group):
     """Changed, dropped and added words and letters in lines of all lengths; links by edit similarity alone are the truth."""
