@@ -210,6 +210,20 @@ def test_fuzzy_lines_do_not_depend_on_the_size_of_blocks(spark, result, monkeypa
     assert sum(r[2] for r in found[3]) >= 0.9 * sum(r[2] for r in want) >= 0.9 * 40
 
 
+def test_fuzzy_lines_hand_on_no_pairs_that_are_near_but_not_linked(spark, result, monkeypatch):
+    """Unlike lines around one passage are decided where they meet; only their number, and not its square, goes on to texts."""
+    rng = np.random.default_rng(17)
+    vocabulary = ["".join(rng.choice(list("aeioubcdlmnrst"), 6)) for _ in range(900)]
+    passage, rows, seen, plain = vocabulary[:24], [], [], fuzzy_lines.verified
+    for i in range(60):
+        line = passage + [vocabulary[k] for k in rng.integers(24, 900, 6)]
+        rows += [(10 * i, " ".join(line))] + [(10 * i + 1, " ".join(line[:-1] + ["q" + line[-1][1:]]))] * (i < 5)
+    monkeypatch.setattr(fuzzy_lines, "verified", lambda pairs, texts: seen.append(pairs.count()) or plain(pairs, texts))
+    got = result(fuzzy_lines.fuzzy_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == result(brute.fuzzy_lines(rows)) and sum(r[2] for r in got) >= 5
+    assert sum(seen) <= fuzzy_lines.KEPT * len(rows)
+
+
 def test_quality_statistics(docs, rows, result):
     got = quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert result(got) == result([(i, *brute.statistics(t)) for i, t in rows])
